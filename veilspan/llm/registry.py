@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import langid, packing
+from veilspan.llm import grammar, langid, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_token_grammar": grammar.query,
         "op7_pack_sequences": packing.query,
         "op8_language_id": langid.query,
     }
