@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import grammar, langid, packing
+from veilspan.llm import classifier, grammar, langid, packing, rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_quality_classifier": classifier.query,
+        "op5_quality_rules": rules.query,
         "op6_token_grammar": grammar.query,
         "op7_pack_sequences": packing.query,
         "op8_language_id": langid.query,
