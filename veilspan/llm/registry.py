@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import classifier, grammar, langid, packing, rules
+from veilspan.llm import classifier, grammar, langid, neighbours, packing, rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_grammar": grammar.query,
         "op7_pack_sequences": packing.query,
         "op8_language_id": langid.query,
+        "op9_nearest_neighbours": neighbours.query,
     }
 
 
