@@ -186,10 +186,10 @@ def encode_shards(documents: DataFrame, *, end_id: int = END_ID, path: str | Non
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["part", "nth", "before", "n_docs", "n_tokens", "payload"])
 
-        ids = tokens.encoder(path, tokens.DROPPED).encode
+        encode_all = tokens.encoder(path, tokens.DROPPED).encode_all
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = ids(text) + end
+            for doc, data in zip(batch.column(0).to_pylist(), encode_all(batch.column(1).to_pylist()), strict=True):
+                data += end
                 if held and held + len(data) // 4 > shard_tokens:
                     yield close()
                     nth, before, doc_ids, encoded, held = nth + 1, before + held, [], [], 0

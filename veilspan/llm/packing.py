@@ -125,12 +125,12 @@ def pieces(documents: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = tokens.encoder(path, tokens.LEADING).encode
+        encode = tokens.encoder(path, tokens.LEADING).encode_all
         part, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 for i, (start, length) in enumerate(piece_bounds(len(ids) // 4, capacity)):
                     nth = seen.get(length, 0)
                     seen[length] = nth + 1

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,9 +19,9 @@ WHITE = "\t-\r \x85\xa0  -     　"
 #: White space dropped, and white space kept with one space leading a word.
 DROPPED, LEADING = f"[^{WHITE}]+", f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: Pieces held between batches, and the longest piece held.
-HELD_PIECES, HELD_LENGTH = 400_000, 40
-#: Pieces encoded in one call.
-JOINED = 1000
+HELD_PIECES, HELD_LENGTH = 500_000, 40
+#: Pieces encoded in one call, and characters of text worked on at once.
+JOINED, TEXT_AT_ONCE = 200, 1_000_000
 
 
 class Encoder:
@@ -34,6 +35,7 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = re.compile(pieces).findall
         self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids straight from the tokenizer."""
@@ -53,21 +55,38 @@ class Encoder:
             out += [data[4 * a : 4 * b] for a, b in zip([0, *(ends + 1)], [*ends, len(ids)], strict=True)]
         return out
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self.whole([text])[0]
-        pieces = self.find(text)
-        if missing := [p for p in set(pieces) if p not in self.held]:
-            if len(self.held) + len(missing) > HELD_PIECES:
-                self.held.clear()
-                missing = list(set(pieces))
-            fresh = dict(zip(missing, self.apart(missing), strict=True))
-            out = b"".join([fresh[p] if p in fresh else self.held[p] for p in pieces])
-            self.held.update((p, ids) for p, ids in fresh.items() if len(p) <= HELD_LENGTH)
-            return out
-        return b"".join(map(self.held.__getitem__, pieces))
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text."""
+        waiting: list[str] = []
+        size = 0
+        for text in texts:
+            waiting.append(text or "")
+            size += len(waiting[-1])
+            if size >= TEXT_AT_ONCE:
+                yield from self._encode(waiting)
+                waiting, size = [], 0
+        yield from self._encode(waiting)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        odd = {i for i, text in enumerate(texts) if any(s in text for s in self.special)}
+        ends, pieces = [], []
+        for i, text in enumerate(texts):
+            if i not in odd:
+                pieces += self.find(text)
+            ends.append(len(pieces))
+        found = list(map(self.held.get, pieces))
+        lacking = [i for i, ids in enumerate(found) if ids is None]
+        distinct = list(dict.fromkeys([pieces[i] for i in lacking]))
+        old = [p for p in distinct if p in self.older]
+        fresh = [p for p in distinct if p not in self.older] if old else distinct
+        learned = dict(zip(fresh, self.apart(fresh), strict=True)) if fresh else {}
+        learned |= {p: self.older[p] for p in old}
+        for i in lacking:
+            found[i] = learned[pieces[i]]
+        self.held.update((p, ids) for p, ids in learned.items() if len(p) <= HELD_LENGTH)
+        if len(self.held) > HELD_PIECES:  # what is not met again while the next lot is gathered goes
+            self.older, self.held = self.held, {}
+        return [self.whole([text])[0] if i in odd else b"".join(found[a:b]) for i, (text, a, b) in enumerate(zip(texts, [0, *ends], ends, strict=False))]
 
 
 @lru_cache(maxsize=4)
