@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import classifier, grammar, langid, neighbours, packing, rules
+from veilspan.llm import classifier, grammar, langid, neardup, neighbours, packing, rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_near_duplicates": neardup.query,
         "op4_quality_classifier": classifier.query,
         "op5_quality_rules": rules.query,
         "op6_token_grammar": grammar.query,
@@ -21,4 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_near_duplicates": neardup.SQL,
+    }
