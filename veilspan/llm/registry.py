@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import classifier, grammar, langid, neardup, neighbours, packing, rules
+from veilspan.llm import classifier, grammar, langid, lines, neardup, neighbours, packing, rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_near_duplicates": neardup.query,
+        "op3_line_templates": lines.query,
         "op4_quality_classifier": classifier.query,
         "op5_quality_rules": rules.query,
         "op6_token_grammar": grammar.query,
@@ -24,4 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_near_duplicates": neardup.SQL,
+        "op3_line_templates": lines.SQL,
     }
