@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import classifier, grammar, langid, lines, neardup, neighbours, packing, rules
+from veilspan.llm import classifier, grammar, langid, lines, mixing, neardup, neighbours, packing, rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_pack_sequences": packing.query,
         "op8_language_id": langid.query,
         "op9_nearest_neighbours": neighbours.query,
+        "op10_mix_domains": mixing.query,
     }
 
 
