@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import classifier, grammar, langid, lines, mixing, neardup, neighbours, packing, rules
+from veilspan.llm import classifier, grammar, langid, lines, mixing, neardup, neighbours, packing, rules, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_repeated_strings": suffixes.query,
         "op2_near_duplicates": neardup.query,
         "op3_line_templates": lines.query,
         "op4_quality_classifier": classifier.query,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_repeated_strings": suffixes.query,
         "op2_near_duplicates": neardup.SQL,
         "op3_line_templates": lines.SQL,
     }
