@@ -1,4 +1,60 @@
-"""The corpus pipeline: placeholder until its stages exist."""
+"""The corpus pipeline: raw documents to packed training sequences.
 
-STAGES = []
+Each stage takes all that its predecessor kept, as Parquet, and returns a DataFrame; all but the last
+return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from veilspan.llm import common, langid, lines, mixing, neardup, packing
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a known language; those predicted `und`, or far from every profile, go."""
+    common.prepare(spark)
+    return langid.keep_known(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the lines of recurring templates."""
+    common.prepare(spark)
+    return lines.drop_recurring(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    common.prepare(spark)
+    return neardup.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that the domains' tokens have their target weights, none more than once."""
+    return mixing.mix(docs, common.table(spark, sf_dir, "labels"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their places in sequences of 1,024 tokens."""
+    common.prepare(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
+
+#: SQL has no tokenizer, so the last stage cannot be expressed in it.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; what each returns is written and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,11 +18,16 @@ from veilspan import session
 _own_folder: list[str] = []
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input table through Spark's reader, whatever the store; Arrow batches are kept to
-    1,000 rows, since single texts can be very long."""
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and keep Arrow batches to 1,000 rows, since single texts can be very long."""
+    session.ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table through Spark's reader, whatever the store."""
+    prepare(spark)
     return session.table(spark, sf_dir, name)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from veilspan.llm import classifier, grammar, langid, lines, mixing, neardup, neighbours, packing, rules, suffixes
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": langid.query,
         "op9_nearest_neighbours": neighbours.query,
         "op10_mix_domains": mixing.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
