@@ -45,12 +45,12 @@ def detect_ipv4(spark: SparkSession, sf: str) -> DataFrame:
     return detection.detect(table(spark, sf, "documents"), detection.named("ipv4"), keep=["doc_id"]).select("doc_id", F.col("text").alias("hit"))
 
 
-_IPV6_TEXT = "'host fe80:' || c_custkey || ':ab:1 and ' || c_nationkey || ':2 up'"
+_IPV6_TEXT = "'host fe80:' || (c_custkey % 10000) || ':ab:1 and ' || c_nationkey || ':2 up'"
 
 
-@query("detect_ipv6", f"SELECT c_custkey, unnest(regexp_extract_all({_IPV6_TEXT}, {quoted(fixed.IPV6)})) AS hit FROM customer WHERE c_custkey < 10000")
+@query("detect_ipv6", f"SELECT c_custkey, unnest(regexp_extract_all({_IPV6_TEXT}, {quoted(fixed.IPV6)})) AS hit FROM customer")
 def detect_ipv6(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "customer").where("c_custkey < 10000").select("c_custkey", F.expr(_IPV6_TEXT).alias("text"))
+    rows = table(spark, sf, "customer").select("c_custkey", F.expr(_IPV6_TEXT).alias("text"))
     return detection.detect(rows, detection.named("ipv6"), keep=["c_custkey"]).select("c_custkey", F.col("text").alias("hit"))
 
 
@@ -81,8 +81,8 @@ def detect_card_candidate(spark: SparkSession, sf: str) -> DataFrame:
     return detection.detect(table(spark, sf, "documents"), detection.named("card"), keep=["doc_id"]).drop("ord")
 
 
-_IDS = """CASE c_custkey % 5 WHEN 0 THEN lpad(CAST(c_custkey % 1000 AS VARCHAR(9)), 3, '1') || '-45-' || lpad(CAST(c_custkey AS VARCHAR(9)), 4, '2')
- WHEN 1 THEN lpad(CAST(c_custkey % 1000 AS VARCHAR(9)), 3, '1') || ' 45 ' || lpad(CAST(c_custkey AS VARCHAR(9)), 4, '2')
+_IDS = """CASE c_custkey % 5 WHEN 0 THEN lpad(CAST(c_custkey % 1000 AS VARCHAR(9)), 3, '1') || '-45-' || lpad(CAST(c_custkey % 10000 AS VARCHAR(9)), 4, '2')
+ WHEN 1 THEN lpad(CAST(c_custkey % 1000 AS VARCHAR(9)), 3, '1') || ' 45 ' || lpad(CAST(c_custkey % 10000 AS VARCHAR(9)), 4, '2')
  WHEN 2 THEN '123-' || lpad(CAST(c_custkey % 1000 AS VARCHAR(9)), 3, '4') || '-789'
  WHEN 3 THEN '12.34.' || lpad(CAST(c_custkey % 10000 AS VARCHAR(9)), 4, '5')
  ELSE lpad(CAST(c_custkey AS VARCHAR(9)), 9, '7') END"""
@@ -91,10 +91,10 @@ _IDS = """CASE c_custkey % 5 WHEN 0 THEN lpad(CAST(c_custkey % 1000 AS VARCHAR(9
 @query(
     "detect_gov_id",
     f"""SELECT c_custkey, {_IDS} AS hit, CASE c_custkey % 5 WHEN 0 THEN 'ssn-dashed' WHEN 1 THEN 'ssn-spaced' WHEN 2 THEN 'gov-id-grouped3' WHEN 3 THEN 'gov-id-dotted' ELSE 'ssn-plain' END AS format,
-    CASE c_custkey % 5 WHEN 0 THEN 0.9 WHEN 1 THEN 0.9 WHEN 2 THEN 0.85 WHEN 3 THEN 0.85 ELSE 0.55 END::DOUBLE AS confidence FROM customer WHERE c_custkey < 10000""",
+    CASE c_custkey % 5 WHEN 0 THEN 0.9 WHEN 1 THEN 0.9 WHEN 2 THEN 0.85 WHEN 3 THEN 0.85 ELSE 0.55 END::DOUBLE AS confidence FROM customer""",
 )
 def detect_gov_id(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "customer").where("c_custkey < 10000").select("c_custkey", F.expr(f"'My id: ' || {_IDS} || '; thanks'").alias("text"))
+    rows = table(spark, sf, "customer").select("c_custkey", F.expr(f"'My id: ' || {_IDS} || '; thanks'").alias("text"))
     found = detection.detect(rows, [f for f in detection.FAMILIES if f.ledger == "gov"], keep=["c_custkey"])
     return found.select("c_custkey", F.col("text").alias("hit"), "format", "confidence")
 
