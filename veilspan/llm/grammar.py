@@ -33,8 +33,8 @@ MAGIC = b"GRM1"
 END_ID = 2
 #: Tokens after which a shard is closed (a longer document has a shard of its own), passes over a
 #: shard, most rules a pass, least occurrences of a rule, bits of the hash that counts pairs.
-SHARD_TOKENS, PASSES, RULES_A_PASS, LEAST_USES, COUNT_BITS = 1 << 20, 4, 2048, 16, 20
-MIX = np.uint64(0x9E3779B97F4A7C15)
+SHARD_TOKENS, PASSES, RULES_A_PASS, LEAST_USES, COUNT_BITS = 1 << 20, 4, 2048, 16, 19
+LEFT, RIGHT, MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 SHARDS_SCHEMA = "part int, nth int, before long, n_docs int, n_tokens long, payload binary"
 
 
@@ -47,43 +47,46 @@ def vocabulary() -> str:
 def compress(ids: np.ndarray, last: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """First rule symbol, rules (left, right), symbols, and which symbols are their document's last."""
     first = int(ids.max()) + 1 if len(ids) else 0
-    symbols, last = ids.astype(np.uint64), last.copy()
+    symbols, last = ids.astype(np.uint32), last.copy()
     rules: list[np.ndarray] = []
     made = first
     for _ in range(PASSES):
         if len(symbols) < 2:
             break
-        pair = (symbols[:-1] << np.uint64(32)) | symbols[1:]
-        bucket = (pair * MIX >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
-        inner = ~last[:-1]
-        counts = np.bincount(bucket[inner], minlength=1 << COUNT_BITS)
+        bucket = (symbols[:-1] * LEFT ^ symbols[1:] * RIGHT) * MIX >> np.uint32(32 - COUNT_BITS)
+        bucket[last[:-1]] = 0  # no pair crosses a document's end; bucket 0 has no rule
+        counts = np.bincount(bucket, minlength=1 << COUNT_BITS)
+        counts[0] = 0
         top = np.argpartition(-counts, RULES_A_PASS)[:RULES_A_PASS]
-        rule_of = np.full(1 << COUNT_BITS, -1, np.int32)
         top = top[counts[top] >= LEAST_USES]
+        rule_of = np.full(1 << COUNT_BITS, -1, np.int16)
         rule_of[top] = np.arange(len(top))
-        at = np.flatnonzero(inner & (rule_of[bucket] >= 0))
+        rule = rule_of[bucket]
+        at = np.flatnonzero(rule >= 0)
         if not len(at):
             break
+        rule = rule[at]
+        pair = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
         own = np.zeros(len(top), np.uint64)  # the pair of each bucket: of several, the one seen last
-        own[rule_of[bucket[at]]] = pair[at]
-        at = at[pair[at] == own[rule_of[bucket[at]]]]
+        own[rule] = pair
+        at, rule = at[pair == own[rule]], rule[pair == own[rule]]
         run = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))
-        at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
-        rule = rule_of[bucket[at]]
+        free = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
+        at, rule = at[free], rule[free]
         uses = np.bincount(rule, minlength=len(top))
-        at, rule = at[uses[rule] >= LEAST_USES], rule[uses[rule] >= LEAST_USES]
+        used = uses >= LEAST_USES
+        at, rule = at[used[rule]], rule[used[rule]]
         if not len(at):
             break
-        number = np.cumsum(uses >= LEAST_USES) - 1
-        new = own[uses >= LEAST_USES]
+        new = own[used]
         rules.append(np.stack((new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)), axis=1))
-        symbols[at] = (made + number[rule]).astype(np.uint64)
+        symbols[at] = (made + np.cumsum(used) - 1)[rule]
         last[at] = last[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, last = symbols[keep], last[keep]
         made += len(new)
-    return first, np.concatenate(rules).astype(np.uint32) if rules else np.zeros((0, 2), np.uint32), symbols.astype(np.uint32), last
+    return first, np.concatenate(rules).astype(np.uint32) if rules else np.zeros((0, 2), np.uint32), symbols, last
 
 
 def expansion_lengths(first: int, rules: np.ndarray) -> np.ndarray:
@@ -135,32 +138,22 @@ class Shard:
         self._pool()
 
     def _pool(self) -> None:
-        """The expansions of all rules, one after another."""
-        self.pool_at = np.concatenate(([0], np.cumsum(self.lengths, dtype=np.int64)))
-        self.pool = np.zeros(int(self.pool_at[-1]), np.uint32)
-        for i, (left, right) in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True)):
-            at = self.pool_at[i]
-            for part in (left, right):
-                if part < self.first:
-                    self.pool[at] = part
-                    at += 1
-                else:
-                    a, b = self.pool_at[part - self.first : part - self.first + 2]
-                    self.pool[at : at + b - a] = self.pool[a:b]
-                    at += b - a
+        """The expansions of all symbols, one after another."""
+        self.length_of = np.concatenate((np.ones(self.first, np.int64), self.lengths))
+        self.place_of = np.cumsum(self.length_of) - self.length_of
+        self.pool = np.arange(int(self.length_of.sum()), dtype=np.uint32)  # a plain symbol stands for itself
+        place, length = self.place_of.tolist(), self.length_of.tolist()
+        for i, parts in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True), self.first):
+            at = place[i]
+            for part in parts:
+                self.pool[at : at + length[part]] = self.pool[place[part] : place[part] + length[part]]
+                at += length[part]
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that symbols stand for."""
-        made = symbols >= self.first
-        rule = np.where(made, symbols, self.first).astype(np.int64) - self.first
-        lengths = np.ones(len(symbols), np.int64)
-        lengths[made] = self.lengths[rule[made]]
+        lengths = self.length_of[symbols]
         ends = np.cumsum(lengths)
-        out = np.repeat(symbols, lengths)
-        inside = np.repeat(made, lengths)
-        source = np.repeat(self.pool_at[rule] - (ends - lengths), lengths) + np.arange(len(out))
-        out[inside] = self.pool[source[inside]]
-        return out
+        return self.pool[np.repeat(self.place_of[symbols] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document alone."""

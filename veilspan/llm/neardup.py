@@ -4,7 +4,10 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles. Docume
 are one node. SAMPLES MinHash values of a set are cut into BANDS bands whose hashes file the node in
 buckets, and are folded into a parity bitmap (odd sketch): the XOR of two bitmaps has few bits set
 when few of the samples differ, so its population count tells at once which candidates cannot be
-similar enough. Candidates that pass are confirmed on the full sets.
+similar enough. A second, wider bitmap folds the whole set: its XOR never has more bits set than the
+sets have different members, so a count over the number that the similarity allows rules a pair out
+for certain, and for sets of a few thousand shingles hardly a dissimilar pair passes. Candidates that
+pass both are confirmed on the full sets.
 
 Buckets are never expanded into pairs. In each round every bucket names a pivot, the member met most
 often in all buckets (the likely centre of its group); its other members are compared with the pivot
@@ -38,10 +41,11 @@ from veilspan.llm.features import _words
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 85
 BANDS, BAND_ROWS = 20, 4
 SAMPLES = BANDS * BAND_ROWS
-SKETCH_WORDS = 8
-#: Most differing bits of two sketches that are still compared on full sets.
+#: 64-bit words of the bitmap of the samples and of the bitmap of the whole set.
+SKETCH_WORDS, WHOLE_WORDS = 8, 32
+#: Most differing bits of two sample sketches that are still compared on full sets.
 MOST_BITS = 56
-ROUNDS, BLOCK = 4, 256
+ROUNDS, BLOCK = 4, 512
 
 _random = np.random.default_rng(20_240_501)
 _MULTIPLY = _random.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,11 +99,16 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """The samples, each with its number, folded by parity into SKETCH_WORDS 64-bit words."""
-    places = _stir(samples + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) % np.uint64(64 * SKETCH_WORDS)
-    parity = np.bincount(places.astype(np.int64), minlength=64 * SKETCH_WORDS).astype(np.uint8) & 1
-    return np.packbits(parity).view(np.int64)
+def _parity(members: np.ndarray, words: int) -> np.ndarray:
+    places = (members % np.uint64(64 * words)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=64 * words).astype(np.uint8) & 1).view(np.int64)
+
+
+def odd_sketch(samples: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """The samples, each with its number, folded by parity into SKETCH_WORDS words, and then the whole
+    set folded into WHOLE_WORDS words."""
+    numbered = _stir(samples + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    return np.concatenate((_parity(numbered, SKETCH_WORDS), _parity(_stir(members.view(np.uint64)), WHOLE_WORDS)))
 
 
 def signatures(documents: DataFrame) -> DataFrame:
@@ -115,7 +124,7 @@ def signatures(documents: DataFrame) -> DataFrame:
                     samples = minhash(members)
                     nodes.append(set_hash(members))
                     bands.append(band_keys(samples))
-                    sketches.append(odd_sketch(samples))
+                    sketches.append(odd_sketch(samples, members))
                 else:
                     nodes.append(None)
                     bands.append(None)
@@ -126,8 +135,11 @@ def signatures(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, node long, bands array<long>, sketch array<long>")
 
 
-def differing_bits(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+def _may_be_similar() -> Column:
+    """Whether sketch_a and sketch_b, of sets of size_a and size_b, allow the similarity."""
+    bits = [F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_WORDS + WHOLE_WORDS)]
+    different = (100 - SIMILARITY_PERCENT) * (F.col("size_a") + F.col("size_b"))
+    return (sum(bits[1:SKETCH_WORDS], bits[0]) <= MOST_BITS) & ((100 + SIMILARITY_PERCENT) * sum(bits[SKETCH_WORDS + 1 :], bits[SKETCH_WORDS]) <= different)
 
 
 def _pairs(first: str | Column, second: str | Column) -> list[Column]:
@@ -140,14 +152,14 @@ def link(documents: DataFrame) -> DataFrame:
     signed = common.materialize(signatures(documents), "signatures")
     filled = signed.where("node is not null")
     classes = common.materialize(filled.groupBy("node").agg(F.min("doc_id").alias("first")), "set-classes")
-    one_each = filled.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    one_each = filled.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size"))
     nodes = common.materialize(one_each, "set-nodes")
     filed = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = common.materialize(filed.join(shared, "bucket"), "buckets")
     weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
     members = common.materialize(members.select("bucket", "node").join(weights, "node"), "bucket-members")
-    sketches = common.materialize(nodes.select("node", "sketch").join(weights.select("node"), "node", "left_semi"), "sketches")
+    sketches = common.materialize(nodes.select("node", "sketch", "size").join(weights.select("node"), "node", "left_semi"), "sketches")
     sets = _full_sets(documents, classes, sketches)
     links = _link_nodes(members, sketches, sets)
 
@@ -179,10 +191,10 @@ def _full_sets(documents: DataFrame, classes: DataFrame, wanted: DataFrame) -> D
 
 def _confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
     """Of candidate pairs (a, b), repeats allowed, those that are links."""
-    of = lambda t, c, n: t.select(F.col("node").alias(n), F.col(c).alias(f"{c}_{n}"))
-    near = pairs.distinct().join(of(sketches, "sketch", "a"), "a").join(of(sketches, "sketch", "b"), "b")
-    near = near.where(differing_bits("sketch_a", "sketch_b") <= MOST_BITS).select("a", "b")
-    full = near.join(of(sets, "members", "a"), "a").join(of(sets, "members", "b"), "b")
+    of = lambda t, n, *columns: t.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in columns])
+    near = pairs.distinct().join(of(sketches, "a", "sketch", "size"), "a").join(of(sketches, "b", "sketch", "size"), "b")
+    near = near.where(_may_be_similar()).select("a", "b")
+    full = near.join(of(sets, "a", "members"), "a").join(of(sets, "b", "members"), "b")
     common_ = F.size(F.array_intersect("members_a", "members_b")).cast("long")
     union = F.size("members_a") + F.size("members_b") - common_
     return full.where(100 * common_ >= SIMILARITY_PERCENT * union).select("a", "b")
@@ -195,7 +207,7 @@ def _link_nodes(members: DataFrame, sketches: DataFrame, sets: DataFrame) -> Dat
     left = members
     for step in range(ROUNDS + 1):
         labelled = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = labelled.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"), F.max_by("root", F.struct("weight", "node")).alias("pivot_root"), F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+        open_ = labelled.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"), F.max_by("root", F.struct("weight", "node")).alias("pivot_root"), F.count(F.lit(1)).alias("present"), F.min("root").alias("low"), F.max("root").alias("high"))
         active = common.materialize(labelled.join(open_.where("low <> high").drop("low", "high"), "bucket"), "open-buckets")
         if active.isEmpty():
             break
@@ -210,19 +222,21 @@ def _link_nodes(members: DataFrame, sketches: DataFrame, sets: DataFrame) -> Dat
 
 def _blocks(active: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs of one bucket and two components whose sketches pass, found block against block."""
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    count = F.ceil(F.col("present") / BLOCK).cast("int")
     rows = active.join(sketches, "node").withColumn("blocks", count).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "sketch")
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "sketch", "size")
 
     def compare(found: pd.DataFrame) -> pd.DataFrame:
         low, high = found["low"].iloc[0], found["high"].iloc[0]
         left, right = (found[found["own"] == b] for b in (low, high))
-        bits = np.zeros((len(left), len(right)), np.int64)
-        if len(left) and len(right):
-            a, b = (np.array(x["sketch"].tolist(), np.int64).view(np.uint64) for x in (left, right))
-            for i in range(SKETCH_WORDS):
-                bits += np.bitwise_count(a[:, i, None] ^ b[None, :, i])
-        near = (bits <= MOST_BITS) & (left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :])
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []})
+        a, b = (np.array(x["sketch"].tolist(), np.int64).view(np.uint64) for x in (left, right))
+        samples, whole = np.zeros((len(left), len(right)), np.int64), np.zeros((len(left), len(right)), np.int64)
+        for i in range(SKETCH_WORDS + WHOLE_WORDS):
+            (samples if i < SKETCH_WORDS else whole)[:] += np.bitwise_count(a[:, i, None] ^ b[None, :, i])
+        different = (100 - SIMILARITY_PERCENT) * (left["size"].to_numpy()[:, None] + right["size"].to_numpy()[None, :])
+        near = (samples <= MOST_BITS) & ((100 + SIMILARITY_PERCENT) * whole <= different) & (left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :])
         i, j = np.nonzero(near)
         x, y = left["node"].to_numpy()[i], right["node"].to_numpy()[j]
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})

@@ -18,8 +18,10 @@ import numpy as np
 WHITE = "\t-\r \x85\xa0  -     　"
 #: White space dropped, and white space kept with one space leading a word.
 DROPPED, LEADING = f"[^{WHITE}]+", f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+#: Characters that str.split parts at besides.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Pieces held between batches, and the longest piece held.
-HELD_PIECES, HELD_LENGTH = 500_000, 40
+HELD_PIECES, HELD_LENGTH = 700_000, 40
 #: Pieces encoded in one call, and characters of text worked on at once.
 JOINED, TEXT_AT_ONCE = 200, 1_000_000
 
@@ -34,6 +36,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = re.compile(pieces).findall
+        self.dropped = pieces == DROPPED
         self.held: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -69,24 +72,28 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         odd = {i for i, text in enumerate(texts) if any(s in text for s in self.special)}
+        find = str.split if self.dropped and not any(c in text for text in texts for c in SEPARATORS) else self.find
         ends, pieces = [], []
         for i, text in enumerate(texts):
             if i not in odd:
-                pieces += self.find(text)
+                pieces += find(text)
             ends.append(len(pieces))
         found = list(map(self.held.get, pieces))
         lacking = [i for i, ids in enumerate(found) if ids is None]
-        distinct = list(dict.fromkeys([pieces[i] for i in lacking]))
-        old = [p for p in distinct if p in self.older]
-        fresh = [p for p in distinct if p not in self.older] if old else distinct
-        learned = dict(zip(fresh, self.apart(fresh), strict=True)) if fresh else {}
-        learned |= {p: self.older[p] for p in old}
+        learned = self._learn(list(dict.fromkeys([pieces[i] for i in lacking])))
         for i in lacking:
             found[i] = learned[pieces[i]]
+        return [self.whole([text])[0] if i in odd else b"".join(found[a:b]) for i, (text, a, b) in enumerate(zip(texts, [0, *ends], ends, strict=False))]
+
+    def _learn(self, distinct: list[str]) -> dict[str, bytes]:
+        """Ids of pieces not held, which then are."""
+        learned = {p: self.older[p] for p in distinct if p in self.older}
+        if fresh := [p for p in distinct if p not in learned]:
+            learned.update(zip(fresh, self.apart(fresh), strict=True))
         self.held.update((p, ids) for p, ids in learned.items() if len(p) <= HELD_LENGTH)
         if len(self.held) > HELD_PIECES:  # what is not met again while the next lot is gathered goes
             self.older, self.held = self.held, {}
-        return [self.whole([text])[0] if i in odd else b"".join(found[a:b]) for i, (text, a, b) in enumerate(zip(texts, [0, *ends], ends, strict=False))]
+        return learned
 
 
 @lru_cache(maxsize=4)
