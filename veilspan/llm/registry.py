@@ -28,7 +28,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_repeated_strings": suffixes.query,
         "op2_near_duplicates": neardup.SQL,
         "op3_line_templates": lines.SQL,
     }
