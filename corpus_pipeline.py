@@ -18,9 +18,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the lines of recurring templates."""
+    """The documents without the lines that recur; those left without any line go."""
     common.prepare(spark)
-    return lines.drop_recurring(docs)
+    return lines.drop_recurring(docs, keep_emptied=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,6 +101,18 @@ def test_line_templates(spark, corpus):
     assert kept.where("text is not null and n_chars <> length(text)").count() == 0
 
 
+def test_lines_recur_at_any_size(spark):
+    names, cities = [f"name{c}" for c in "abcdefgh"], [f"city{c}" for c in "abcdefgh"]
+    texts = [f"{words(i, 9)}\nTel. 0800 123 456 Fax 0800 123 {i}\nPosted by {n} in {c}" for i, (n, c) in enumerate((n, c) for n in names for c in cities)]
+    texts += [f"{words(900 + i, 9)}\nshort\n 1 2 3 4\n5 6 7 {i}" for i in range(2)] + ["short\n1 2 3 4"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r["doc_id"]: r["text"].split("\n") for r in lines.drop_recurring(table).collect()}
+    assert left[0] == texts[0].split("\n")
+    assert all(left[i] == [words(i, 9)] for i in range(1, 64))
+    assert left[64] == texts[64].split("\n") and left[65] == [words(901, 9), "5 6 7 1"] and left[66] == [""]
+    assert {r["doc_id"] for r in lines.drop_recurring(table, keep_emptied=False).collect()} == set(range(66))
+
+
 def labelled(spark, corpus):
     good = [(1000 + i, words(i, 60), "en", "s", 0, "x", "y", "z") for i in range(60)]
     bad = [(2000 + i, words(i, 60, "$$$"), "en", "s", 0, "x", "y", "z") for i in range(60)]

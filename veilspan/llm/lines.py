@@ -11,20 +11,31 @@ The tree's counts are sums over all documents that pre-aggregate before each shu
 leaves met in enough documents are parsed into tokens. No group is gathered: a template is known by
 its leaf and the combined hash of its tokens.
 
-Cases: a null text stays null with no lines; an empty text is one blank line. Blank lines and lines of
-fewer than LEAST_TOKENS tokens are never dropped. Repeated rows (same doc_id and text) count as one
+That rule (`recurring_lines`) is what op3's SQL defines. The pipeline's stage (`drop_recurring`) drops
+more, by `recurring_at_any_size`: tokens with a digit are fields that match any value; a token is
+constant, besides by the count above, at each of the shares SHARES of its leaf's documents, so that
+fields whose values become frequent in a large corpus remain fields; and a line that is not blank and
+stands in EXACT_DOCUMENTS documents, outer blanks apart, recurs however few or many tokens it has. A
+template needs one constant token.
+
+Cases: a null text stays null with no lines; an empty text is one blank line. Blank lines are never
+dropped, lines of fewer than LEAST_TOKENS tokens only by the stage and only as exact repeats. Repeated rows (same doc_id and text) count as one
 document and are treated alike. A null doc_id sorts first. Columns other than the text are untouched;
 names that begin with `__` are used inside and may not be columns of the input.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import common
 
 DEPTH, LEAST_TOKENS, LEAST_DOCUMENTS, SHARE_PERCENT = 2, 3, 4, 60
+#: Shares in percent of a leaf's documents at which a token is constant, one template each; 0: the count alone.
+SHARES, EXACT_DOCUMENTS = (0, 5, 20, 50), 2
 BLANK = " \t\v\f\r"
 ANY = "<*>"
 
@@ -58,20 +69,54 @@ def recurring_lines(documents: DataFrame) -> DataFrame:
     return dropped.groupBy("__row").agg(F.collect_set("__line").alias("__drop"))
 
 
-def _without_lines(documents: DataFrame) -> DataFrame:
+def _all_but_first(lines: DataFrame, group: list[str], least_documents: int) -> DataFrame:
+    """__row, __line of the lines in groups met in enough documents, without each group's first."""
+    per_row = lines.groupBy(*group, "__row").agg(F.min(F.struct("__doc", "__line", "__row")).alias("__first"))
+    recurring = per_row.groupBy(*group).agg(F.count(F.lit(1)).alias("__rows"), F.min("__first").alias("__first")).where(F.col("__rows") >= least_documents)
+    found = lines.join(recurring, group).where((F.col("__row") != F.col("__first.__row")) | (F.col("__line") != F.col("__first.__line")))
+    return found.select("__row", "__line")
+
+
+def recurring_at_any_size(documents: DataFrame) -> DataFrame:
+    """__row, __drop (line numbers, from 0) of the rows that lose lines to the stage's wider rule."""
+    lines = documents.where("text is not null").select(_row_key().alias("__row"), F.col("doc_id").alias("__doc"), F.posexplode(F.split("text", "\n")).alias("__line", "__text"))
+    trimmed = lines.withColumn("__text", F.btrim("__text", F.lit(BLANK))).where("__text <> ''")
+    exact = _all_but_first(trimmed.select("__row", "__doc", "__line", F.xxhash64("__text").alias("__whole")), ["__whole"], EXACT_DOCUMENTS)
+
+    parsed = _parsed(documents)
+    leaves = parsed.select("__leaf", "__row").distinct().groupBy("__leaf").agg(F.count(F.lit(1)).alias("__documents")).where(F.col("__documents") >= LEAST_DOCUMENTS)
+    kept = common.materialize(parsed.join(common.materialize(leaves, "leaves"), "__leaf"), "leaf-lines")
+    fields = F.size(F.filter("__tokens", lambda t: t.rlike("[0-9]")))
+    line = ["__leaf", "__documents", "__row", "__doc", "__line", "__n", "__fields"]
+    exploded = kept.withColumn("__fields", fields).select(*line, F.posexplode("__tokens").alias("__at", "__token"))
+    held = exploded.where(~F.col("__token").rlike("[0-9]")).select(*line, F.xxhash64("__leaf", "__at", "__token").alias("__held"))
+    counts = held.select("__held", "__row").distinct().groupBy("__held").agg(F.count(F.lit(1)).alias("__count")).where(F.col("__count") >= LEAST_DOCUMENTS)
+    constant = {s: 100 * F.col("__count") >= s * F.col("__documents") for s in SHARES}
+    found = held.join(counts, "__held").groupBy(*line).agg(*[c for s in SHARES for c in (F.bit_xor(F.when(constant[s], F.col("__held"))).alias(f"__template_{s}"), F.count_if(constant[s]).alias(f"__constant_{s}"))])
+    follows = [F.when((F.col(f"__constant_{s}") > 0) & (100 * (F.col(f"__constant_{s}") + F.col("__fields")) >= SHARE_PERCENT * F.col("__n")), F.col(f"__template_{s}")) for s in SHARES]
+    templated = found.select("__leaf", "__row", "__doc", "__line", F.explode(F.array_compact(F.array_distinct(F.array(*follows)))).alias("__template"))
+    templated = common.materialize(templated, "line-templates")
+    dropped = exact.unionByName(_all_but_first(templated, ["__leaf", "__template"], LEAST_DOCUMENTS))
+    return dropped.groupBy("__row").agg(F.collect_set("__line").alias("__drop"))
+
+
+def _without_lines(documents: DataFrame, recurring: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The documents with `__lines` (all), `__left` (those that stay) and __drop appended."""
-    drop = common.materialize(recurring_lines(documents), "dropped-lines")
+    drop = common.materialize(recurring(documents), "dropped-lines")
     joined = documents.withColumn("__row", _row_key()).join(drop, "__row", "left").drop("__row")
     split = F.split("text", "\n")
     left = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains("__drop", i)), "\n"))
     return joined.withColumn("__lines", F.coalesce(F.size(split), F.lit(0))).withColumn("__left", left)
 
 
-def drop_recurring(documents: DataFrame) -> DataFrame:
-    """The documents, same rows and columns, without the lines of recurring templates. A column
-    n_chars, where there is one, is the new text's length."""
+def drop_recurring(documents: DataFrame, *, keep_emptied: bool = True) -> DataFrame:
+    """The documents, same rows and columns, without the lines that recur at any size. A column
+    n_chars, where there is one, is the new text's length. Without `keep_emptied`, rows whose lines were
+    all dropped (whole copies) go."""
     columns = documents.columns
-    found = _without_lines(documents).withColumn("text", F.col("__left"))
+    found = _without_lines(documents, recurring_at_any_size).withColumn("text", F.col("__left"))
+    if not keep_emptied:
+        found = found.where(F.col("__drop").isNull() | (F.btrim("text", F.lit(BLANK + "\n")) != ""))
     if "n_chars" in columns:
         found = found.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return found.select(*[F.col(f"`{c}`") for c in columns])
@@ -79,7 +124,7 @@ def drop_recurring(documents: DataFrame) -> DataFrame:
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text left of every document."""
-    found = _without_lines(documents.select("doc_id", "text"))
+    found = _without_lines(documents.select("doc_id", "text"), recurring_lines)
     return found.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("__lines")).cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"), F.col("__left").alias("text"))
 
 
