@@ -30,7 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that the domains' tokens have their target weights, none more than once."""
+    """Documents drawn so that the domains' tokens have their target weights; only those of a
+    domain with fewer tokens than its target are repeated."""
     return mixing.mix(docs, common.table(spark, sf_dir, "labels"))
 
 

@@ -277,6 +277,22 @@ def test_mixing_meets_targets(spark, corpus):
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize("toxic", [0, 2])
+def test_scarce_domain_leaves_the_mix_whole(spark, toxic):
+    kinds = ["good"] * 300 + ["low"] * 40 + ["toxic"] * toxic
+    stems = {"good": "", "low": "$$$", "toxic": "!!!"}
+    documents = spark.createDataFrame([(i, words(i, 40, stems[k])) for i, k in enumerate(kinds)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k == "good"), int(k == "toxic")) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    rated = mixing.rates(documents, labels, whole=True).cache()
+    rows = {r["doc_id"]: r for r in rated.collect()}
+    assert all(rows[i]["rate"] > 0.95 for i in range(300)) and sum(rows[i]["copies"] > 0 for i in range(300)) > 285
+    assert all((rows[340 + i]["rate"] > 4) for i in range(toxic))
+    target, got = mixing.reached(rated)["toxic"]
+    assert abs(got - target) < 0.005 if toxic else got == 0.0
+    unlabelled = mixing.rates(documents, labels.where("false"), whole=True).collect()
+    assert {(r["rate"], r["copies"]) for r in unlabelled} == {(1.0, 1)}
+
+
 def test_projected_gradient_equals_numpy(spark):
     r = np.random.default_rng(2)
     p = r.dirichlet([0.3, 0.3], 50)

@@ -1,26 +1,34 @@
 """Mixing documents to target weights of soft domains, in DataFrame operations only.
 
 A naive Bayes classifier of hashed word presence, counted on a bounded sample of the rows that a
-label table labels, gives every document posteriors of the domains. Nonnegative rates (at most
-`most_rate`) are then fitted so that each domain's expected tokens, the sum of rate * tokens *
+label table labels, gives every document posteriors of the domains. Nonnegative rates are then fitted so that each domain's expected tokens, the sum of rate * tokens *
 posterior, meet its target: projected gradient steps on the least squares of the totals' relative
 errors, where a step sums one row for each domain over the documents and moves every document's rate
 by its own posteriors. With the errors divided by the domains' own totals, the steps' matrix has
 row sums of one, so a step length of one is safe whatever the data.
 
-The token budget is by default the largest total of which every domain can supply its share without
-repeats; a document's copies are its rate's whole part, plus one when its hashed key falls under the
+The token budget of a mix that keeps the corpus `whole` (the query's and the pipeline's) is what the main
+domain, the one with the greatest target, supplies without repeats: a scarce domain never makes the corpus
+smaller. A domain with fewer tokens than its target is repeated instead: it allows rates up to what it
+lacks, at most REPEATS, and a document's rate may reach the mean of its domains' allowances by its
+posteriors (1 where no domain is scarce). What stays under its target all the same is logged as a warning
+and can be read from `reached`. Otherwise the budget is the largest total of which every domain can supply
+its share with rates up to `most_rate`, and targets come before size.
+A document's copies are its rate's whole part, plus one when its hashed key falls under the
 rest.
 
 Cases: a null or empty text has no tokens and the prior as posteriors. A label row with a null in any
 used column, or of an unknown document, teaches nothing; of repeated labels the smallest counts. Without labels
-every posterior is equal. A domain without tokens has no target to meet. Repeated rows have equal
+every posterior is equal and every rate 1, since no choice would change the mix. A domain that no label row teaches, where others
+are taught, has posterior 0. A domain without tokens has no target to meet. Repeated rows have equal
 rates and copies. A null doc_id is hashed as a key of its own. An empty table gives an empty result.
 Columns of the input are carried by `mix`; names that begin with `__` may not be among them.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +38,13 @@ from veilspan.llm import common
 TARGETS = {"good": 0.90, "low": 0.06, "toxic": 0.04}
 BUCKETS, SAMPLE_ROWS, SMOOTHING = 1 << 14, 10_000, 0.5
 STEPS, TOLERANCE, STEPS_A_TABLE = 40, 1e-6, 10
+#: Most copies on average for a domain with fewer tokens than its target.
+REPEATS = 16.0
+UNTAUGHT = -1e300
 BLANK = "[ \t\n\v\f\r]+"
 
+_log = logging.getLogger(__name__)
+
 
 def domain_of_labels(labels: DataFrame) -> DataFrame:
     """doc_id, domain: toxic before low quality before good."""
@@ -50,7 +63,7 @@ def _present(words: Column) -> Column:
 
 def fit_domains(documents: DataFrame, labels: DataFrame, domains: list[str], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row: for each domain d the prior's logarithm `l_d` and the array `w_d` of the buckets' log
-    probabilities."""
+    probabilities; `taught`, the number of label rows used."""
     known = domain_of_labels(labels).join(documents.select("doc_id").distinct(), "doc_id")
     chosen = common.bounded_sample(known, "doc_id", sample_rows)
     seen = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", _present(_words()).alias("present"))
@@ -63,7 +76,9 @@ def fit_domains(documents: DataFrame, labels: DataFrame, domains: list[str], sam
     one = filled.agg(arrays, *totals)
     logs = {d: _log_shares(f"c_{d}", f"t_{d}") for d in domains}
     weighted = one.select(*[v.alias(f"w_{d}") for d, v in logs.items()])
-    priors = seen.agg(*[F.log((F.count_if(F.col("domain") == d) + 1) / (F.count(F.lit(1)) + len(domains))).alias(f"l_{d}") for d in domains])
+    of, rows = {d: F.count_if(F.col("domain") == d) for d in domains}, F.count(F.lit(1))
+    known_prior = {d: F.log((of[d] + 1) / (rows + len(domains))) for d in domains}
+    priors = seen.agg(rows.alias("taught"), *[F.when((of[d] == 0) & (rows > 0), F.lit(UNTAUGHT)).otherwise(known_prior[d]).alias(f"l_{d}") for d in domains])
     joined = weighted.withColumn("__k", F.lit(1)).join(priors.withColumn("__k", F.lit(1)), "__k")
     return common.materialize(joined, "mixing-model")
 
@@ -83,7 +98,7 @@ def with_posteriors(documents: DataFrame, model: DataFrame, domains: list[str])
     scored = rows.withColumn("__k", F.lit(1)).join(F.broadcast(model), "__k")
     for d in domains:
         scored = scored.withColumn(f"__s_{d}", F.col(f"l_{d}") + _summed(f"w_{d}"))
-    scored = scored.drop("__k", "__present", *[f"l_{d}" for d in domains], *[f"w_{d}" for d in domains])
+    scored = scored.drop("__k", "__present", "taught", *[f"l_{d}" for d in domains], *[f"w_{d}" for d in domains])
     top = F.greatest(*[F.col(f"__s_{d}") for d in domains]) if len(domains) > 1 else F.col(f"__s_{domains[0]}")
     scored = scored.withColumn("__top", top)
     parts = {d: F.exp(F.col(f"__s_{d}") - F.col("__top")) for d in domains}
@@ -91,24 +106,58 @@ def with_posteriors(documents: DataFrame, model: DataFrame, domains: list[str])
     return scored.withColumns({f"p_{d}": part / whole for d, part in parts.items()}).drop("__top", *[f"__s_{d}" for d in domains])
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], *, tokens: float | None = None, most_rate: float = 1.0) -> DataFrame:
+def _tokens_of(rows: DataFrame, domains: list[str], weight: Column) -> dict[str, float]:
+    return rows.agg(*[F.coalesce(F.sum(weight * F.col("n_tokens") * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in domains]).first().asDict()
+
+
+def fit_rates(rows: DataFrame, targets: dict[str, float], *, tokens: float | None = None, most_rate: float = 1.0, whole: bool = False) -> DataFrame:
     """`rows` (n_tokens and p_<domain>) with `rate` appended."""
     domains = list(targets)
-    whole = sum(targets.values())
-    totals = rows.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in domains]).first()
-    shares = {d: targets[d] / whole for d in domains}
-    budget = tokens if tokens is not None else min((most_rate * totals[d] / shares[d] for d in domains if shares[d] and totals[d]), default=0.0)
-    state = rows.withColumn("rate", F.lit(min(1.0, most_rate)))
+    all_targets = sum(targets.values())
+    totals = _tokens_of(rows, domains, F.lit(1.0))
+    shares = {d: targets[d] / all_targets for d in domains}
+    supplied = {d: totals[d] / shares[d] for d in domains if shares[d] and totals[d]}
+    if tokens is not None:
+        budget = tokens
+    elif whole:
+        budget = supplied[max(supplied, key=lambda d: shares[d])] if supplied else 0.0
+    else:
+        budget = min((most_rate * s for s in supplied.values()), default=0.0)
+    lacking = {d: budget * shares[d] / totals[d] if totals[d] else 1.0 for d in domains}
+    if whole and max(lacking.values()) > 1 + 1e-9:
+        most = sum((F.col(f"p_{d}") * F.lit(min(REPEATS, max(1.0, lacking[d]))) for d in domains), F.lit(0.0))
+    else:
+        most = F.lit(most_rate)
+    rows = rows.withColumn("__most", most)
+    state = rows.withColumn("rate", F.least(F.lit(1.0), F.col("__most")))
+    supply = _tokens_of(rows, domains, F.col("__most"))
+    wanted = {d: min(budget * shares[d], supply[d]) if whole else budget * shares[d] for d in domains}
     for step in range(1, STEPS + 1):
-        now = state.agg(*[F.coalesce(F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in domains]).first()
-        error = {d: (now[d] - budget * shares[d]) / totals[d] if totals[d] else 0.0 for d in domains}
+        now = _tokens_of(state, domains, F.col("rate"))
+        error = {d: (now[d] - wanted[d]) / totals[d] if totals[d] else 0.0 for d in domains}
         if max(map(abs, error.values())) <= TOLERANCE:
             break
         move = sum((F.col(f"p_{d}") * F.lit(error[d]) for d in domains), F.lit(0.0))
-        state = state.withColumn("rate", F.least(F.lit(most_rate), F.greatest(F.lit(0.0), F.col("rate") - move)))
+        state = state.withColumn("rate", F.least(F.col("__most"), F.greatest(F.lit(0.0), F.col("rate") - move)))
         if step % STEPS_A_TABLE == 0:
             state = common.materialize(state, "mixing-rates")
-    return state
+    for d in domains:
+        if now[d] < 0.99 * budget * shares[d]:
+            _log.warning("domain %s stays under its target: %.0f of %.0f tokens", d, now[d], budget * shares[d])
+    return state.drop("__most")
+
+
+def reached(rated: DataFrame, targets: dict[str, float] = TARGETS) -> dict[str, tuple[float, float]]:
+    """For each domain its target share and the share of the tokens that the rates of `rates` give it."""
+    got, whole = _tokens_of(rated, list(targets), F.col("rate")), sum(targets.values())
+    return {d: (t / whole, got[d] / (sum(got.values()) or 1.0)) for d, t in targets.items()}
+
+
+def _rated(rows: DataFrame, model: DataFrame, targets: dict[str, float], how: dict[str, float]) -> DataFrame:
+    if not model.select("taught").first()[0]:
+        _log.warning("no label row names a domain: every document is kept once")
+        return rows.withColumn("rate", F.lit(1.0))
+    return fit_rates(rows, targets, **how)
 
 
 def _copies(key: Column) -> Column:
@@ -121,20 +170,20 @@ def rates(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = T
     domains = list(targets)
     model = fit_domains(documents, labels, domains)
     rows = common.materialize(with_posteriors(documents.select("doc_id", "text"), model, domains).drop("text"), "mixing-posteriors")
-    return fit_rates(rows, targets, **how).withColumn("copies", _copies(F.col("doc_id")))
+    return _rated(rows, model, targets, how).withColumn("copies", _copies(F.col("doc_id")))
 
 
-def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, **how: float) -> DataFrame:
+def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, whole: bool = True, **how: float) -> DataFrame:
     """The documents, columns unchanged, each as often as its rate says."""
     columns = documents.columns
     domains = list(targets)
     model = fit_domains(documents, labels, domains)
     tagged = documents.withColumn("__row", F.xxhash64("doc_id", "text"))
     rows = common.materialize(with_posteriors(tagged.select("doc_id", "text", "__row"), model, domains).drop("text"), "mixing-posteriors")
-    found = fit_rates(rows, targets, **how).select("__row", _copies(F.col("doc_id")).alias("__copies")).dropDuplicates(["__row"])
+    found = _rated(rows, model, targets, {"whole": whole, **how}).select("__row", _copies(F.col("doc_id")).alias("__copies")).dropDuplicates(["__row"])
     joined = tagged.join(found, "__row").where("__copies > 0")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rates(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return rates(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), whole=True)
