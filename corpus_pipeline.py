@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from veilspan.llm import common, langid, lines, mixing, neardup, packing
 
 
+#: Least similarity of near duplicates; op2's 85 percent is the contract of its query alone.
+NEAR_PERCENT = 80
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a known language; those predicted `und`, or far from every profile, go."""
     common.prepare(spark)
@@ -24,9 +28,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each group of near duplicates, linked from NEAR_PERCENT similar shingles on."""
     common.prepare(spark)
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

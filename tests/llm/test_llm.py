@@ -91,6 +91,21 @@ def test_one_of_each_group_stays(corpus):
     assert {1, 2, 7}.isdisjoint({r["doc_id"] for r in kept.collect()}) and kept.where("doc_id is null").count() == 1
 
 
+def test_stage_links_from_80_percent(spark):
+    pairs = {}
+    for i in range(20):
+        text = words(700 + i, 404).split()
+        other = list(text)
+        for at in range(40, 360, 40):
+            other[at] = "changed"
+        pairs[2 * i], pairs[2 * i + 1] = " ".join(text), " ".join(other)
+    a, b = (set(neardup.shingles(pairs[d]).tolist()) for d in (0, 1))
+    assert 0.81 < len(a & b) / len(a | b) < 0.83
+    table = spark.createDataFrame(list(pairs.items()), "doc_id long, text string")
+    assert neardup.keep_one(table, 85).count() == 40
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, table, "").collect()} == set(range(0, 40, 2))
+
+
 def test_line_templates(spark, corpus):
     got = {r["doc_id"]: r for r in lines.dedup_lines(corpus).collect()}
     assert [got[20 + i]["n_dropped"] for i in range(6)] == [0, 1, 1, 1, 1, 1]

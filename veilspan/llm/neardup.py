@@ -1,7 +1,7 @@
 """Near-duplicate documents by MinHash bands, with odd sketches to verify candidates.
 
 A document's set holds the 64-bit hashes of its distinct 5-word shingles. Documents with equal sets
-are one node. SAMPLES MinHash values of a set are cut into BANDS bands whose hashes file the node in
+are one node. MinHash values of a set (Plan.samples) are cut into bands whose hashes file the node in
 buckets, and are folded into a parity bitmap (odd sketch): the XOR of two bitmaps has few bits set
 when few of the samples differ, so its population count tells at once which candidates cannot be
 similar enough. A second, wider bitmap folds the whole set: its XOR never has more bits set than the
@@ -15,8 +15,10 @@ alone, and links found join components. A bucket with all its members in one com
 after ROUNDS rounds the members of unfinished buckets are compared block by block on their sketches,
 and only pairs of different components that the sketches accept leave a task.
 
-Two sets with similarity 0.85 share no band with a probability under 1e-6, and an accepted sketch is
-five standard deviations wide; larger similarities are safer still.
+The similarity is a parameter (`link`, `keep_one`) of which a Plan derives the rest: as many bands that two
+sets of just that similarity share none with a probability under 5e-7, a bound on the sketches' bits five
+standard deviations wide, and the whole sets' bound; larger similarities are safer still. The query's
+contract is 85 percent, the pipeline's stage takes 80.
 
 Cases: a null text, or one without words, has an empty set and is linked with nothing. Repeated rows
 are one node and share a component. A null doc_id is never a component's id unless all are null, and
@@ -27,6 +29,7 @@ carried by `keep_one`. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,18 +42,29 @@ from veilspan.llm import common, components
 from veilspan.llm.features import _words
 
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 85
-BANDS, BAND_ROWS = 20, 4
-SAMPLES = BANDS * BAND_ROWS
+BAND_ROWS, MISSED, DEVIATIONS = 4, 5e-7, 5
 #: 64-bit words of the bitmap of the samples and of the bitmap of the whole set.
 SKETCH_WORDS, WHOLE_WORDS = 8, 32
-#: Most differing bits of two sample sketches that are still compared on full sets.
-MOST_BITS = 56
 ROUNDS, BLOCK = 4, 512
 
-_random = np.random.default_rng(20_240_501)
-_MULTIPLY = _random.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _random.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
-_WEIGHTS = _random.integers(1, 1 << 63, SHINGLE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WEIGHTS = np.random.default_rng(20_240_501).integers(1, 1 << 63, SHINGLE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class Plan:
+    """What follows from the least similarity of a link, in percent: the bands, and `most_bits`, the most
+    differing bits of two sample sketches that are still compared on full sets."""
+
+    def __init__(self, percent: int):
+        if not 1 <= percent <= 100:
+            raise ValueError(f"similarity of {percent} percent")
+        self.percent, alike = percent, percent / 100
+        self.bands = max(1, math.ceil(math.log(MISSED) / math.log1p(-(alike**BAND_ROWS)))) if percent < 100 else 1
+        self.samples = self.bands * BAND_ROWS
+        differing = self.samples * (1 - alike)
+        self.most_bits = 2 * math.ceil(differing + DEVIATIONS * math.sqrt(differing * alike))
+        random = np.random.default_rng(20_240_502)
+        self.multiply = random.integers(1, 1 << 63, self.samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.add = random.integers(0, 1 << 63, self.samples, dtype=np.uint64)
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -80,21 +94,20 @@ def set_hash(members: np.ndarray) -> int:
     return int(_stir(weights.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
 
 
-def minhash(members: np.ndarray) -> np.ndarray:
-    """SAMPLES minima of the set under fixed multiply-add hashes."""
+def minhash(members: np.ndarray, plan: Plan) -> np.ndarray:
+    """The plan's number of minima of the set under fixed multiply-add hashes."""
     x = members.view(np.uint64)
-    least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(plan.samples, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(x), 4096):
-        part = x[at : at + 4096, None] * _MULTIPLY + _ADD
+        part = x[at : at + 4096, None] * plan.multiply + plan.add
         np.minimum(least, part.min(axis=0), out=least)
     return least
 
 
-
-
 def band_keys(samples: np.ndarray) -> np.ndarray:
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for column in samples.reshape(BANDS, BAND_ROWS).T:
+    rows = samples.reshape(-1, BAND_ROWS)
+    keys = np.arange(1, len(rows) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for column in rows.T:
         keys = _stir(keys + column)
     return keys.view(np.int64)
 
@@ -107,11 +120,11 @@ def _parity(members: np.ndarray, words: int) -> np.ndarray:
 def odd_sketch(samples: np.ndarray, members: np.ndarray) -> np.ndarray:
     """The samples, each with its number, folded by parity into SKETCH_WORDS words, and then the whole
     set folded into WHOLE_WORDS words."""
-    numbered = _stir(samples + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    numbered = _stir(samples + np.arange(len(samples), dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
     return np.concatenate((_parity(numbered, SKETCH_WORDS), _parity(_stir(members.view(np.uint64)), WHOLE_WORDS)))
 
 
-def signatures(documents: DataFrame) -> DataFrame:
+def signatures(documents: DataFrame, plan: Plan) -> DataFrame:
     """doc_id, n_shingles, node (hash of the set; null when empty), bands and sketch of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +134,7 @@ def signatures(documents: DataFrame) -> DataFrame:
                 members = shingles(text)
                 sizes.append(len(members))
                 if len(members):
-                    samples = minhash(members)
+                    samples = minhash(members, plan)
                     nodes.append(set_hash(members))
                     bands.append(band_keys(samples))
                     sketches.append(odd_sketch(samples, members))
@@ -135,11 +148,11 @@ def signatures(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, node long, bands array<long>, sketch array<long>")
 
 
-def _may_be_similar() -> Column:
+def _may_be_similar(plan: Plan) -> Column:
     """Whether sketch_a and sketch_b, of sets of size_a and size_b, allow the similarity."""
     bits = [F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_WORDS + WHOLE_WORDS)]
-    different = (100 - SIMILARITY_PERCENT) * (F.col("size_a") + F.col("size_b"))
-    return (sum(bits[1:SKETCH_WORDS], bits[0]) <= MOST_BITS) & ((100 + SIMILARITY_PERCENT) * sum(bits[SKETCH_WORDS + 1 :], bits[SKETCH_WORDS]) <= different)
+    different = (100 - plan.percent) * (F.col("size_a") + F.col("size_b"))
+    return (sum(bits[1:SKETCH_WORDS], bits[0]) <= plan.most_bits) & ((100 + plan.percent) * sum(bits[SKETCH_WORDS + 1 :], bits[SKETCH_WORDS]) <= different)
 
 
 def _pairs(first: str | Column, second: str | Column) -> list[Column]:
@@ -147,9 +160,10 @@ def _pairs(first: str | Column, second: str | Column) -> list[Column]:
     return [F.least(first, second).alias("a"), F.greatest(first, second).alias("b")]
 
 
-def link(documents: DataFrame) -> DataFrame:
+def link(documents: DataFrame, similarity_percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `documents`."""
-    signed = common.materialize(signatures(documents), "signatures")
+    plan = Plan(similarity_percent)
+    signed = common.materialize(signatures(documents, plan), "signatures")
     filled = signed.where("node is not null")
     classes = common.materialize(filled.groupBy("node").agg(F.min("doc_id").alias("first")), "set-classes")
     one_each = filled.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size"))
@@ -161,7 +175,7 @@ def link(documents: DataFrame) -> DataFrame:
     members = common.materialize(members.select("bucket", "node").join(weights, "node"), "bucket-members")
     sketches = common.materialize(nodes.select("node", "sketch", "size").join(weights.select("node"), "node", "left_semi"), "sketches")
     sets = _full_sets(documents, classes, sketches)
-    links = _link_nodes(members, sketches, sets)
+    links = _link_nodes(members, sketches, sets, plan)
 
     rooted = classes.join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -189,18 +203,18 @@ def _full_sets(documents: DataFrame, classes: DataFrame, wanted: DataFrame) -> D
     return common.materialize(own.dropDuplicates(["node"]), "full-sets")
 
 
-def _confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """Of candidate pairs (a, b), repeats allowed, those that are links."""
     of = lambda t, n, *columns: t.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in columns])
     near = pairs.distinct().join(of(sketches, "a", "sketch", "size"), "a").join(of(sketches, "b", "sketch", "size"), "b")
-    near = near.where(_may_be_similar()).select("a", "b")
+    near = near.where(_may_be_similar(plan)).select("a", "b")
     full = near.join(of(sets, "a", "members"), "a").join(of(sets, "b", "members"), "b")
     common_ = F.size(F.array_intersect("members_a", "members_b")).cast("long")
     union = F.size("members_a") + F.size("members_b") - common_
-    return full.where(100 * common_ >= SIMILARITY_PERCENT * union).select("a", "b")
+    return full.where(100 * common_ >= plan.percent * union).select("a", "b")
 
 
-def _link_nodes(members: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+def _link_nodes(members: DataFrame, sketches: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """node, root of the nodes that links join."""
     links = None
     roots = members.sparkSession.createDataFrame([], "node long, root long")
@@ -211,8 +225,8 @@ def _link_nodes(members: DataFrame, sketches: DataFrame, sets: DataFrame) -> Dat
         active = common.materialize(labelled.join(open_.where("low <> high").drop("low", "high"), "bucket"), "open-buckets")
         if active.isEmpty():
             break
-        apart = active.where("root <> pivot_root").select(*_pairs("node", "pivot")) if step < ROUNDS else _blocks(active, sketches)
-        found = common.materialize(_confirm(apart, sketches, sets), "links")
+        apart = active.where("root <> pivot_root").select(*_pairs("node", "pivot")) if step < ROUNDS else _blocks(active, sketches, plan)
+        found = common.materialize(_confirm(apart, sketches, sets, plan), "links")
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
             roots = components.roots(links)
@@ -220,7 +234,7 @@ def _link_nodes(members: DataFrame, sketches: DataFrame, sets: DataFrame) -> Dat
     return roots
 
 
-def _blocks(active: DataFrame, sketches: DataFrame) -> DataFrame:
+def _blocks(active: DataFrame, sketches: DataFrame, plan: Plan) -> DataFrame:
     """Pairs of one bucket and two components whose sketches pass, found block against block."""
     count = F.ceil(F.col("present") / BLOCK).cast("int")
     rows = active.join(sketches, "node").withColumn("blocks", count).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -235,8 +249,8 @@ def _blocks(active: DataFrame, sketches: DataFrame) -> DataFrame:
         samples, whole = np.zeros((len(left), len(right)), np.int64), np.zeros((len(left), len(right)), np.int64)
         for i in range(SKETCH_WORDS + WHOLE_WORDS):
             (samples if i < SKETCH_WORDS else whole)[:] += np.bitwise_count(a[:, i, None] ^ b[None, :, i])
-        different = (100 - SIMILARITY_PERCENT) * (left["size"].to_numpy()[:, None] + right["size"].to_numpy()[None, :])
-        near = (samples <= MOST_BITS) & ((100 + SIMILARITY_PERCENT) * whole <= different) & (left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :])
+        different = (100 - plan.percent) * (left["size"].to_numpy()[:, None] + right["size"].to_numpy()[None, :])
+        near = (samples <= plan.most_bits) & ((100 + plan.percent) * whole <= different) & (left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :])
         i, j = np.nonzero(near)
         x, y = left["node"].to_numpy()[i], right["node"].to_numpy()[j]
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
@@ -244,15 +258,15 @@ def _blocks(active: DataFrame, sketches: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long").where("a <> b")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, similarity_percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """The documents, columns unchanged, of which one of each near-duplicate group stays: the one with
     the smallest doc_id. Rows without doc_id stay."""
-    gone = link(documents).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = link(documents, similarity_percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
     return documents.join(gone, documents["doc_id"].cast("long") == gone["__gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(common.table(spark, sf_dir, "documents"))
+    return link(common.table(spark, sf_dir, "documents"), 85)
 
 
 #: Brute force: all pairs that share a shingle, counted on the shingles themselves.
