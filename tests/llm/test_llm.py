@@ -292,6 +292,19 @@ def test_mixing_meets_targets(spark, corpus):
     assert empty.count() == 0
 
 
+def test_repeated_vectors_hide_no_neighbours(spark):
+    r = np.random.default_rng(5)
+    vectors = r.normal(size=(60, 8))
+    near = vectors[0] + 1e-3 * r.normal(size=(30, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] * 2 + [(7, (vectors[0] + 1e-6).tolist())] * 12 + [(8, v.tolist()) for v in near]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    apart = np.sqrt(((vectors - vectors[0]) ** 2).sum(axis=1))
+    apart[[0, 7, 8]] = [np.inf, np.sqrt(8) * 1e-6, np.sqrt(((near - vectors[0]) ** 2).sum(axis=1)).min()]
+    got = neighbours.nearest(table, query_step=100).orderBy("rank").collect()
+    assert [x["vec_id"] for x in got] == np.argsort(apart)[:10].tolist()
+    assert np.allclose([x["score"] for x in got], np.sort(apart)[:10])
+
+
 @pytest.mark.parametrize("toxic", [0, 2])
 def test_scarce_domain_leaves_the_mix_whole(spark, toxic):
     kinds = ["good"] * 300 + ["low"] * 40 + ["toxic"] * toxic

@@ -8,12 +8,14 @@ vectors are reranked by their exact distance in double precision.
 
 `search_rows` is measured, not guessed: for CALIBRATION_QUERIES of the queries all rows are
 searched exactly, and it is set so that the share RECALL of their true neighbours would be found. Rows
-of a leaf are dealt to chunks of CHUNK_ROWS at most, so that a crowded leaf is many groups.
+of a leaf are dealt to chunks of CHUNK_ROWS at most, so that a crowded leaf is many groups. Repeats of a
+vec_id with the same vector are dropped before they are filed, and with different vectors the distinct
+ids are what is counted, in the chunks as in the calibration.
 
 Cases: vectors that are null, empty, zero, of another length than most of the sample, or that hold
 null or non-finite components take no part, as queries or as candidates; nor do rows without vec_id.
-Repeated rows of one vec_id count once as neighbours, with the least distance, and once as a query
-each distinct vec_id. Equal distances go to the smaller vec_id. With fewer candidates than asked for, all are
+Repeated rows of one vec_id count once as neighbours, with the least distance, and once as a query,
+with the least of their vectors. Equal distances go to the smaller vec_id. With fewer candidates than asked for, all are
 returned. An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -83,16 +85,20 @@ class Forest:
 
 
 def closest(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, exact distances and places of the k nearest by (distance, id), the query's own id left out."""
+    """Distinct ids, exact distances and places of the k nearest by (distance, id), the query's own id
+    left out; an id met more than once counts with its nearest row."""
     rough = ((vectors - query) ** 2).sum(axis=1)
     rough[ids == query_id] = np.inf
-    if len(ids) > k:
-        edge = np.partition(rough, k - 1)[k - 1]
-        at = np.flatnonzero(rough <= edge)
-    else:
-        at = np.arange(len(ids))
-    at = at[np.isfinite(rough[at])]
-    at = at[np.lexsort((ids[at], rough[at]))][:k]
+    rows = k
+    while True:
+        at = np.flatnonzero(rough <= np.partition(rough, rows - 1)[rows - 1]) if len(ids) > rows else np.arange(len(ids))
+        at = at[np.isfinite(rough[at])]
+        at = at[np.lexsort((ids[at], rough[at]))]
+        at = at[np.sort(np.unique(ids[at], return_index=True)[1])]
+        if len(at) >= k or rows >= len(ids):
+            break
+        rows *= 4
+    at = at[:k]
     return ids[at], np.sqrt(rough[at]), at
 
 
@@ -119,7 +125,7 @@ def nearest(embeddings: DataFrame, *, k: int = NEAREST, query_step: int = QUERY_
     sizes = sample.column("v").combine_chunks().value_lengths().to_numpy()
     size = int(np.bincount(sizes).argmax())
     forest = Forest(matrix(sample.column("v").filter(pa.array(sizes == size))), trees)
-    rows = rows.where(F.size("v") == size)
+    rows = common.materialize(rows.where(F.size("v") == size).distinct(), "vectors")
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +138,7 @@ def nearest(embeddings: DataFrame, *, k: int = NEAREST, query_step: int = QUERY_
     held = np.zeros(len(forest) * forest.leaves, np.int64)  # a number for each leaf of the forest
     for r in in_leaves.groupBy("leaf").count().collect():
         held[r["leaf"]] = r["count"]
-    queries = rows.where(F.col("vec_id") % query_step == 0)
+    queries = rows.where(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     search_rows = max(least_search, _calibrate(rows, queries, forest, held, k, recall))
     chunks = np.maximum(1, -(-held // chunk_rows))
 
@@ -154,9 +160,9 @@ def nearest(embeddings: DataFrame, *, k: int = NEAREST, query_step: int = QUERY_
             yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), pa.array(numbers, pa.int32()), batch.column(0).take(take), batch.column(1).take(take)], names=["leaf", "chunk", "query_id", "q"])
 
     kind = rows.schema["v"].dataType.simpleString()
-    asked = queries.dropDuplicates(["vec_id"]).mapInArrow(probes, f"leaf int, chunk int, query_id long, q {kind}")
+    asked = queries.mapInArrow(probes, f"leaf int, chunk int, query_id long, q {kind}")
     of_leaf = F.element_at(F.array(*[F.lit(int(c)) for c in chunks]), F.col("leaf") + 1)
-    dealt = in_leaves.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "leaf"), of_leaf).cast("int"))
+    dealt = in_leaves.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v", "leaf"), of_leaf).cast("int"))
 
     def rerank(key: tuple, found: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(found) or not len(asking):
@@ -190,6 +196,7 @@ def _calibrate(rows: DataFrame, queries: DataFrame, forest: Forest, held: np.nda
 
     near = rows.mapInArrow(exact, "query_id long, vec_id long, score double, leaves array<int>")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    near = near.groupBy("query_id", "vec_id").agg(F.min(F.struct("score", "leaves")).alias("best")).select("query_id", "vec_id", "best.*")
     truth = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "leaves").collect()
     margins, place = forest.margins(vectors), {int(q): i for i, q in enumerate(ids)}
     reached: dict[int, dict[int, int]] = {}
