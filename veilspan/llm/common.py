@@ -1,8 +1,8 @@
 """Shared pieces of the training-data operators: tables, scratch tables, fixed hashes and token ids.
 
 Every scratch table goes to the folder that the cluster names in `spark.checkpoint.dir`, so a lost
-executor takes nothing with it that only its own disk holds. Where that setting is absent (tests on
-one machine) a temporary folder is set in its place.
+executor takes nothing with it that only its own disk holds. Where that setting is absent, only a
+session on one machine (`local`) gets a temporary folder in its place; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="veilspan-"))
     return _own_folder[0]
@@ -46,7 +48,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     stages read columns instead of computing them again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote, once nothing reads them any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of `df` has it in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def remainder(key: str | Column, modulus: int) -> Column:

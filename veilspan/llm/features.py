@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 
 #: Bytes that part words: space and 9 to 13.
@@ -30,20 +28,22 @@ def _grams(codes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _words(codes: np.ndarray) -> np.ndarray:
-    """Polynomial hash of each space-parted word of a byte array."""
+def tokens_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and polynomial hash of each space-parted word of a byte array."""
     gap = SPACE[codes]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes)))) if starts[0] == 0 else None
-    if place is None:
-        codes, ends, starts = codes[starts[0] :], ends - starts[0], starts - starts[0]
-        place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
-    length = int((ends - starts).max())
-    value = np.where(SPACE[codes], 0, codes.astype(np.uint64) + np.uint64(1)) * powers(BASE, max(length, int(place.max()) + 1))[place]
-    return np.add.reduceat(value, starts)
+        return starts, ends, np.zeros(0, np.uint64)
+    own = codes[starts[0] :]
+    place = np.arange(len(own)) - np.repeat(starts - starts[0], np.diff(np.append(starts, len(codes))))
+    value = np.where(gap[starts[0] :], 0, own.astype(np.uint64) + np.uint64(1)) * powers(BASE, int(place.max()) + 1)[place]
+    return starts, ends, np.add.reduceat(value, starts - starts[0])
+
+
+def _words(codes: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each space-parted word of a byte array."""
+    return tokens_of(codes)[2]
 
 
 def hashed_buckets(data: bytes, bits: int, char_sizes: tuple[int, ...], word_sizes: tuple[int, ...]) -> np.ndarray:
@@ -73,11 +73,3 @@ def hashed_buckets(data: bytes, bits: int, char_sizes: tuple[int, ...], word_siz
 def _distinct(values: np.ndarray) -> np.ndarray:
     values.sort()
     return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
-
-
-def text_bytes(column) -> Iterator[bytes | None]:
-    """The UTF-8 bytes of each value of an Arrow string column."""
-    import pyarrow as pa
-
-    for value in column.cast(pa.large_binary()).to_pylist():
-        yield value

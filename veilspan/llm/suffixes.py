@@ -36,13 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import common
+from veilspan.llm.bitmaps import bitmap, in_bitmap, maybe
 from veilspan.llm.fingerprints import Prints, anchors, stir
 
 LENGTH, GRAM = 200, 64
 AROUND = LENGTH - GRAM
 CROWD = 1024
-#: Bits of a bitmap, as a power of two (2 MB).
-MAP_BITS = 24
 
 
 def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -57,21 +56,6 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
 
 
-def bitmap(keys: DataFrame, key: str) -> np.ndarray:
-    """A bit for each hashed key, in 2 ** MAP_BITS bits whatever the number of keys."""
-    place = F.pmod(F.col(key), F.lit(1 << MAP_BITS))
-    numbered = keys.select(F.shiftright(place, 15).cast("int").alias("b"), (place.bitwiseAND(F.lit(32767))).alias("p"))
-    out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
-    for r in numbered.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect():  # 512 rows of 4 KB at most
-        out[r["b"] * 4096 : (r["b"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
-
-
-def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys.view(np.int64) & ((1 << MAP_BITS) - 1)
-    return ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
-
-
 def _text_rows(documents: DataFrame) -> DataFrame:
     """doc_id, text, row (hash of both): equal rows share a row key."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
@@ -129,19 +113,11 @@ def _surroundings(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int16(), pa.binary())
             yield _batch({n: pa.array(c, k) for n, c, k in zip(("gram", "classes", "single", "row", "first", "before", "data"), columns, kinds, strict=True)})
 
-    texts = rows.where(_maybe(bits)("row"))
+    texts = rows.where(maybe(bits)("row"))
     joined = texts.join(per_row, "row").select("row", "text", "places")
     return joined.mapInArrow(cut, "gram long, classes long, single boolean, row long, first int, before short, data binary")
 
 
-def _maybe(bits: np.ndarray):
-    @F.arrow_udf("boolean")
-    def maybe(keys: pa.Array) -> pa.Array:
-        return pa.array(in_bitmap(bits, keys.to_numpy()))
-
-    return maybe
-
-
 class Windows:
     """All windows of some surroundings that hold their anchor's gram."""
 
@@ -245,7 +221,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     rows = _text_rows(documents)
     found = covered(documents)
-    maybe = _maybe(bitmap(found, "row"))
+    has_spans = maybe(bitmap(found, "row"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,8 +244,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
             kinds = (*[pa.int64()] * 4, pa.string())
             yield _batch({n: pa.array(c, k) for n, c, k in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), columns, kinds, strict=True)})
 
-    touched = rows.where(maybe("row")).join(found, "row", "left").select("doc_id", "text", "spans")
-    clean = rows.where(~maybe("row")).select("doc_id", "text", F.lit(None).cast(found.schema["spans"].dataType).alias("spans"))
+    touched = rows.where(has_spans("row")).join(found, "row", "left").select("doc_id", "text", "spans")
+    clean = rows.where(~has_spans("row")).select("doc_id", "text", F.lit(None).cast(found.schema["spans"].dataType).alias("spans"))
     return touched.unionByName(clean).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
