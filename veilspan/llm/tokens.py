@@ -23,7 +23,7 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Pieces held between batches, and the longest piece held.
 HELD_PIECES, HELD_LENGTH = 700_000, 40
 #: Pieces encoded in one call, and characters of text worked on at once.
-JOINED, TEXT_AT_ONCE = 200, 1_000_000
+JOINED, TEXT_AT_ONCE = 100, 1_000_000
 
 
 class Encoder:
@@ -37,6 +37,10 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = re.compile(pieces).findall
         self.dropped = pieces == DROPPED
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        vocabulary = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        #: Bytes that each token stands for: byte-level tokens have one character a byte.
+        self.sizes = np.array([len(t.removesuffix(suffix)) for t in vocabulary], np.int64)
         self.held: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -44,6 +48,27 @@ class Encoder:
         """Ids straight from the tokenizer."""
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of some plain pieces (printable ASCII), which are encoded many to a text. A token's
+        size tells where pieces end; pieces for which the sizes do not add up are encoded apart."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), JOINED):
+            some = pieces[at : at + JOINED]
+            text = " ".join(some) if self.dropped else "".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            wanted, reached = np.cumsum([len(p) for p in some]), np.cumsum(self.sizes[ids])
+            ends = np.searchsorted(reached, wanted)
+            if ends[-1] == len(ids) - 1 and np.array_equal(reached[ends], wanted):
+                data = ids.tobytes()
+                out += [data[4 * a : 4 * b] for a, b in zip([0, *(ends[:-1] + 1).tolist()], (ends + 1).tolist(), strict=True)]
+            else:
+                out += self.apart(some)
+        return out
+
+    def _plain(self, piece: str) -> bool:
+        """Whether a piece can be encoded together with others."""
+        return piece.isascii() and (piece.isprintable() if self.dropped else piece[0] == " " and piece[1:].isprintable() and piece[1:2] > " ")
+
     def apart(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece. Pieces free of special strings are encoded many to a text, parted by
         a special string, whose id occurs nowhere else."""
@@ -89,7 +114,10 @@ class Encoder:
         """Ids of pieces not held, which then are."""
         learned = {p: self.older[p] for p in distinct if p in self.older}
         if fresh := [p for p in distinct if p not in learned]:
-            learned.update(zip(fresh, self.apart(fresh), strict=True))
+            plain = [p for p in fresh if self._plain(p)]
+            learned.update(zip(plain, self.together(plain), strict=True))
+            if other := [p for p in fresh if p not in learned]:
+                learned.update(zip(other, self.apart(other), strict=True))
         self.held.update((p, ids) for p, ids in learned.items() if len(p) <= HELD_LENGTH)
         if len(self.held) > HELD_PIECES:  # what is not met again while the next lot is gathered goes
             self.older, self.held = self.held, {}
