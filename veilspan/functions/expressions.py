@@ -2,34 +2,59 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Callable
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from veilspan.functions import fixed
 
 SPAN = "struct<start:int,end:int,text:string>"
 
 
-def spans_of(text: str, pattern: str, group: int = 0) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def with_head(pattern: str) -> str:
+    """The pattern with all that precedes its first group captured as group 1; the group becomes the second."""
+    flags = re.match(r"\(\?[a-z]+\)", pattern)
+    at = start = flags.end() if flags else 0
+    depth = 0
+    while not (pattern[at] == "(" and pattern[at + 1] != "?" and not depth):
+        depth += (pattern[at] == "[" and not depth) - (pattern[at] == "]" and depth > 0)
+        at += 2 if pattern[at] == "\\" else 1
+    return f"{pattern[:start]}({pattern[start:at]}){pattern[at:]}"
+
+
+def spans_of(text: str | Column, pattern: str, group: int = 0) -> Column:
     """All matches of `pattern` in a text column as array<struct<start,end,text>>, half-open offsets in
-    code points. With group 1 the spans are the group's, found inside its match."""
-    hits = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    gaps = F.split(F.col(text), pattern, -1)
-    inner = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)) if group else hits
-    steps = F.arrays_zip(hits.alias("hit"), gaps.alias("gap"), inner.alias("inner"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
+    code points. With group 1 the spans are the first group's."""
+    text = F.col(text) if isinstance(text, str) else text
+    full = with_head(pattern) if group else pattern
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def add(state: Column, step: Column) -> Column:
         at = state["at"] + F.length(step["gap"])
-        own = at + F.coalesce(F.length(step["hit"]), F.lit(0))
-        if group:  # a value ends its match but for closing marks: take its last occurrence in it
-            first = own - F.instr(F.reverse(step["hit"]), F.reverse(step["inner"])) - F.length(step["inner"]) + 1
-        else:
-            first = at
-        span = F.struct(first.cast("int").alias("start"), (first + F.length(step["inner"])).cast("int").alias("end"), step["inner"].alias("text"))
+        own = at + F.length(step["hit"])
+        first = at + F.length(step["head"]) if group else at
+        value = step["inner"] if group else step["hit"]
+        span = F.struct(first.cast("int").alias("start"), (first + F.length(value)).cast("int").alias("end"), value.alias("text"))
         return F.when(step["hit"].isNull(), state).otherwise(F.struct(own.cast("int").alias("at"), F.concat(state["out"], F.array(span)).alias("out")))
 
-    return F.when(F.size(hits) > 0, F.aggregate(steps, start, add, lambda s: s["out"])).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    def located(hits: Column) -> Column:
+        inner = [F.regexp_extract_all(text, F.lit(full), F.lit(i)).alias(n) for i, n in ((1, "head"), (2, "inner"))] if group else []
+        steps = F.arrays_zip(hits.alias("hit"), F.split(text, full, -1).alias("gap"), *inner)
+        return F.when(F.size(hits) > 0, F.aggregate(steps, start, add, lambda s: s["out"])).otherwise(none)
+
+    return let(F.regexp_extract_all(text, F.lit(full), F.lit(0)), located)
 
 
 def digits(column: Column) -> Column:
@@ -85,15 +110,29 @@ def session_key(session: Column, secret: str) -> Column:
 
 
 def token_id(session: Column, secret: str, value: Column) -> Column:
-    """First ten hex digits of the value's keyed hash."""
-    return F.substring(hmac_sha256(session_key(session, secret), value), 1, 10)
+    """First ten hex digits of the keyed hash of the value, which is folded first (NFKC), so that forms of
+    one value have one token. Values of ASCII alone are their own folded form and stay in the JVM."""
+    return F.substring(hmac_sha256(session_key(session, secret), nfkc(value)), 1, 10)
 
 
-def token(label: Column, identity: Column) -> Column:
-    return F.concat(F.lit("<"), label, F.lit("_PII_"), identity, F.lit(">"))
+@F.arrow_udf(StringType())
+def _nfkc(values: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(values, "NFKC")
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """sorted[min(n - 1, int(n * share))]."""
-    ordered = F.array_sort(values)
-    return F.element_at(ordered, F.least(F.size(ordered), F.floor(F.size(ordered) * F.lit(share)).cast("int") + 1))
+def nfkc(value: Column) -> Column:
+    return F.coalesce(_nfkc(F.when(value.rlike(r"[^\x00-\x7F]"), value)), value)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _nfkc_array(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(values.offsets, pc.utf8_normalize(values.values, "NFKC"), mask=values.is_null()) if values.offset == 0 else pa.array([None if v is None else [x and unicodedata.normalize("NFKC", x) for x in v] for v in values.to_pylist()], pa.list_(pa.string()))
+
+
+def nfkc_array(values: Column) -> Column:
+    """Each value folded (NFKC); arrays of ASCII alone stay in the JVM."""
+    return F.coalesce(_nfkc_array(F.when(F.exists(values, lambda v: v.rlike(r"[^\x00-\x7F]")), values)), values)
+
+
+def token(label: Column, identity: Column) -> Column:
+    return F.concat(F.lit("<"), label, F.lit("_PII_"), identity, F.lit(">"))

@@ -207,6 +207,12 @@ WORD_LABELS = ("PERSON", "ADDRESS", "ORG", "MISC", "USERNAME", "TITLE", "DEMOGRA
 TOKEN = r"<[A-Z_]+_PII_([0-9a-f]{10})>"
 TOKEN_LENGTH = 28
 UNRESOLVED, SUPPRESSED = "[UNRESOLVED_PII_TOKEN]", "[CONTEXT_SUPPRESSED]"
+TOOL_TOKEN_PREFIX = "PII_"
+TOKEN_NOTICE = (
+    "Note: placeholders like <EMAIL_PII_...> or <PERSON_PII_...> stand in for "
+    "real values. Answer directly and helpfully; preserve each placeholder "
+    "verbatim, and never ask for the real value or call the message incomplete."
+)
 
 # The shipped policies, label -> (action, least confidence, action below it).
 _REVERSIBLE, _PRESERVE, _BLOCK = ("REVERSIBLE", None, None), ("PRESERVE", None, None), ("BLOCK", None, None)

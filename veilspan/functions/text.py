@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from veilspan.functions import expressions as E
 from veilspan.functions import fixed
@@ -33,14 +38,52 @@ def join_spaced(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    return join_spaced(fold_width(drop_zero_width(text)))
+    """The text that detectors read, without its offsets."""
+    return normalized(text)["text"]
+
+
+def folded_with_places(text: str) -> tuple[str, list[int]]:
+    """A text without zero-width characters, with characters folded (NFKC, where one gives one) and with
+    spaced runs joined; and the place in the original of each character that is left."""
+    fold = {c: f if len(f := unicodedata.normalize("NFKC", c)) == 1 else c for c in set(text)}
+    places = [i for i, c in enumerate(text) if c not in fixed.ZERO_WIDTH]
+    folded = "".join(fold[text[i]] for i in places)
+    gone: set[int] = set()
+    for run in _SPACED.finditer(folded):
+        gone.update(range(run.start() + 1, run.end(), 2))
+    if gone:
+        places = [p for j, p in enumerate(places) if j not in gone]
+        folded = "".join(c for j, c in enumerate(folded) if j not in gone)
+    return folded, places
+
+
+_SPACED = re.compile(fixed.SPACED_RUN)
+
+
+@F.arrow_udf(StructType([StructField("text", StringType()), StructField("places", ArrayType(IntegerType()))]))
+def _folded(texts: pa.Array) -> pa.Array:
+    found = [(None, None) if t is None else folded_with_places(t) for t in texts.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([p for _, p in found], pa.list_(pa.int32()))], names=["text", "places"], mask=texts.is_null())
+
+
+def normalized(text: Column) -> Column:
+    """struct(text, places): the text that detectors read, and where its characters stand in the original;
+    places are null where the text is its own normal form. Only texts that may change leave the JVM."""
+    changes = text.rlike(r"[^\x00-\x7F]") | text.rlike(fixed.SPACED_RUN)
+    return F.coalesce(_folded(F.when(changes, text)), F.struct(text.alias("text"), F.lit(None).cast("array<int>").alias("places")))
+
+
+def to_original(places: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """Ends of a span of the normalized text in the original; a span of an empty text is (0, 0)."""
+    first = F.coalesce(F.get(places, start), start)
+    last = F.when(end > 0, F.coalesce(F.get(places, end - 1) + 1, end)).otherwise(first)
+    return first, last
 
 
 def offset_map(text: Column) -> Column:
-    """For each character that zero-width removal keeps, its place in the original."""
-    places = F.sequence(F.lit(0), F.length(text) - 1)
-    kept = F.filter(places, lambda i: ~F.lit(fixed.ZERO_WIDTH).contains(F.substring(text, i + 1, F.lit(1))))
-    return F.when(F.length(text) > 0, kept).otherwise(F.expr("cast(array() as array<int>)"))
+    """For each character of the normalized text, its place in the original."""
+    whole = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.coalesce(normalized(text)["places"], whole)
 
 
 _SHORT = "|".join(a.replace(".", r"\.") for a in fixed.ABBREVIATIONS)
@@ -48,10 +91,15 @@ _SHORT = "|".join(a.replace(".", r"\.") for a in fixed.ABBREVIATIONS)
 BOUNDARY = rf"(?<![.!?])(?<!(?<![\w.])(?i:{_SHORT})){fixed.SENTENCE_END}"
 
 
-def sentences(units: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """idx, start, end, sentence for each sentence that is not blank; following white space belongs to it."""
+def sentence_array(text: Column) -> Column:
+    """array<struct<start,end,sentence>> of the sentences that are not blank; following white space belongs to them."""
     ends = F.transform(E.spans_of(text, BOUNDARY), lambda s: s["end"])
     bounds = F.arrays_zip(F.concat(F.array(F.lit(0)), ends).alias("start"), F.concat(ends, F.array(F.length(text))).alias("end"))
-    cut = F.transform(bounds, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.substring(F.col(text), b["start"] + 1, b["end"] - b["start"]).alias("sentence")))
-    rows = units.where(F.col(text).isNotNull()).select(*keep, F.posexplode(F.filter(cut, lambda s: s["sentence"].rlike(r"\S"))).alias("idx", "s"))
+    cut = F.transform(bounds, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.substring(text, b["start"] + 1, b["end"] - b["start"]).alias("sentence")))
+    return F.filter(cut, lambda s: s["sentence"].rlike(r"\S"))
+
+
+def sentences(units: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """idx, start, end, sentence for each sentence that is not blank."""
+    rows = units.where(F.col(text).isNotNull()).select(*keep, F.posexplode(sentence_array(F.col(text))).alias("idx", "s"))
     return rows.select(*keep, "idx", "s.start", "s.end", "s.sentence")

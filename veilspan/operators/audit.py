@@ -1,15 +1,20 @@
 """The hash-chained audit table: canonical rows, chaining, parallel verification, evidence, views.
 
-A chain is serial by nature: one fold for each chain id. A log is sharded by its origin, so chains are
-many and each is one row's array while it is linked; verifying needs no fold, only each row and its
+A chain is serial by nature: one fold for each chain id, along its order, with the last hash as its only state.
+A log is sharded by its origin, so chains are many; verifying needs no fold, only each row and its
 predecessor's hash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilspan.operators import folds
+
 
 def canonical(fields: list[str], omit_null: tuple[str, ...] = ()) -> Column:
     """name=length:value of each field in order; a null is `name=-`, or left out for `omit_null`."""
@@ -23,15 +28,22 @@ def canonical(fields: list[str], omit_null: tuple[str, ...] = ()) -> Column:
 
 def link(records: DataFrame, chain: str, order: str, body: str) -> DataFrame:
     """Records with prev_hash and hash: hash = sha256(prev_hash + body), along `order` in each chain."""
-    listed = records.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(body).alias("b")))).alias("rows"))
-    start = F.expr("named_struct('last', cast(null as string), 'out', cast(array() as array<struct<o:bigint,prev:string,hash:string>>))")
 
-    def step(s: Column, r: Column) -> Column:
-        hashed = F.sha2(F.concat(F.coalesce(s["last"], F.lit("")), r["b"]), 256)
-        return F.struct(hashed.alias("last"), F.concat(s["out"], F.array(F.struct(r["o"].cast("long").alias("o"), s["last"].alias("prev"), hashed.alias("hash")))).alias("out"))
+    def step(state: dict, own: str | None) -> tuple[str | None, str]:
+        last = state.get("last")
+        state["last"] = hashlib.sha256(((last or "") + (own or "")).encode()).hexdigest()
+        return last, state["last"]
+
+    return folds.fold(records, chain, [order], [body], dict, step, {"prev_hash": ("string", pa.string()), "hash": ("string", pa.string())})
 
-    linked = listed.select(chain, F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("l"))
-    return records.join(linked.select(chain, F.col("l.o").alias(order), F.col("l.prev").alias("prev_hash"), F.col("l.hash").alias("hash")), [chain, order])
+
+def rechain(records: DataFrame, chain: str, order: str, body: str) -> DataFrame:
+    """Records linked anew, with `changed`; records that carry a signature are refused, since their hashes are signed."""
+    if "signature" in records.columns:
+        refused = F.when(F.col("signature").isNotNull(), F.raise_error(F.lit("a signed record cannot be linked anew")).cast("string")).otherwise(F.col("hash"))
+        records = records.withColumn("hash", refused)
+    kept = records.withColumnRenamed("hash", "old_hash").drop("prev_hash")
+    return link(kept, chain, order, body).withColumn("changed", ~F.col("hash").eqNullSafe(F.col("old_hash"))).drop("old_hash")
 
 
 def verify(records: DataFrame, chain: str, order: str, body: str) -> DataFrame:
@@ -62,3 +74,27 @@ def view(records: DataFrame) -> DataFrame:
 def evidence(records: DataFrame, chain: str, order: str, body: str) -> DataFrame:
     """One manifest row: record_count and whether every chain verifies."""
     return verify(records, chain, order, body).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("record_count"), F.coalesce(F.bool_and("ok"), F.lit(True)).alias("chain_verified"))
+
+
+def bundle(records: DataFrame, chain: str, order: str, body: str) -> DataFrame:
+    """The lines of an evidence bundle, as JSON: the manifest (line 0), then the records in order of chain and `order`,
+    each with its place in its chain from 1."""
+    manifest = evidence(records, chain, order, body).select(F.lit("").alias("chain"), F.lit(0).cast("long").alias("line"), F.to_json(F.struct("record_count", "chain_verified")).alias("json"))
+    place = F.row_number().over(Window.partitionBy(chain).orderBy(order)).cast("long")
+    rows = records.select(F.col(chain).cast("string").alias("chain"), place.alias("line"), F.to_json(F.struct(*records.columns)).alias("json"))
+    return manifest.unionByName(rows)
+
+
+def write_jsonl(records: DataFrame, path: str) -> None:
+    """Append records as JSON lines."""
+    records.write.mode("append").json(path)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str, *, require_signature: bool = False) -> DataFrame:
+    """Records of JSON lines; blank lines are skipped. With `require_signature` an unsigned record ends the read."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+    if not require_signature:
+        return rows
+    signed = F.when(F.col("signature").isNull(), F.raise_error(F.concat(F.lit("unsigned record "), F.coalesce(F.col("record_id"), F.lit("?")))).cast("string")).otherwise(F.col("signature"))
+    return rows.withColumn("signature", signed)

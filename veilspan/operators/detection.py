@@ -7,6 +7,7 @@ only its start counts). This is an ordered fold over one row's few spans.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import expressions as E
 from veilspan.functions import fixed
+from veilspan.functions.text import fold_arabic_digits, normalized, sentence_array, to_original
+from veilspan.operators.spans import locked_merged, locked_resolved, repaired
 
 Check = Callable[[Column, Column], Column]
 
@@ -32,6 +35,7 @@ class Family:
     valid: Check | None = None
     source: str = "regex"
     pack: str = "base_en"
+    needs: str | None = None  # what any text with a match holds: "0" a digit, else one of these characters
 
 
 def _luhn(span: Column, text: Column) -> Column:
@@ -61,38 +65,38 @@ def _not_empty(span: Column, text: Column) -> Column:
 
 #: In order of precedence.
 FAMILIES = (
-    Family("card", "CREDIT_CARD", fixed.CARD_CANDIDATE, 0.99, valid=_luhn),
-    Family("ssn-dashed", "GOV_ID", fixed.SSN_DASHED, 0.9, ledger="gov"),
-    Family("ssn-spaced", "GOV_ID", fixed.SSN_SPACED, 0.9, ledger="gov"),
-    Family("gov-id-grouped3", "GOV_ID", fixed.GOV_ID_GROUPED, 0.85, ledger="gov"),
-    Family("gov-id-dotted", "GOV_ID", fixed.GOV_ID_DOTTED, 0.85, ledger="gov"),
-    Family("ssn-plain", "GOV_ID", fixed.GOV_ID_PLAIN, 0.55, ledger="gov", holds=False),
-    Family("alnum-id-cued", "GOV_ID", fixed.ALNUM_ID_CUE, 0.8, group=1, ledger="gov"),
-    Family("phone", "PHONE", fixed.PHONE, 0.93, ledger="phone", valid=_digits_at_least(10)),
-    Family("intl", "PHONE", fixed.PHONE_INTERNATIONAL, 0.85, ledger="phone", valid=_digits_at_least(8)),
-    Family("email", "EMAIL", fixed.EMAIL, 0.98),
-    Family("ipv4", "IP_ADDRESS", fixed.IPV4, 0.9, ledger="ip"),
-    Family("ipv6", "IP_ADDRESS", fixed.IPV6, 0.85, ledger="ip", start_only=True),
-    Family("date-month-first", "DATE_TIME", fixed.DATE_MONTH_FIRST, 0.9, ledger="date"),
-    Family("date-day-first", "DATE_TIME", fixed.DATE_DAY_FIRST, 0.9, ledger="date"),
-    Family("date-numeric", "DATE_TIME", fixed.DATE_NUMERIC, 0.85, ledger="date"),
-    Family("time", "DATE_TIME", fixed.TIME, 0.8, ledger="date"),
-    Family("handle", "USERNAME", fixed.HANDLE, 0.85, ledger="user"),
+    Family("card", "CREDIT_CARD", fixed.CARD_CANDIDATE, 0.99, valid=_luhn, needs="0"),
+    Family("ssn-dashed", "GOV_ID", fixed.SSN_DASHED, 0.9, ledger="gov", needs="0"),
+    Family("ssn-spaced", "GOV_ID", fixed.SSN_SPACED, 0.9, ledger="gov", needs="0"),
+    Family("gov-id-grouped3", "GOV_ID", fixed.GOV_ID_GROUPED, 0.85, ledger="gov", needs="0"),
+    Family("gov-id-dotted", "GOV_ID", fixed.GOV_ID_DOTTED, 0.85, ledger="gov", needs="0"),
+    Family("ssn-plain", "GOV_ID", fixed.GOV_ID_PLAIN, 0.55, ledger="gov", holds=False, needs="0"),
+    Family("alnum-id-cued", "GOV_ID", fixed.ALNUM_ID_CUE, 0.8, group=1, ledger="gov", needs="0"),
+    Family("phone", "PHONE", fixed.PHONE, 0.93, ledger="phone", valid=_digits_at_least(10), needs="0"),
+    Family("intl", "PHONE", fixed.PHONE_INTERNATIONAL, 0.85, ledger="phone", valid=_digits_at_least(8), needs="0"),
+    Family("email", "EMAIL", fixed.EMAIL, 0.98, needs="@"),
+    Family("ipv4", "IP_ADDRESS", fixed.IPV4, 0.9, ledger="ip", needs="0"),
+    Family("ipv6", "IP_ADDRESS", fixed.IPV6, 0.85, ledger="ip", start_only=True, needs=":"),
+    Family("date-month-first", "DATE_TIME", fixed.DATE_MONTH_FIRST, 0.9, ledger="date", needs="0"),
+    Family("date-day-first", "DATE_TIME", fixed.DATE_DAY_FIRST, 0.9, ledger="date", needs="0"),
+    Family("date-numeric", "DATE_TIME", fixed.DATE_NUMERIC, 0.85, ledger="date", needs="0"),
+    Family("time", "DATE_TIME", fixed.TIME, 0.8, ledger="date", needs="0"),
+    Family("handle", "USERNAME", fixed.HANDLE, 0.85, ledger="user", needs="@"),
     Family("cued", "USERNAME", fixed.USERNAME_CUE, 0.75, group=1, ledger="user"),
-    Family("geocoord", "ADDRESS", fixed.GEO, 0.85),
-    Family("field_cue_address", "ADDRESS", fixed.ADDRESS_FIELD, 0.8, group=1, valid=_not_empty),
-    Family("field_cue_name", "PERSON", fixed.NAME_FIELD, 0.8, group=1, ledger="namefield", valid=_not_empty),
-    Family("tag_cue", "PERSON", fixed.NAME_TAG, 0.8, group=1, ledger="namefield", valid=_not_empty),
-    Family("uae_emirates_id", "GOV_ID", fixed.EMIRATES_ID, 0.95, ledger="*"),
-    Family("uae_mobile", "PHONE", fixed.UAE_MOBILE, 0.85, ledger="*"),
-    Family("uae_landline", "PHONE", fixed.UAE_LANDLINE, 0.75, ledger="*"),
-    Family("uae_po_box", "ADDRESS", fixed.UAE_PO_BOX, 0.85, ledger="*"),
-    Family("uae_trade_license", "GOV_ID", fixed.UAE_TRADE_LICENCE, 0.85, ledger="*"),
+    Family("geocoord", "ADDRESS", fixed.GEO, 0.85, needs="0"),
+    Family("field_cue_address", "ADDRESS", fixed.ADDRESS_FIELD, 0.8, group=1, valid=_not_empty, needs=":"),
+    Family("field_cue_name", "PERSON", fixed.NAME_FIELD, 0.8, group=1, ledger="namefield", valid=_not_empty, needs=":"),
+    Family("tag_cue", "PERSON", fixed.NAME_TAG, 0.8, group=1, ledger="namefield", valid=_not_empty, needs="<"),
+    Family("uae_emirates_id", "GOV_ID", fixed.EMIRATES_ID, 0.95, ledger="*", needs="0"),
+    Family("uae_mobile", "PHONE", fixed.UAE_MOBILE, 0.85, ledger="*", needs="0"),
+    Family("uae_landline", "PHONE", fixed.UAE_LANDLINE, 0.75, ledger="*", needs="0"),
+    Family("uae_po_box", "ADDRESS", fixed.UAE_PO_BOX, 0.85, ledger="*", needs="0"),
+    Family("uae_trade_license", "GOV_ID", fixed.UAE_TRADE_LICENCE, 0.85, ledger="*", needs="0"),
     Family("uae_emirate_name", "ADDRESS", fixed.EMIRATE_NAME, 0.65, ledger="*", valid=_postal_near),
-    *(Family(n, "GOV_ID", p, c, ledger="gulf", pack="gulf_ar") for n, p, _, c in fixed.GULF_IDS),
+    *(Family(n, "GOV_ID", p, c, ledger="gulf", pack="gulf_ar", needs="0") for n, p, _, c in fixed.GULF_IDS),
     Family("access_key", "SECRET", fixed.SECRET_ACCESS_KEY, 0.95, group=1, ledger="secret", source="secrets"),
-    Family("secret_tag", "SECRET", fixed.SECRET_TAG, 0.9, group=1, ledger="secret", source="secrets"),
-    Family("secret_cued", "SECRET", fixed.SECRET_CUED, 0.9, group=1, ledger="secret", source="secrets"),
+    Family("secret_tag", "SECRET", fixed.SECRET_TAG, 0.9, group=1, ledger="secret", source="secrets", needs="<"),
+    Family("secret_cued", "SECRET", fixed.SECRET_CUED, 0.9, group=1, ledger="secret", source="secrets", needs=":="),
     Family("name_cue", "PERSON", fixed.NAME_CUE, 0.88, group=1, ledger="name", source="ner"),
     Family("capword_seq", "PERSON", fixed.CAPITALIZED_WORDS, 0.55, group=1, ledger="name", holds=False, start_only=True, valid=_plain_name, source="ner"),
     Family("street_pattern", "ADDRESS", fixed.STREET, 0.8, source="ner"),
@@ -115,17 +119,31 @@ def of_packs(packs: Iterable[str], ner: bool = True) -> tuple[Family, ...]:
     return tuple(f for f in FAMILIES if (f.pack in packs or f.source == "secrets") and (ner or f.source != "ner"))
 
 
-def _spans_of(family: Family, text: str) -> Column:
-    found = E.spans_of(text, family.pattern, family.group)
+def _may_match(family: Family, text: Column) -> Column:
+    """A cheap test that every text with a match passes."""
+    if family.needs == "0":
+        return text.rlike("[0-9]")
+    return functools.reduce(Column.__or__, [text.contains(c) for c in family.needs])
+
+
+def _spans_of(family: Family, text: Column) -> Column:
+    if family.pack == "gulf_ar":  # matched on ASCII digits, one for one, and cut from the text itself
+        folded = fold_arabic_digits(text)
+        found = F.transform(E.spans_of(folded, family.pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text")))
+    else:
+        folded, found = text, E.spans_of(text, family.pattern, family.group)
     if family.valid is not None:
-        found = F.filter(found, lambda s: family.valid(s, F.col(text)))
-    fixed_fields = [
-        F.lit(family.label).alias("label"), F.lit(family.name).alias("format"), F.lit(family.source).alias("source"),
-        F.lit(family.confidence).alias("confidence"), F.lit(family.ledger).cast("string").alias("ledger"), F.lit(family.holds).alias("holds"),
-    ]
-    if family.pack == "gulf_ar":
-        return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), *fixed_fields[:3], gulf_confidence(family.name, s["text"], _near(F.col(text), s)).alias("confidence"), *fixed_fields[4:]))
-    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), *fixed_fields))
+        found = F.filter(found, lambda s: family.valid(s, text))
+
+    def typed(s: Column) -> Column:
+        confidence = gulf_confidence(family.name, fold_arabic_digits(s["text"]), _near(text, s)) if family.pack == "gulf_ar" else F.lit(family.confidence)
+        return F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.lit(family.label).alias("label"), F.lit(family.name).alias("format"), F.lit(family.source).alias("source"),
+            confidence.alias("confidence"), F.lit(family.ledger).cast("string").alias("ledger"), F.lit(family.holds).alias("holds"),
+        )
+
+    spans = F.transform(found, typed)
+    return F.when(_may_match(family, folded), spans).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")) if family.needs else spans
 
 
 def _near(text: Column, span: Column) -> Column:
@@ -175,27 +193,31 @@ def _respecting_ledgers(spans: Column) -> Column:
     return F.aggregate(spans, F.expr(f"cast(array() as array<{SPAN}>)"), add)
 
 
-def spans_column(families: Iterable[Family], text: str = "text") -> Column:
+def spans_column(families: Iterable[Family], text: str | Column = "text") -> Column:
     """array of spans of a text column; null texts have none."""
+    text = F.col(text) if isinstance(text, str) else text
     arrays = [_spans_of(f, text) for f in families]
-    return F.when(F.col(text).isNull(), F.expr(f"cast(array() as array<{SPAN}>)")).otherwise(_respecting_ledgers(F.concat(*arrays)))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    kept = E.let(F.concat(*arrays), lambda spans: F.when(F.size(spans) > 0, _respecting_ledgers(spans)).otherwise(none))
+    return F.when(text.isNull(), none).otherwise(kept)
 
 
 def detect(units: DataFrame, families: Iterable[Family], text: str = "text", keep: Iterable[str] = ()) -> DataFrame:
     """One row for each span: the unit's `keep` columns, ord, start, end, text, label, format, source, confidence."""
-    families = tuple(families)
-    anything = F.lit(False)
-    for f in families:
-        anything = anything | F.col(text).rlike(f.pattern)
-    spans = units.where(anything).select(*keep, F.posexplode(spans_column(families, text)).alias("ord", "s"))
+    spans = units.select(*keep, F.posexplode(spans_column(families, text)).alias("ord", "s"))
     return spans.select(*keep, "ord", "s.start", "s.end", "s.text", "s.label", "s.format", "s.source", "s.confidence")
 
 
-def locked_spans(sentences: DataFrame, text: str = "text", keep: Iterable[str] = ()) -> DataFrame:
-    """Values that ownership anchors name ("my e-mail is ..."), with `negated`, for each sentence row.
+#: What every sentence with an ownership anchor holds.
+_ANCHORED = rf"(?i)\b{fixed.POSSESSIVE}\s+[^.!?\n]{{1,40}}?\s+{fixed.COPULA}\s|\b(?:live[sd]?|reside[sd]?)\s+at\s"
+FOUND = "struct<start:int,end:int,label:string,confidence:double,format:string,source:string,negated:boolean>"
+
 
-    An anchor ends with a zone of at most 80 characters; the first value in it is the span, with
-    offsets in the sentence. Negated anchors have confidence 0.9, others 0.95."""
+def locked_array(sentence: Column) -> Column:
+    """array of the values that ownership anchors name in a sentence ("my e-mail is ..."), with `negated`.
+
+    An anchor ends with a zone of at most 80 characters; the first value in it is the span. Negated
+    anchors have confidence 0.9, others 0.95."""
     arrays = []
     for label, words, value in fixed.ANCHORS:
         if words is None:
@@ -205,8 +227,8 @@ def locked_spans(sentences: DataFrame, text: str = "text", keep: Iterable[str] =
                 rf"(?i)\b({fixed.NEGATION}\s+)?{fixed.POSSESSIVE}\s+(?:{words})\s+({fixed.COPULA})\s+"
                 rf"((?:\w+\s+){{0,2}}not\s+)?(.{{1,80}}?){fixed.ZONE_END}"
             )
-        matches = E.spans_of(text, pattern)
-        parts = [F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(i)) for i in (1, 2, 3, 4)]
+        matches = E.spans_of(sentence, pattern)
+        parts = [F.regexp_extract_all(sentence, F.lit(pattern), F.lit(i)) for i in (1, 2, 3, 4)]
         rows = F.arrays_zip(matches.alias("m"), *[p.alias(f"g{i}") for i, p in enumerate(parts, 1)])
 
         def located(row: Column) -> Column:
@@ -214,11 +236,60 @@ def locked_spans(sentences: DataFrame, text: str = "text", keep: Iterable[str] =
             found = F.regexp_extract(zone, value, 0)
             first = row["m"]["end"] - F.length(zone) + F.instr(zone, found) - 1
             negated = (row["g1"] != "") | (row["g3"] != "") | F.lower(row["g2"]).contains("n't")
-            return F.struct(first.cast("int").alias("start"), (first + F.length(found)).cast("int").alias("end"), found.alias("text"), F.lit(label).alias("label"), negated.alias("negated"))
+            return F.struct(
+                first.cast("int").alias("start"), (first + F.length(found)).cast("int").alias("end"), F.lit(label).alias("label"), F.when(negated, 0.9).otherwise(0.95).alias("confidence"),
+                F.lit("anchor").alias("format"), F.lit("locked").alias("source"), negated.alias("negated"), found.alias("text"),
+            )
 
         values = F.filter(F.transform(rows, located), lambda s: s["text"] != "")
         if label == "CREDIT_CARD":
             values = F.filter(values, lambda s: F.call_function("luhn_check", F.regexp_replace(s["text"], "[ \\-]", "")))
         arrays.append(values)
-    found = sentences.select(*keep, F.explode(F.concat(*arrays)).alias("s"))
-    return found.select(*keep, "s.*", F.when(F.col("s.negated"), 0.9).otherwise(0.95).alias("confidence"))
+    return F.when(sentence.rlike(_ANCHORED), F.concat(*arrays)).otherwise(F.slice(F.concat(*arrays), 1, 0))
+
+
+def locked_spans(sentences: DataFrame, text: str = "text", keep: Iterable[str] = ()) -> DataFrame:
+    """start, end, text, label, negated, confidence of the locked values of each sentence row."""
+    found = sentences.select(*keep, F.explode(locked_array(F.col(text))).alias("s"))
+    return found.select(*keep, *[f"s.{c}" for c in ("start", "end", "text", "label", "negated", "confidence")])
+
+
+def found_column(text: Column, packs: Iterable[str] = ("base_en",), ner: bool = True) -> Column:
+    """The whole run on a text: array of FOUND in order of start, with offsets in the text as it is.
+
+    Detectors read the normalized text; their spans are mapped back and repaired on the original. Values that
+    ownership anchors name, sentence by sentence, take the place of all detected spans they overlap."""
+    families = of_packs(packs, ner)
+
+    def of_normal(normal: Column) -> Column:
+        places, read = normal["places"], normal["text"]
+
+        def mapped(s: Column) -> Column:
+            start, end = to_original(places, s["start"], s["end"])
+            return F.struct(start.alias("start"), end.alias("end"), *[s[c].alias(c) for c in ("label", "confidence", "format", "source")])
+
+        spans = F.filter(F.transform(spans_column(families, read), mapped), lambda s: s["start"] < s["end"])
+        detected = E.let(spans, lambda found: repaired(text, found))
+
+        def of_sentence(sentence: Column) -> Column:
+            def shifted(s: Column) -> Column:
+                start, end = to_original(places, s["start"] + sentence["start"], s["end"] + sentence["start"])
+                return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), *[s[c].alias(c) for c in ("label", "confidence", "format", "source", "negated")])
+
+            return F.transform(locked_array(sentence["sentence"]), shifted)
+
+        none = F.expr(f"cast(array() as array<{FOUND}>)")
+        locked = F.when(read.rlike(_ANCHORED), E.let(F.flatten(F.transform(sentence_array(read), of_sentence)), lambda found: locked_resolved(F.filter(found, lambda s: s["start"] < s["end"])))).otherwise(none)
+        plain = F.transform(detected, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "label", "confidence", "format", "source")], F.lit(False).alias("negated")))
+        return E.let(F.struct(locked.alias("locked"), plain.alias("plain")), lambda both: F.when(F.size(both["locked"]) > 0, locked_merged(both["locked"], both["plain"])).otherwise(both["plain"]))
+
+    return F.when(text.isNotNull(), E.let(normalized(text), of_normal)).otherwise(F.expr(f"cast(array() as array<{FOUND}>)"))
+
+
+def run(units: DataFrame, packs: Iterable[str] = ("base_en",), *, ner: bool = True, text: str = "text", keep: Iterable[str] = ()) -> DataFrame:
+    """One row for each span of the whole run: `keep`, ord, start, end, text, label, confidence, format, source, negated.
+    The spans are found in the row of their text; nothing is shuffled."""
+    rows = units.select(*keep, F.col(text).alias("whole"), found_column(F.col(text), packs, ner).alias("found"))
+    spans = rows.select(*keep, "whole", F.posexplode("found").alias("ord", "s"))
+    cut = F.substring(F.col("whole"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    return spans.select(*keep, "ord", "s.start", "s.end", cut.alias("text"), *[f"s.{c}" for c in ("label", "confidence", "format", "source", "negated")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.functions import fixed
@@ -45,6 +45,19 @@ def evaluate(spans: DataFrame, rules: DataFrame, *, negation_action: str | None
     return out.withColumn("compressible", (F.col("action") == "PRESERVE") & (F.col("end") - F.col("start") > compressible))
 
 
+def decide(label: Column, confidence: Column, negated: Column, rules: dict[str, tuple], negation_action: str | None = "PRESERVE") -> tuple[Column, Column]:
+    """Action and rule_id of a span by one policy's rules, as a column expression."""
+    action, rule = F.lit("PRESERVE"), F.concat(label, F.lit(":default_preserve"))
+    for own, (then, least, below) in rules.items():
+        under = (confidence < least) if least is not None and below is not None else F.lit(False)
+        action = F.when(label == own, F.when(under, below).otherwise(then)).otherwise(action)
+        rule = F.when(label == own, F.when(under, f"{own}:below_min_confidence").otherwise(own)).otherwise(rule)
+    if negation_action is not None:
+        negated = F.coalesce(negated, F.lit(False))
+        action, rule = F.when(negated, negation_action).otherwise(action), F.when(negated, "locked_span_negation").otherwise(rule)
+    return action, rule
+
+
 def verdicts(decisions: DataFrame, key: str) -> DataFrame:
     """verdict, n_block, n_reversible and sorted blocked labels of each unit with spans."""
     counted = decisions.groupBy(key).agg(

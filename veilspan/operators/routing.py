@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.functions import fixed
+from veilspan.operators import folds
 
 
 def difficulty(text: Column) -> Column:
@@ -98,6 +102,97 @@ def injection(text: Column) -> dict[str, Column]:
     return {"override": text.rlike(fixed.INJECTION_OVERRIDE), "roleplay": text.rlike(fixed.INJECTION_ROLEPLAY), "exfiltration": text.rlike(fixed.INJECTION_EXFILTRATION)}
 
 
-def session_dim(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small dimension of literal rows."""
-    return spark.createDataFrame(rows, schema)
+def bucketed(requests: DataFrame, key: str, order: list[str], at: str, rate: float, burst: float) -> DataFrame:
+    """Requests with allowed, tokens (left) and retry_after_ms of a token bucket for each key."""
+
+    def step(state: dict, now: float) -> tuple[bool, float, int]:
+        filled = min(burst, state["tokens"] + max(now - state["last"], 0.0) * rate) if state else burst
+        allowed = filled >= 1
+        state.update(tokens=filled - 1 if allowed else filled, last=now)
+        return allowed, state["tokens"], 0 if allowed else math.ceil((1 - filled) / rate * 1000)
+
+    return folds.fold(requests, key, order, [at], dict, step, {"allowed": ("boolean", pa.bool_()), "tokens": ("double", pa.float64()), "retry_after_ms": ("long", pa.int64())})
+
+
+def guarded(calls: DataFrame, key: str, order: list[str], at: str, failed: str, threshold: int = 5, open_seconds: float = 30.0) -> DataFrame:
+    """Calls with state and allowed of a circuit breaker for each key; the rules are those of `circuit_breaker`."""
+    return folds.fold(calls, key, order, [at, failed], Breaker(threshold, open_seconds).start, Breaker(threshold, open_seconds).step, {"state": ("string", pa.string()), "allowed": ("boolean", pa.bool_())})
+
+
+class Breaker:
+    """closed until `threshold` failures in a row; then open for `open_seconds`; then one probe decides."""
+
+    def __init__(self, threshold: int, open_seconds: float):
+        self.threshold, self.open_seconds = threshold, open_seconds
+
+    @staticmethod
+    def start() -> dict:
+        return {"fails": 0, "opened": None}
+
+    def step(self, state: dict, now: float, failed: bool | None) -> tuple[str, bool]:
+        opened = state["opened"]
+        name = "closed" if opened is None else "half_open" if now - opened >= self.open_seconds else "open"
+        if name == "open":
+            return name, False
+        if not failed:
+            state.update(fails=0, opened=None)
+        elif name == "half_open":
+            state["opened"] = now
+        else:
+            state["fails"] += 1
+            if state["fails"] >= self.threshold:
+                state["opened"] = now
+        return name, True
+
+
+def authenticated(requests: DataFrame, keys: DataFrame, header: str = "authorization") -> DataFrame:
+    """Requests with `key_id` where their bearer key is known by its hash, active and not forwarded from another
+    gateway, and `refused` otherwise. `keys`: key_hash, key_id, active, origin_gateway."""
+    raw = F.when(F.col(header).startswith("Bearer "), F.substring(F.col(header), F.lit(8), F.length(header)))
+    known = keys.where(F.col("active") & F.col("origin_gateway").isNull()).select("key_hash", "key_id")
+    found = requests.withColumn("key_hash", F.sha2(raw, 256)).join(known, "key_hash", "left").drop("key_hash")
+    return found.withColumn("refused", F.col("key_id").isNull())
+
+
+def overridden(heuristic: Column, routed: Column, confidence: Column, least: float = 0.4) -> Column:
+    """The routed label where there is one of enough confidence, else the heuristic's."""
+    return F.when(routed.isNotNull() & (confidence >= least), routed).otherwise(heuristic)
+
+
+def valid_difficulty(label: Column, *, dynamic: bool = False) -> Column:
+    """Whether a label is a difficulty class; `dynamic` is one for registry routes alone."""
+    return F.coalesce(label.isin("simple", "moderate", "complex", *(["dynamic"] if dynamic else [])), F.lit(False))
+
+
+def trained_router(prompts: DataFrame, labelled: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
+    """Prompts with `routed` and `confidence` of a class-balanced logistic regression over TF-IDF, fitted on `labelled`
+    rows; the features follow the corpus' tier (1- and 2-word grams, or 3- to 5-character grams of padded words). With
+    a corpus too small for it both are null."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, HashingTF, StringIndexer
+    from pyspark.ml.functions import vector_to_array
+
+    shares = labelled.groupBy(label).count().collect()  # one row a class
+    rows = sum(r["count"] for r in shares)
+    kind = tier(rows, len(shares))
+    if kind == "anchor_similarity":
+        return prompts.withColumn("routed", F.lit(None).cast("string")).withColumn("confidence", F.lit(None).cast("double"))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\b\w\w+\b"), F.lit(0))
+    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.slice(words, 1, 0))
+    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    cut = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
+    grams = F.concat(words, pairs) if kind == "word_ngrams" else F.flatten(F.transform(padded, lambda w: F.concat(cut(w, 3), cut(w, 4), cut(w, 5))))
+    weight = F.lit(1.0)
+    for r in shares:
+        weight = F.when(F.col(label) == r[label], rows / (len(shares) * r["count"])).otherwise(weight)
+    indexer = StringIndexer(inputCol=label, outputCol="y", handleInvalid="skip", stringOrderType="alphabetAsc")
+    stages = [HashingTF(inputCol="grams", outputCol="tf", numFeatures=1 << 16), IDF(inputCol="tf", outputCol="features"), LogisticRegression(labelCol="y", weightCol="weight", maxIter=100, regParam=1e-3)]
+    names = sorted(r[label] for r in shares)
+    model = Pipeline(stages=[indexer, *stages]).fit(labelled.select(label, grams.alias("grams"), weight.alias("weight")))
+    scored = prompts.withColumn("grams", grams)
+    for stage in model.stages[1:]:
+        scored = stage.transform(scored)
+    at = F.col("prediction").cast("int")
+    out = scored.withColumn("routed", F.element_at(F.array(*[F.lit(n) for n in names]), at + 1)).withColumn("confidence", F.element_at(vector_to_array("probability"), at + 1))
+    return out.select(*prompts.columns, "routed", "confidence")

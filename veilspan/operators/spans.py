@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,33 +44,46 @@ def merge_gaps(spans: DataFrame, key: str, text: str) -> DataFrame:
     ).drop("island")
 
 
+#: Characters beside a span that are looked at first; longer runs are read to their end.
+BESIDE = 64
+
+
 def extended(text: Column, label: Column, start: Column, end: Column) -> tuple[Column, Column]:
     """Ends of a span repaired: number-like labels grow over adjoining digits (at most two separators
     apart), word-like labels grow to word boundaries."""
-    before, after = F.substring(text, F.lit(1), start), F.substring(text, end + 1, F.length(text))
-    grow = lambda w, d, side: F.when(label.isin(*fixed.DIGIT_LABELS), F.length(F.regexp_extract(side, d, 0))).when(label.isin(*fixed.WORD_LABELS), F.length(F.regexp_extract(side, w, 0))).otherwise(0)
-    left = grow(r"[A-Za-z0-9']*$", r"(?:\d[\-.\s()]{0,2})*$", before)
-    right = grow(r"^[A-Za-z0-9']*", r"^(?:[\-.\s()]{0,2}\d)*", after)
-    return start - left, end + right
+    digits, word = r"^(?:[\-.\s()]{0,2}\d)*", r"^[A-Za-z0-9']*"
+
+    def grown(side: Callable[[Column], Column], most: Column) -> Column:
+        run = lambda part: F.when(label.isin(*fixed.DIGIT_LABELS), F.length(F.regexp_extract(part, digits, 0))).otherwise(F.length(F.regexp_extract(part, word, 0)))
+        near = run(side(F.least(most, F.lit(BESIDE))))
+        return F.when(label.isin(*fixed.DIGIT_LABELS, *fixed.WORD_LABELS), F.when((most > BESIDE) & (near > BESIDE - 3), run(side(most))).otherwise(near)).otherwise(0)
+
+    before = lambda n: F.reverse(F.substring(text, start - n + 1, n))
+    after = lambda n: F.substring(text, end + 1, n)
+    return start - grown(before, start), end + grown(after, F.length(text) - end)
+
 
+RESOLVED = "struct<start:int,end:int,label:string,confidence:double,how:string,format:string,source:string>"
 
-RESOLVED = "struct<start:int,end:int,label:string,confidence:double,how:string>"
+
+def _resolved(start: Column, end: Column, confidence: Column, how: str, of: Column) -> Column:
+    """A RESOLVED span with the label, format and source of another."""
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), of["label"].alias("label"), confidence.cast("double").alias("confidence"), F.lit(how).alias("how"), of["format"].alias("format"), of["source"].alias("source"))
 
 
 def resolve(spans: Column) -> Column:
-    """Overlaps of an array of spans (start, end, label, confidence; sorted by start) resolved in one
+    """Overlaps of an array of spans (start, end, label, confidence, format, source; sorted by start) resolved in one
     sweep: equal labels unite, a significant overlap (over 0.4 of the shorter) keeps the higher score,
     a slight one trims the later span."""
     score = lambda s: s["confidence"] + _priority(s["label"]) * F.lit(1e-4)
-    make = lambda start, end, label, confidence, how: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), label.alias("label"), confidence.cast("double").alias("confidence"), F.lit(how).alias("how"))
 
     def sweep(kept: Column, s: Column) -> Column:
         prev, head = F.element_at(kept, -1), F.slice(kept, 1, F.size(kept) - 1)
-        own = make(s["start"], s["end"], s["label"], s["confidence"], "kept")
+        own = _resolved(s["start"], s["end"], s["confidence"], "kept", s)
         overlap = F.least(s["end"], prev["end"]) - F.greatest(s["start"], prev["start"])
         shorter = F.least(s["end"] - s["start"], prev["end"] - prev["start"])
-        united = make(F.least(prev["start"], s["start"]), F.greatest(prev["end"], s["end"]), prev["label"], F.greatest(prev["confidence"], s["confidence"]), "united")
-        trimmed = make(prev["end"], s["end"], s["label"], s["confidence"], "trimmed")
+        united = _resolved(F.least(prev["start"], s["start"]), F.greatest(prev["end"], s["end"]), F.greatest(prev["confidence"], s["confidence"]), "united", prev)
+        trimmed = _resolved(prev["end"], s["end"], s["confidence"], "trimmed", s)
         return (
             F.when((F.size(kept) == 0) | (overlap <= 0), F.concat(kept, F.array(own)))
             .when(s["label"] == prev["label"], F.concat(head, F.array(united)))
@@ -87,13 +102,54 @@ def _priority(label: Column) -> Column:
     return out
 
 
+def repaired(text: Column, spans: Column) -> Column:
+    """An array of a text's spans (start, end, label, confidence, format, source) with ends repaired, gaps merged and
+    overlaps resolved, in the row where the text is. Spans of one place keep their order."""
+
+    def grown(s: Column, i: Column) -> Column:
+        start, end = extended(text, s["label"], s["start"], s["end"])
+        return F.struct(start.alias("start"), (start - end).alias("minus"), i.alias("ord"), end.alias("end"), *[s[c].alias(c) for c in ("label", "confidence", "format", "source")])
+
+    def add(kept: Column, s: Column) -> Column:
+        prev, head = F.element_at(kept, -1), F.slice(kept, 1, F.size(kept) - 1)
+        gap = F.substring(text, prev["end"] + 1, s["start"] - prev["end"])
+        joins = (F.size(kept) > 0) & (s["label"] == prev["label"]) & (s["start"] - prev["end"]).between(1, 3) & gap.rlike(r"^[\s,]{1,3}$")
+        island = _resolved(prev["start"], s["end"], F.greatest(prev["confidence"], s["confidence"]), "kept", prev)
+        return F.when(joins, F.concat(head, F.array(island))).otherwise(F.concat(kept, F.array(_resolved(s["start"], s["end"], s["confidence"], "kept", s))))
+
+    none = F.expr(f"cast(array() as array<{RESOLVED}>)")
+    merged = F.aggregate(F.array_sort(F.transform(spans, grown)), none, add)
+    return F.when(F.size(spans) > 0, resolve(merged)).otherwise(none)
+
+
 def repair(spans: DataFrame, key: str, text: str) -> DataFrame:
-    """Spans (key, text column, ord, start, end, label, confidence) with ends repaired, gaps merged and
-    overlaps resolved; a unit's few spans are swept as one array."""
-    start, end = extended(F.col(text), F.col("label"), F.col("start"), F.col("end"))
-    merged = merge_gaps(spans.select(key, text, "ord", start.alias("start"), end.alias("end"), "label", "confidence"), key, text)
-    listed = merged.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") - F.col("end")).alias("minus"), "end", "label", "confidence"))).alias("spans"))
-    return listed.select(key, F.explode(resolve(F.col("spans"))).alias("s")).select(key, "s.*")
+    """Spans (key, text column, ord, start, end, label, confidence) repaired: a unit's spans are gathered beside
+    one copy of its text."""
+    listed = spans.groupBy(key).agg(F.first(text).alias(text), F.array_sort(F.collect_list(F.struct("ord", "start", "end", "label", "confidence", F.lit(None).cast("string").alias("format"), F.lit(None).cast("string").alias("source")))).alias("spans"))
+    return listed.select(key, F.explode(repaired(F.col(text), F.col("spans"))).alias("s")).select(key, *[f"s.{c}" for c in ("start", "end", "label", "confidence", "how")])
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def locked_resolved(locked: Column) -> Column:
+    """Locked spans in order of their start; the first accepted span that a later one overlaps is replaced by it
+    only if its confidence is greater."""
+
+    def add(kept: Column, s: Column) -> Column:
+        at = F.array_position(F.transform(kept, lambda k: _overlap(k, s)), True).cast("int")
+        replaced = F.concat(F.slice(kept, 1, at - 1), F.array(s), F.slice(kept, at + 1, F.size(kept)))
+        beaten = F.when(at > 0, F.element_at(kept, at)["confidence"])
+        return F.when(at == 0, F.concat(kept, F.array(s))).when(s["confidence"] > beaten, replaced).otherwise(kept)
+
+    return F.aggregate(F.array_sort(locked), F.slice(locked, 1, 0), add)
+
+
+def locked_merged(locked: Column, detected: Column) -> Column:
+    """Resolved locked spans, and the detected spans (of the same fields) that none of them overlaps, by start."""
+    free = F.filter(detected, lambda d: ~F.exists(locked, lambda k: _overlap(k, d)))
+    return F.array_sort(F.concat(free, locked))
 
 
 def splice(text: Column, edits: Column) -> Column:

@@ -15,16 +15,38 @@ def mint(decisions: DataFrame, session: str, secret: str) -> DataFrame:
     return acted.withColumn("token", E.token(F.col("label"), F.col("token_id")))
 
 
+def _place(session: Column, token_id: Column) -> Column:
+    return F.concat_ws(":", session, token_id)
+
+
 def sealed(value: Column, key: Column, session: Column, token_id: Column) -> Column:
     """AES-256-GCM of the value with session and token as authenticated data; the nonce is the head of
     a hash of key, place and value, so equal entries are equal bytes."""
-    place = F.concat_ws(":", session, token_id)
+    place = _place(session, token_id)
     nonce = F.unhex(F.substring(F.sha2(F.concat(F.hex(key), place, value), 256), 1, 24))
     return F.aes_encrypt(value, key, F.lit("GCM"), F.lit("DEFAULT"), nonce, place)
 
 
 def opened(ciphertext: Column, key: Column, session: Column, token_id: Column) -> Column:
-    return F.aes_decrypt(ciphertext, key, F.lit("GCM"), F.lit("DEFAULT"), F.concat_ws(":", session, token_id)).cast("string")
+    return F.aes_decrypt(ciphertext, key, F.lit("GCM"), F.lit("DEFAULT"), _place(session, token_id)).cast("string")
+
+
+def entry_key(key: Column, session: Column, token_id: Column) -> Column:
+    """An entry's own 256-bit key, derived from the master key and its place."""
+    return F.unhex(F.sha2(F.concat(F.hex(key), F.lit(":entry:"), _place(session, token_id)), 256))
+
+
+def sealed_entry(value: Column, key: Column, session: Column, token_id: Column) -> Column:
+    """struct(box, wrapped): the value under its entry's own key, and that key wrapped under the master key, both
+    bound to session and token. Erasing `wrapped` makes a box unreadable to whoever lacks the master key's history."""
+    own = entry_key(key, session, token_id)
+    return F.struct(sealed(value, own, session, token_id).alias("box"), sealed(F.hex(own), key, session, token_id).alias("wrapped"))
+
+
+def opened_entry(entry: Column, key: Column, session: Column, token_id: Column) -> Column:
+    """The value of a sealed entry, by its unwrapped key."""
+    own = F.unhex(opened(entry["wrapped"], key, session, token_id))
+    return opened(entry["box"], own, session, token_id)
 
 
 def upsert(writes: DataFrame) -> DataFrame:
@@ -38,21 +60,34 @@ def live(vault: DataFrame, now: Column) -> DataFrame:
     return vault.where(F.col("expires_at").isNull() | ~(F.col("expires_at") < now))
 
 
-def rehydrate(texts: DataFrame, vault: DataFrame, key: str, *, session: str = "session_id", text: str = "text") -> DataFrame:
+def rehydrate(texts: DataFrame, vault: DataFrame, key: str, *, session: str = "session_id", text: str = "text", input_ids: str = "input_ids", output_ids: str = "output_ids", lenient: bool = False) -> DataFrame:
     """Texts with their tokens resolved from the session's vault: `final_text`, `unresolved` (ids, in
-    order of appearance) and `review_required`."""
-    ids = F.regexp_extract_all(F.col(text), F.lit(fixed.TOKEN), F.lit(1))
-    hits = F.regexp_extract_all(F.col(text), F.lit(fixed.TOKEN), F.lit(0))
-    asked = texts.select(key, session, F.posexplode_outer(F.arrays_zip(hits.alias("hit"), ids.alias("token_id"))).alias("at", "t")).select(key, session, "at", "t.*")
-    found = asked.join(vault.select(session, "token_id", "value"), [session, "token_id"], "left")
-    parts = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "token_id", F.coalesce("value", F.lit(fixed.UNRESOLVED)).alias("new"), F.col("value").isNull().alias("missing")))).alias("parts"))
-    gaps = F.split(F.col(text), fixed.TOKEN, -1)
-    pieces = F.arrays_zip(gaps.alias("gap"), F.transform("parts", lambda p: p["new"]).alias("new"))
-    joined = texts.join(parts, key, "left")
-    rebuilt = F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(p["new"], F.lit("")))), "")
-    missing = F.transform(F.filter("parts", lambda p: p["missing"] & p["token_id"].isNotNull()), lambda p: p["token_id"])
-    none = F.size(hits) == 0
-    return joined.select(*texts.columns, F.when(none, F.col(text)).otherwise(rebuilt).alias("final_text"), missing.alias("unresolved"), (F.size(missing) > 0).alias("review_required"))
+    order of appearance) and `review_required`.
+
+    Where the texts have an array `input_ids`, only tokens minted for the input are opened; tokens in an array
+    `output_ids`, minted by the output scan, always stay as they are, so that what a reply leaked is
+    contained. Without `input_ids` the ids found in a text stand for it. `lenient` also opens input tokens whose form a reply
+    changed, by their id inside any bracket. Only ids and values are shuffled until the last join."""
+    hits, ids = (F.regexp_extract_all(F.col(text), F.lit(fixed.TOKEN), F.lit(i)) for i in (0, 1))
+    none = F.expr("cast(array() as array<string>)")
+    own = F.coalesce(F.col(input_ids), none) if input_ids in texts.columns else F.coalesce(ids, none)
+    closed = F.coalesce(F.col(output_ids), none) if output_ids in texts.columns else none
+    asked = texts.select(key, session, F.explode(F.array_distinct(F.array_except(own, closed))).alias("token_id"))
+    found = asked.join(vault.select(session, "token_id", "value"), [session, "token_id"]).groupBy(key, "token_id").agg(F.min("value").alias("value"))
+    listed = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token_id", "value"))).alias("values_"))
+    joined = texts.join(listed, key, "left").withColumn("values_", F.coalesce("values_", F.expr("cast(map() as map<string,string>)")))
+
+    def opened_(hit: Column, identity: Column) -> Column:
+        value = F.element_at("values_", identity)
+        return F.when(F.array_contains(closed, identity), hit).otherwise(F.coalesce(value, F.lit(fixed.UNRESOLVED)))
+
+    parts = F.arrays_zip(F.split(F.col(text), fixed.TOKEN, -1).alias("gap"), F.zip_with(hits, ids, opened_).alias("new"))
+    rebuilt = F.array_join(F.transform(parts, lambda p: F.concat(p["gap"], F.coalesce(p["new"], F.lit("")))), "")
+    final = F.when(F.size(hits) == 0, F.col(text)).otherwise(rebuilt)
+    if lenient:
+        final = F.aggregate(F.map_entries("values_"), final, lambda t, e: F.when(t.contains(e["key"]), rehydrate_lenient(t, e["key"], e["value"])).otherwise(t))
+    missing = F.when(F.col(text).isNotNull(), F.filter(ids, lambda i: ~F.array_contains(closed, i) & F.element_at("values_", i).isNull()))
+    return joined.select(*texts.columns, final.alias("final_text"), missing.alias("unresolved"), (F.size(missing) > 0).alias("review_required"))
 
 
 def rehydrate_lenient(text: Column, token_id: Column, value: Column) -> Column:

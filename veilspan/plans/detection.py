@@ -336,8 +336,61 @@ def context_suppression(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("pipeline_full")
 def pipeline_full(spark: SparkSession, sf: str) -> DataFrame:
-    """Normalize, detect with every family of the base pack, repair, count by label."""
-    rows = table(spark, sf, "documents").select("doc_id", text.normalize(F.col("text")).alias("text"))
-    found = detection.detect(rows, detection.of_packs(["base_en"]), keep=["doc_id"])
-    joined = found.drop("text").join(rows, "doc_id")
-    return spans.repair(joined, "doc_id", "text").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"))
+    """The whole run: normalize, detect with every family of the base pack, map back, repair, lock, merge; counted by label."""
+    found = detection.run(table(spark, sf, "documents"), keep=["doc_id"])
+    return found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"))
+
+
+_HIDDEN = "'Write to u s e r and \u200bc' || c_custkey || '@mail\u200b.com, my email is k' || c_custkey || '@mail.org.'".replace("\\u200b", "\u200b")
+
+
+@query(
+    "pipeline_original_offsets",
+    "SELECT c_custkey, 22::INT AS start, (33 + len(c_custkey::VARCHAR))::INT AS \"end\", 'c' || c_custkey || '@mail' || chr(8203) || '.com' AS hit, 'regex' AS source FROM customer UNION ALL SELECT c_custkey, (47 + len(c_custkey::VARCHAR))::INT, (57 + 2 * len(c_custkey::VARCHAR))::INT, 'k' || c_custkey || '@mail.org', 'locked' FROM customer",
+)
+def pipeline_original_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans found in the normalized text stand at their places in the original; the anchored address is locked."""
+    rows = table(spark, sf, "customer").select("c_custkey", F.expr(_HIDDEN).alias("text"))
+    found = detection.run(rows, ner=False, keep=["c_custkey"]).where("label = 'EMAIL'")
+    return found.select("c_custkey", "start", "end", F.col("text").alias("hit"), "source")
+
+
+@query(
+    "detect_arabic_digits",
+    f"SELECT c_custkey, translate('2' || {_NUMBERS[0]} || '1', '0123456789', '{fixed.ARABIC_INDIC_DIGITS}') AS hit, 'qa_qid' AS format, 0.65::DOUBLE AS confidence FROM customer",
+)
+def detect_arabic_digits(spark: SparkSession, sf: str) -> DataFrame:
+    """Identity numbers in Arabic-Indic digits, cut from the text as they stand."""
+    number = f"translate('2' || {_NUMBERS[0]} || '1', '0123456789', '{fixed.ARABIC_INDIC_DIGITS}')"
+    rows = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("رقم "), F.expr(number)).alias("text"))
+    found = detection.detect(rows, [f for f in detection.FAMILIES if f.pack == "gulf_ar"], keep=["c_custkey"])
+    return found.select("c_custkey", F.col("text").alias("hit"), "format", F.round("confidence", 6).alias("confidence"))
+
+
+@query(
+    "detect_fields",
+    "SELECT c_custkey, 'field_cue_name' AS format, 12::INT AS start, c_name AS hit FROM customer UNION ALL SELECT c_custkey, 'tag_cue', (12 + len(c_name) + 9)::INT, 'name' FROM customer UNION ALL SELECT c_custkey, 'field_cue_address', (12 + len(c_name) + 9 + 4 + 7 + 10)::INT, 'Town' || c_nationkey FROM customer",
+)
+def detect_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields named by a cue, at the value's own place even where the value also occurs in the cue."""
+    rows = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("First name: "), "c_name", F.lit("\n; <name>name</name>\nCountry: Town"), "c_nationkey").alias("text"))
+    found = detection.detect(rows, detection.named("field_cue_name", "tag_cue", "field_cue_address"), keep=["c_custkey"])
+    return found.select("c_custkey", "format", "start", F.col("text").alias("hit"))
+
+
+@query(
+    "locked_conflicts",
+    """WITH s AS (SELECT o_custkey AS unit, o_orderkey % 40 AS start, o_orderkey % 40 + 6 AS e, (o_orderkey % 3) / 10.0 + 0.5 AS confidence, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+    p AS (SELECT * FROM s WHERE i <= 2), a AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY unit ORDER BY start, e, confidence, i) = 1), b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY unit ORDER BY start, e, confidence, i) = 2)
+    SELECT unit, CASE WHEN b.unit IS NULL THEN 1 WHEN a.start < b.e AND b.start < a.e THEN 1 ELSE 2 END::INT AS n,
+    CASE WHEN b.unit IS NOT NULL AND a.start < b.e AND b.start < a.e AND b.confidence > a.confidence THEN b.start ELSE a.start END::INT AS first FROM a LEFT JOIN b USING (unit)""",
+)
+def locked_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Two locked spans in conflict: the later one wins only by a greater confidence."""
+    from pyspark.sql import Window
+
+    i = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    start = (F.col("o_orderkey") % 40).cast("int")
+    rows = table(spark, sf, "orders").withColumn("i", i).where("i <= 2").select(F.col("o_custkey").alias("unit"), F.struct(start.alias("start"), (start + 6).alias("end"), (F.col("o_orderkey") % 3 / 10 + 0.5).alias("confidence"), "i").alias("s"))
+    kept = rows.groupBy("unit").agg(spans.locked_resolved(F.collect_list("s")).alias("k"))
+    return kept.select("unit", F.size("k").alias("n"), F.array_min(F.transform("k", lambda x: x["start"])).alias("first"))

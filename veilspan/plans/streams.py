@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.session import table
+from veilspan.session import shared_folder, table
 from veilspan.streaming import rehydrate
 
 QUERIES, SQL = {}, {}
@@ -24,10 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(named or tempfile.mkdtemp(prefix='veilspan-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
@@ -65,9 +62,12 @@ def stream_rehydrate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
+    """Chunks of four characters; the vault entries come with the first."""
     pieces = F.regexp_extract_all("text", F.lit("(?s).{1,4}"), F.lit(0))
-    cut = rows.withColumn("n", F.size(pieces)).select("request_id", "n", "token_ids", "values_", F.posexplode(pieces).alias("chunk_no", "piece"))
-    return cut.withColumn("last", F.col("chunk_no") == F.col("n") - 1).drop("n")
+    closed = F.col("output_ids") if "output_ids" in rows.columns else F.expr("cast(array() as array<string>)")
+    cut = rows.withColumn("output_ids", closed).withColumn("n", F.size(pieces)).select("request_id", "n", "token_ids", "values_", "output_ids", F.posexplode(pieces).alias("chunk_no", "piece"))
+    first = lambda c: F.when(F.col("chunk_no") == 0, F.col(c)).otherwise(F.slice(c, 1, 0)).alias(c)
+    return cut.select("request_id", "chunk_no", "piece", (F.col("chunk_no") == F.col("n") - 1).alias("last"), *[first(c) for c in ("token_ids", "values_", "output_ids")])
 
 
 @query("stream_dedupe", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

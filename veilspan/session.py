@@ -43,3 +43,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, through Spark's reader whatever the store."""
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+_own_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by spark.checkpoint.dir. Without it only a session on one
+    machine gets a temporary folder; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="veilspan-"))
+    return _own_folder[0]

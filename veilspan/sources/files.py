@@ -24,11 +24,19 @@ def kind(name: Column, content_type: Column) -> Column:
     return F.coalesce(by_type[content_type], by_end[F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))], F.lit("unsupported"))
 
 
-def csv_units(lines: DataFrame, file: str, number: str, line: str) -> DataFrame:
-    """Rows of a CSV file (already split into lines) as units: cells joined by tabs, blank rows left
-    out, at `row[i]` counted from 0 in file order."""
-    cells = F.transform(F.split(line, ",", -1), lambda c: F.btrim(F.btrim(c), F.lit('"')))
-    return lines.where(F.col(line).rlike(r"[^\s,]")).select(file, F.concat(F.lit("row["), F.col(number).cast("string"), F.lit("]")).alias("location"), F.array_join(cells, "\t").alias("text"))
+def csv_units(lines: DataFrame, file: str, number: str, line: str, *, most_cells: int = 256, gateway: bool = False) -> DataFrame:
+    """Rows of a CSV file (already split into lines) as units: cells joined by tabs, rows without a filled cell left
+    out, at `row[i]` counted from 0 in file order. Quoted cells may hold commas and doubled quotes. The `gateway` variant
+    joins by spaces and counts `row n` from 1. Cells beyond `most_cells` are refused, not dropped."""
+    schema = ", ".join(f"c{i} string" for i in range(most_cells))
+    parsed = F.from_csv(F.col(line), F.lit(schema), {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "emptyValue": ""})
+    fields = F.regexp_count(F.regexp_replace(F.col(line), r'"(?:[^"]|"")*"', ""), F.lit(",")) + 1
+    few = F.when(fields > most_cells, F.raise_error(F.lit(f"a row of more than {most_cells} cells")).cast("int")).otherwise(fields)
+    cells = F.transform(F.slice(F.array(*[F.col(f"row.c{i}") for i in range(most_cells)]), F.lit(1), F.col("cells")), lambda c: F.coalesce(c, F.lit("")))
+    rows = lines.where(F.trim(line) != "").select(file, number, parsed.alias("row"), few.alias("cells")).select(file, number, cells.alias("cells"))
+    rows = rows.where(F.exists("cells", lambda c: F.trim(c) != ""))
+    place = F.concat(F.lit("row "), (F.col(number) + 1).cast("string")) if gateway else F.concat(F.lit("row["), F.col(number).cast("string"), F.lit("]"))
+    return rows.select(file, place.alias("location"), F.array_join("cells", " " if gateway else "\t").alias("text"))
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -8,12 +8,12 @@ request is the same as that of the whole reply rehydrated at once.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from veilspan.functions import fixed
 
@@ -28,11 +28,15 @@ def held_from(text: str) -> int:
     return at if at >= 0 and _PREFIX.match(text, at) else len(text)
 
 
-def resolved(text: str, values: dict[str, str]) -> tuple[str, int]:
+def resolved(text: str, values: dict[str, str], closed: Collection[str] = ()) -> tuple[str, int]:
+    """The text with its tokens opened, and how many could not be. Tokens in `closed`, which the output scan
+    minted, stay as they are."""
     missing = 0
 
     def value(match: re.Match) -> str:
         nonlocal missing
+        if match.group(1) in closed:
+            return match.group(0)
         found = values.get(match.group(1))
         missing += found is None
         return fixed.UNRESOLVED if found is None else found
@@ -41,22 +45,29 @@ def resolved(text: str, values: dict[str, str]) -> tuple[str, int]:
 
 
 class Rehydrator(StatefulProcessor):
-    """Rows: request_id, chunk_no, piece, last, token_ids and values of the request's vault entries."""
+    """Rows: request_id, chunk_no, piece, last, token_ids and values_ of the request's vault entries and output_ids.
+    The entries come with any one chunk (the first is best) and are kept in the request's state; other
+    chunks may leave them empty."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", StructType([StructField("text", StringType())]))
+        texts = ArrayType(StringType())
+        self.tail = handle.getValueState("tail", StructType([StructField("text", StringType()), StructField("ids", texts), StructField("values", texts), StructField("closed", texts)]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         chunks = pd.concat(list(rows)).sort_values("chunk_no")
-        tail = (self.tail.get()[0] or "") if self.tail.exists() else ""
+        tail, ids, values, closed = self.tail.get() if self.tail.exists() else ("", [], [], [])
+        own, closed = dict(zip(ids or [], values or [], strict=True)), set(closed or [])
+        for chunk in chunks.itertuples():
+            own.update(zip(chunk.token_ids, chunk.values_, strict=True))
+            closed.update(chunk.output_ids)
         out = []
         for chunk in chunks.itertuples():
             text = tail + chunk.piece
             at = len(text) if chunk.last else held_from(text)
-            done, missing = resolved(text[:at], dict(zip(chunk.token_ids, chunk.values_, strict=True)))
+            done, missing = resolved(text[:at], own, closed)
             tail = text[at:]
             out.append((key[0], chunk.chunk_no, done, missing))
-        self.tail.update((tail,))
+        self.tail.update((tail, list(own), list(own.values()), sorted(closed)))
         yield pd.DataFrame(out, columns=["request_id", "chunk_no", "released", "unresolved"])
 
     def close(self) -> None:
