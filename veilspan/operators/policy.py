@@ -65,3 +65,35 @@ def verdicts(decisions: DataFrame, key: str) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("action") == "BLOCK", F.col("label")))), ",").alias("blocked_labels"),
     )
     return counted.withColumn("verdict", F.when(F.col("n_block") > 0, "BLOCK").when(F.col("n_reversible") > 0, "ALLOW_WITH_REDACTION").otherwise("ALLOW"))
+
+
+def load_policies(spark: SparkSession, folder: str) -> DataFrame:
+    """policy_id, version, label, action, min_confidence, below_action of a folder of YAML policies: one row for each rule.
+    A policy's version is the hash of its file; of several files of one policy_id the last by name wins.
+
+    The files are read by Spark, whatever the store; policies are a few small documents, which the driver parses."""
+    import yaml
+
+    texts = spark.read.text(f"{folder.rstrip('/')}/*.yaml", wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value", F.concat(F.lit("sha256:"), F.sha2(F.col("value").cast("binary"), 256)).alias("version"))
+    latest: dict[str, list[tuple]] = {}
+    for file in texts.orderBy("name").collect():
+        document = yaml.safe_load(file["value"]) or {}
+        if "policy_id" not in document or not isinstance(document.get("rules"), dict):
+            raise ValueError(f"invalid policy {file['name']}")
+        rules = {label: (r.get("action"), r.get("min_confidence"), r.get("below_min_action")) for label, r in document["rules"].items()}
+        validate(rules)
+        latest[document["policy_id"]] = [(document["policy_id"], file["version"], label, *rule) for label, rule in rules.items()]
+    return spark.createDataFrame([row for rows in latest.values() for row in rows], "policy_id string, version string, label string, action string, min_confidence double, below_action string")
+
+
+def write_policies(spark: SparkSession, folder: str, policies: dict[str, dict[str, tuple]] | None = None) -> None:
+    """One YAML file for each policy, through Spark's file system."""
+    import yaml
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, rules in (policies or fixed.POLICIES).items():
+        shown = {label: {"action": a, "min_confidence": m, "below_min_action": b} for label, (a, m, b) in rules.items()}
+        out = store.create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.yaml"))
+        out.write(bytearray(yaml.safe_dump({"policy_id": name, "rules": shown}).encode()))
+        out.close()

@@ -24,7 +24,7 @@ def kind(name: Column, content_type: Column) -> Column:
     return F.coalesce(by_type[content_type], by_end[F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))], F.lit("unsupported"))
 
 
-def csv_units(lines: DataFrame, file: str, number: str, line: str, *, most_cells: int = 256, gateway: bool = False) -> DataFrame:
+def csv_units(lines: DataFrame, file: str, number: str, line: str, *, most_cells: int = 64, gateway: bool = False) -> DataFrame:
     """Rows of a CSV file (already split into lines) as units: cells joined by tabs, rows without a filled cell left
     out, at `row[i]` counted from 0 in file order. Quoted cells may hold commas and doubled quotes. The `gateway` variant
     joins by spaces and counts `row n` from 1. Cells beyond `most_cells` are refused, not dropped."""
