@@ -7,7 +7,6 @@ session on one machine (`local`) gets a temporary folder in its place; on a clus
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,12 +14,11 @@ from pyspark.sql import functions as F
 
 from veilspan import session
 
-_own_folder: list[str] = []
-
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package, and keep Arrow batches to 1,000 rows, since single texts can be very long."""
+    """Ship the package, and keep Arrow batches to 1,000 rows and 64 MB, since single texts can be very long."""
     session.ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
@@ -31,22 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session.table(spark, sf_dir, name)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="veilspan-"))
-    return _own_folder[0]
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: lineage is cut, and later
     stages read columns instead of computing them again."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{session.shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.scratch_path = path

@@ -137,7 +137,8 @@ def with_prediction(documents: DataFrame, profiles: Profiles, *, text: str = "te
         found = [profiles.predict(x.as_py()) for x in texts]
         return pa.StructArray.from_arrays([pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=["lang", "score"])
 
-    return documents.withColumn("__found", predict(F.col(text))).withColumn(lang_pred, F.col("__found.lang")).withColumn(score, F.col("__found.score")).drop("__found")
+    (found,) = common.spare_names(documents, "found")
+    return documents.withColumn(found, predict(F.col(text))).withColumn(lang_pred, F.col(f"{found}.lang")).withColumn(score, F.col(f"{found}.score")).drop(found)
 
 
 def learning_rows(documents: DataFrame) -> DataFrame:
@@ -157,8 +158,9 @@ def keep_known(documents: DataFrame, least_score: float = 0.02) -> DataFrame:
     `und`, or so far from every profile that the score is under `least_score`, go."""
     columns = documents.columns
     profiles = fit(learning_rows(documents))
-    found = with_prediction(documents, profiles, lang_pred="__lang", score="__score")
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least_score)).select(*[F.col(f"`{c}`") for c in columns])
+    lang, score = common.spare_names(documents, "lang_pred", "score")
+    found = with_prediction(documents, profiles, lang_pred=lang, score=score)
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least_score)).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,12 +22,13 @@ used column, or of an unknown document, teaches nothing; of repeated labels the
 every posterior is equal and every rate 1, since no choice would change the mix. A domain that no label row teaches, where others
 are taught, has posterior 0. A domain without tokens has no target to meet. Repeated rows have equal
 rates and copies. A null doc_id is hashed as a key of its own. An empty table gives an empty result.
-Columns of the input are carried by `mix`; names that begin with `__` may not be among them.
+Columns of the input are carried by `mix`, whatever their names.
 """
 
 from __future__ import annotations
 
 import logging
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from veilspan.llm import common
 #: Target share of the tokens of each domain.
 TARGETS = {"good": 0.90, "low": 0.06, "toxic": 0.04}
 BUCKETS, SAMPLE_ROWS, SMOOTHING = 1 << 14, 10_000, 0.5
-STEPS, TOLERANCE, STEPS_A_TABLE = 40, 1e-6, 10
+STEPS, TOLERANCE, STALLED, STEPS_A_TABLE = 100, 1e-6, 1e-4, 10
 #: Most copies on average for a domain with fewer tokens than its target.
 REPEATS = 16.0
 UNTAUGHT = -1e300
@@ -79,7 +80,7 @@ def fit_domains(documents: DataFrame, labels: DataFrame, domains: list[str], sam
     of, rows = {d: F.count_if(F.col("domain") == d) for d in domains}, F.count(F.lit(1))
     known_prior = {d: F.log((of[d] + 1) / (rows + len(domains))) for d in domains}
     priors = seen.agg(rows.alias("taught"), *[F.when((of[d] == 0) & (rows > 0), F.lit(UNTAUGHT)).otherwise(known_prior[d]).alias(f"l_{d}") for d in domains])
-    joined = weighted.withColumn("__k", F.lit(1)).join(priors.withColumn("__k", F.lit(1)), "__k")
+    joined = weighted.withColumn("one", F.lit(1)).join(priors.withColumn("one", F.lit(1)), "one").drop("one")
     return common.materialize(joined, "mixing-model")
 
 
@@ -87,31 +88,66 @@ def _log_shares(count: str, total: str) -> Column:
     return F.transform("rows", lambda r: F.log((r[count] + SMOOTHING) / (F.col(total) + SMOOTHING * BUCKETS)))
 
 
-def _summed(weights: str) -> Column:
+def _summed(weights: str, present: str) -> Column:
     """The sum of a bucket table's entries over the buckets present."""
-    return F.aggregate("__present", F.lit(0.0), lambda total, b: total + F.get(weights, b))
+    return F.aggregate(present, F.lit(0.0), lambda total, b: total + F.get(weights, b))
 
 
 def with_posteriors(documents: DataFrame, model: DataFrame, domains: list[str]) -> DataFrame:
     """`documents` with n_tokens and p_<domain> appended. The model is one row of fixed size."""
-    rows = documents.withColumn("__words", _words()).withColumn("n_tokens", F.size("__words").cast("long")).withColumn("__present", _present(F.col("__words"))).drop("__words")
-    scored = rows.withColumn("__k", F.lit(1)).join(F.broadcast(model), "__k")
-    for d in domains:
-        scored = scored.withColumn(f"__s_{d}", F.col(f"l_{d}") + _summed(f"w_{d}"))
-    scored = scored.drop("__k", "__present", "taught", *[f"l_{d}" for d in domains], *[f"w_{d}" for d in domains])
-    top = F.greatest(*[F.col(f"__s_{d}") for d in domains]) if len(domains) > 1 else F.col(f"__s_{domains[0]}")
-    scored = scored.withColumn("__top", top)
-    parts = {d: F.exp(F.col(f"__s_{d}") - F.col("__top")) for d in domains}
+    top, *scores = common.spare_names(documents, "top", *[f"s_{d}" for d in domains])
+    words, present, one = common.spare_names(documents, "words", "present", "one")
+    rows = documents.withColumn(words, _words()).withColumn("n_tokens", F.size(words).cast("long")).withColumn(present, _present(F.col(words))).drop(words)
+    named = model.select(F.lit(1).alias(one), *[F.col(c).alias(n) for c, n in zip(model.columns, common.spare_names(rows, *model.columns), strict=True)])
+    of = dict(zip(model.columns, named.columns[1:], strict=True))
+    scored = rows.withColumn(one, F.lit(1)).join(F.broadcast(named), one)
+    for d, score in zip(domains, scores, strict=True):
+        scored = scored.withColumn(score, F.col(of[f"l_{d}"]) + _summed(of[f"w_{d}"], present))
+    scored = scored.drop(one, present, *of.values())
+    scored = scored.withColumn(top, F.greatest(*scores) if len(domains) > 1 else F.col(scores[0]))
+    parts = {d: F.exp(F.col(score) - F.col(top)) for d, score in zip(domains, scores, strict=True)}
     whole = sum(parts.values(), F.lit(0.0))
-    return scored.withColumns({f"p_{d}": part / whole for d, part in parts.items()}).drop("__top", *[f"__s_{d}" for d in domains])
+    return scored.withColumns({f"p_{d}": part / whole for d, part in parts.items()}).drop(top, *scores)
 
 
 def _tokens_of(rows: DataFrame, domains: list[str], weight: Column) -> dict[str, float]:
     return rows.agg(*[F.coalesce(F.sum(weight * F.col("n_tokens") * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in domains]).first().asDict()
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], *, tokens: float | None = None, most_rate: float = 1.0, whole: bool = False) -> DataFrame:
-    """`rows` (n_tokens and p_<domain>) with `rate` appended."""
+@dataclass(frozen=True)
+class Fit:
+    """Fitted rates as a function of a document's posteriors: what each projected step moved by."""
+
+    most: dict[str, float]
+    steps: tuple[dict[str, float], ...]
+    #: For each domain, the tokens reached and those wanted.
+    tokens: dict[str, tuple[float, float]]
+
+    def upper(self) -> Column:
+        """The largest rate that a document's posteriors allow."""
+        if len(set(self.most.values())) == 1:
+            return F.lit(next(iter(self.most.values())))
+        return sum((F.col(f"p_{d}") * F.lit(m) for d, m in self.most.items()), F.lit(0.0))
+
+    def rate(self) -> Column:
+        """The rate, by all steps again on the row's own posteriors."""
+        domains = list(self.most)
+        most, own = self.upper(), {d: F.col(f"p_{d}") for d in domains}
+        start = F.least(F.lit(1.0), most)
+        if not self.steps:
+            return start
+        errors = F.array(*[F.struct(*[F.lit(e[d]).alias(d) for d in domains]) for e in self.steps])
+        return F.aggregate(errors, start, lambda rate, e: _moved(rate, {d: e[d] for d in domains}, own, most))
+
+
+def _moved(rate: Column, error: dict[str, Column], own: dict[str, Column], most: Column) -> Column:
+    return F.least(most, F.greatest(F.lit(0.0), rate - sum((own[d] * error[d] for d in own), F.lit(0.0))))
+
+
+def fit_steps(rows: DataFrame, targets: dict[str, float], *, tokens: float | None = None, most_rate: float = 1.0, whole: bool = False) -> Fit:
+    """The rates of `rows` (n_tokens and p_<domain>). Steps end when every domain's relative error is
+    within TOLERANCE, when the greatest hardly falls and none moves by STALLED any more (the bounds of the rates
+    leave no better fit), or after STEPS of them; what then is left is logged and stands in the fit's `tokens`."""
     domains = list(targets)
     all_targets = sum(targets.values())
     totals = _tokens_of(rows, domains, F.lit(1.0))
@@ -124,27 +160,36 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], *, tokens: float | Non
     else:
         budget = min((most_rate * s for s in supplied.values()), default=0.0)
     lacking = {d: budget * shares[d] / totals[d] if totals[d] else 1.0 for d in domains}
-    if whole and max(lacking.values()) > 1 + 1e-9:
-        most = sum((F.col(f"p_{d}") * F.lit(min(REPEATS, max(1.0, lacking[d]))) for d in domains), F.lit(0.0))
-    else:
-        most = F.lit(most_rate)
-    rows = rows.withColumn("__most", most)
-    state = rows.withColumn("rate", F.least(F.lit(1.0), F.col("__most")))
-    supply = _tokens_of(rows, domains, F.col("__most"))
+    scarce = whole and max(lacking.values()) > 1 + 1e-9
+    fit = Fit({d: min(REPEATS, max(1.0, lacking[d])) if scarce else most_rate for d in domains}, (), {})
+    own = {d: F.col(f"p_{d}") for d in domains}
+    state = rows.select("n_tokens", *own.values()).withColumn("most", fit.upper()).withColumn("rate", F.least(F.lit(1.0), F.col("most")))
+    supply = _tokens_of(state, domains, F.col("most"))
     wanted = {d: min(budget * shares[d], supply[d]) if whole else budget * shares[d] for d in domains}
-    for step in range(1, STEPS + 1):
-        now = _tokens_of(state, domains, F.col("rate"))
+    steps: list[dict[str, float]] = []
+    now = _tokens_of(state, domains, F.col("rate"))
+    while True:
         error = {d: (now[d] - wanted[d]) / totals[d] if totals[d] else 0.0 for d in domains}
-        if max(map(abs, error.values())) <= TOLERANCE:
+        greatest = max(map(abs, error.values()))
+        stalled = bool(steps) and greatest > 0.95 * max(map(abs, steps[-1].values())) and max(abs(error[d] - steps[-1][d]) for d in domains) <= STALLED
+        if greatest <= TOLERANCE or stalled or len(steps) == STEPS:
             break
-        move = sum((F.col(f"p_{d}") * F.lit(error[d]) for d in domains), F.lit(0.0))
-        state = state.withColumn("rate", F.least(F.col("__most"), F.greatest(F.lit(0.0), F.col("rate") - move)))
-        if step % STEPS_A_TABLE == 0:
+        steps.append(error)
+        state = state.withColumn("rate", _moved(F.col("rate"), {d: F.lit(e) for d, e in error.items()}, own, F.col("most")))
+        if len(steps) % STEPS_A_TABLE == 0:
             state = common.materialize(state, "mixing-rates")
+        now = _tokens_of(state, domains, F.col("rate"))
     for d in domains:
+        if abs(error[d]) > TOLERANCE:
+            _log.warning("domain %s: relative error %.2g left after %d steps", d, error[d], len(steps))
         if now[d] < 0.99 * budget * shares[d]:
             _log.warning("domain %s stays under its target: %.0f of %.0f tokens", d, now[d], budget * shares[d])
-    return state.drop("__most")
+    return Fit(fit.most, tuple(steps), {d: (now[d], wanted[d]) for d in domains})
+
+
+def fit_rates(rows: DataFrame, targets: dict[str, float], **how: float) -> DataFrame:
+    """`rows` (n_tokens and p_<domain>) with `rate` appended."""
+    return rows.withColumn("rate", fit_steps(rows, targets, **how).rate())
 
 
 def reached(rated: DataFrame, targets: dict[str, float] = TARGETS) -> dict[str, tuple[float, float]]:
@@ -153,16 +198,16 @@ def reached(rated: DataFrame, targets: dict[str, float] = TARGETS) -> dict[str,
     return {d: (t / whole, got[d] / (sum(got.values()) or 1.0)) for d, t in targets.items()}
 
 
-def _rated(rows: DataFrame, model: DataFrame, targets: dict[str, float], how: dict[str, float]) -> DataFrame:
+def _rate(rows: DataFrame, model: DataFrame, targets: dict[str, float], how: dict[str, float]) -> Column:
     if not model.select("taught").first()[0]:
         _log.warning("no label row names a domain: every document is kept once")
-        return rows.withColumn("rate", F.lit(1.0))
-    return fit_rates(rows, targets, **how)
+        return F.lit(1.0)
+    return fit_steps(rows, targets, **how).rate()
 
 
-def _copies(key: Column) -> Column:
+def _copies(key: Column, rate: Column) -> Column:
     uniform = F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return (F.floor("rate") + F.when(uniform < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
+    return (F.floor(rate) + F.when(uniform < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
 def rates(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, **how: float) -> DataFrame:
@@ -170,19 +215,21 @@ def rates(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = T
     domains = list(targets)
     model = fit_domains(documents, labels, domains)
     rows = common.materialize(with_posteriors(documents.select("doc_id", "text"), model, domains).drop("text"), "mixing-posteriors")
-    return _rated(rows, model, targets, how).withColumn("copies", _copies(F.col("doc_id")))
+    return rows.withColumn("rate", _rate(rows, model, targets, how)).withColumn("copies", _copies(F.col("doc_id"), F.col("rate")))
 
 
 def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, whole: bool = True, **how: float) -> DataFrame:
-    """The documents, columns unchanged, each as often as its rate says."""
-    columns = documents.columns
+    """The documents, columns unchanged, each as often as its rate says. The rate is computed in the row
+    from its posteriors and the steps' errors, so no text is shuffled."""
     domains = list(targets)
+    inner = [f"c{i}" for i in range(len(documents.columns))]
     model = fit_domains(documents, labels, domains)
-    tagged = documents.withColumn("__row", F.xxhash64("doc_id", "text"))
-    rows = common.materialize(with_posteriors(tagged.select("doc_id", "text", "__row"), model, domains).drop("text"), "mixing-posteriors")
-    found = _rated(rows, model, targets, {"whole": whole, **how}).select("__row", _copies(F.col("doc_id")).alias("__copies")).dropDuplicates(["__row"])
-    joined = tagged.join(found, "__row").where("__copies > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in columns])
+    renamed = documents.toDF(*inner).withColumns({"doc_id": F.col(inner[documents.columns.index("doc_id")]), "text": F.col(inner[documents.columns.index("text")])})
+    rows = common.materialize(with_posteriors(renamed, model, domains).drop("text"), "mixing-posteriors")
+    rate = _rate(rows, model, targets, {"whole": whole, **how})
+    copied = rows.withColumn("rate", rate).withColumn("copies", _copies(F.col("doc_id"), F.col("rate"))).where("copies > 0")
+    again = copied.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return again.select(*[F.col(i).alias(c) for i, c in zip(inner, documents.columns, strict=True)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,10 @@ standard deviations wide, and the whole sets' bound; larger similarities are saf
 contract is 85 percent, the pipeline's stage takes 80.
 
 Cases: a null text, or one without words, has an empty set and is linked with nothing. Repeated rows
-are one node and share a component. A null doc_id is never a component's id unless all are null, and
-such rows are never `kept` (though
-`keep_one` lets them pass); they join a component only through an equal set. Extra columns are ignored by `link` and
-carried by `keep_one`. An empty table gives an empty result.
+are one node and share a component. A row without doc_id is linked as any other, but a null is never a
+component's id unless all its doc_ids are null, and such rows are never `kept` (though `keep_one` lets
+them pass). Extra columns are ignored by `link` and carried by `keep_one`, whatever their names. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import common, components
+from veilspan.llm.bitmaps import bitmap, in_bitmap
 from veilspan.llm.features import _words
 
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 85
@@ -124,13 +125,18 @@ def odd_sketch(samples: np.ndarray, members: np.ndarray) -> np.ndarray:
     return np.concatenate((_parity(numbered, SKETCH_WORDS), _parity(_stir(members.view(np.uint64)), WHOLE_WORDS)))
 
 
+def _rows(documents: DataFrame) -> DataFrame:
+    """doc_id, row (hash of doc_id and text: equal rows share it), text."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
+
+
 def signatures(documents: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set; null when empty), bands and sketch of each row."""
+    """doc_id, row, n_shingles, node (hash of the set; null when empty), bands and sketch of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, nodes, bands, sketches = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 members = shingles(text)
                 sizes.append(len(members))
                 if len(members):
@@ -143,9 +149,10 @@ def signatures(documents: DataFrame, plan: Plan) -> DataFrame:
                     bands.append(None)
                     sketches.append(None)
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, lists), pa.array(sketches, lists)], names=["doc_id", "n_shingles", "node", "bands", "sketch"])
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, lists), pa.array(sketches, lists)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_shingles", "node", "bands", "sketch"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, node long, bands array<long>, sketch array<long>")
+    return _rows(documents).mapInArrow(sign, "doc_id long, row long, n_shingles long, node long, bands array<long>, sketch array<long>")
 
 
 def _may_be_similar(plan: Plan) -> Column:
@@ -165,17 +172,19 @@ def link(documents: DataFrame, similarity_percent: int = SIMILARITY_PERCENT) ->
     plan = Plan(similarity_percent)
     signed = common.materialize(signatures(documents, plan), "signatures")
     filled = signed.where("node is not null")
-    classes = common.materialize(filled.groupBy("node").agg(F.min("doc_id").alias("first")), "set-classes")
+    classes = common.materialize(filled.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")), "set-classes")
     one_each = filled.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size"))
     nodes = common.materialize(one_each, "set-nodes")
     filed = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = common.materialize(filed.join(shared, "bucket"), "buckets")
-    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = common.materialize(members.select("bucket", "node").join(weights, "node"), "bucket-members")
+    buckets = common.materialize(filed.join(shared, "bucket"), "buckets")
+    weights = common.materialize(buckets.groupBy("node").agg(F.sum("size").alias("weight")), "bucket-weights")
+    members = common.materialize(buckets.select("bucket", "node").join(weights, "node"), "bucket-members")
     sketches = common.materialize(nodes.select("node", "sketch", "size").join(weights.select("node"), "node", "left_semi"), "sketches")
-    sets = _full_sets(documents, classes, sketches)
+    common.discard(buckets, nodes)
+    sets = _full_sets(documents, classes.join(weights.select("node"), "node", "left_semi"))
     links = _link_nodes(members, sketches, sets, plan)
+    common.discard(sets, sketches, weights)
 
     rooted = classes.join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -187,20 +196,19 @@ def link(documents: DataFrame, similarity_percent: int = SIMILARITY_PERCENT) ->
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _full_sets(documents: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, members of the wanted nodes, from one document of each."""
+def _full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, members of the wanted nodes, from the row that `wanted` names for each. A bitmap of the row keys
+    keeps other rows out before any set is made, and no text is shuffled."""
+    bits = bitmap(wanted, "row")
 
-    @F.arrow_udf("struct<node: long, members: array<long>>")
-    def members(texts: pa.Array) -> pa.Array:
-        found = [shingles(t.as_py()) for t in texts]
-        lists = pa.array(found, pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([pa.array([set_hash(f) if len(f) else None for f in found], pa.int64()), lists], names=["node", "members"])
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).filter(pa.array(in_bitmap(bits, batch.column(0).to_numpy())))
+            found = [f for f in (shingles(t.as_py()) for t in texts) if len(f)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_hash(f) for f in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "members"])
 
-    chosen = classes.join(wanted.select("node"), "node").select("node", F.col("first").alias("doc_id"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = texts.join(chosen, "doc_id").select("node", members("text").alias("set"))
-    own = sets.where("set.node = node").select("node", "set.members")  # a repeated doc_id may have another text
-    return common.materialize(own.dropDuplicates(["node"]), "full-sets")
+    rows = _rows(documents).select("row", "text").mapInArrow(members, "node long, members array<long>")
+    return common.materialize(rows.dropDuplicates(["node"]), "full-sets")
 
 
 def _confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
@@ -218,18 +226,21 @@ def _link_nodes(members: DataFrame, sketches: DataFrame, sets: DataFrame, plan:
     """node, root of the nodes that links join."""
     links = None
     roots = members.sparkSession.createDataFrame([], "node long, root long")
-    left = members
+    active = left = members
     for step in range(ROUNDS + 1):
         labelled = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = labelled.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"), F.max_by("root", F.struct("weight", "node")).alias("pivot_root"), F.count(F.lit(1)).alias("present"), F.min("root").alias("low"), F.max("root").alias("high"))
-        active = common.materialize(labelled.join(open_.where("low <> high").drop("low", "high"), "bucket"), "open-buckets")
+        last, active = active, common.materialize(labelled.join(open_.where("low <> high").drop("low", "high"), "bucket"), "open-buckets")
+        common.discard(last)
         if active.isEmpty():
             break
         apart = active.where("root <> pivot_root").select(*_pairs("node", "pivot")) if step < ROUNDS else _blocks(active, sketches, plan)
         found = common.materialize(_confirm(apart, sketches, sets, plan), "links")
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
-            roots = components.roots(links)
+            earlier, roots = roots, components.roots(links)
+            if hasattr(earlier, "scratch_path"):
+                common.discard(earlier)
         left = active.where("node <> pivot").select("bucket", "node", "weight")
     return roots
 
@@ -261,8 +272,9 @@ def _blocks(active: DataFrame, sketches: DataFrame, plan: Plan) -> DataFrame:
 def keep_one(documents: DataFrame, similarity_percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """The documents, columns unchanged, of which one of each near-duplicate group stays: the one with
     the smallest doc_id. Rows without doc_id stay."""
-    gone = link(documents, similarity_percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, documents["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    (gone,) = common.spare_names(documents, "gone")
+    keys = link(documents.select("doc_id", "text"), similarity_percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias(gone)).distinct()
+    return documents.join(keys, documents["doc_id"].cast("long") == keys[gone], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
