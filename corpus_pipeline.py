@@ -1,7 +1,8 @@
 """The corpus pipeline: raw documents to packed training sequences.
 
 Each stage takes all that its predecessor kept, as Parquet, and returns a DataFrame; all but the last
-return the columns of `documents`.
+return the columns of `documents`. Columns besides, whatever their names, are carried to the last stage,
+which returns pieces. Every stage gives an empty result for an empty table.
 """
 
 from __future__ import annotations
@@ -16,31 +17,46 @@ NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a known language; those predicted `und`, or far from every profile, go."""
+    """Documents whose text is in a known language; those predicted `und`, or far from every profile, go.
+
+    A null, empty or letterless text is `und`. Repeated rows are judged alike; a null doc_id or lang is
+    judged as any other but teaches nothing. Equal distances go to the language that sorts first."""
     common.prepare(spark)
     return langid.keep_known(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the lines that recur; those left without any line go."""
+    """The documents without the lines that recur; those left without any line go.
+
+    A null text has no lines and stays; repeated rows count as one document and lose the same lines; of
+    equal lines the one with the smallest doc_id (null first), then line number, stays."""
     common.prepare(spark)
     return lines.drop_recurring(docs, keep_emptied=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, linked from NEAR_PERCENT similar shingles on."""
+    """One document of each group of near duplicates, linked from NEAR_PERCENT similar shingles on.
+
+    Texts without words are linked with nothing and stay; so does every row without doc_id. Repeated rows
+    of the doc_id that stays all stay."""
     common.prepare(spark)
     return neardup.keep_one(docs, NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that the domains' tokens have their target weights; only those of a
-    domain with fewer tokens than its target are repeated."""
+    domain with fewer tokens than its target are repeated.
+
+    A null or empty text has no tokens and the prior's posteriors. Without labels every document is kept
+    once. Repeated rows have equal copies; a null doc_id is hashed as a key of its own."""
     return mixing.mix(docs, common.table(spark, sf_dir, "labels"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their places in sequences of 1,024 tokens."""
+    """The pieces of the documents with their places in sequences of 1,024 tokens.
+
+    A null or empty text is the end token alone. Repeated rows are packed once for each row. A null doc_id
+    is carried."""
     common.prepare(spark)
     return packing.pack(docs)
 
