@@ -102,16 +102,23 @@ def injection(text: Column) -> dict[str, Column]:
     return {"override": text.rlike(fixed.INJECTION_OVERRIDE), "roleplay": text.rlike(fixed.INJECTION_ROLEPLAY), "exfiltration": text.rlike(fixed.INJECTION_EXFILTRATION)}
 
 
-def bucketed(requests: DataFrame, key: str, order: list[str], at: str, rate: float, burst: float) -> DataFrame:
-    """Requests with allowed, tokens (left) and retry_after_ms of a token bucket for each key."""
+class Bucket:
+    """A token bucket: `rate` tokens a second up to `burst`; full at first."""
+
+    def __init__(self, rate: float, burst: float):
+        self.rate, self.burst = rate, float(burst)
 
-    def step(state: dict, now: float) -> tuple[bool, float, int]:
-        filled = min(burst, state["tokens"] + max(now - state["last"], 0.0) * rate) if state else burst
+    def step(self, state: dict, now: float) -> tuple[bool, float, int]:
+        """allowed, tokens left and retry_after_ms of a request."""
+        filled = min(self.burst, state["tokens"] + max(now - state["last"], 0.0) * self.rate) if state else self.burst
         allowed = filled >= 1
         state.update(tokens=filled - 1 if allowed else filled, last=now)
-        return allowed, state["tokens"], 0 if allowed else math.ceil((1 - filled) / rate * 1000)
+        return allowed, state["tokens"], 0 if allowed else math.ceil((1 - filled) / self.rate * 1000)
 
-    return folds.fold(requests, key, order, [at], dict, step, {"allowed": ("boolean", pa.bool_()), "tokens": ("double", pa.float64()), "retry_after_ms": ("long", pa.int64())})
+
+def bucketed(requests: DataFrame, key: str, order: list[str], at: str, rate: float, burst: float) -> DataFrame:
+    """Requests with allowed, tokens (left) and retry_after_ms of a token bucket for each key."""
+    return folds.fold(requests, key, order, [at], dict, Bucket(rate, burst).step, {"allowed": ("boolean", pa.bool_()), "tokens": ("double", pa.float64()), "retry_after_ms": ("long", pa.int64())})
 
 
 def guarded(calls: DataFrame, key: str, order: list[str], at: str, failed: str, threshold: int = 5, open_seconds: float = 30.0) -> DataFrame:

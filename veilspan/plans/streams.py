@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspan.plans import control
 from veilspan.session import shared_folder, table
-from veilspan.streaming import rehydrate
+from veilspan.streaming import limits, rehydrate
 
 QUERIES, SQL = {}, {}
 
@@ -76,3 +77,36 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     doubled = rows.unionByName(rows.where("event_id % 2 = 0"))
     seen = _run(spark, rehydrate.dedupe_stream(_as_stream(spark, doubled), "event_id", "ts", "60 days"))
     return seen.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _calls(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").withColumn("ts", F.to_timestamp("ts"))
+    return rows.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), (F.unix_micros("ts") / 1e6).alias("at"), "ts", (F.col("value") < 60).alias("failed"))
+
+
+@query("stream_token_bucket", control.SQL["token_bucket"])
+def stream_token_bucket(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _as_stream(spark, _calls(spark, sf).select("key", "id", "at").repartition(1))
+    return _run(spark, limits.limit_stream(rows, 0.00001, 3.0)).select(F.col("id").alias("event_id"), "allowed")
+
+
+@query("stream_circuit_breaker", control.SQL["circuit_breaker"])
+def stream_circuit_breaker(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _as_stream(spark, _calls(spark, sf).select("key", "id", "at", "failed").repartition(1))
+    found = _run(spark, limits.guard_stream(rows, 5, 86400.0))
+    return found.groupBy(F.col("key").cast("long").alias("user_id"), "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_offline", "WITH b AS (SELECT user_id, max(epoch_ms(ts)) AS last FROM events GROUP BY 1) SELECT user_id, last + 43200000 AS due_ms FROM b WHERE last + 43200000 <= (SELECT max(last) FROM b)")
+def stream_offline(spark: SparkSession, sf: str) -> DataFrame:
+    """Agents whose third heartbeat in a row is missing when the stream ends."""
+    rows = _as_stream(spark, _calls(spark, sf).select("key", "id", "at", "ts").repartition(1))
+    return _run(spark, limits.offline_stream(rows, 14400.0, 3)).select(F.col("key").cast("long").alias("user_id"), "due_ms")
+
+
+@query("stream_expiry", "WITH l AS (SELECT user_id, arg_max(epoch_ms(ts) + 60000 * (event_id % 200), (ts, event_id)) AS due_ms FROM events GROUP BY 1) SELECT user_id, due_ms FROM l WHERE due_ms <= (SELECT max(epoch_ms(ts)) FROM events)")
+def stream_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    """Vault entries (one for each user, the last write counts) that have expired when the stream ends."""
+    until = F.unix_millis("ts") + 60000 * (F.col("id") % 200)
+    rows = _as_stream(spark, _calls(spark, sf).select("key", "id", "at", "ts", until.alias("until_ms")).repartition(1))
+    return _run(spark, limits.expiry_stream(rows)).select(F.col("key").cast("long").alias("user_id"), "due_ms")
