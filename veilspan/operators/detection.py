@@ -11,7 +11,7 @@ import functools
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.functions import expressions as E
@@ -286,10 +286,20 @@ def found_column(text: Column, packs: Iterable[str] = ("base_en",), ner: bool =
     return F.when(text.isNotNull(), E.let(normalized(text), of_normal)).otherwise(F.expr(f"cast(array() as array<{FOUND}>)"))
 
 
+@functools.lru_cache(maxsize=32)
+def _found_of(name: str, packs: tuple[str, ...], ner: bool, jvm: int) -> Column:
+    return found_column(F.col(name), packs, ner)
+
+
+def found_of(name: str, packs: Iterable[str] = ("base_en",), ner: bool = True) -> Column:
+    """`found_column` of a column by name. It is a large expression, built once in a JVM."""
+    return _found_of(name, tuple(packs), ner, id(SparkSession.active()._jvm))
+
+
 def run(units: DataFrame, packs: Iterable[str] = ("base_en",), *, ner: bool = True, text: str = "text", keep: Iterable[str] = ()) -> DataFrame:
     """One row for each span of the whole run: `keep`, ord, start, end, text, label, confidence, format, source, negated.
     The spans are found in the row of their text; nothing is shuffled."""
-    rows = units.select(*keep, F.col(text).alias("whole"), found_column(F.col(text), packs, ner).alias("found"))
+    rows = units.select(*keep, F.col(text).alias("whole"), found_of(text, packs, ner).alias("found"))
     spans = rows.select(*keep, "whole", F.posexplode("found").alias("ord", "s"))
     cut = F.substring(F.col("whole"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     return spans.select(*keep, "ord", "s.start", "s.end", cut.alias("text"), *[f"s.{c}" for c in ("label", "confidence", "format", "source", "negated")])

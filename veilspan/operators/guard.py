@@ -34,7 +34,7 @@ def decisions_column(text: Column, found: Column, rules: Rules, negation_action:
 
 def _decided(units: DataFrame, rules: Rules, text: str, packs: Iterable[str], ner: bool, negation_action: str | None) -> DataFrame:
     """The units with `decisions`. The one-row generators keep the run's large expression out of what is built on it."""
-    found = units.select("*", F.explode(F.array(detection.found_column(F.col(text), packs, ner))).alias("found"))
+    found = units.select("*", F.explode(F.array(detection.found_of(text, packs, ner))).alias("found"))
     return found.select(*units.columns, F.explode(F.array(decisions_column(F.col(text), F.col("found"), rules, negation_action))).alias("decisions"))
 
 

@@ -311,11 +311,15 @@ def span_gap_merge(spark: SparkSession, sf: str) -> DataFrame:
 @query("span_resolve")
 def span_resolve(spark: SparkSession, sf: str) -> DataFrame:
     rows = _derived_spans(spark, sf).withColumn("confidence", F.lit(0.5) + F.col("ord") % 40 / 100)
-    listed = rows.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "end", "label", "confidence"))).alias("s"))
+    listed = rows.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "end", "label", "confidence", F.lit(None).cast("string").alias("format"), F.lit(None).cast("string").alias("source")))).alias("s"))
     return listed.select("unit", F.explode(spans.resolve(F.col("s"))).alias("r")).groupBy("unit", "r.how").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("locked_anchors")
+@query(
+    "locked_anchors",
+    """SELECT c_custkey, (CASE WHEN c_custkey % 3 = 0 THEN 24 ELSE 12 END)::INT AS start, (CASE WHEN c_custkey % 3 = 0 THEN 24 ELSE 12 END + 13 + len(c_custkey::VARCHAR))::INT AS "end",
+    'user' || c_custkey || '@mail.org' AS text, 'EMAIL' AS label, c_custkey % 3 = 0 AS negated, (CASE WHEN c_custkey % 3 = 0 THEN 0.9 ELSE 0.95 END)::DOUBLE AS confidence FROM customer""",
+)
 def locked_anchors(spark: SparkSession, sf: str) -> DataFrame:
     said = F.concat(F.when(F.col("c_custkey") % 3 == 0, "This is not my").otherwise("My"), F.lit(" email is user"), F.col("c_custkey").cast("string"), F.lit("@mail.org. Bye."))
     rows = text.sentences(table(spark, sf, "customer").select("c_custkey", said.alias("text")), keep=("c_custkey",))

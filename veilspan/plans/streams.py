@@ -97,14 +97,14 @@ def stream_circuit_breaker(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy(F.col("key").cast("long").alias("user_id"), "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_offline", "WITH b AS (SELECT user_id, max(epoch_ms(ts)) AS last FROM events GROUP BY 1) SELECT user_id, last + 43200000 AS due_ms FROM b WHERE last + 43200000 <= (SELECT max(last) FROM b)")
+@query("stream_offline", "WITH b AS (SELECT user_id, max(epoch_us(ts) // 1000) AS last FROM events GROUP BY 1) SELECT user_id, last + 43200000 AS due_ms FROM b WHERE last + 43200000 <= (SELECT max(last) FROM b)")
 def stream_offline(spark: SparkSession, sf: str) -> DataFrame:
     """Agents whose third heartbeat in a row is missing when the stream ends."""
     rows = _as_stream(spark, _calls(spark, sf).select("key", "id", "at", "ts").repartition(1))
     return _run(spark, limits.offline_stream(rows, 14400.0, 3)).select(F.col("key").cast("long").alias("user_id"), "due_ms")
 
 
-@query("stream_expiry", "WITH l AS (SELECT user_id, arg_max(epoch_ms(ts) + 60000 * (event_id % 200), (ts, event_id)) AS due_ms FROM events GROUP BY 1) SELECT user_id, due_ms FROM l WHERE due_ms <= (SELECT max(epoch_ms(ts)) FROM events)")
+@query("stream_expiry", "WITH l AS (SELECT user_id, arg_max(epoch_us(ts) // 1000 + 60000 * (event_id % 200), (ts, event_id)) AS due_ms FROM events GROUP BY 1) SELECT user_id, due_ms FROM l WHERE due_ms <= (SELECT max(epoch_us(ts) // 1000) FROM events)")
 def stream_expiry(spark: SparkSession, sf: str) -> DataFrame:
     """Vault entries (one for each user, the last write counts) that have expired when the stream ends."""
     until = F.unix_millis("ts") + 60000 * (F.col("id") % 200)
