@@ -361,3 +361,145 @@ def test_pipeline(spark, corpus, tmp_path):
     ids = {r["doc_id"] for r in found.collect()}
     assert {1, 2, 3, 4, 5}.isdisjoint(ids) and len(ids & set(range(1000, 1060))) > 50
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def pairs_left(shard):
+    """Uses of each pair of neighbouring symbols in one document; in a run of one symbol every second place."""
+    ends, uses, last = set((shard.at[1:].astype(int) - 1).tolist()), Counter(), None
+    symbols = shard.symbols.tolist()
+    for i in range(len(symbols) - 1):
+        if i in ends:
+            last = None
+            continue
+        pair = (symbols[i], symbols[i + 1])
+        if pair == last and pair[0] == pair[1]:
+            last = None
+            continue
+        uses[pair] += 1
+        last = pair
+    return uses
+
+
+@pytest.mark.parametrize("least", [2, 5, 16])
+def test_no_frequent_pair_is_left(least):
+    r = np.random.default_rng(least)
+    phrase = r.integers(0, 40, 30)
+    texts = [np.concatenate([phrase[: r.integers(3, 30)] if r.random() < 0.5 else r.integers(0, 40, 9) for _ in range(20)]) for _ in range(40)] + [np.full(301, 7)]
+    shard = grammar.Shard(grammar.pack_shard(list(range(41)), [t.astype("<u4").tobytes() for t in texts], least))
+    assert max(pairs_left(shard).values(), default=0) < least
+    assert shard.all_ids().tolist() == np.concatenate(texts).tolist()
+    for i in (0, 7, 40):
+        assert shard.document(i).tolist() == texts[i].tolist()
+        assert shard.document(i, 5, 11).tolist() == texts[i][5:16].tolist() and shard.document(i, 10**6).tolist() == []
+
+
+@pytest.mark.parametrize("piece", [700, 1 << 18])
+def test_repeated_strings_in_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(suffixes, "PIECE", piece)
+    shared = words(11, 200)
+    rows = [(0, words(12, 900) + shared + words(13, 700)), (1, shared[50:700] + words(14, 900)), (2, words(15, 40) + shared[-260:]), (3, shared[:199])]
+    data = [t.encode() for _, t in rows]
+    seen = Counter(b[i : i + 200] for b in data for i in range(len(b) - 199))
+    wanted = {d: int(np.any([np.pad(np.ones(200, bool), (i, len(b) - i - 200)) for i in range(len(b) - 199) if seen[b[i : i + 200]] > 1] or [np.zeros(len(b), bool)], axis=0).sum()) for (d, _), b in zip(rows, data, strict=True)}
+    got = {r["doc_id"]: r["n_removed"] for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == wanted and wanted[0] > 900 and wanted[3] == 0
+
+
+@pytest.mark.parametrize("rule", [lines.RULE, lines.WIDE_RULE])
+def test_large_and_small_leaves_agree(spark, corpus, rule):
+    more = spark.createDataFrame([(500 + i, f"job {i % 7} of host h{i % 3} done\n{words(i, 5)}\njob {i} of host h{i % 3} done") for i in range(60)], "doc_id long, text string")
+    table = corpus.select("doc_id", "text").unionByName(more)
+    found = [{(r["row"], *sorted(r["drop"])) for r in lines.recurring_lines(table, rule, most).collect()} for most in (4096, 0)]
+    assert found[0] == found[1] and len(found[0]) > 40
+
+
+def test_lines_of_long_texts_in_pieces(spark, monkeypatch):
+    rows = [(i, "\n".join(f"{words(50 * i + j, 8)}\nstep {j} of run took long" for j in range(30))) for i in range(6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = lines.dedup_lines(table).orderBy("doc_id").collect()
+    monkeypatch.setattr(lines, "PIECE", 300)
+    assert lines.dedup_lines(table).orderBy("doc_id").collect() == whole and sum(r["n_dropped"] for r in whole) > 100
+
+
+CLASH = "__row", "__found", "__lang", "__score", "__gone", "__copies", "row", "lines", "left", "drop", "found", "score", "lang_pred", "gone", "p_good", "n_tokens", "rate", "copies", "one", "present", "words", "c0", "c1"
+
+
+def test_stages_carry_columns_of_any_name(spark, corpus):
+    documents, labels = labelled(spark, corpus)
+    table = documents.drop("part", "node", "row").withColumns({c: F.lit(7) for c in CLASH})
+    for stage in (lambda t: langid.keep_known(t), lambda t: lines.drop_recurring(t), lambda t: neardup.keep_one(t, 80), lambda t: mixing.mix(t, labels)):
+        out = stage(table)
+        assert out.columns == table.columns
+        assert out.where(" or ".join(f"`{c}` <> 7 or `{c}` is null" for c in CLASH)).count() == 0 and out.count() > 0
+
+
+@pytest.mark.parametrize("which", ["classifier", "rules", "grammar", "mix"])
+def test_empty_tables_of_learners(spark, corpus, which):
+    documents, labels = empty_like(corpus), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    if which == "classifier":
+        assert classifier.score_documents(documents, labels).count() == 0
+    elif which == "rules":
+        assert rules.judge(documents, rules.Model(learn.labelled_rows(documents, labels, rules.HASHING))).count() == 0
+    elif which == "grammar":
+        assert grammar.read_shards(grammar.encode_shards(documents)).count() == 0
+    else:
+        assert mixing.mix(documents, labels).count() == 0
+
+
+def test_near_copies_without_doc_id_are_linked(spark):
+    base = words(77, 300)
+    near = base.split()
+    near[10] = "changed"
+    table = spark.createDataFrame([(5, base), (None, " ".join(near)), (None, words(78, 50))], "doc_id long, text string")
+    got = sorted((r["doc_id"] is None, r["n_shingles"], r["component_id"]) for r in neardup.link(table).collect() if r["n_shingles"] > 100)
+    assert [g[2] for g in got] == [5, 5]
+
+
+def test_leaves_stay_small_and_search_is_bounded(spark):
+    r = np.random.default_rng(12)
+    leaves = {}
+    for n in (2000, 8000):
+        centres = r.normal(size=(n // 100, 16))
+        vectors = centres[r.integers(0, len(centres), n)] + 0.2 * r.normal(size=(n, 16))
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, v array<double>")
+        forest, held = neighbours.grow(rows, vectors[:500], 2, 64)
+        assert held.sum() == 2 * n and held.max() <= 128
+        leaves[n] = forest.leaves
+    assert leaves[8000] > 3 * leaves[2000]
+    same = spark.createDataFrame([(i, [1.0] * 16) for i in range(900)], "vec_id long, v array<double>")
+    assert neighbours.grow(same, np.ones((500, 16)), 2, 64)[1].max() == 900
+
+
+def test_posteriors_equal_naive_bayes(spark, corpus):
+    documents, labels = labelled(spark, corpus)
+    model = mixing.fit_domains(documents, labels, ["good", "low"])
+    kept = model.first().asDict()
+    for r in mixing.with_posteriors(documents.select("doc_id", "text"), model, ["good", "low"]).limit(40).collect():
+        present = spark.createDataFrame([(r["text"],)], "text string").select(mixing._present(mixing._words()).alias("p")).first()["p"]
+        score = np.array([kept[f"l_{d}"] + sum(kept[f"w_{d}"][b] for b in present) for d in ("good", "low")])
+        wanted = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        assert np.allclose([r["p_good"], r["p_low"]], wanted, atol=1e-9)
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    r = np.random.default_rng(6)
+    rows = learn.Rows(np.concatenate([np.sort(r.choice(12, 4, False)) for _ in range(40)]).astype(np.uint32), np.arange(0, 161, 4), r.integers(0, 2, 40))
+    weights, bias = classifier.dual_coordinate_descent(rows, np.ones(12), cost=0.7, epochs=3000)
+    x = np.zeros((40, 13))
+    for i in range(40):
+        x[i, rows.row(i)] = 0.5
+    x[:, 12] = 1.0
+    sign = np.where(rows.labels == 1, 1.0, -1.0)
+    loss = lambda w: w @ w / 2 + 0.7 * np.maximum(0, 1 - sign * (x @ w)).sum()
+    best = loss(np.append(weights, bias))
+    assert all(loss(np.append(weights, bias) + d) > best - 1e-3 for d in 0.05 * r.normal(size=(300, 13)))
+
+
+def test_out_of_place_distance_equals_brute_force():
+    profiles = langid.Profiles({"aa": [10, 20, 30], "bb": [30, 40]}, 4)
+    text = "abab ba"
+    own = langid.ranked(*langid.count_ngrams(text), 4).tolist()
+    profiles = langid.Profiles({"aa": own[::-1], "bb": own[:2] + [1, 2]}, 4)
+    apart = {k: sum(abs(i - p.index(c)) if c in p else 4 for i, c in enumerate(own)) for k, p in {"aa": own[::-1], "bb": own[:2] + [1, 2]}.items()}
+    best = min(sorted(apart), key=apart.get)
+    assert profiles.predict(text) == (best, 1 - apart[best] / (4 * len(own)))

@@ -45,7 +45,7 @@ from veilspan.llm.fingerprints import Prints, stir
 LEAST_TOKENS, LEAST_DOCUMENTS, SHARE_PERCENT = 3, 4, 60
 EXACT_DOCUMENTS = 2
 #: Lines of a leaf that are parsed in one task, and bytes of text parsed at once.
-GATHER_LINES, PIECE = 4096, 1 << 20
+GATHER_LINES, PIECE = 4096, 1 << 18
 BLANK = " \t\v\f\r"
 
 
