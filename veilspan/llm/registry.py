@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from veilspan.llm import classifier, fim, grammar, langid, lines, mixing, neardup, neighbours, packing, rules, suffixes
+from veilspan.llm import classifier, codes, fim, grammar, langid, lines, mixing, neardup, neighbours, packing, rules, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_nearest_neighbours": neighbours.query,
         "op10_mix_domains": mixing.query,
         "op12_fill_in_middle": fim.query,
+        "op13_vector_codes": codes.query,
         "pipeline": corpus_pipeline.run,
     }
 
