@@ -266,3 +266,41 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = coded.groupBy("label").agg(F.try_sum("error").alias("label_error")).withColumnRenamed("label", "of_label")
     out = coded.join(totals, F.col("label").eqNullSafe(F.col("of_label")))
     return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256() if books else "").alias("codebooks_sha256"))
+
+
+def _sql() -> str:
+    """The contract on small tables, every distance computed; one pair of relations for each round."""
+    parts = [
+        """kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS (
+  SELECT vec_id, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kept, (SELECT unnest(range(4)) AS p)
+), book0 AS (
+  SELECT p, e, c FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM cut) WHERE e < 256
+)"""
+    ]
+    for r in range(ROUNDS + 1):
+        parts.append(f"""near{r} AS (
+  SELECT vec_id, p, any_value(x) AS x, min((d, e)) AS best FROM (
+    SELECT vec_id, cut.p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM cut JOIN book{r} b ON b.p = cut.p
+  ) GROUP BY vec_id, p
+)""")
+        if r < ROUNDS:
+            parts.append(f"""book{r + 1} AS (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (
+    SELECT p, e, list(s ORDER BY i) AS c FROM (
+      SELECT p, best[2] AS e, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS s FROM near{r}, (SELECT unnest(range(1, 4097)) AS i) WHERE i <= len(x) GROUP BY ALL
+    ) GROUP BY p, e
+  ) m ON m.p = b.p AND m.e = b.e
+)""")
+    return f"""
+WITH {", ".join(parts)}, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM near{ROUNDS} GROUP BY vec_id
+), hashed AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM book{ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id), hashed
+"""
+
+
+SQL = _sql()

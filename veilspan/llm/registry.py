@@ -33,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_near_duplicates": neardup.SQL,
         "op3_line_templates": lines.SQL,
         "op12_fill_in_middle": fim.SQL,
+        "op13_vector_codes": codes.SQL,
     }
