@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from veilspan.llm import classifier, codes, fim, grammar, langid, lines, mixing, neardup, neighbours, packing, rules, suffixes
+from veilspan.llm import classifier, codes, fim, grammar, langid, lines, mixing, neardup, neighbours, ngramjoin, packing, rules, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": langid.query,
         "op9_nearest_neighbours": neighbours.query,
         "op10_mix_domains": mixing.query,
+        "op11_ngram_join": ngramjoin.query,
         "op12_fill_in_middle": fim.query,
         "op13_vector_codes": codes.query,
         "pipeline": corpus_pipeline.run,
@@ -32,6 +33,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_near_duplicates": neardup.SQL,
         "op3_line_templates": lines.SQL,
+        "op11_ngram_join": ngramjoin.SQL,
         "op12_fill_in_middle": fim.SQL,
         "op13_vector_codes": codes.SQL,
     }
