@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Callable
 
@@ -14,49 +13,11 @@ from pyspark.sql.types import ArrayType, StringType
 
 from veilspan.functions import fixed
 
-SPAN = "struct<start:int,end:int,text:string>"
-
-
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use` of a value that is computed once, however often `use` names it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def with_head(pattern: str) -> str:
-    """The pattern with all that precedes its first group captured as group 1; the group becomes the second."""
-    flags = re.match(r"\(\?[a-z]+\)", pattern)
-    at = start = flags.end() if flags else 0
-    depth = 0
-    while not (pattern[at] == "(" and pattern[at + 1] != "?" and not depth):
-        depth += (pattern[at] == "[" and not depth) - (pattern[at] == "]" and depth > 0)
-        at += 2 if pattern[at] == "\\" else 1
-    return f"{pattern[:start]}({pattern[start:at]}){pattern[at:]}"
-
-
-def spans_of(text: str | Column, pattern: str, group: int = 0) -> Column:
-    """All matches of `pattern` in a text column as array<struct<start,end,text>>, half-open offsets in
-    code points. With group 1 the spans are the first group's."""
-    text = F.col(text) if isinstance(text, str) else text
-    full = with_head(pattern) if group else pattern
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def add(state: Column, step: Column) -> Column:
-        at = state["at"] + F.length(step["gap"])
-        own = at + F.length(step["hit"])
-        first = at + F.length(step["head"]) if group else at
-        value = step["inner"] if group else step["hit"]
-        span = F.struct(first.cast("int").alias("start"), (first + F.length(value)).cast("int").alias("end"), value.alias("text"))
-        return F.when(step["hit"].isNull(), state).otherwise(F.struct(own.cast("int").alias("at"), F.concat(state["out"], F.array(span)).alias("out")))
-
-    def located(hits: Column) -> Column:
-        inner = [F.regexp_extract_all(text, F.lit(full), F.lit(i)).alias(n) for i, n in ((1, "head"), (2, "inner"))] if group else []
-        steps = F.arrays_zip(hits.alias("hit"), F.split(text, full, -1).alias("gap"), *inner)
-        return F.when(F.size(hits) > 0, F.aggregate(steps, start, add, lambda s: s["out"])).otherwise(none)
-
-    return let(F.regexp_extract_all(text, F.lit(full), F.lit(0)), located)
-
-
 def digits(column: Column) -> Column:
     return F.regexp_replace(column, r"\D", "")
 

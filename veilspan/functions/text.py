@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from veilspan.functions import expressions as E
+from veilspan import session
 from veilspan.functions import fixed
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
@@ -58,6 +59,21 @@ def folded_with_places(text: str) -> tuple[str, list[int]]:
 
 
 _SPACED = re.compile(fixed.SPACED_RUN)
+#: What any spaced run holds.
+_SPACED_HINT = re.compile(r" \S \S ")
+
+
+@functools.cache
+def _kept(character: str) -> bool:
+    """Is a character its own normal form?"""
+    folded = unicodedata.normalize("NFKC", character)
+    return character not in fixed.ZERO_WIDTH and (folded == character or len(folded) != 1)
+
+
+def normal_form(text: str) -> tuple[str, list[int] | None]:
+    """As `folded_with_places`, with None for the places of a text that is its own normal form."""
+    spaced = _SPACED_HINT.search(text) and _SPACED.search(text)
+    return (text, None) if not spaced and (text.isascii() or all(map(_kept, set(text)))) else folded_with_places(text)
 
 
 @F.arrow_udf(StructType([StructField("text", StringType()), StructField("places", ArrayType(IntegerType()))]))
@@ -73,30 +89,29 @@ def normalized(text: Column) -> Column:
     return F.coalesce(_folded(F.when(changes, text)), F.struct(text.alias("text"), F.lit(None).cast("array<int>").alias("places")))
 
 
-def to_original(places: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """Ends of a span of the normalized text in the original; a span of an empty text is (0, 0)."""
-    first = F.coalesce(F.get(places, start), start)
-    last = F.when(end > 0, F.coalesce(F.get(places, end - 1) + 1, end)).otherwise(first)
-    return first, last
-
-
 def offset_map(text: Column) -> Column:
     """For each character of the normalized text, its place in the original."""
     whole = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
     return F.coalesce(normalized(text)["places"], whole)
 
 
-_SHORT = "|".join(a.replace(".", r"\.") for a in fixed.ABBREVIATIONS)
-#: A sentence's end, unless the word before it is a known abbreviation.
-BOUNDARY = rf"(?<![.!?])(?<!(?<![\w.])(?i:{_SHORT})){fixed.SENTENCE_END}"
+@functools.cache
+def _sentences(jvm: int):
+    session.ship_package(SparkSession.active())
+
+    @F.arrow_udf("array<struct<start:int,end:int,sentence:string>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        from veilspan.operators.sweep import sentences_in
+
+        rows = [None if t is None else [{"start": a, "end": b, "sentence": t[a:b]} for a, b in sentences_in(t)] for t in texts.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("sentence", pa.string())])))
+
+    return cut
 
 
 def sentence_array(text: Column) -> Column:
     """array<struct<start,end,sentence>> of the sentences that are not blank; following white space belongs to them."""
-    ends = F.transform(E.spans_of(text, BOUNDARY), lambda s: s["end"])
-    bounds = F.arrays_zip(F.concat(F.array(F.lit(0)), ends).alias("start"), F.concat(ends, F.array(F.length(text))).alias("end"))
-    cut = F.transform(bounds, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.substring(text, b["start"] + 1, b["end"] - b["start"]).alias("sentence")))
-    return F.filter(cut, lambda s: s["sentence"].rlike(r"\S"))
+    return _sentences(id(SparkSession.active()._jvm))(text)
 
 
 def sentences(units: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -1,25 +1,30 @@
-"""Detectors as column expressions: a text column becomes an array of typed spans in one projection.
+"""Detectors as column functions: a text column becomes an array of typed spans in one projection.
 
 Families are tried in a fixed order. A family may have a ledger of places already claimed; a later
 match of the same ledger is dropped when one of its ends lies inside a claimed span (for two families
-only its start counts). This is an ordered fold over one row's few spans.
+only its start counts). Patterns are read as Python reads them, with Unicode's classes of letters and digits.
+
+The steps on one text are in `sweep`; here they are applied to Arrow batches, in the row of the text, so nothing is
+shuffled (but for small tables, `session.spread`). A null text has no spans, nor has an empty one. Repeated rows are judged alike, once for each row.
 """
 
 from __future__ import annotations
 
-import functools
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
-from veilspan.functions import expressions as E
+from veilspan import session
 from veilspan.functions import fixed
-from veilspan.functions.text import fold_arabic_digits, normalized, sentence_array, to_original
-from veilspan.operators.spans import locked_merged, locked_resolved, repaired
+from veilspan.functions.text import normal_form
+from veilspan.operators import sweep
 
-Check = Callable[[Column, Column], Column]
+Check = Callable[[str, int, int], bool]
 
 
 @dataclass(frozen=True)
@@ -35,78 +40,113 @@ class Family:
     valid: Check | None = None
     source: str = "regex"
     pack: str = "base_en"
-    needs: str | None = None  # what any text with a match holds: "0" a digit, else one of these characters
+    digits: int = 0  # a match is a numeric run (digits and what parts them) with so many digits at least
+    words: tuple[tuple[str, ...], ...] = ()  # in lower case; of each tuple a text with a match holds one
+    score: Callable[[str, str, int, int], float] | None = None
 
 
-def _luhn(span: Column, text: Column) -> Column:
-    number = F.regexp_replace(span["text"], "[ \\-]", "")
-    return F.length(number).between(13, 19) & F.call_function("luhn_check", number)
+def _luhn(text: str, start: int, end: int) -> bool:
+    number = re.sub("[ -]", "", text[start:end])
+    return 13 <= len(number) <= 19 and sweep.luhn(number)
 
 
 def _digits_at_least(n: int) -> Check:
-    return lambda span, text: F.length(E.digits(span["text"])) >= n
+    return lambda text, start, end: sum(map(str.isdecimal, text[start:end])) >= n
+
+
+def _postal_near(text: str, start: int, end: int) -> bool:
+    window = text[max(start - 60, 0) : end + 60]
+    return bool(sweep.compiled(fixed.UAE_PO_BOX).search(window) or sweep.compiled(fixed.POSTAL_NUMBER).search(window))
+
+
+_ORG_WORD, _FIELD_MARK = re.compile(rf"\b(?:{fixed.ORG_SUFFIXES})\b"), re.compile(r"\s{0,2}:")
+
+
+def _plain_name(text: str, start: int, end: int) -> bool:
+    name = text[start:end]
+    return name.split(None, 1)[0].lower() not in fixed.NO_NAME_STARTS and not _ORG_WORD.search(name) and not _FIELD_MARK.match(text, end)
+
+
+def _not_empty(text: str, start: int, end: int) -> bool:
+    return end > start
+
 
+_PREFIX = re.compile(rf"^(?:{'|'.join(fixed.CUE_PREFIXES)})(?=..)")
 
-def _postal_near(span: Column, text: Column) -> Column:
-    first = F.greatest(span["start"] - 60, F.lit(0))
-    window = F.substring(text, first + 1, span["end"] + 60 - first)
-    return window.rlike(fixed.UAE_PO_BOX) | window.rlike(fixed.POSTAL_NUMBER)
 
+def cue_nearby(window: str) -> bool:
+    """Whether a word of the window, less one prefix and one suffix, is an identity cue."""
+    for word in sweep.compiled(fixed.ARABIC_WORD).findall(window):
+        bare = _PREFIX.sub("", word)
+        suffix = next((s for s in fixed.CUE_SUFFIXES if bare.endswith(s) and len(bare) > len(s) + 1), "")
+        if bare.removesuffix(suffix) in fixed.ID_CUES:
+            return True
+    return False
+
+
+def _gulf_score(checksum: str | None, base: float) -> Callable[[str, str, int, int], float]:
+    """Base confidence, raised by a right checksum, lowered by a wrong one, raised by a cue nearby."""
+
+    def score(ascii_digits: str, text: str, start: int, end: int) -> float:
+        passed = sweep.CHECKSUMS[checksum](re.sub(r"[\s\-]", "", ascii_digits[start:end])) if checksum else None
+        scored = base if passed is None else min(0.99, base + 0.4) if passed else max(0.15, base - 0.25)
+        return min(0.99, scored + 0.15) if cue_nearby(text[max(start - 40, 0) : end + 40]) else scored
 
-def _plain_name(span: Column, text: Column) -> Column:
-    first = F.lower(F.regexp_extract(span["text"], r"^\S+", 0))
-    field = F.substring(text, span["end"] + 1, F.lit(4)).rlike(r"^\s{0,2}:")
-    return ~first.isin(*fixed.NO_NAME_STARTS) & ~span["text"].rlike(rf"\b(?:{fixed.ORG_SUFFIXES})\b") & ~field
+    return score
 
 
-def _not_empty(span: Column, text: Column) -> Column:
-    return span["end"] > span["start"]
+def _words_of(pattern: str) -> tuple[str, ...]:
+    return tuple(sorted({w.casefold() for w in re.findall(r"[A-Za-z]{2,}", pattern)}))
 
 
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_NAME_CUES = ("name is", "i am", "i'm", "this is", "call me", "contact", "out to", "attn", "signed", "regards", "from", "mr", "ms", "dr", "prof", "sr", "jr")
+
 #: In order of precedence.
 FAMILIES = (
-    Family("card", "CREDIT_CARD", fixed.CARD_CANDIDATE, 0.99, valid=_luhn, needs="0"),
-    Family("ssn-dashed", "GOV_ID", fixed.SSN_DASHED, 0.9, ledger="gov", needs="0"),
-    Family("ssn-spaced", "GOV_ID", fixed.SSN_SPACED, 0.9, ledger="gov", needs="0"),
-    Family("gov-id-grouped3", "GOV_ID", fixed.GOV_ID_GROUPED, 0.85, ledger="gov", needs="0"),
-    Family("gov-id-dotted", "GOV_ID", fixed.GOV_ID_DOTTED, 0.85, ledger="gov", needs="0"),
-    Family("ssn-plain", "GOV_ID", fixed.GOV_ID_PLAIN, 0.55, ledger="gov", holds=False, needs="0"),
-    Family("alnum-id-cued", "GOV_ID", fixed.ALNUM_ID_CUE, 0.8, group=1, ledger="gov", needs="0"),
-    Family("phone", "PHONE", fixed.PHONE, 0.93, ledger="phone", valid=_digits_at_least(10), needs="0"),
-    Family("intl", "PHONE", fixed.PHONE_INTERNATIONAL, 0.85, ledger="phone", valid=_digits_at_least(8), needs="0"),
-    Family("email", "EMAIL", fixed.EMAIL, 0.98, needs="@"),
-    Family("ipv4", "IP_ADDRESS", fixed.IPV4, 0.9, ledger="ip", needs="0"),
-    Family("ipv6", "IP_ADDRESS", fixed.IPV6, 0.85, ledger="ip", start_only=True, needs=":"),
-    Family("date-month-first", "DATE_TIME", fixed.DATE_MONTH_FIRST, 0.9, ledger="date", needs="0"),
-    Family("date-day-first", "DATE_TIME", fixed.DATE_DAY_FIRST, 0.9, ledger="date", needs="0"),
-    Family("date-numeric", "DATE_TIME", fixed.DATE_NUMERIC, 0.85, ledger="date", needs="0"),
-    Family("time", "DATE_TIME", fixed.TIME, 0.8, ledger="date", needs="0"),
-    Family("handle", "USERNAME", fixed.HANDLE, 0.85, ledger="user", needs="@"),
-    Family("cued", "USERNAME", fixed.USERNAME_CUE, 0.75, group=1, ledger="user"),
-    Family("geocoord", "ADDRESS", fixed.GEO, 0.85, needs="0"),
-    Family("field_cue_address", "ADDRESS", fixed.ADDRESS_FIELD, 0.8, group=1, valid=_not_empty, needs=":"),
-    Family("field_cue_name", "PERSON", fixed.NAME_FIELD, 0.8, group=1, ledger="namefield", valid=_not_empty, needs=":"),
-    Family("tag_cue", "PERSON", fixed.NAME_TAG, 0.8, group=1, ledger="namefield", valid=_not_empty, needs="<"),
-    Family("uae_emirates_id", "GOV_ID", fixed.EMIRATES_ID, 0.95, ledger="*", needs="0"),
-    Family("uae_mobile", "PHONE", fixed.UAE_MOBILE, 0.85, ledger="*", needs="0"),
-    Family("uae_landline", "PHONE", fixed.UAE_LANDLINE, 0.75, ledger="*", needs="0"),
-    Family("uae_po_box", "ADDRESS", fixed.UAE_PO_BOX, 0.85, ledger="*", needs="0"),
-    Family("uae_trade_license", "GOV_ID", fixed.UAE_TRADE_LICENCE, 0.85, ledger="*", needs="0"),
-    Family("uae_emirate_name", "ADDRESS", fixed.EMIRATE_NAME, 0.65, ledger="*", valid=_postal_near),
-    *(Family(n, "GOV_ID", p, c, ledger="gulf", pack="gulf_ar", needs="0") for n, p, _, c in fixed.GULF_IDS),
-    Family("access_key", "SECRET", fixed.SECRET_ACCESS_KEY, 0.95, group=1, ledger="secret", source="secrets"),
-    Family("secret_tag", "SECRET", fixed.SECRET_TAG, 0.9, group=1, ledger="secret", source="secrets", needs="<"),
-    Family("secret_cued", "SECRET", fixed.SECRET_CUED, 0.9, group=1, ledger="secret", source="secrets", needs=":="),
-    Family("name_cue", "PERSON", fixed.NAME_CUE, 0.88, group=1, ledger="name", source="ner"),
+    Family("card", "CREDIT_CARD", fixed.CARD_CANDIDATE, 0.99, valid=_luhn, digits=13),
+    Family("ssn-dashed", "GOV_ID", fixed.SSN_DASHED, 0.9, ledger="gov", digits=9),
+    Family("ssn-spaced", "GOV_ID", fixed.SSN_SPACED, 0.9, ledger="gov", digits=9),
+    Family("gov-id-grouped3", "GOV_ID", fixed.GOV_ID_GROUPED, 0.85, ledger="gov", digits=9),
+    Family("gov-id-dotted", "GOV_ID", fixed.GOV_ID_DOTTED, 0.85, ledger="gov", digits=8),
+    Family("ssn-plain", "GOV_ID", fixed.GOV_ID_PLAIN, 0.55, ledger="gov", holds=False, digits=9),
+    Family("alnum-id-cued", "GOV_ID", fixed.ALNUM_ID_CUE, 0.8, group=1, ledger="gov", words=(("card", "passport", "licen", "identification", "national"),)),
+    Family("phone", "PHONE", fixed.PHONE, 0.93, ledger="phone", valid=_digits_at_least(10), digits=10),
+    Family("intl", "PHONE", fixed.PHONE_INTERNATIONAL, 0.85, ledger="phone", valid=_digits_at_least(8), digits=8),
+    Family("email", "EMAIL", fixed.EMAIL, 0.98, words=(("@",),)),
+    Family("ipv4", "IP_ADDRESS", fixed.IPV4, 0.9, ledger="ip", digits=4),
+    Family("ipv6", "IP_ADDRESS", fixed.IPV6, 0.85, ledger="ip", start_only=True, words=((":",),)),
+    Family("date-month-first", "DATE_TIME", fixed.DATE_MONTH_FIRST, 0.9, ledger="date", words=(_MONTHS,)),
+    Family("date-day-first", "DATE_TIME", fixed.DATE_DAY_FIRST, 0.9, ledger="date", words=(_MONTHS,)),
+    Family("date-numeric", "DATE_TIME", fixed.DATE_NUMERIC, 0.85, ledger="date", digits=4),
+    Family("time", "DATE_TIME", fixed.TIME, 0.8, ledger="date", digits=3),
+    Family("handle", "USERNAME", fixed.HANDLE, 0.85, ledger="user", words=(("@",),)),
+    Family("cued", "USERNAME", fixed.USERNAME_CUE, 0.75, group=1, ledger="user", words=(("user", "handle", "login"),)),
+    Family("geocoord", "ADDRESS", fixed.GEO, 0.85, words=(("[",),)),
+    Family("field_cue_address", "ADDRESS", fixed.ADDRESS_FIELD, 0.8, group=1, valid=_not_empty, words=((":",), ("building", "street", "city", "state", "post", "country", "secondary"))),
+    Family("field_cue_name", "PERSON", fixed.NAME_FIELD, 0.8, group=1, ledger="namefield", valid=_not_empty, words=((":",), ("name",))),
+    Family("tag_cue", "PERSON", fixed.NAME_TAG, 0.8, group=1, ledger="namefield", valid=_not_empty, words=(("<name>",),)),
+    Family("uae_emirates_id", "GOV_ID", fixed.EMIRATES_ID, 0.95, ledger="*", digits=15),
+    Family("uae_mobile", "PHONE", fixed.UAE_MOBILE, 0.85, ledger="*", digits=9),
+    Family("uae_landline", "PHONE", fixed.UAE_LANDLINE, 0.75, ledger="*", digits=9),
+    Family("uae_po_box", "ADDRESS", fixed.UAE_PO_BOX, 0.85, ledger="*", words=(("box",),)),
+    Family("uae_trade_license", "GOV_ID", fixed.UAE_TRADE_LICENCE, 0.85, ledger="*", words=(("cn",),)),
+    Family("uae_emirate_name", "ADDRESS", fixed.EMIRATE_NAME, 0.65, ledger="*", valid=_postal_near, words=(("dubai", "abu dhabi", "sharjah", "ajman", "fujairah", "ras al khaimah", "umm al quwain"),)),
+    *(Family(n, "GOV_ID", p, c, ledger="gulf", pack="gulf_ar", digits=8, score=_gulf_score(k, c)) for n, p, k, c in fixed.GULF_IDS),
+    Family("access_key", "SECRET", fixed.SECRET_ACCESS_KEY, 0.95, group=1, ledger="secret", source="secrets", words=(("akia", "asia"),)),
+    Family("secret_tag", "SECRET", fixed.SECRET_TAG, 0.9, group=1, ledger="secret", source="secrets", words=(("<password>", "<secret>", "<token>"),)),
+    Family("secret_cued", "SECRET", fixed.SECRET_CUED, 0.9, group=1, ledger="secret", source="secrets", words=((":", "="), ("pass", "pwd", "token", "secret", "api"))),
+    Family("name_cue", "PERSON", fixed.NAME_CUE, 0.88, group=1, ledger="name", source="ner", words=(_NAME_CUES,)),
     Family("capword_seq", "PERSON", fixed.CAPITALIZED_WORDS, 0.55, group=1, ledger="name", holds=False, start_only=True, valid=_plain_name, source="ner"),
     Family("street_pattern", "ADDRESS", fixed.STREET, 0.8, source="ner"),
-    Family("org_suffix", "ORG", fixed.ORGANISATION, 0.75, source="ner"),
-    Family("card_issuer_vocab", "ORG", fixed.CARD_ISSUER, 0.8, source="ner"),
-    Family("demographic_vocab", "DEMOGRAPHIC", fixed.DEMOGRAPHIC, 0.7, source="ner"),
-    Family("title_vocab", "TITLE", fixed.TITLE, 0.65, source="ner"),
+    Family("org_suffix", "ORG", fixed.ORGANISATION, 0.75, source="ner", words=(("inc", "llc", "l.l.c.", "corp", "ltd", "co.", "company", "group", "technologies", "labs", "partners", "holdings", "industries"),)),
+    Family("card_issuer_vocab", "ORG", fixed.CARD_ISSUER, 0.8, source="ner", words=(_words_of(fixed.CARD_ISSUER),)),
+    Family("demographic_vocab", "DEMOGRAPHIC", fixed.DEMOGRAPHIC, 0.7, source="ner", words=(_words_of(fixed.DEMOGRAPHIC),)),
+    Family("title_vocab", "TITLE", fixed.TITLE, 0.65, source="ner", words=(_words_of(fixed.TITLE),)),
 )
 BY_NAME = {f.name: f for f in FAMILIES}
-SPAN = "struct<start:int,end:int,text:string,label:string,format:string,source:string,confidence:double,ledger:string,holds:boolean>"
+SPAN = "struct<start:int,end:int,text:string,label:string,format:string,source:string,confidence:double>"
+FOUND = "struct<start:int,end:int,label:string,confidence:double,format:string,source:string,negated:boolean,text:string>"
 
 
 def named(*names: str) -> tuple[Family, ...]:
@@ -119,187 +159,75 @@ def of_packs(packs: Iterable[str], ner: bool = True) -> tuple[Family, ...]:
     return tuple(f for f in FAMILIES if (f.pack in packs or f.source == "secrets") and (ner or f.source != "ner"))
 
 
-def _may_match(family: Family, text: Column) -> Column:
-    """A cheap test that every text with a match passes."""
-    if family.needs == "0":
-        return text.rlike("[0-9]")
-    return functools.reduce(Column.__or__, [text.contains(c) for c in family.needs])
-
-
-def _spans_of(family: Family, text: Column) -> Column:
-    if family.pack == "gulf_ar":  # matched on ASCII digits, one for one, and cut from the text itself
-        folded = fold_arabic_digits(text)
-        found = F.transform(E.spans_of(folded, family.pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text")))
-    else:
-        folded, found = text, E.spans_of(text, family.pattern, family.group)
-    if family.valid is not None:
-        found = F.filter(found, lambda s: family.valid(s, text))
-
-    def typed(s: Column) -> Column:
-        confidence = gulf_confidence(family.name, fold_arabic_digits(s["text"]), _near(text, s)) if family.pack == "gulf_ar" else F.lit(family.confidence)
-        return F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.lit(family.label).alias("label"), F.lit(family.name).alias("format"), F.lit(family.source).alias("source"),
-            confidence.alias("confidence"), F.lit(family.ledger).cast("string").alias("ledger"), F.lit(family.holds).alias("holds"),
-        )
-
-    spans = F.transform(found, typed)
-    return F.when(_may_match(family, folded), spans).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")) if family.needs else spans
+_KINDS = {"start": pa.int32(), "end": pa.int32(), "label": pa.string(), "confidence": pa.float64(), "format": pa.string(), "source": pa.string(), "negated": pa.bool_(), "text": pa.string()}
+_PLACES = {c: i for i, c in enumerate(("start", "end", "label", "confidence", "format", "source", "negated"))}
 
 
-def _near(text: Column, span: Column) -> Column:
-    first = F.greatest(span["start"] - 40, F.lit(0))
-    return F.substring(text, first + 1, span["end"] + 40 - first)
+def _found_in(find: Callable[[str], list[tuple]], fields: tuple[str, ...]) -> Callable[[Column], Column]:
+    """A column function of a text: the spans that `find` gives for it, as an array of structs of the fields."""
+    session.ship_package(SparkSession.active())
+    kind = pa.list_(pa.struct([(c, _KINDS[c]) for c in fields]))
 
+    @F.arrow_udf(from_arrow_type(kind))
+    def found(texts: pa.Array) -> pa.Array:
+        columns, ends = {c: [] for c in fields}, [0]
+        for text in texts:
+            text = text.as_py()
+            spans = find(text) if text else []
+            for c in fields:
+                columns[c] += [text[s[0] : s[1]] for s in spans] if c == "text" else [s[_PLACES[c]] for s in spans]
+            ends.append(ends[-1] + len(spans))
+        structs = pa.StructArray.from_arrays([pa.array(columns[c], _KINDS[c]) for c in fields], names=list(fields))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
 
-def cue_nearby(window: Column) -> Column:
-    """Whether a word of the window, less one prefix and one suffix, is an identity cue."""
-    prefix = "|".join(fixed.CUE_PREFIXES)
-    words = F.regexp_extract_all(window, F.lit(fixed.ARABIC_WORD), F.lit(0))
-
-    def stem(word: Column) -> Column:
-        bare = F.regexp_replace(word, rf"^(?:{prefix})(?=..)", "")
-        out = bare
-        for suffix in reversed(fixed.CUE_SUFFIXES):
-            out = F.when(bare.endswith(suffix) & (F.length(bare) > len(suffix) + 1), bare.substr(F.lit(1), F.length(bare) - len(suffix))).otherwise(out)
-        return out
-
-    return F.exists(words, lambda w: stem(w).isin(*fixed.ID_CUES))
-
-
-def gulf_confidence(name: str, number: Column, window: Column) -> Column:
-    """Base confidence, raised by a right checksum, lowered by a wrong one, raised by a cue nearby."""
-    checksum, base = next((k, c) for n, _, k, c in fixed.GULF_IDS if n == name)
-    digits = F.regexp_replace(number, r"[\s\-]", "")
-    passed = {"saudi": E.saudi_checksum, "kuwait": E.kuwait_checksum, "uae": E.uae_checksum}[checksum](digits) if checksum else F.lit(None).cast("boolean")
-    scored = F.when(passed, min(0.99, base + 0.4)).when(~passed, max(0.15, base - 0.25)).otherwise(base)
-    return F.when(cue_nearby(window), F.least(F.lit(0.99), scored + 0.15)).otherwise(scored)
-
-
-def _respecting_ledgers(spans: Column) -> Column:
-    def inside(old: Column, new: Column) -> Column:
-        start = (old["start"] <= new["start"]) & (new["start"] < old["end"])
-        end = (old["start"] < new["end"]) & (new["end"] <= old["end"])
-        starts = [f.name for f in FAMILIES if f.start_only]
-        return start | (end & ~new["format"].isin(*starts))
+    return found
 
-    def claims(old: Column, new: Column) -> Column:
-        same = (old["ledger"] == new["ledger"]) & old["holds"]
-        return F.when(new["ledger"] == "*", ~old["ledger"].isin("gulf", "secret", "name") | old["ledger"].isNull()).otherwise(same) & inside(old, new)
 
-    def add(kept: Column, new: Column) -> Column:
-        blocked = new["ledger"].isNotNull() & F.exists(kept, lambda old: claims(old, new))
-        return F.when(blocked, kept).otherwise(F.concat(kept, F.array(new)))
-
-    return F.aggregate(spans, F.expr(f"cast(array() as array<{SPAN}>)"), add)
+def _numbers(families: Iterable[Family]) -> list[int]:
+    """Places in FAMILIES, which executors know; patterns need not be sent."""
+    wanted = list(families)
+    return [i for i, f in enumerate(FAMILIES) if f in wanted]
 
 
 def spans_column(families: Iterable[Family], text: str | Column = "text") -> Column:
-    """array of spans of a text column; null texts have none."""
-    text = F.col(text) if isinstance(text, str) else text
-    arrays = [_spans_of(f, text) for f in families]
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
-    kept = E.let(F.concat(*arrays), lambda spans: F.when(F.size(spans) > 0, _respecting_ledgers(spans)).otherwise(none))
-    return F.when(text.isNull(), none).otherwise(kept)
+    """array of SPAN of a text column, in order of the families; null texts have none."""
+    numbers = _numbers(families)
+    find = _found_in(lambda t: sweep.spans_in(t, [FAMILIES[i] for i in numbers]), ("start", "end", "text", "label", "format", "source", "confidence"))
+    return find(F.col(text) if isinstance(text, str) else text)
 
 
 def detect(units: DataFrame, families: Iterable[Family], text: str = "text", keep: Iterable[str] = ()) -> DataFrame:
     """One row for each span: the unit's `keep` columns, ord, start, end, text, label, format, source, confidence."""
-    spans = units.select(*keep, F.posexplode(spans_column(families, text)).alias("ord", "s"))
+    rows = session.spread(units.select(*keep, F.col(text).alias("whole")))
+    spans = rows.select(*keep, F.posexplode(spans_column(families, "whole")).alias("ord", "s"))
     return spans.select(*keep, "ord", "s.start", "s.end", "s.text", "s.label", "s.format", "s.source", "s.confidence")
 
 
-#: What every sentence with an ownership anchor holds.
-_ANCHORED = rf"(?i)\b{fixed.POSSESSIVE}\s+[^.!?\n]{{1,40}}?\s+{fixed.COPULA}\s|\b(?:live[sd]?|reside[sd]?)\s+at\s"
-FOUND = "struct<start:int,end:int,label:string,confidence:double,format:string,source:string,negated:boolean>"
-
-
-def locked_array(sentence: Column) -> Column:
-    """array of the values that ownership anchors name in a sentence ("my e-mail is ..."), with `negated`.
-
-    An anchor ends with a zone of at most 80 characters; the first value in it is the span. Negated
-    anchors have confidence 0.9, others 0.95."""
-    arrays = []
-    for label, words, value in fixed.ANCHORS:
-        if words is None:
-            pattern = rf"(?i)\b({fixed.VERB_NEGATION}\s+)?(?:live[sd]?|reside[sd]?)()\s+at\s+()(.{{1,80}}?){fixed.ZONE_END}"
-        else:
-            pattern = (
-                rf"(?i)\b({fixed.NEGATION}\s+)?{fixed.POSSESSIVE}\s+(?:{words})\s+({fixed.COPULA})\s+"
-                rf"((?:\w+\s+){{0,2}}not\s+)?(.{{1,80}}?){fixed.ZONE_END}"
-            )
-        matches = E.spans_of(sentence, pattern)
-        parts = [F.regexp_extract_all(sentence, F.lit(pattern), F.lit(i)) for i in (1, 2, 3, 4)]
-        rows = F.arrays_zip(matches.alias("m"), *[p.alias(f"g{i}") for i, p in enumerate(parts, 1)])
-
-        def located(row: Column) -> Column:
-            zone = row["g4"]
-            found = F.regexp_extract(zone, value, 0)
-            first = row["m"]["end"] - F.length(zone) + F.instr(zone, found) - 1
-            negated = (row["g1"] != "") | (row["g3"] != "") | F.lower(row["g2"]).contains("n't")
-            return F.struct(
-                first.cast("int").alias("start"), (first + F.length(found)).cast("int").alias("end"), F.lit(label).alias("label"), F.when(negated, 0.9).otherwise(0.95).alias("confidence"),
-                F.lit("anchor").alias("format"), F.lit("locked").alias("source"), negated.alias("negated"), found.alias("text"),
-            )
-
-        values = F.filter(F.transform(rows, located), lambda s: s["text"] != "")
-        if label == "CREDIT_CARD":
-            values = F.filter(values, lambda s: F.call_function("luhn_check", F.regexp_replace(s["text"], "[ \\-]", "")))
-        arrays.append(values)
-    return F.when(sentence.rlike(_ANCHORED), F.concat(*arrays)).otherwise(F.slice(F.concat(*arrays), 1, 0))
-
-
 def locked_spans(sentences: DataFrame, text: str = "text", keep: Iterable[str] = ()) -> DataFrame:
-    """start, end, text, label, negated, confidence of the locked values of each sentence row."""
-    found = sentences.select(*keep, F.explode(locked_array(F.col(text))).alias("s"))
-    return found.select(*keep, *[f"s.{c}" for c in ("start", "end", "text", "label", "negated", "confidence")])
-
-
-def found_column(text: Column, packs: Iterable[str] = ("base_en",), ner: bool = True) -> Column:
-    """The whole run on a text: array of FOUND in order of start, with offsets in the text as it is.
-
-    Detectors read the normalized text; their spans are mapped back and repaired on the original. Values that
-    ownership anchors name, sentence by sentence, take the place of all detected spans they overlap."""
-    families = of_packs(packs, ner)
-
-    def of_normal(normal: Column) -> Column:
-        places, read = normal["places"], normal["text"]
-
-        def mapped(s: Column) -> Column:
-            start, end = to_original(places, s["start"], s["end"])
-            return F.struct(start.alias("start"), end.alias("end"), *[s[c].alias(c) for c in ("label", "confidence", "format", "source")])
-
-        spans = F.filter(F.transform(spans_column(families, read), mapped), lambda s: s["start"] < s["end"])
-        detected = E.let(spans, lambda found: repaired(text, found))
-
-        def of_sentence(sentence: Column) -> Column:
-            def shifted(s: Column) -> Column:
-                start, end = to_original(places, s["start"] + sentence["start"], s["end"] + sentence["start"])
-                return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), *[s[c].alias(c) for c in ("label", "confidence", "format", "source", "negated")])
-
-            return F.transform(locked_array(sentence["sentence"]), shifted)
-
-        none = F.expr(f"cast(array() as array<{FOUND}>)")
-        locked = F.when(read.rlike(_ANCHORED), E.let(F.flatten(F.transform(sentence_array(read), of_sentence)), lambda found: locked_resolved(F.filter(found, lambda s: s["start"] < s["end"])))).otherwise(none)
-        plain = F.transform(detected, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "label", "confidence", "format", "source")], F.lit(False).alias("negated")))
-        return E.let(F.struct(locked.alias("locked"), plain.alias("plain")), lambda both: F.when(F.size(both["locked"]) > 0, locked_merged(both["locked"], both["plain"])).otherwise(both["plain"]))
+    """start, end, text, label, negated, confidence of the values that ownership anchors name in each sentence row
+    ("my e-mail is ..."); negated anchors have confidence 0.9, others 0.95."""
+    columns = ("start", "end", "text", "label", "negated", "confidence")
+    found = sentences.select(*keep, F.explode(_found_in(sweep.locked_in, columns)(F.col(text))).alias("s"))
+    return found.select(*keep, *[f"s.{c}" for c in columns])
 
-    return F.when(text.isNotNull(), E.let(normalized(text), of_normal)).otherwise(F.expr(f"cast(array() as array<{FOUND}>)"))
 
+def found_of(name: str, packs: Iterable[str] = ("base_en",), ner: bool = True, protect: str | None = None, families: Iterable[str] | None = None) -> Column:
+    """The whole run on a text column: array of FOUND in order of start, with offsets in the text as it is (`sweep.whole`).
 
-@functools.lru_cache(maxsize=32)
-def _found_of(name: str, packs: tuple[str, ...], ner: bool, jvm: int) -> Column:
-    return found_column(F.col(name), packs, ner)
+    Spans that overlap a match of the pattern `protect` are left out. With `families` only those of these names run."""
+    names = None if families is None else set(families)
+    numbers = _numbers(f for f in of_packs(packs, ner) if names is None or f.name in names)
 
+    def find(text: str) -> list[tuple]:
+        found = sweep.whole(text, [FAMILIES[i] for i in numbers], normal_form)
+        return sweep.free_of(found, (m.span() for m in sweep.compiled(protect).finditer(text))) if protect and found else found
 
-def found_of(name: str, packs: Iterable[str] = ("base_en",), ner: bool = True) -> Column:
-    """`found_column` of a column by name. It is a large expression, built once in a JVM."""
-    return _found_of(name, tuple(packs), ner, id(SparkSession.active()._jvm))
+    return _found_in(find, tuple(_KINDS))(F.col(name))
 
 
 def run(units: DataFrame, packs: Iterable[str] = ("base_en",), *, ner: bool = True, text: str = "text", keep: Iterable[str] = ()) -> DataFrame:
     """One row for each span of the whole run: `keep`, ord, start, end, text, label, confidence, format, source, negated.
-    The spans are found in the row of their text; nothing is shuffled."""
-    rows = units.select(*keep, F.col(text).alias("whole"), found_of(text, packs, ner).alias("found"))
-    spans = rows.select(*keep, "whole", F.posexplode("found").alias("ord", "s"))
-    cut = F.substring(F.col("whole"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    return spans.select(*keep, "ord", "s.start", "s.end", cut.alias("text"), *[f"s.{c}" for c in ("label", "confidence", "format", "source", "negated")])
+    The spans are found in the row of their text."""
+    rows = session.spread(units.select(*keep, F.col(text).alias("whole")))
+    spans = rows.select(*keep, F.posexplode(found_of("whole", packs, ner)).alias("ord", "s"))
+    return spans.select(*keep, "ord", *[f"s.{c}" for c in ("start", "end", "text", "label", "confidence", "format", "source", "negated")])

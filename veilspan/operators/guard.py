@@ -10,37 +10,37 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from veilspan.functions import expressions as E
 from veilspan.functions import fixed
-from veilspan.functions.text import sentence_array
-from veilspan.operators import detection, policy, routing, spans
+from veilspan.operators import detection, policy, routing, spans, sweep
+from veilspan.session import spread
 
 Rules = dict[str, tuple]
 
 
-def decisions_column(text: Column, found: Column, rules: Rules, negation_action: str | None) -> Column:
+def decisions_column(found: Column, rules: Rules, negation_action: str | None) -> Column:
     """array<struct<start,end,label,confidence,action,rule_id,value>> of a text's spans."""
 
     def decided(s: Column) -> Column:
         action, rule = policy.decide(s["label"], s["confidence"], s["negated"], rules, negation_action)
-        value = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        return F.struct(*[s[c].alias(c) for c in ("start", "end", "label", "confidence")], action.alias("action"), rule.alias("rule_id"), value.alias("value"))
+        return F.struct(*[s[c].alias(c) for c in ("start", "end", "label", "confidence")], action.alias("action"), rule.alias("rule_id"), s["text"].alias("value"))
 
     return F.transform(found, decided)
 
 
-def _decided(units: DataFrame, rules: Rules, text: str, packs: Iterable[str], ner: bool, negation_action: str | None) -> DataFrame:
-    """The units with `decisions`. The one-row generators keep the run's large expression out of what is built on it."""
-    found = units.select("*", F.explode(F.array(detection.found_of(text, packs, ner))).alias("found"))
-    return found.select(*units.columns, F.explode(F.array(decisions_column(F.col(text), F.col("found"), rules, negation_action))).alias("decisions"))
+def _decided(units: DataFrame, rules: Rules, text: str, packs: Iterable[str], ner: bool, negation_action: str | None, **run) -> DataFrame:
+    """The units with `decisions`."""
+    return spread(units).withColumn("found", detection.found_of(text, packs, ner, **run)).withColumn("decisions", decisions_column(F.col("found"), rules, negation_action)).drop("found")
 
 
-def tokenized(units: DataFrame, rules: Rules, *, session: str, secret: str, text: str = "text", packs: Iterable[str] = ("base_en",), ner: bool = True, negation_action: str | None = "PRESERVE") -> DataFrame:
-    """The units with `decisions`: as of `decisions_column`, with token_id and token of each."""
-    decided = _decided(units, rules, text, packs, ner, negation_action)
+def tokenized(units: DataFrame, rules: Rules, *, session: str, secret: str, text: str = "text", packs: Iterable[str] = ("base_en",), ner: bool = True, negation_action: str | None = "PRESERVE", **run) -> DataFrame:
+    """The units with `decisions`: as of `decisions_column`, with token_id and token of each. `run` is handed to `detection.found_of`."""
+    decided = _decided(units, rules, text, packs, ner, negation_action, **run)
     folded = decided.withColumn("folded", E.nfkc_array(F.transform("decisions", lambda d: d["value"]))).withColumn("key_hex", E.session_key(F.col(session), secret))
 
     def minted(d: Column, value: Column) -> Column:
@@ -85,32 +85,29 @@ def vault_entries(rows: DataFrame, session: str) -> DataFrame:
     return kept.select(session, "d.token_id", "d.value").distinct()
 
 
-def scan_output(replies: DataFrame, rules: Rules, *, session: str, secret: str, text: str = "text", packs: Iterable[str] = ("base_en",), ner: bool = True, negation_action: str | None = None, suppress_context: bool = False) -> DataFrame:
+def scan_output(replies: DataFrame, rules: Rules, *, session: str, secret: str, text: str = "text", packs: Iterable[str] = ("base_en",), ner: bool = True, negation_action: str | None = None, suppress_context: bool = False, families: Iterable[str] | None = None) -> DataFrame:
     """Replies with `shown` (values to be blocked marked, reversible ones as tokens) and `output_ids` (tokens minted
     here, which stay closed). Tokens that a reply holds already are protected: no span over one counts. With
-    `suppress_context` the sentences beside one with a replaced value are blanked, unless they hold one."""
-    rows = tokenized(replies, rules, session=session, secret=secret, text=text, packs=packs, ner=ner, negation_action=negation_action)
-    over = lambda d: F.exists("protected", lambda p: (d["start"] < p["end"]) & (p["start"] < d["end"]))
-    rows = rows.withColumn("protected", E.spans_of(text, fixed.TOKEN)).withColumn("decisions", F.filter("decisions", lambda d: ~over(d))).drop("protected")
+    `suppress_context` the sentences beside one with a replaced value are blanked, unless they hold one. With `families`
+    only the families of these names are looked for."""
+    rows = tokenized(replies, rules, session=session, secret=secret, text=text, packs=packs, ner=ner, negation_action=negation_action, protect=fixed.TOKEN, families=families)
     new = lambda d: F.when(d["action"] == "BLOCK", F.concat(F.lit("[REDACTED_OUTPUT_"), d["label"], F.lit("]"))).when(d["action"] == "REVERSIBLE", d["token"]).otherwise(d["value"])
     edits = _edits(F.col("decisions"), new)
     if suppress_context:
-        edits = F.concat(edits, _context(F.col(text), F.col("decisions")))
+        acted = F.transform(F.filter("decisions", lambda d: d["action"].isin("BLOCK", "REVERSIBLE")), lambda d: d["start"])
+        edits = F.concat(edits, F.transform(_context(F.col(text), acted), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(fixed.SUPPRESSED).alias("new"))))
     minted = F.array_distinct(F.transform(F.filter("decisions", lambda d: d["action"] == "REVERSIBLE"), lambda d: d["token_id"]))
     return rows.withColumn("shown", spans.splice(F.col(text), edits)).withColumn("output_ids", minted)
 
 
-def _context(text: Column, decisions: Column) -> Column:
-    acted = F.filter(decisions, lambda d: d["action"].isin("BLOCK", "REVERSIBLE"))
+_PLACES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def beside(sentences: Column) -> Column:
-        hit = F.transform(sentences, lambda s: F.exists(acted, lambda d: (s["start"] <= d["start"]) & (d["start"] < s["end"])))
-        near = lambda i: F.coalesce(F.get(hit, i - 1), F.lit(False)) | F.coalesce(F.get(hit, i + 1), F.lit(False))
-        kept = F.filter(F.transform(sentences, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(fixed.SUPPRESSED).alias("new"), (near(i) & ~F.get(hit, i)).alias("near"))), lambda s: s["near"])
-        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["new"].alias("new")))
 
-    none = F.slice(_edits(decisions, lambda d: d["value"]), 1, 0)
-    return F.when(F.size(acted) > 0, E.let(sentence_array(text), beside)).otherwise(none)
+@F.arrow_udf(from_arrow_type(_PLACES))
+def _context(texts: pa.Array, acted: pa.Array) -> pa.Array:
+    """Sentences beside one in which an acted-on span starts."""
+    rows = [[] if t is None or not a else [{"start": s, "end": e} for s, e in sweep.context(t, a)] for t, a in zip(texts.to_pylist(), acted.to_pylist(), strict=True)]
+    return pa.array(rows, _PLACES)
 
 
 def scan_calls(args: DataFrame, call: str, tool_rules: DataFrame, *, session: str, secret: str, tool: str = "tool", arg: str = "arg", value: str = "value") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from veilspan.functions import fixed
-
+from veilspan import session
+from veilspan.operators import sweep
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -44,82 +45,59 @@ def merge_gaps(spans: DataFrame, key: str, text: str) -> DataFrame:
     ).drop("island")
 
 
-#: Characters beside a span that are looked at first; longer runs are read to their end.
-BESIDE = 64
+_FIELDS = ("start", "end", "label", "confidence", "format", "source")
+_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("confidence", pa.float64()), ("format", pa.string()), ("source", pa.string()), ("how", pa.string())]))
 
 
-def extended(text: Column, label: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """Ends of a span repaired: number-like labels grow over adjoining digits (at most two separators
-    apart), word-like labels grow to word boundaries."""
-    digits, word = r"^(?:[\-.\s()]{0,2}\d)*", r"^[A-Za-z0-9']*"
+def _tuples(spans: list[dict], fields: tuple[str, ...] = _FIELDS) -> list[tuple]:
+    return [tuple(s[f] for f in fields) for s in spans]
 
-    def grown(side: Callable[[Column], Column], most: Column) -> Column:
-        run = lambda part: F.when(label.isin(*fixed.DIGIT_LABELS), F.length(F.regexp_extract(part, digits, 0))).otherwise(F.length(F.regexp_extract(part, word, 0)))
-        near = run(side(F.least(most, F.lit(BESIDE))))
-        return F.when(label.isin(*fixed.DIGIT_LABELS, *fixed.WORD_LABELS), F.when((most > BESIDE) & (near > BESIDE - 3), run(side(most))).otherwise(near)).otherwise(0)
 
-    before = lambda n: F.reverse(F.substring(text, start - n + 1, n))
-    after = lambda n: F.substring(text, end + 1, n)
-    return start - grown(before, start), end + grown(after, F.length(text) - end)
+def _dicts(spans: list[tuple]) -> list[dict]:
+    return [dict(zip((*_FIELDS, "how"), s, strict=True)) for s in spans]
 
 
-RESOLVED = "struct<start:int,end:int,label:string,confidence:double,how:string,format:string,source:string>"
+@F.arrow_udf(from_arrow_type(_TYPE))
+def _resolve(spans: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else _dicts(sweep.resolved(_tuples(x))) for x in spans.to_pylist()], _TYPE)
 
 
-def _resolved(start: Column, end: Column, confidence: Column, how: str, of: Column) -> Column:
-    """A RESOLVED span with the label, format and source of another."""
-    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), of["label"].alias("label"), confidence.cast("double").alias("confidence"), F.lit(how).alias("how"), of["format"].alias("format"), of["source"].alias("source"))
+@F.arrow_udf(from_arrow_type(_TYPE))
+def _repaired(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    rows = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+    return pa.array([[] if t is None or x is None else _dicts(sweep.repaired(t, _tuples(x))) for t, x in rows], _TYPE)
 
 
-def resolve(spans: Column) -> Column:
-    """Overlaps of an array of spans (start, end, label, confidence, format, source; sorted by start) resolved in one
-    sweep: equal labels unite, a significant overlap (over 0.4 of the shorter) keeps the higher score,
-    a slight one trims the later span."""
-    score = lambda s: s["confidence"] + _priority(s["label"]) * F.lit(1e-4)
+@F.arrow_udf(StringType())
+def _splice(texts: pa.Array, edits: pa.Array) -> pa.Array:
+    rows = zip(texts.to_pylist(), edits.to_pylist(), strict=True)
+    return pa.array([None if t is None or e is None else sweep.spliced(t, _tuples(e, ("start", "end", "new"))) if e else t for t, e in rows], pa.string())
 
-    def sweep(kept: Column, s: Column) -> Column:
-        prev, head = F.element_at(kept, -1), F.slice(kept, 1, F.size(kept) - 1)
-        own = _resolved(s["start"], s["end"], s["confidence"], "kept", s)
-        overlap = F.least(s["end"], prev["end"]) - F.greatest(s["start"], prev["start"])
-        shorter = F.least(s["end"] - s["start"], prev["end"] - prev["start"])
-        united = _resolved(F.least(prev["start"], s["start"]), F.greatest(prev["end"], s["end"]), F.greatest(prev["confidence"], s["confidence"]), "united", prev)
-        trimmed = _resolved(prev["end"], s["end"], s["confidence"], "trimmed", s)
-        return (
-            F.when((F.size(kept) == 0) | (overlap <= 0), F.concat(kept, F.array(own)))
-            .when(s["label"] == prev["label"], F.concat(head, F.array(united)))
-            .when((shorter > 0) & (overlap / shorter > 0.4), F.concat(head, F.array(F.when(score(prev) >= score(s), prev).otherwise(own))))
-            .when(s["end"] > prev["end"], F.concat(kept, F.array(trimmed)))
-            .otherwise(kept)
-        )
 
-    return F.aggregate(spans, F.expr(f"cast(array() as array<{RESOLVED}>)"), sweep)
+@F.arrow_udf(ArrayType(IntegerType()))
+def _locked(spans: pa.Array) -> pa.Array:
+    """Numbers of the spans that stay."""
+    rows = [None if x is None else [(s["start"], s["end"], i, s["confidence"]) for i, s in enumerate(x)] for x in spans.to_pylist()]
+    return pa.array([None if r is None else [s[2] for s in sweep.locked_resolved(r)] for r in rows], pa.list_(pa.int32()))
 
 
-def _priority(label: Column) -> Column:
-    out = F.lit(0)
-    for value in sorted(set(fixed.PRIORITY.values())):
-        out = F.when(label.isin(*[k for k, v in fixed.PRIORITY.items() if v == value]), value).otherwise(out)
-    return out
+def _shipped() -> None:
+    session.ship_package(SparkSession.active())
+
+
+def resolve(spans: Column) -> Column:
+    """Overlaps of an array of spans (start, end, label, confidence, format, source; sorted by start) resolved in one
+    pass: equal labels unite, a significant overlap (over 0.4 of the shorter) keeps the higher score,
+    a slight one trims the later span."""
+    _shipped()
+    return _resolve(spans)
 
 
 def repaired(text: Column, spans: Column) -> Column:
     """An array of a text's spans (start, end, label, confidence, format, source) with ends repaired, gaps merged and
     overlaps resolved, in the row where the text is. Spans of one place keep their order."""
-
-    def grown(s: Column, i: Column) -> Column:
-        start, end = extended(text, s["label"], s["start"], s["end"])
-        return F.struct(start.alias("start"), (start - end).alias("minus"), i.alias("ord"), end.alias("end"), *[s[c].alias(c) for c in ("label", "confidence", "format", "source")])
-
-    def add(kept: Column, s: Column) -> Column:
-        prev, head = F.element_at(kept, -1), F.slice(kept, 1, F.size(kept) - 1)
-        gap = F.substring(text, prev["end"] + 1, s["start"] - prev["end"])
-        joins = (F.size(kept) > 0) & (s["label"] == prev["label"]) & (s["start"] - prev["end"]).between(1, 3) & gap.rlike(r"^[\s,]{1,3}$")
-        island = _resolved(prev["start"], s["end"], F.greatest(prev["confidence"], s["confidence"]), "kept", prev)
-        return F.when(joins, F.concat(head, F.array(island))).otherwise(F.concat(kept, F.array(_resolved(s["start"], s["end"], s["confidence"], "kept", s))))
-
-    none = F.expr(f"cast(array() as array<{RESOLVED}>)")
-    merged = F.aggregate(F.array_sort(F.transform(spans, grown)), none, add)
-    return F.when(F.size(spans) > 0, resolve(merged)).otherwise(none)
+    _shipped()
+    return _repaired(text, spans)
 
 
 def repair(spans: DataFrame, key: str, text: str) -> DataFrame:
@@ -129,39 +107,19 @@ def repair(spans: DataFrame, key: str, text: str) -> DataFrame:
     return listed.select(key, F.explode(repaired(F.col(text), F.col("spans"))).alias("s")).select(key, *[f"s.{c}" for c in ("start", "end", "label", "confidence", "how")])
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-
 def locked_resolved(locked: Column) -> Column:
-    """Locked spans in order of their start; the first accepted span that a later one overlaps is replaced by it
-    only if its confidence is greater."""
-
-    def add(kept: Column, s: Column) -> Column:
-        at = F.array_position(F.transform(kept, lambda k: _overlap(k, s)), True).cast("int")
-        replaced = F.concat(F.slice(kept, 1, at - 1), F.array(s), F.slice(kept, at + 1, F.size(kept)))
-        beaten = F.when(at > 0, F.element_at(kept, at)["confidence"])
-        return F.when(at == 0, F.concat(kept, F.array(s))).when(s["confidence"] > beaten, replaced).otherwise(kept)
-
-    return F.aggregate(F.array_sort(locked), F.slice(locked, 1, 0), add)
-
-
-def locked_merged(locked: Column, detected: Column) -> Column:
-    """Resolved locked spans, and the detected spans (of the same fields) that none of them overlaps, by start."""
-    free = F.filter(detected, lambda d: ~F.exists(locked, lambda k: _overlap(k, d)))
-    return F.array_sort(F.concat(free, locked))
+    """Locked spans (structs that begin with start, end) in order of their start; the first accepted span that a later one
+    overlaps is replaced by it only if its confidence is greater."""
+    _shipped()
+    ordered = F.array_sort(locked)
+    return F.transform(_locked(F.transform(ordered, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "confidence")]))), lambda i: F.get(ordered, i))
 
 
 def splice(text: Column, edits: Column) -> Column:
     """The text with an array of edits (start, end, new) applied from left to right; an edit that starts
     before the last one's end is skipped."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def apply(state: Column, e: Column) -> Column:
-        moved = F.struct(e["end"].cast("int").alias("at"), F.concat(state["out"], F.substring(text, state["at"] + 1, e["start"] - state["at"]), e["new"]).alias("out"))
-        return F.when(e["start"] < state["at"], state).otherwise(moved)
-
-    return F.aggregate(F.array_sort(edits), start, apply, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    _shipped()
+    return _splice(text, edits)
 
 
 def context_ranges(sentences: DataFrame, actioned: DataFrame, key: str) -> DataFrame:

@@ -304,10 +304,10 @@ _SAID = "'Card of ' || c_name || ': write to c' || c_custkey || '@mail.com or 10
     f"SELECT c_custkey, regexp_replace(regexp_replace({_SAID}, {quoted(fixed.EMAIL)}, '<EMAIL>', 'g'), {quoted(fixed.IPV4)}, '[REDACTED_OUTPUT_IP_ADDRESS]', 'g') AS shown FROM customer",
 )
 def output_redaction(spark: SparkSession, sf: str) -> DataFrame:
-    """The strict policy on a reply: blocked values are marked, reversible ones become tokens (shown
-    here by their label alone)."""
+    """The strict policy on a reply, mails and addresses alone: blocked values are marked, reversible ones become
+    tokens (shown here by their label)."""
     rows = table(spark, sf, "customer").select("c_custkey", F.expr(_SAID).alias("text"), F.lit("s").alias("session_id"))
-    done = guard.scan_output(rows, fixed.POLICIES["finance_strict"], session="session_id", secret=SECRET, ner=False)
+    done = guard.scan_output(rows, fixed.POLICIES["finance_strict"], session="session_id", secret=SECRET, ner=False, families=["email", "ipv4"])
     return done.select("c_custkey", F.regexp_replace("shown", r"<([A-Z_]+)_PII_[0-9a-f]{10}>", "<$1>").alias("shown"))
 
 
