@@ -66,15 +66,6 @@ def test_rehydration(spark):
     assert got[2][0] == "plain"
 
 
-def test_token_bucket_and_breaker(spark):
-    calls = F.array(*[F.struct(F.lit(float(t)).alias("at"), F.lit(i).cast("long").alias("id")) for i, t in enumerate((0, 0, 0, 0, 1))])
-    got = spark.range(1).select(routing.token_bucket(calls, 1.0, 3.0)).first()[0]
-    assert [r["allowed"] for r in got] == [True, True, True, False, True]
-    fails = F.array(*[F.struct(F.lit(float(t)).alias("at"), F.lit(i).cast("long").alias("id"), F.lit(f).alias("failed")) for i, (t, f) in enumerate([(0, True), (1, True), (2, False), (40, True), (41, False), (80, False)])])
-    got = spark.range(1).select(routing.circuit_breaker(fails, 2, 30.0)).first()[0]
-    assert [(r["state"], r["allowed"]) for r in got] == [("closed", True), ("closed", True), ("open", False), ("half_open", True), ("open", False), ("half_open", True)]
-
-
 def test_audit_detects_tampering(spark):
     rows = spark.createDataFrame([("c", i, f"body{i}") for i in range(5)], "chain string, seq long, body string")
     linked = audit.link(rows, "chain", "seq", "body")

@@ -6,7 +6,6 @@ import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -76,9 +75,14 @@ def token_id(session: Column, secret: str, value: Column) -> Column:
     return F.substring(hmac_sha256(session_key(session, secret), nfkc(value)), 1, 10)
 
 
+def _folded(value: str | None) -> str | None:
+    """Python's own folding: Arrow's leaves characters decomposed."""
+    return value and unicodedata.normalize("NFKC", value)
+
+
 @F.arrow_udf(StringType())
 def _nfkc(values: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(values, "NFKC")
+    return pa.array([_folded(v) for v in values.to_pylist()], pa.string())
 
 
 def nfkc(value: Column) -> Column:
@@ -87,7 +91,7 @@ def nfkc(value: Column) -> Column:
 
 @F.arrow_udf(ArrayType(StringType()))
 def _nfkc_array(values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(values.offsets, pc.utf8_normalize(values.values, "NFKC"), mask=values.is_null()) if values.offset == 0 else pa.array([None if v is None else [x and unicodedata.normalize("NFKC", x) for x in v] for v in values.to_pylist()], pa.list_(pa.string()))
+    return pa.array([None if v is None else [_folded(x) for x in v] for v in values.to_pylist()], pa.list_(pa.string()))
 
 
 def nfkc_array(values: Column) -> Column:

@@ -12,7 +12,10 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
+from veilspan import session
+from veilspan.functions import ed25519
 from veilspan.operators import folds
 
 
@@ -55,6 +58,62 @@ def verify(records: DataFrame, chain: str, order: str, body: str) -> DataFrame:
     return checked.groupBy(chain).agg(F.count(F.lit(1)).alias("n"), F.bool_and("good").alias("ok"), F.min(F.when(~F.col("good"), F.col(order))).alias("first_bad"))
 
 
+def heads(records: DataFrame, chain: str, order: str) -> DataFrame:
+    """chain, n and head (the last record's hash) of each chain: what is signed."""
+    return records.groupBy(chain).agg(F.count(F.lit(1)).alias("n"), F.max_by("hash", order).alias("head"))
+
+
+def _message(chain: str | None, n: int, head: str | None) -> bytes:
+    return f"{chain}|{n}|{head}".encode()
+
+
+def sign_heads(heads: DataFrame, chain: str, seed: bytes, key_id: str) -> DataFrame:
+    """Heads with key_id and signature (hex), a detached Ed25519 signature of chain, length and head."""
+    session.ship_package(heads.sparkSession)
+
+    @F.arrow_udf(StringType())
+    def signed(chains: pa.Array, counts: pa.Array, hashes: pa.Array) -> pa.Array:
+        rows = zip(chains.to_pylist(), counts.to_pylist(), hashes.to_pylist(), strict=True)
+        return pa.array([ed25519.sign(_message(*row), seed).hex() for row in rows], pa.string())
+
+    return heads.withColumn("key_id", F.lit(key_id)).withColumn("signature", signed(F.col(chain).cast("string"), "n", "head"))
+
+
+def verify_signed(records: DataFrame, signed: DataFrame, keys: DataFrame, chain: str, order: str, body: str, *, require_signature: bool = True) -> DataFrame:
+    """n, ok, first_bad and signature of each chain: `valid`, `missing`, `unknown key`, or `invalid` where a head, the
+    number of records, or the signature itself is another than was signed. Any but `valid` makes a chain not ok; a missing
+    one only if signatures are required.
+
+    A record that was altered together with all hashes after it still links, but its head is not the signed one.
+    `keys` (key_id, public_key in hex) holds the keys of all rotations; signatures name theirs."""
+    session.ship_package(records.sparkSession)
+
+    @F.arrow_udf(BooleanType())
+    def good(chains: pa.Array, counts: pa.Array, hashes: pa.Array, signatures: pa.Array, publics: pa.Array) -> pa.Array:
+        def right(chain: str, n: int, head: str, signature: str | None, key: str | None) -> bool:
+            try:
+                return signature is not None and key is not None and ed25519.verified(_message(chain, n, head), bytes.fromhex(signature), bytes.fromhex(key))
+            except ValueError:
+                return False
+
+        rows = zip(*(x.to_pylist() for x in (chains, counts, hashes, signatures, publics)), strict=True)
+        return pa.array([right(*row) for row in rows], pa.bool_())
+
+    now = heads(records, chain, order).withColumnRenamed("n", "n_now")
+    held = signed.select(F.col(chain).alias("signed_chain"), "key_id", "signature").withColumn("held", F.lit(True))
+    joined = now.join(held, F.col(chain).eqNullSafe(F.col("signed_chain")), "left").join(F.broadcast(keys.select("key_id", "public_key")), "key_id", "left")
+    state = (
+        F.when(F.col("held").isNull() | F.col("signature").isNull(), "missing")
+        .when(F.col("public_key").isNull(), "unknown key")
+        .when(good(F.col(chain).cast("string"), "n_now", "head", "signature", "public_key"), "valid")
+        .otherwise("invalid")
+    )
+    states = joined.select(F.col(chain).alias("of_chain"), state.alias("signature"))
+    checked = verify(records, chain, order, body).join(states, F.col(chain).eqNullSafe(F.col("of_chain"))).drop("of_chain")
+    accepted = F.col("signature").isin("valid", *([] if require_signature else ["missing"]))
+    return checked.withColumn("ok", F.col("ok") & accepted)
+
+
 def view(records: DataFrame) -> DataFrame:
     """The flat record shown to an administrator: decision, rule, who, model, detail."""
     labels = F.concat(F.map_keys("span_counts"), F.coalesce("blocked_labels", F.array().cast("array<string>")))

@@ -58,6 +58,14 @@ def decide(label: Column, confidence: Column, negated: Column, rules: dict[str,
     return action, rule
 
 
+def decided(label: str, confidence: float, negated: bool, rules: dict[str, tuple], negation_action: str | None = "PRESERVE") -> str:
+    """The action of `decide` for one span, where spans are at hand in a task."""
+    if negated and negation_action is not None:
+        return negation_action
+    then, least, below = rules.get(label, ("PRESERVE", None, None))
+    return below if least is not None and below is not None and confidence < least else then
+
+
 def verdicts(decisions: DataFrame, key: str) -> DataFrame:
     """verdict, n_block, n_reversible and sorted blocked labels of each unit with spans."""
     counted = decisions.groupBy(key).agg(

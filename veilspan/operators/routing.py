@@ -63,37 +63,6 @@ def first_over_budget(costs: DataFrame, key: str, order: list[str], cost: str, b
     return costs.withColumn("spent_before", spent).withColumn("rejected", F.coalesce(spent >= budget, F.lit(False)))
 
 
-def token_bucket(requests: Column, rate: float, burst: float) -> Column:
-    """An ordered array of (at seconds, id) folded through a token bucket into (id, allowed, tokens).
-    Requests of one key are one row's array: keys are bounded by what a bucket sees in a period."""
-    start = F.expr("named_struct('tokens', cast(null as double), 'last', cast(null as double), 'out', cast(array() as array<struct<id:bigint,allowed:boolean,tokens:double>>))")
-
-    def step(s: Column, r: Column) -> Column:
-        filled = F.coalesce(F.least(F.lit(float(burst)), s["tokens"] + F.greatest(r["at"] - s["last"], F.lit(0.0)) * rate), F.lit(float(burst)))
-        left = F.when(filled >= 1, filled - 1).otherwise(filled)
-        done = F.struct(r["id"].alias("id"), (filled >= 1).alias("allowed"), left.alias("tokens"))
-        return F.struct(left.alias("tokens"), r["at"].alias("last"), F.concat(s["out"], F.array(done)).alias("out"))
-
-    return F.aggregate(requests, start, step, lambda s: s["out"])
-
-
-def circuit_breaker(calls: Column, threshold: int = 5, open_seconds: float = 30.0) -> Column:
-    """An ordered array of (at seconds, id, failed) folded through a breaker into (id, state, allowed).
-    A call that is let through reports its outcome at once, so a half-open breaker has one probe."""
-    start = F.expr("named_struct('fails', 0, 'opened', cast(null as double), 'out', cast(array() as array<struct<id:bigint,state:string,allowed:boolean>>))")
-
-    def step(s: Column, c: Column) -> Column:
-        state = F.when(s["opened"].isNull(), "closed").when(c["at"] - s["opened"] >= open_seconds, "half_open").otherwise("open")
-        allowed = state != "open"
-        fails = F.when(~allowed | (c["failed"] & (state == "half_open")), s["fails"]).when(c["failed"], s["fails"] + 1).otherwise(0)
-        opens = c["failed"] & ((state == "half_open") | ((state == "closed") & (fails >= threshold)))
-        opened = F.when(~allowed, s["opened"]).when(opens, c["at"]).when(c["failed"], s["opened"])
-        done = F.struct(c["id"].alias("id"), state.alias("state"), allowed.alias("allowed"))
-        return F.struct(fails.alias("fails"), opened.alias("opened"), F.concat(s["out"], F.array(done)).alias("out"))
-
-    return F.aggregate(calls, start, step, lambda s: s["out"])
-
-
 def agent_status(last_beat: Column, revoked: Column, now: Column, interval: float = 30.0, missed: int = 3) -> Column:
     return F.when(revoked, "revoked").when(last_beat.isNull(), "enrolled").when(now - last_beat <= interval * missed, "online").otherwise("offline")
 
@@ -116,14 +85,37 @@ class Bucket:
         return allowed, state["tokens"], 0 if allowed else math.ceil((1 - filled) / self.rate * 1000)
 
 
+def segmented(rows: DataFrame, key: str, order: list[str], at: str, gap: float, settled: Column | None = None) -> DataFrame:
+    """`rows` with `segment`: parts of a key's order whose state at their start does not hang on what was before, so
+    that a key with very many rows is many tasks' work.
+
+    Time is cut into cells of `gap` seconds. Before a key's first row of a cell whose predecessor is empty nothing
+    happened for longer than `gap`; there a segment starts or, with `settled`, after that row if it is settled (the row
+    itself ends the segment before). Only distinct cells are put in order; rows meet them in an equi-join."""
+    at_cell = rows.withColumn("cell", F.floor(F.col(at) / F.lit(gap * (1 + 1e-9))))
+    place = F.struct(*order)
+    first = F.min(F.struct(place.alias("place"), (F.lit(True) if settled is None else settled).alias("settled"))).alias("first")
+    w = Window.partitionBy(key).orderBy("cell")
+    starts = F.coalesce((F.col("cell") - F.lag("cell").over(w) > 1) & F.col("first.settled"), F.lit(False))
+    cells = at_cell.groupBy(key, "cell").agg(first).withColumn("starts", starts).withColumn("segment", F.sum(F.col("starts").cast("long")).over(w))
+    cells = cells.select(F.col(key).alias("cell_key"), F.col("cell").alias("cell_no"), "segment", "starts", F.col("first.place").alias("place"))
+    met = at_cell.join(cells, F.col(key).eqNullSafe(F.col("cell_key")) & F.col("cell").eqNullSafe(F.col("cell_no")))
+    ends = F.col("starts") & (place == F.col("place")) if settled is not None else F.lit(False)
+    return met.withColumn("segment", F.struct(F.col(key).alias("key"), (F.col("segment") - ends.cast("long")).alias("no"))).select(*rows.columns, "segment")
+
+
 def bucketed(requests: DataFrame, key: str, order: list[str], at: str, rate: float, burst: float) -> DataFrame:
-    """Requests with allowed, tokens (left) and retry_after_ms of a token bucket for each key."""
-    return folds.fold(requests, key, order, [at], dict, Bucket(rate, burst).step, {"allowed": ("boolean", pa.bool_()), "tokens": ("double", pa.float64()), "retry_after_ms": ("long", pa.int64())})
+    """Requests with allowed, tokens (left) and retry_after_ms of a token bucket for each key. A bucket is full after
+    burst / rate seconds without requests whatever came before, so such gaps part a key's work."""
+    parts = segmented(requests, key, order, at, burst / rate)
+    return folds.fold(parts, "segment", order, [at], dict, Bucket(rate, burst).step, {"allowed": ("boolean", pa.bool_()), "tokens": ("double", pa.float64()), "retry_after_ms": ("long", pa.int64())}).drop("segment")
 
 
 def guarded(calls: DataFrame, key: str, order: list[str], at: str, failed: str, threshold: int = 5, open_seconds: float = 30.0) -> DataFrame:
-    """Calls with state and allowed of a circuit breaker for each key; the rules are those of `circuit_breaker`."""
-    return folds.fold(calls, key, order, [at, failed], Breaker(threshold, open_seconds).start, Breaker(threshold, open_seconds).step, {"state": ("string", pa.string()), "allowed": ("boolean", pa.bool_())})
+    """Calls with state and allowed of a circuit breaker for each key. After `open_seconds` without calls the next
+    one is let through whatever came before, and if it succeeds the breaker is closed: such calls part a key's work."""
+    parts = segmented(calls, key, order, at, open_seconds, ~F.coalesce(F.col(failed), F.lit(False)))
+    return folds.fold(parts, "segment", order, [at, failed], Breaker(threshold, open_seconds).start, Breaker(threshold, open_seconds).step, {"state": ("string", pa.string()), "allowed": ("boolean", pa.bool_())}).drop("segment")
 
 
 class Breaker:

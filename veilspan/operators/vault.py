@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
+from veilspan import session
 from veilspan.functions import expressions as E
 from veilspan.functions import fixed
 
@@ -31,22 +36,60 @@ def opened(ciphertext: Column, key: Column, session: Column, token_id: Column) -
     return F.aes_decrypt(ciphertext, key, F.lit("GCM"), F.lit("DEFAULT"), _place(session, token_id)).cast("string")
 
 
-def entry_key(key: Column, session: Column, token_id: Column) -> Column:
-    """An entry's own 256-bit key, derived from the master key and its place."""
-    return F.unhex(F.sha2(F.concat(F.hex(key), F.lit(":entry:"), _place(session, token_id)), 256))
+def _random(count: int) -> list[bytes]:
+    return [os.urandom(32) for _ in range(count)]
+
+
+@F.arrow_udf(BinaryType())
+def _own_keys(places: pa.Array) -> pa.Array:
+    return pa.array(_random(len(places)), pa.binary())
+
+
+def seal_entries(entries: DataFrame, master: Column, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Entries (session_id, token_id, value) as two tables in `folder`: boxes (session_id, token_id, box), each value under
+    a random key of its own, and keys (session_id, token_id, wrapped), those keys under the master key. Both are bound
+    to session and token. No key follows from the master key, so a box whose key row is gone is closed for good.
+
+    The keys are drawn in the one job that writes both in one row, so a task that is repeated writes a pair that fits."""
+    session.ship_package(entries.sparkSession)
+    place = _place(F.col("session_id"), F.col("token_id"))
+    drawn = entries.withColumn("own", _own_keys.asNondeterministic()(place))
+    rows = drawn.select("session_id", "token_id", _encrypted(F.col("value"), F.col("own"), place).alias("box"), _encrypted(F.hex("own"), master, place).alias("wrapped"))
+    both = _stored(rows, f"{folder}/sealed")
+    return _stored(both.drop("wrapped"), f"{folder}/boxes"), _stored(both.drop("box"), f"{folder}/keys")
+
+
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _encrypted(value: Column, key: Column, place: Column) -> Column:
+    return F.aes_encrypt(value, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(""), place)
+
+
+def _decrypted(box: Column, key: Column, place: Column) -> Column:
+    return F.try_aes_decrypt(box, key, F.lit("GCM"), F.lit("DEFAULT"), place).cast("string")
+
+
+def open_entries(boxes: DataFrame, keys: DataFrame, master: Column) -> DataFrame:
+    """session_id, token_id, value of every box; null where its key is gone or another master key wrapped it."""
+    place = _place(F.col("session_id"), F.col("token_id"))
+    own = F.unhex(_decrypted(F.col("wrapped"), master, place))
+    joined = boxes.join(keys, ["session_id", "token_id"], "left").withColumn("own", own)
+    return joined.select("session_id", "token_id", F.when(F.col("own").isNotNull(), _decrypted(F.col("box"), F.col("own"), place)).alias("value"))
 
 
-def sealed_entry(value: Column, key: Column, session: Column, token_id: Column) -> Column:
-    """struct(box, wrapped): the value under its entry's own key, and that key wrapped under the master key, both
-    bound to session and token. Erasing `wrapped` makes a box unreadable to whoever lacks the master key's history."""
-    own = entry_key(key, session, token_id)
-    return F.struct(sealed(value, own, session, token_id).alias("box"), sealed(F.hex(own), key, session, token_id).alias("wrapped"))
+def rewrap(keys: DataFrame, old: Column, new: Column) -> DataFrame:
+    """Keys wrapped under a new master key; boxes stay as they are. Keys that the old master key does not open are dropped."""
+    place = _place(F.col("session_id"), F.col("token_id"))
+    bare = keys.withColumn("own", _decrypted(F.col("wrapped"), old, place)).where("own is not null")
+    return bare.select("session_id", "token_id", _encrypted(F.col("own"), new, place).alias("wrapped"))
 
 
-def opened_entry(entry: Column, key: Column, session: Column, token_id: Column) -> Column:
-    """The value of a sealed entry, by its unwrapped key."""
-    own = F.unhex(opened(entry["wrapped"], key, session, token_id))
-    return opened(entry["box"], own, session, token_id)
+def erase_keys(keys: DataFrame, erased: DataFrame) -> DataFrame:
+    """Keys without those of the erased sessions (session_id): their boxes never open again."""
+    return keys.join(erased.select("session_id").distinct(), "session_id", "left_anti")
 
 
 def upsert(writes: DataFrame) -> DataFrame:

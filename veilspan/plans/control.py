@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspan.functions import fixed
+from veilspan.functions import ed25519, fixed
 from veilspan.operators import audit, policy, routing
 from veilspan.plans.detection import quoted
 from veilspan.session import shared_folder, table
@@ -407,6 +408,31 @@ def audit_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     return again.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("signature").alias("signed"))
 
 
+_SEED = hashlib.sha256(b"local-test-signing").digest()
+
+
+@query(
+    "audit_signed",
+    """WITH c AS (SELECT user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1)
+    SELECT user_id, n - CASE WHEN user_id % 5 = 2 THEN 1 ELSE 0 END AS n, user_id % 5 IN (0, 4) AS ok,
+    CASE user_id % 5 WHEN 0 THEN 'valid' WHEN 3 THEN 'missing' WHEN 4 THEN 'valid' ELSE 'invalid' END AS signature FROM c WHERE user_id % 20 < 5""",
+)
+def audit_signed(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains with signed heads. In some a record is altered together with all its hashes (user_id % 5 = 1), cut off (2) or
+    the signature is missing (3); others were signed by a key that has been replaced since (4)."""
+    log = _log(spark, sf).where("user_id % 20 < 5")
+    heads = audit.heads(log, "user_id", "event_id").where("user_id % 5 <> 3")
+    now, then = heads.where("user_id % 5 <> 4"), heads.where("user_id % 5 = 4")
+    old = hashlib.sha256(b"local-test-signing-before").digest()
+    signed = audit.sign_heads(now, "user_id", _SEED, "k2").unionByName(audit.sign_heads(then, "user_id", old, "k1"))
+    keys = spark.createDataFrame([("k1", ed25519.public_key(old).hex()), ("k2", ed25519.public_key(_SEED).hex())], "key_id string, public_key string")
+    last = Window.partitionBy("user_id")
+    held = log.withColumn("last", F.max("event_id").over(last)).where("user_id % 5 <> 2 or event_id < last").drop("last")
+    altered = F.when((F.col("user_id") % 5 == 1) & (F.col("event_id") == F.min("event_id").over(last)), F.concat("body", F.lit("!"))).otherwise(F.col("body"))
+    again = audit.link(held.withColumn("body", altered).drop("prev_hash", "hash"), "user_id", "event_id", "body")
+    return audit.verify_signed(again, signed, keys, "user_id", "event_id", "body").select("user_id", "n", "ok", "signature")
+
+
 @query("evidence_manifest", "SELECT count(*) AS record_count, TRUE AS chain_verified FROM events")
 def evidence_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return audit.evidence(_log(spark, sf), "user_id", "event_id", "body")

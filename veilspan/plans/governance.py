@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from veilspan.functions import expressions as E
 from veilspan.functions import fixed
 from veilspan.operators import detection, guard, policy, spans, vault
 from veilspan.plans.detection import doubled, quoted
-from veilspan.session import table
+from veilspan.session import shared_folder, table
 
 QUERIES, SQL = {}, {}
 SECRET = "local-test-secret"
@@ -334,14 +336,46 @@ def output_containment(spark: SparkSession, sf: str) -> DataFrame:
     return vault.rehydrate(rows, stored, "c_custkey").select("c_custkey", "final_text", F.array_join("unresolved", ",").alias("unresolved"))
 
 
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
+    token = E.token_id(F.col("c_nationkey").cast("string"), SECRET, F.col("c_name"))
+    return table(spark, sf, "customer").select(F.concat(F.lit("s"), "c_nationkey").alias("session_id"), token.alias("token_id"), F.col("c_name").alias("value"), "c_custkey")
+
+
+def _sealed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    entries = _entries(spark, sf)
+    folder = f"{shared_folder(spark)}/vault-{uuid.uuid4().hex}"
+    return entries.select("session_id", "token_id", "c_custkey"), *vault.seal_entries(entries.drop("c_custkey"), _key("master"), folder)
+
+
+def _key(name: str):
+    return F.unhex(F.sha2(F.lit(f"{SECRET}:{name}"), 256))
+
+
 @query("vault_entry_keys", "SELECT c_custkey, c_name AS value, TRUE AS bound FROM customer")
 def vault_entry_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Each entry has its own key, wrapped under the master key; both open with their own session and token only."""
-    key = F.unhex(F.sha2(F.lit(SECRET), 256))
-    rows = table(spark, sf, "customer").select("c_custkey", "c_name", F.concat(F.lit("s"), "c_nationkey").alias("s"), E.token_id(F.col("c_nationkey").cast("string"), SECRET, F.col("c_name")).alias("t"))
-    boxed = rows.withColumn("e", vault.sealed_entry(F.col("c_name"), key, F.col("s"), F.col("t")))
-    wrong = F.try_aes_decrypt("e.wrapped", key, F.lit("GCM"), F.lit("DEFAULT"), F.concat_ws(":", F.lit("other"), F.col("t")))
-    return boxed.select("c_custkey", vault.opened_entry(F.col("e"), key, F.col("s"), F.col("t")).alias("value"), wrong.isNull().alias("bound"))
+    """Each entry has a random key of its own, kept in a table of keys under the master key; another master key opens nothing."""
+    names, boxes, keys = _sealed(spark, sf)
+    place = ["session_id", "token_id"]
+    opened = vault.open_entries(boxes, keys, _key("master")).join(vault.open_entries(boxes, keys, _key("other")).withColumnRenamed("value", "wrong"), place)
+    return names.join(opened, place).select("c_custkey", "value", F.col("wrong").isNull().alias("bound"))
+
+
+@query("vault_key_rotation", "SELECT c_custkey, c_name AS value, TRUE AS old_is_void FROM customer")
+def vault_key_rotation(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys wrapped anew under another master key: every box opens, without being touched, and the old master key opens none."""
+    names, boxes, keys = _sealed(spark, sf)
+    place, turned = ["session_id", "token_id"], vault.rewrap(keys, _key("master"), _key("next"))
+    opened = vault.open_entries(boxes, turned, _key("next")).join(vault.open_entries(boxes, turned, _key("master")).withColumnRenamed("value", "old"), place)
+    return names.join(opened, place).select("c_custkey", "value", F.col("old").isNull().alias("old_is_void"))
+
+
+@query("vault_crypto_erase", "SELECT c_custkey, CASE WHEN c_nationkey % 3 <> 0 THEN c_name END AS value FROM customer")
+def vault_crypto_erase(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third session's keys are erased: its boxes stay, and no master key opens them."""
+    names, boxes, keys = _sealed(spark, sf)
+    erased = table(spark, sf, "nation").where("n_nationkey % 3 = 0").select(F.concat(F.lit("s"), "n_nationkey").alias("session_id"))
+    opened = vault.open_entries(boxes, vault.erase_keys(keys, erased), _key("master"))
+    return names.join(opened, ["session_id", "token_id"]).select("c_custkey", "value")
 
 
 @query(

@@ -1,7 +1,8 @@
 """Limits, breakers, expiry and heartbeats as streams: one small state value for each key.
 
-The rules are those of the batch operators. Rows of a key within a micro-batch are taken in order of time and id;
-rows that come later than a batch already done are taken when they come.
+The rules are those of the batch operators. A key's rows wait in state until the watermark has passed them, and are then taken
+in order of time and id, however many batches or files they came in; rows later than the watermark's delay are
+dropped, as Spark drops them.
 """
 
 from __future__ import annotations
@@ -13,69 +14,108 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from veilspan import session
 from veilspan.operators.routing import Breaker, Bucket
 
 
-class _Ordered(StatefulProcessor):
-    """Keeps one value state and hands a key's rows over in order."""
+class _InOrder(StatefulProcessor):
+    """Folds a key's rows in event order: `due_ms` is when the watermark has passed a row. One timer waits for the first."""
 
-    SCHEMA = ""
+    STATE, WAITING, FIELDS, OUT = "", "", (), ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.SCHEMA)
+        self.state = handle.getValueState("state", self.STATE)
+        self.waiting = handle.getListState("waiting", self.WAITING)
+        self.timer = handle.getValueState("timer", "due long")
+
+    def fold(self, rows: list[tuple]) -> list[tuple]:
+        raise NotImplementedError
+
+    def _wait_for(self, due: int) -> None:
+        if self.timer.exists():
+            if self.timer.get()[0] <= due:
+                return
+            self.handle.deleteTimer(self.timer.get()[0])
+        self.timer.update((due,))
+        self.handle.registerTimer(due)
 
-    def ordered(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        return pd.concat(list(rows)).sort_values(["at", "id"])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            own = frame[list(self.FIELDS)].astype(object).where(frame[list(self.FIELDS)].notna(), None)
+            self.waiting.appendList(list(own.itertuples(index=False, name=None)))
+            self._wait_for(int(frame["due_ms"].min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, ready, later = timerValues.getCurrentWatermarkInMs(), [], []
+        for row in self.waiting.get():
+            (ready if row[0] <= now else later).append(tuple(row))
+        self.timer.clear()
+        if later:
+            self.waiting.put(later)
+            self._wait_for(min(r[0] for r in later))
+        else:
+            self.waiting.clear()
+        out = self.fold(sorted(ready, key=lambda r: (r[1], r[2])))
+        yield pd.DataFrame([(key[0], *row) for row in out], columns=["key", *self.OUT])
 
     def close(self) -> None:
         pass
 
 
-class Limiter(_Ordered):
-    SCHEMA = "tokens double, last double"
+class Limiter(_InOrder):
+    STATE, WAITING = "tokens double, last double", "due_ms long, at double, id long"
+    FIELDS, OUT = ("due_ms", "at", "id"), ("id", "allowed", "tokens", "retry_after_ms")
 
     def __init__(self, rate: float, burst: float):
         self.bucket = Bucket(rate, burst)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def fold(self, rows: list[tuple]) -> list[tuple]:
         state = dict(zip(("tokens", "last"), self.state.get(), strict=True)) if self.state.exists() else {}
-        out = [(key[0], r.id, *self.bucket.step(state, r.at)) for r in self.ordered(rows).itertuples()]
-        self.state.update((state["tokens"], state["last"]))
-        yield pd.DataFrame(out, columns=["key", "id", "allowed", "tokens", "retry_after_ms"])
+        out = [(i, *self.bucket.step(state, at)) for _, at, i in rows]
+        if state:
+            self.state.update((state["tokens"], state["last"]))
+        return out
 
 
-class Guard(_Ordered):
-    SCHEMA = "fails int, opened double"
+class Guard(_InOrder):
+    STATE, WAITING = "fails int, opened double", "due_ms long, at double, id long, failed boolean"
+    FIELDS, OUT = ("due_ms", "at", "id", "failed"), ("id", "state", "allowed")
 
     def __init__(self, threshold: int, open_seconds: float):
         self.breaker = Breaker(threshold, open_seconds)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def fold(self, rows: list[tuple]) -> list[tuple]:
         state = dict(zip(("fails", "opened"), self.state.get(), strict=True)) if self.state.exists() else Breaker.start()
-        out = [(key[0], r.id, *self.breaker.step(state, r.at, r.failed is True or r.failed == 1)) for r in self.ordered(rows).itertuples()]
+        out = [(i, *self.breaker.step(state, at, bool(failed))) for _, at, i, failed in rows]
         self.state.update((state["fails"], state["opened"]))
-        yield pd.DataFrame(out, columns=["key", "id", "state", "allowed"])
+        return out
 
 
-class Deadline(_Ordered):
-    """One timer for each key, at `until_ms` of its last row, or with `latest` at the latest of its rows; the key is
-    emitted when the watermark passes it, and a later row starts it anew."""
-
-    SCHEMA = "due long"
+class Deadline(StatefulProcessor):
+    """One timer for each key, at `until_ms` of its last row by (at, id), or with `latest` at the latest of its rows; the key
+    is emitted when the watermark passes it, and a later row starts it anew."""
 
     def __init__(self, latest: bool):
         self.latest = latest
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "due long, at double, id long")
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        own = self.ordered(rows)["until_ms"]
-        due = int(own.max() if self.latest else own.iloc[-1])
-        if self.state.exists():
-            if self.latest and self.state.get()[0] >= due:
-                return iter(())
-            self.handle.deleteTimer(self.state.get()[0])
-        self.state.update((due,))
-        self.handle.registerTimer(due)
+        held = self.state.get() if self.state.exists() else None
+        best = held and tuple(held)
+        for frame in rows:
+            for r in frame[["until_ms", "at", "id"]].itertuples(index=False, name=None):
+                if best is None or (r[0] > best[0] if self.latest else r[1:] > best[1:]):
+                    best = (int(r[0]), float(r[1]), int(r[2]))
+        if held is None or best[0] != held[0]:
+            if held is not None:
+                self.handle.deleteTimer(held[0])
+            self.handle.registerTimer(best[0])
+        self.state.update(best)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -83,15 +123,24 @@ class Deadline(_Ordered):
         self.state.clear()
         yield pd.DataFrame({"key": [key[0]], "due_ms": [due]})
 
+    def close(self) -> None:
+        pass
+
+
+def _dated(rows: DataFrame, delay: str) -> DataFrame:
+    """Rows with a watermark on ts and the millisecond, rounded up, at which it has passed them."""
+    session.ship_package(rows.sparkSession)
+    return rows.withColumn("due_ms", F.ceil(F.unix_micros("ts") / 1000)).withWatermark("ts", delay)
+
 
-def limit_stream(requests: DataFrame, rate: float, burst: float) -> DataFrame:
-    """A stream of (key, id, at) to one of (key, id, allowed, tokens, retry_after_ms)."""
-    return requests.groupBy("key").transformWithStateInPandas(Limiter(rate, burst), "key string, id long, allowed boolean, tokens double, retry_after_ms long", "Append", "None")
+def limit_stream(requests: DataFrame, rate: float, burst: float, delay: str = "0 seconds") -> DataFrame:
+    """A stream of (key, id, at, ts) to one of (key, id, allowed, tokens, retry_after_ms), once the watermark on ts has passed a request."""
+    return _dated(requests, delay).groupBy("key").transformWithStateInPandas(Limiter(rate, burst), "key string, id long, allowed boolean, tokens double, retry_after_ms long", "Append", "EventTime")
 
 
-def guard_stream(calls: DataFrame, threshold: int = 5, open_seconds: float = 30.0) -> DataFrame:
-    """A stream of (key, id, at, failed) to one of (key, id, state, allowed)."""
-    return calls.groupBy("key").transformWithStateInPandas(Guard(threshold, open_seconds), "key string, id long, state string, allowed boolean", "Append", "None")
+def guard_stream(calls: DataFrame, threshold: int = 5, open_seconds: float = 30.0, delay: str = "0 seconds") -> DataFrame:
+    """A stream of (key, id, at, ts, failed) to one of (key, id, state, allowed), once the watermark on ts has passed a call."""
+    return _dated(calls, delay).groupBy("key").transformWithStateInPandas(Guard(threshold, open_seconds), "key string, id long, state string, allowed boolean", "Append", "EventTime")
 
 
 def offline_stream(beats: DataFrame, interval: float = 30.0, missed: int = 3, delay: str = "0 seconds") -> DataFrame:

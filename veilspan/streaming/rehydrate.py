@@ -3,19 +3,32 @@
 Text is released up to the last `<` that may still begin a token; a `<` whose following characters
 cannot begin one holds nothing back, so at most one token's length waits. The released text of a
 request is the same as that of the whole reply rehydrated at once.
+
+With an output scan (`scan_stream`) the released text is that of `guard.scan_output` and then of the tokens being
+opened, on the whole reply. What is found in a text can hang on its neighbourhood, so a reply is scanned up to places
+that nothing crosses (`safe_cuts`): ends of sentences after a word of letters and before a letter. A part is released
+once a further such place has come, since only then the next sentence, which may have to be blanked, is known, and
+FAR characters after it, which a postal number may lie in; it is scanned together with as much of what was released
+before. A reply without such places is held until its last chunk. A token is opened or kept closed by what was minted up to its part.
 """
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 import re
-from collections.abc import Collection, Iterator
+import unicodedata
+from collections.abc import Collection, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from veilspan import session
 from veilspan.functions import fixed
+from veilspan.functions.text import normal_form
+from veilspan.operators import detection, policy, sweep
 
 _TOKEN = re.compile(fixed.TOKEN)
 _PREFIX = re.compile(r"<(?:[A-Z_]*|[A-Z_]+_PII_[0-9a-f]{0,10})$")
@@ -74,6 +87,114 @@ class Rehydrator(StatefulProcessor):
         pass
 
 
+#: Characters beside a span that decide on it at most.
+FAR = 64
+#: A sentence's end that no pattern, repair or spaced run reaches over: letters and one mark before it, a letter after it.
+_SAFE = re.compile(rf"(?<=[A-Za-z]{{2}})(?=[.!?]\s)(?:{sweep.BOUNDARY})(?=[A-Za-z])")
+
+
+def safe_cuts(text: str) -> list[int]:
+    """Places at which a text can be scanned in parts. A field <name>...</name> that is still open holds them back."""
+    out = []
+    for m in _SAFE.finditer(text):
+        tag = text.rfind("<", 0, m.end())
+        if tag < 0 or text[tag : tag + 6].lower() != "<name>":
+            out.append(m.end())
+    return out
+
+
+def token_id(session_id: str, secret: str, value: str) -> str:
+    """The token of a value, as `expressions.token_id` mints it."""
+    key = hashlib.sha256(f"{session_id}:{secret}".encode()).hexdigest()
+    return hmac.new(bytes.fromhex(key), unicodedata.normalize("NFKC", value).encode(), hashlib.sha256).hexdigest()[:10]
+
+
+class Scan:
+    """What a policy makes of a reply: blocked values are marked, reversible ones become tokens."""
+
+    def __init__(self, rules: dict[str, tuple], secret: str, packs: Iterable[str] = ("base_en",), negation_action: str | None = None, suppress_context: bool = False):
+        self.rules, self.secret, self.packs, self.negation_action, self.suppress_context = rules, secret, tuple(packs), negation_action, suppress_context
+
+    def edits(self, text: str, session_id: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, str]]]:
+        """Edits of a text, and (place, id) of each token that they mint."""
+        found = sweep.whole(text, detection.of_packs(self.packs, ner=False), normal_form)
+        found = sweep.free_of(found, (m.span() for m in _TOKEN.finditer(text)))
+        edits, minted, acted = [], [], []
+        for start, end, label, confidence, _, _, negated in found:
+            action = policy.decided(label, confidence, negated, self.rules, self.negation_action)
+            new = text[start:end]
+            if action == "BLOCK":
+                new = f"[REDACTED_OUTPUT_{label}]"
+            elif action == "REVERSIBLE":
+                identity = token_id(session_id, self.secret, new)
+                minted.append((start, identity))
+                new = f"<{label}_PII_{identity}>"
+            if action != "PRESERVE":
+                acted.append(start)
+            edits.append((start, end, new))
+        if self.suppress_context and acted:
+            edits += [(a, b, fixed.SUPPRESSED) for a, b in sweep.context(text, acted)]
+        return edits, minted
+
+    def part(self, before: str, text: str, upto: int, session_id: str) -> tuple[str, list[str]]:
+        """`text` up to a place as it is shown, scanned with what was before it and what follows, and the ids minted in it."""
+        edits, minted = self.edits(before + text, session_id)
+        first, last = len(before), len(before) + upto
+        shown = sweep.spliced(text[:upto], [(a - first, b - first, new) for a, b, new in edits if first <= a < last])
+        return shown, [i for a, i in minted if first <= a < last]
+
+
+class Scanner(StatefulProcessor):
+    """Rows: request_id, chunk_no, session_id, piece, last, token_ids and values_ (of the input's vault entries, with any
+    one chunk)."""
+
+    def __init__(self, scan: Scan):
+        self.scan = scan
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        texts = ArrayType(StringType())
+        self.held = handle.getValueState("held", StructType([StructField("before", StringType()), StructField("text", StringType()), StructField("ids", texts), StructField("values", texts), StructField("minted", texts)]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        chunks = pd.concat(list(rows)).sort_values("chunk_no")
+        before, text, ids, values, minted = self.held.get() if self.held.exists() else ("", "", [], [], [])
+        own, closed = dict(zip(ids or [], values or [], strict=True)), set(minted or [])
+        for chunk in chunks.itertuples():
+            own.update(zip(chunk.token_ids, chunk.values_, strict=True))
+        out = []
+        for chunk in chunks.itertuples():
+            text += chunk.piece
+            upto = len(text) if chunk.last else releasable(text)
+            shown, fresh = self.scan.part(before, text, upto, chunk.session_id) if upto else ("", [])
+            closed.update(fresh)
+            done, missing = resolved(shown, own, closed)
+            before, text = kept_before(before + text[:upto]), text[upto:]
+            out.append((key[0], chunk.chunk_no, done, missing))
+        self.held.update((before, text, list(own), list(own.values()), sorted(closed)))
+        yield pd.DataFrame(out, columns=["request_id", "chunk_no", "released", "unresolved"])
+
+    def close(self) -> None:
+        pass
+
+
+def releasable(text: str) -> int:
+    """Up to where held text can be released: the last safe place with a safe place and FAR characters after it."""
+    cuts = safe_cuts(text)
+    return max((c for c in cuts[:-1] if len(text) - c >= FAR), default=0)
+
+
+def kept_before(text: str) -> str:
+    """The end of released text that a later scan needs: FAR characters and a sentence, from a safe place on."""
+    cuts = [c for c in safe_cuts(text) if len(text) - c >= FAR]
+    return text[cuts[-1] :] if cuts else text
+
+
+def scan_stream(chunks: DataFrame, scan: Scan) -> DataFrame:
+    """A streaming table of chunks to a streaming table of released text, scanned and with the input's tokens opened."""
+    session.ship_package(chunks.sparkSession)
+    return chunks.groupBy("request_id").transformWithStateInPandas(Scanner(scan), OUTPUT, "Append", "None")
+
+
 def rehydrate_stream(chunks: DataFrame) -> DataFrame:
     """A streaming table of chunks to a streaming table of released text."""
     return chunks.groupBy("request_id").transformWithStateInPandas(Rehydrator(), OUTPUT, "Append", "None")
