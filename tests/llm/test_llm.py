@@ -336,13 +336,39 @@ def test_projected_gradient_equals_numpy(spark):
     assert np.allclose([got[i] for i in range(50)], rate, atol=1e-9)
 
 
-def test_hashed_buckets_of_long_texts_equal_pieces():
+def test_hashed_buckets_of_long_texts_equal_pieces(monkeypatch):
     data = words(3, 400_000).encode()
     whole = features.hashed_buckets(data, 18, (3,), ())
     wanted = np.unique(np.concatenate([features.hashed_buckets(data[i : i + 5000], 18, (3,), ()) for i in range(0, len(data), 4990)]))
     assert np.array_equal(whole, wanted)
 
 
+@pytest.mark.parametrize("piece", [1, 100, 4096, 1 << 20])
+def test_pieces_of_long_texts_give_the_whole_texts_features(monkeypatch, piece):
+    texts = [words(3, 5000) + "  " + "x" * 20_000 + "\n" + words(4, 30) + " ", "", " ", "a", "é ß\tΑΣ ΑΣ " * 300]
+    monkeypatch.setattr(features, "PIECE", 1 << 30)
+    monkeypatch.setattr(langid, "PIECE", 1 << 30)
+    hashed = [features.hashed_buckets(t.encode(), 24, (2, 3, 5), (1, 2, 3)) for t in texts]
+    counted = [langid.count_ngrams(t) for t in texts]
+    monkeypatch.setattr(features, "PIECE", piece)
+    monkeypatch.setattr(langid, "PIECE", piece)
+    for t, h, c in zip(texts, hashed, counted, strict=True):
+        assert np.array_equal(features.hashed_buckets(t.encode(), 24, (2, 3, 5), (1, 2, 3)), h)
+        assert all(np.array_equal(x, y) for x, y in zip(langid.count_ngrams(t), c, strict=True))
+
+
+def test_repeated_labelled_rows_and_many_buckets_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 40, words(i % 40, 30)) for i in range(400)] + [(0, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rows = learn.labelled_rows(docs, labels, learn.Hashing(), bound=30)
+    assert len(rows) == 30
+    monkeypatch.setattr(learn, "MOST_BUCKETS", int(rows.at[-1]) // 2)
+    fewer = learn.labelled_rows(docs, labels, learn.Hashing(), bound=30)
+    assert 0 < len(fewer) < 30 and fewer.at[-1] <= rows.at[-1] // 2
+    monkeypatch.setattr(learn, "MOST_BUCKETS", 1)
+    assert len(learn.labelled_rows(docs, labels, learn.Hashing(), bound=30)) == 0
+
+
 def empty_like(frame):
     return frame.where("false")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: Bytes that part words: space and 9 to 13.
@@ -9,8 +11,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD6E8FEB86659FD93
-#: Bytes worked on at a time; longer texts are cut into pieces that overlap by PIECE_OVERLAP.
-PIECE, PIECE_OVERLAP = 1 << 20, 256
+#: Bytes worked on at a time, about; longer texts are cut where white space follows.
+PIECE, PIECE_END = 1 << 20, re.compile(rb"[\x20\x09-\x0D]")
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -47,25 +49,30 @@ def _words(codes: np.ndarray) -> np.ndarray:
 
 
 def hashed_buckets(data: bytes, bits: int, char_sizes: tuple[int, ...], word_sizes: tuple[int, ...]) -> np.ndarray:
-    """Distinct buckets, ascending, of the byte n-grams and word n-grams of one text."""
+    """Distinct buckets, ascending, of the byte n-grams and word n-grams of one text. A piece of a long text ends where a
+    word does; the next one takes the last bytes and words along, so the n-grams are those of the whole text."""
     parts: list[np.ndarray] = []
     shift = np.uint64(64 - bits)
-    step = PIECE - PIECE_OVERLAP
-    for at in range(0, max(len(data), 1), step):
-        codes = np.frombuffer(data, np.uint8, count=min(PIECE, len(data) - at), offset=at) if data else np.zeros(0, np.uint8)
+    bytes_along, words_along = max(char_sizes, default=1) - 1, max(word_sizes, default=1) - 1
+    at, carried = 0, np.zeros(0, np.uint64)
+    while at < len(data):
+        end = PIECE_END.search(data, at + PIECE)
+        end = end.start() if end else len(data)
+        first = max(at - bytes_along, 0)
+        codes = np.frombuffer(data, np.uint8, count=end - first, offset=first)
         for n in char_sizes:
             if len(codes) >= n:
                 parts.append(((_grams(codes, n) + np.uint64(n << 40)) * MIX >> shift).astype(np.uint32))
-        words = _words(codes) if word_sizes else None
+        words = np.concatenate((carried, _words(codes[at - first :]))) if word_sizes else carried
         for n in word_sizes:
             if len(words) >= n:
                 joined = words[: len(words) - n + 1].copy()
                 for i in range(1, n):
                     joined = joined * np.uint64(BASE) + words[i : len(words) - n + 1 + i]
                 parts.append(((joined + np.uint64(n)) * MIX >> shift).astype(np.uint32))
-        if at + PIECE >= len(data):
-            break
-        if len(parts) > 1:
+        carried = words[max(len(words) - words_along, 0) :]
+        at = end
+        if at < len(data) and len(parts) > 1:
             parts = [_distinct(np.concatenate(parts))]
     return _distinct(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
 

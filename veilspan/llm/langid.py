@@ -32,23 +32,30 @@ PIECE = 1 << 19
 UNKNOWN = "und"
 FOLDS, HELD_FOLD = 4, 2
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _NO_LETTER = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 
 
 def letter_codes(text: str) -> Iterator[np.ndarray]:
-    """Code points of the text's letters, lower case, words parted and enclosed by one space; in pieces."""
-    for at in range(0, len(text), PIECE):
-        words = _WORD.findall(text[at : at + PIECE].lower())
+    """Code points of the text's letters, lower case, words parted and enclosed by one space; in pieces that end where no
+    letter follows."""
+    at = 0
+    while at < len(text):
+        end = _NO_LETTER.search(text, at + PIECE)
+        start, at = at, end.start() if end else len(text)
+        words = _WORD.findall(text[start:at].lower())
         if words and any(map(str.isalpha, "".join(words))):
             yield np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
 def count_ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes of the text's 1- to 3-grams (21 bits a letter) with their counts."""
-    values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    values, counts, last = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
     for letters in letter_codes(text):
         pairs = (letters[:-1] << np.uint64(21)) | letters[1:]
         grams = np.concatenate((letters[letters != 32], pairs, (pairs[:-1] << np.uint64(21)) | letters[2:]))
+        if last is not None:  # from the word before this piece to its first
+            grams = np.append(grams, (last << np.uint64(42)) | (np.uint64(32) << np.uint64(21)) | letters[1])
+        last = letters[-2]
         v, c = np.unique(grams, return_counts=True)
         if len(values):
             values, inverse = np.unique(np.concatenate((values, v)), return_inverse=True)

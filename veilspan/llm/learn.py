@@ -1,7 +1,7 @@
 """Linear models over hashed n-gram indicators, fitted on a bounded sample of labelled rows.
 
-The sample (`bound` rows, those whose hashed key is smallest) comes to the driver as lists of buckets;
-everything else runs on the executors.
+The sample (`bound` documents, those whose hashed key is smallest, one row each, and of these as many as
+MOST_BUCKETS allows) comes to the driver as lists of buckets; everything else runs on the executors.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from veilspan.llm.features import hashed_buckets
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE_ROWS = 6000
+#: Buckets of all rows of the sample together, at most (4 bytes each).
+MOST_BUCKETS = 1 << 26
 
 
 @dataclass(frozen=True)
@@ -59,18 +61,24 @@ class Rows:
 
 
 def labelled_rows(documents: DataFrame, labels: DataFrame, hashing: Hashing, *, label: str = "quality", bound: int = SAMPLE_ROWS) -> Rows:
-    """The sample's buckets and labels (0 or 1). `documents` has doc_id and text; rows whose key or
-    label is null teach nothing, a null text is an empty one."""
+    """The sample's buckets and labels (0 or 1). `documents` has doc_id and text; rows whose key or label is null teach
+    nothing, a null text is an empty one, and of several rows of one doc_id the smallest text is taken."""
     known = common.one_label(labels.select("doc_id", label), "doc_id", label)
     chosen = common.bounded_sample(known.join(documents.select("doc_id").distinct(), "doc_id"), "doc_id", bound)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col(label).cast("int").alias("label"), "text")
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first(label).cast("int").alias("label"), F.min("text").alias("text"))
+    rows = rows.select("label", "text", F.xxhash64("doc_id").alias("place"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [hashing.buckets(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], names=["label", "buckets"])
-
-    got = rows.mapInArrow(hashed, "label int, buckets array<int>").toArrow()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32())), batch.column(2)], names=["label", "buckets", "place"])
+
+    found = common.materialize(rows.mapInArrow(hashed, "label int, buckets array<int>, place long"), "labelled-rows")
+    sizes = found.select("place", F.size("buckets").alias("n")).orderBy("place").toArrow()  # `bound` rows
+    fit = np.cumsum(sizes.column("n").to_numpy()) <= MOST_BUCKETS
+    last = int(sizes.column("place").to_numpy()[fit][-1]) if fit.any() else 0
+    got = found.where(F.col("place") <= last).select("label", "buckets").toArrow() if fit.any() else found.select("label", "buckets").limit(0).toArrow()
+    common.discard(found)
     lists = got.column("buckets").combine_chunks() if got.num_rows else None
     if lists is None:
         return Rows(np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64))
