@@ -12,17 +12,31 @@ from veilspan import session
 from veilspan.operators import sweep
 
 
+#: Characters of a bin of a unit.
+BIN = 1024
+
+
+def _in_bins(spans: DataFrame) -> DataFrame:
+    """Each span once for every bin of its unit that it lies in."""
+    first, last = F.floor(F.col("start") / BIN), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / BIN)
+    return spans.withColumn("bin_", F.explode(F.sequence(first, last)))
+
+
 def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Pairs of spans of one unit that overlap; right columns get the prefix `r_`. An equi-join on the
-    unit with the interval test as a residual."""
-    other = right.select(F.col(key), *[F.col(c).alias(f"r_{c}") for c in right.columns if c != key])
-    return left.join(other, key).where((F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")))
+    """Pairs of spans of one unit that overlap; right columns get the prefix `r_`. Spans are dealt to bins of BIN
+    characters, so a unit with very many spans is many bins and none of its spans meets one that lies elsewhere; a pair
+    is given in the bin where the later of both starts."""
+    other = _in_bins(right).select(F.col(key), "bin_", *[F.col(c).alias(f"r_{c}") for c in right.columns if c != key])
+    met = _in_bins(left).join(other, [key, "bin_"]).where((F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")))
+    once = met.where(F.col("bin_") == F.floor(F.greatest("start", "r_start") / BIN))
+    return once.select(*left.columns, *[f"r_{c}" for c in right.columns if c != key])
 
 
 def without_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Spans of `left` that no span of `right` overlaps."""
-    other = right.select(F.col(key).alias("o_key"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
-    return left.join(other, (F.col(key) == F.col("o_key")) & (F.col("start") < F.col("o_end")) & (F.col("o_start") < F.col("end")), "left_anti")
+    """Spans of `left` that no span of `right` overlaps. A null key or place overlaps nothing."""
+    places = left.select(key, "start", "end").where(F.col(key).isNotNull()).distinct()
+    hit = overlapping(places, right.select(key, "start", "end").distinct(), key).select(*[F.col(c).alias(f"hit_{c}") for c in (key, "start", "end")]).distinct()
+    return left.join(hit, [F.col(c) == F.col(f"hit_{c}") for c in (key, "start", "end")], "left_anti")
 
 
 def locked_first(locked: DataFrame, detected: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspan.functions import ed25519, fixed
-from veilspan.operators import audit, policy, routing
+from veilspan.operators import audit, policy, ranks, routing, stored
 from veilspan.plans.detection import quoted
 from veilspan.session import shared_folder, table
 from veilspan.sources import chat, files
@@ -482,6 +482,78 @@ def store_migration(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("attempted")).join(F.broadcast(fresh))
 
 
+def _store(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+
+
+@query(
+    "store_migrated_rows",
+    "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'held' ELSE event_type END AS event_type, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END::BIGINT AS batch_id FROM events",
+)
+def store_migrated_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The store after a migration that was run twice: rows that it held stay as they were, the others are there once."""
+    rows, path = table(spark, sf, "events").select("event_id", "event_type"), _store(spark)
+    stored.insert_or_ignore(rows.where("event_id % 4 = 0").withColumn("event_type", F.lit("held")), path, ["event_id"], 0)
+    for _ in range(2):
+        stored.insert_or_ignore(rows, path, ["event_id"], 1)
+    return stored.stored(spark, path, "event_id long, event_type string")
+
+
+@query(
+    "audit_ingested",
+    """SELECT event_id::VARCHAR AS record_id, 'gw' || (user_id % 3) AS origin_gateway FROM events WHERE event_id % 10 NOT IN (3, 7)
+    UNION ALL SELECT NULL, CASE WHEN event_id % 10 = 3 THEN 'malformed: event' ELSE 'no origin' END FROM events WHERE event_id % 10 IN (3, 7)""",
+)
+def audit_ingested(spark: SparkSession, sf: str) -> DataFrame:
+    """Records forwarded by other gateways, every third of them delivered twice and the stream run twice: the store has each
+    once. Those that lack a field or who forwarded them are refused, and told with their reason."""
+    event = table(spark, sf, "events")
+    sent = event.select(
+        F.col("event_id").cast("string").alias("record_id"), F.when(F.col("event_id") % 10 != 3, F.col("event_type")).alias("event"),
+        F.when(F.col("event_id") % 10 != 7, F.concat(F.lit("gw"), (F.col("user_id") % 3).cast("string"))).alias("origin_gateway"),
+    )
+    judged = stored.validated(sent.unionByName(sent.where("record_id % 3 = 0")), ["record_id", "event"], "origin_gateway")
+    path = _store(spark)
+    judged.where("refused is null").drop("refused").repartition(4).write.parquet(f"{path}-in")
+    for run in range(2):  # the second has lost its checkpoint, so every record comes again
+        stream = spark.readStream.schema("record_id string, event string, origin_gateway string").option("maxFilesPerTrigger", 2).parquet(f"{path}-in")
+        stored.ingest(stream, path, ["record_id"], f"{path}-checkpoint{run}").awaitTermination()
+    kept = stored.stored(spark, path, "record_id string, event string, origin_gateway string").select("record_id", "origin_gateway")
+    refused = judged.where("refused is not null").dropDuplicates(["record_id"])
+    return kept.unionByName(refused.select(F.lit(None).cast("string").alias("record_id"), F.col("refused").alias("origin_gateway")))
+
+
+@query(
+    "registry_replaced",
+    "SELECT p_partkey, p_brand, 'm' || (p_partkey % 4) AS origin FROM part WHERE p_partkey % 4 <> 2 UNION ALL SELECT p_partkey, 'new', 'm2' FROM part WHERE p_partkey % 8 = 2",
+)
+def registry_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    """A registry of several managers' models after one manager has sent its whole set twice: that set is replaced, the others stay."""
+    origin, path = F.concat(F.lit("m"), (F.col("p_partkey") % 4).cast("string")).alias("origin"), _store(spark)
+    held = table(spark, sf, "part").select("p_partkey", "p_brand", origin)
+    stored.replace_of(held, path, "origin")
+    for _ in range(2):
+        stored.replace_of(held.where("p_partkey % 8 = 2").withColumn("p_brand", F.lit("new")), path, "origin")
+    return spark.read.schema("p_partkey long, p_brand string, origin string").parquet(path)
+
+
+@query(
+    "key_events_applied",
+    """WITH e AS (SELECT event_id, user_id AS key_id, event_type = 'purchase' AS made, ts FROM events WHERE event_type IN ('purchase', 'error') AND user_id < 500),
+    b AS (SELECT key_id, min((ts, event_id)) FILTER (made) AS born FROM e GROUP BY 1),
+    k AS (SELECT DISTINCT user_id AS key_id FROM events WHERE user_id % 5 = 0 AND user_id < 500)
+    SELECT key_id, NOT coalesce((SELECT bool_or(NOT made AND (k.key_id IS NOT NULL OR (ts, event_id) > b.born)) FROM e WHERE e.key_id = coalesce(k.key_id, b.key_id)), FALSE) AS active,
+      CASE WHEN k.key_id IS NULL THEN 'gw' || (key_id % 3) END AS origin_gateway FROM k FULL JOIN (SELECT * FROM b WHERE born IS NOT NULL) b USING (key_id)""",
+)
+def key_events_applied(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys after forwarded events that were delivered twice: a foreign key is added once and marked, a local one is never
+    overwritten, and a revoked one ends."""
+    event = table(spark, sf, "events").where("user_id < 500")
+    held = event.where("user_id % 5 = 0").select(F.col("user_id").alias("key_id")).distinct().select("key_id", F.lit(True).alias("active"), F.lit(None).cast("string").alias("origin_gateway"))
+    sent = event.where("event_type in ('purchase', 'error')").select("event_id", F.when(F.col("event_type") == "purchase", "created").otherwise("revoked").alias("event_type"), F.col("user_id").alias("key_id"), F.concat(F.lit("gw"), (F.col("user_id") % 3).cast("string")).alias("gateway_id"), "ts")
+    return stored.apply_key_events(held, sent.unionByName(sent), F.struct("ts", "event_id"))
+
+
 # --- reports
 
 
@@ -498,25 +570,56 @@ def transactions_latest(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").where("event_type = 'click'").orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id")
 
 
+@query(
+    "transactions_listed",
+    """WITH t AS (SELECT o_orderkey, o_custkey, c_nationkey AS team, o_orderdate FROM orders JOIN customer ON c_custkey = o_custkey),
+    a AS (SELECT DISTINCT c_custkey AS asked, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS key, CASE WHEN c_custkey % 3 < 2 THEN c_nationkey END AS team FROM customer WHERE c_custkey % 50 < 3),
+    r AS (SELECT asked, o_orderkey, row_number() OVER (PARTITION BY asked ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM a JOIN t ON CASE WHEN a.key IS NOT NULL THEN t.o_custkey = a.key WHEN a.team IS NOT NULL THEN t.team = a.team ELSE TRUE END)
+    SELECT asked, place, o_orderkey FROM r WHERE place <= 5""",
+)
+def transactions_listed(spark: SparkSession, sf: str) -> DataFrame:
+    """Newest-first listings (at most 5 rows each): by key if one is asked for, else by team, else of all."""
+    customer = table(spark, sf, "customer")
+    rows = table(spark, sf, "orders").join(customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("team")), "o_custkey").select("o_orderkey", F.col("o_custkey").alias("key"), "team", F.col("o_orderdate").alias("at"))
+    asked = customer.where("c_custkey % 50 < 3").select(F.col("c_custkey").alias("asked"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).alias("key"), F.when(F.col("c_custkey") % 3 < 2, F.col("c_nationkey")).alias("team"))
+    return _listed(rows, asked, 5)
+
+
+def _listed(rows: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """asked, place, o_orderkey: for each request the newest rows of its key, else of its team, else of all, `most` at most.
+    The newest of each key and team are taken before requests meet them, so what is joined is bounded for each request."""
+    order = [F.desc("at"), F.desc("o_orderkey")]
+    newest = lambda by: rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place") <= most)
+    of_key = asked.where("key is not null").select("asked", "key").join(newest("key").select("key", "place", "o_orderkey"), "key")
+    of_team = asked.where("key is null and team is not null").select("asked", "team").join(newest("team").select("team", "place", "o_orderkey"), "team")
+    last = rows.orderBy(*order).limit(most).select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("place"), "o_orderkey")  # `most` rows
+    of_all = asked.where("key is null and team is null").select("asked").join(F.broadcast(last))
+    parts = [t.select("asked", F.col("place").cast("long").alias("place"), "o_orderkey") for t in (of_key, of_team, of_all)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "session_activity",
+    """WITH s AS (SELECT o_custkey AS session, count(*) AS turns, count(*) FILTER (o_orderkey % 9 = 0) AS blocked, sum(o_orderkey % 3)::BIGINT AS redacted, max(o_orderdate) AS last FROM orders GROUP BY 1)
+    SELECT session, turns, blocked, redacted, CAST(last AS VARCHAR)[1:10] AS last_activity, row_number() OVER (ORDER BY last DESC, session) AS place FROM s ORDER BY last DESC, session LIMIT 200""",
+)
+def session_activity(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions with their turns, blocked and redacted counts and last activity, the latest first: a listing of 200."""
+    n = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("session")).agg(F.count(F.lit(1)).alias("turns"), F.count_if(n % 9 == 0).alias("blocked"), F.sum(n % 3).alias("redacted"), F.max("o_orderdate").alias("last"))
+    shown = rows.orderBy(F.desc("last"), "session").limit(200)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("last"), "session")).cast("long")  # of 200 rows
+    return shown.select("session", "turns", "blocked", "redacted", F.substring(F.col("last").cast("string"), 1, 10).alias("last_activity"), place.alias("place"))
+
+
 _PERCENT = ", ".join(f"list_sort(list(value))[least(len(list(value)), (floor(len(list(value)) * {p}))::INT + 1)] AS p{int(p * 100)}" for p in (0.5, 0.95, 0.99))
 
 
 @query("latency_percentiles", f"SELECT event_type, {_PERCENT} FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """sorted[int(n * p)] of each type. Values are counted in 1,024 equal ranges of their type; the counts tell which
-    range holds a wanted rank, and only that range's values are ranked."""
-    rows = table(spark, sf, "events").where("value is not null").select("event_type", "value")
-    ends = rows.groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n"))
-    part = F.when(F.col("high") > F.col("low"), F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * 1023)).otherwise(F.lit(0)).cast("int")
-    cut = rows.join(F.broadcast(ends), "event_type").withColumn("part", part)
-    before = F.sum("m").over(Window.partitionBy("event_type").orderBy("part")) - F.col("m")
-    counts = cut.groupBy("event_type", "part", "n").agg(F.count(F.lit(1)).alias("m")).withColumn("before", before)
-    shares = F.explode(F.array(*[F.struct(F.lit(f"p{int(p * 100)}").alias("name"), F.lit(p).alias("p")) for p in (0.5, 0.95, 0.99)]))
-    wanted = counts.select("event_type", "part", "n", "m", "before", shares.alias("s")).withColumn("rank", F.least(F.col("n"), F.floor(F.col("n") * F.col("s.p")) + 1) - F.col("before"))
-    wanted = wanted.where((F.col("rank") >= 1) & (F.col("rank") <= F.col("m"))).select("event_type", "part", "rank", F.col("s.name").alias("name"))
-    inside = cut.join(F.broadcast(wanted.select("event_type", "part").distinct()), ["event_type", "part"]).withColumn("rank", F.row_number().over(Window.partitionBy("event_type", "part").orderBy("value")).cast("long"))
-    found = inside.join(F.broadcast(wanted), ["event_type", "part", "rank"])
-    return found.groupBy("event_type").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in ("p50", "p95", "p99")])
+    """sorted[int(n * p)] of each type, by brackets around the ranks."""
+    found = ranks.at_ranks(table(spark, sf, "events").select("event_type", "value"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return found.groupBy("event_type").agg(*[F.max(F.when(F.col("name") == n, F.col("found"))).alias(n) for n in ("p50", "p95", "p99")])
 
 
 @query("duration_histogram", "SELECT event_type, b::DOUBLE AS le, count(*) FILTER (value <= b) AS n FROM events, (VALUES (10), (25), (50), (100), (250)) v(b) GROUP BY ALL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,3 +70,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="veilspan-"))
     return _own_folder[0]
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: lineage is cut where loops would let it grow."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
