@@ -60,3 +60,35 @@ def test_overlaps_equal_all_pairs(spark, monkeypatch, size):
     assert got == sorted((a[0], a[1], b[1]) for a in x for b in y if hit(a, b))
     alone = sorted(((p["unit"] or 0, p["ord"]) for p in spans.without_overlap(left, right, "unit").collect()))
     assert alone == sorted((a[0] or 0, a[1]) for a in x if not any(hit(a, b) for b in y))
+
+
+CSV = [
+    'a,b\n"x\ny",2\n\n , \n"q""uote, and\n\nmore",""\nplain 5" pipe,"z"\n"tail',
+    '"all\nin\none\ncell"\n,\n"","",\n  lead, trail  ,"in ""side"" "\n"closed" then,"open\nagain" more\n',
+    "\n\nx\n",
+    'é,"ü\nß"\n' * 30,
+]
+
+
+@pytest.mark.parametrize("block", [7, 16, 1 << 20])
+def test_csv_records_equal_a_csv_reader(spark, tmp_path, block):
+    import csv
+    import io
+
+    from veilspan.sources import files
+
+    for i, text in enumerate(CSV):
+        (tmp_path / f"{i}.csv").write_bytes(text.encode())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        records = files.csv_records(files.read_csv_lines(spark, str(tmp_path)))
+        forms = [files.csv_units(records, gateway=g).collect() for g in (False, True)]
+        got = [sorted((int(r["file"][-5]), r["location"], r["text"]) for r in form) for form in forms]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    read = [(f, i, row) for f, text in enumerate(CSV) for i, row in enumerate(csv.reader(io.StringIO(text, newline="")))]
+    assert got[0] == sorted((f, f"row[{i}]", "\t".join(row)) for f, i, row in read if "\t".join(row).strip())
+    assert got[1] == sorted((f, f"row {i + 1}", " ".join(row)) for f, i, row in read if any(row))

@@ -718,9 +718,27 @@ def file_kinds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("csv_units", "SELECT n_regionkey AS file, 'row[' || n_nationkey || ']' AS location, n_name || chr(9) || n_nationkey AS text FROM nation")
 def csv_units(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "nation").select(F.col("n_regionkey").alias("file"), F.col("n_nationkey").alias("i"), F.concat(F.lit('"'), "n_name", F.lit('", '), F.col("n_nationkey").cast("string")).alias("line"))
-    blank = lines.where("i < 3").select("file", (F.col("i") + 100).alias("i"), F.lit(" , ").alias("line"))
-    return files.csv_units(lines.unionByName(blank), "file", "i", "line")
+    lines = table(spark, sf, "nation").select(F.col("n_regionkey").alias("file"), F.col("n_nationkey").alias("record"), F.concat(F.lit('"'), "n_name", F.lit('",'), F.col("n_nationkey").cast("string")).alias("text"))
+    blank = lines.where("record < 3").select("file", (F.col("record") + 100).alias("record"), F.lit(" , ").alias("text"))
+    return files.csv_units(lines.unionByName(blank))
+
+
+@query(
+    "csv_files",
+    """WITH n AS (SELECT n_name, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation)
+    SELECT n_regionkey AS region, 'row[' || (2 * i - 1) || ']' AS location, n_name || chr(9) || ' two' || chr(10) || 'lines, "quoted"' || chr(10) || ' ' || chr(9) AS text FROM n
+    UNION ALL SELECT n_regionkey, 'row[' || (2 * i - 2) || ']', ' a ' || chr(9) || '5" pipe' || chr(9) || i FROM n""",
+)
+def csv_files(spark: SparkSession, sf: str) -> DataFrame:
+    """CSV files (one a region) with line ends and doubled quotes in quoted cells, quotes in plain ones, and blanks as they stand."""
+    path = _store(spark)
+    i = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    rows = table(spark, sf, "nation").withColumn("i", i)
+    said = F.concat(F.lit(' a ,5" pipe,'), F.col("i").cast("string"), F.lit('\n"'), "n_name", F.lit('"," two\nlines, ""quoted""\n ",'))
+    whole = rows.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("i", said.alias("t")))).alias("t"))
+    whole.select("n_regionkey", F.array_join(F.transform("t", lambda x: x["t"]), "\n").alias("value")).write.partitionBy("n_regionkey").text(path)
+    units = files.csv_units(files.csv_records(files.read_csv_lines(spark, path)))
+    return units.select(F.regexp_extract("file", "n_regionkey=([0-9]+)", 1).cast("long").alias("region"), "location", "text")
 
 
 @query("attachments_folded", "SELECT conv_id, string_agg('[Document Attachment: ' || role || ']' || chr(10) || text, chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id")
@@ -738,10 +756,10 @@ def policy_versions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("csv_quoted", "SELECT n_nationkey AS file, 'row ' || (n_nationkey + 1) AS location, n_name || ', \"the\" land 7' AS text FROM nation")
 def csv_quoted(spark: SparkSession, sf: str) -> DataFrame:
-    """Quoted cells hold commas and doubled quotes; a row of quoted blanks is none (the gateway's form)."""
-    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("file"), F.col("n_nationkey").alias("i"), F.concat(F.lit('"'), "n_name", F.lit(', ""the"" land",7')).alias("line"))
-    blank = nation.select("file", "i", F.lit('"",""').alias("line"))
-    return files.csv_units(nation.unionByName(blank), "file", "i", "line", gateway=True)
+    """Quoted cells hold commas and doubled quotes; a row of empty cells is none (the gateway's form)."""
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("file"), F.col("n_nationkey").alias("record"), F.concat(F.lit('"'), "n_name", F.lit(', ""the"" land",7')).alias("text"))
+    empty = nation.select("file", (F.col("record") + 100).alias("record"), F.lit('"",""').alias("text"))
+    return files.csv_units(nation.unionByName(empty), gateway=True)
 
 
 _SETTINGS = "'{\"model\":\"m' || c_nationkey || '\",\"max_tokens\":' || c_custkey || ',\"messages\":[{\"role\":\"user\",\"content\":[{\"type\":\"image_url\",\"image_url\":{\"url\":\"http://i/' || c_custkey || '\"}}]}],\"tools\":[{\"name\":\"t\",\"input_schema\":{\"a\":1}}],\"system\":[1],\"x\":\"y\"}'"
