@@ -75,6 +75,12 @@ def verdicts(decisions: DataFrame, key: str) -> DataFrame:
     return counted.withColumn("verdict", F.when(F.col("n_block") > 0, "BLOCK").when(F.col("n_reversible") > 0, "ALLOW_WITH_REDACTION").otherwise("ALLOW"))
 
 
+def label_counts(decisions: DataFrame, key: str) -> DataFrame:
+    """`labels`: how many spans of each label a unit has, as a map."""
+    counted = decisions.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("labels"))
+
+
 def load_policies(spark: SparkSession, folder: str) -> DataFrame:
     """policy_id, version, label, action, min_confidence, below_action of a folder of YAML policies: one row for each rule.
     A policy's version is the hash of its file; of several files of one policy_id the last by name wins.

@@ -153,6 +153,17 @@ def authenticated(requests: DataFrame, keys: DataFrame, header: str = "authoriza
     return found.withColumn("refused", F.col("key_id").isNull())
 
 
+def enrolled(uses: DataFrame, tokens: DataFrame, token: str, order: list[str], at: str = "at") -> DataFrame:
+    """Uses of one-time tokens with `outcome`: unknown, expired, used (an earlier valid use took it) or enrolled. `tokens` has
+    the token and when it `expires`; a null never does."""
+    issued = tokens.select(F.col(token).alias("issued"), F.col("expires").alias("issued_until"))
+    known = uses.join(issued, F.col(token) == F.col("issued"), "left").withColumn("valid", F.col("issued").isNotNull() & F.coalesce(F.col(at) <= F.col("issued_until"), F.lit(True)))
+    first = known.where("valid").groupBy(token).agg(F.min(F.struct(*order)).alias("first"))
+    judged = known.join(first.withColumnRenamed(token, "of"), F.col(token) == F.col("of"), "left")
+    outcome = F.when(F.col("issued").isNull(), "unknown").when(~F.col("valid"), "expired").when(F.struct(*order) == F.col("first"), "enrolled").otherwise("used")
+    return judged.withColumn("outcome", outcome).select(*uses.columns, "outcome")
+
+
 def overridden(heuristic: Column, routed: Column, confidence: Column, least: float = 0.4) -> Column:
     """The routed label where there is one of enough confidence, else the heuristic's."""
     return F.when(routed.isNotNull() & (confidence >= least), routed).otherwise(heuristic)

@@ -126,11 +126,12 @@ def resolved(spans: Iterable[tuple]) -> list[tuple]:
         own = (*s, "kept")
         prev = kept[-1] if kept else None
         overlap = min(s[1], prev[1]) - max(s[0], prev[0]) if prev else 0
+        shorter = min(s[1] - s[0], prev[1] - prev[0]) if prev else 0
         if overlap <= 0:
             kept.append(own)
         elif s[2] == prev[2]:
             kept[-1] = (min(prev[0], s[0]), max(prev[1], s[1]), prev[2], max(prev[3], s[3]), prev[4], prev[5], "united")
-        elif overlap > 0.4 * min(s[1] - s[0], prev[1] - prev[0]):
+        elif overlap / shorter > 0.4:
             if _score(prev) < _score(s):
                 kept[-1] = own
         elif s[1] > prev[1]:
