@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = ("detection", "governance", "control", "streams", "planted")
+PLANS = ("detection", "governance", "control", "streams", "planted", "evaluation")
 
 
 def _plans():
