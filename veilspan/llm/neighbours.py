@@ -10,6 +10,9 @@ tree. A query walks all trees through one priority queue, ordered by how far the
 the splits that part it from a node, until the leaves popped hold `search_rows` vectors; those leaves'
 vectors are reranked by their exact distance in double precision.
 
+A query's first leaves (FIRST_ROWS rows) are searched before the others; the k-th distance found there is an upper bound
+of the true one, and the other leaves give back only what is not farther.
+
 `search_rows` is measured, not guessed: for CALIBRATION_QUERIES of the queries all rows are
 searched exactly, and it is set so that the share RECALL of their true neighbours would be found. Rows
 of a leaf are dealt to chunks of CHUNK_ROWS and its queries to parts of ASKED_ROWS, about, so that a crowded leaf is many
@@ -42,6 +45,8 @@ SPLIT_SAMPLE, LEAST_SAMPLE, MOST_LEAVES, MOST_LEVELS = 2048, 32, 1 << 21, 40
 NEAREST, QUERY_STEP = 10, 100
 CALIBRATION_QUERIES, RECALL = 96, 0.96
 CHUNK_ROWS, ASKED_ROWS = 512, 512
+#: Rows of a query's first leaves, whose k-th distance bounds what its other leaves give back.
+FIRST_ROWS = 2048
 
 
 def splits_of(along: np.ndarray, held: float, leaf_rows: int) -> list[tuple[int, float]]:
@@ -272,19 +277,34 @@ def nearest(embeddings: DataFrame, *, k: int = NEAREST, query_step: int = QUERY_
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             along = forest.along(matrix(batch.column(1)))
-            at, leaves = [], []
+            at, leaves, turns = [], [], []
             for i in range(batch.num_rows):
                 total = 0
                 for leaf in forest.walk(along[:, i]):
                     if held[leaf]:
                         at.append(i)
                         leaves.append(leaf)
+                        turns.append(int(total >= FIRST_ROWS))
                         total += held[leaf]
                     if total >= search_rows:
                         break
-            yield _batch({"leaf": pa.array(leaves, pa.int64()), "query_id": batch.column(0).take(pa.array(at, pa.int64()))})
+            yield _batch({"leaf": pa.array(leaves, pa.int64()), "query_id": batch.column(0).take(pa.array(at, pa.int64())), "turn": pa.array(turns, pa.int32())})
+
+    asked = common.materialize(queries.mapInArrow(probes, "leaf long, query_id long, turn int"), "probes")
+    vectors_of = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    first = common.materialize(_searched(rows, asked.where("turn = 0"), vectors_of.withColumn("bound", F.lit(float("inf"))), forest, held, k, chunk_rows), "first-neighbours")
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    best = first.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
+    bounded = vectors_of.join(best.select("query_id", F.col("score").alias("bound")), "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    others = _searched(rows, asked.where("turn = 1"), bounded, forest, held, k, chunk_rows)
+    distinct = first.unionByName(others).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    asked = common.materialize(queries.mapInArrow(probes, "leaf long, query_id long"), "probes")
+
+def _searched(rows: DataFrame, asked: DataFrame, queries: DataFrame, forest: Forest, held: np.ndarray, k: int, chunk_rows: int) -> DataFrame:
+    """query_id, vec_id, score: of each leaf and chunk asked for, the k nearest rows that are not farther than the query's
+    bound. `asked` has leaf and query_id, `queries` query_id, q and bound."""
+    kind = rows.schema["v"].dataType.simpleString()
     chunks = np.maximum(1, -(-held // chunk_rows))
     parts = -(-_by_leaf(asked.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), forest) // ASKED_ROWS)
 
@@ -311,23 +331,22 @@ def nearest(embeddings: DataFrame, *, k: int = NEAREST, query_step: int = QUERY_
             at = np.repeat(np.arange(len(leaf)), chunks[leaf])
             chunk = np.arange(len(at)) - np.repeat(np.cumsum(chunks[leaf]) - chunks[leaf], chunks[leaf])
             where = pa.array(at)
-            yield _batch({"leaf": pa.array(leaf[at]), "chunk": pa.array(chunk.astype(np.int32)), "part": pa.array(part[at]), "query_id": batch.column(1).take(where), "q": batch.column(2).take(where)})
+            yield _batch({"leaf": pa.array(leaf[at]), "chunk": pa.array(chunk.astype(np.int32)), "part": pa.array(part[at]), "query_id": batch.column(1).take(where), "q": batch.column(2).take(where), "bound": batch.column(3).take(where)})
 
     def rerank(found: pa.Table, asks: pa.Table) -> pa.Table:
         out = []
         if found.num_rows and asks.num_rows:
             ids, vectors = found.column("vec_id").to_numpy(), matrix(found.column("v"))
-            out = [(q, *closest(ids, vectors, v, q, k)) for q, v in zip(asks.column("query_id").to_pylist(), matrix(asks.column("q")), strict=True)]
+            for q, v, bound in zip(asks.column("query_id").to_pylist(), matrix(asks.column("q")), asks.column("bound").to_pylist(), strict=True):
+                near, far, _ = closest(ids, vectors, v, q, k)
+                out.append((q, near[far <= bound], far[far <= bound]))
         join = lambda i, t: np.concatenate([o[i] for o in out]) if out else np.zeros(0, t)
         return pa.table({"query_id": pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]), pa.int64()), "vec_id": pa.array(join(1, np.int64)), "score": pa.array(join(2, np.float64))})
 
     group = ["leaf", "chunk", "part"]
     kept = rows.mapInArrow(dealt, f"leaf long, chunk int, part int, vec_id long, v {kind}")
-    wanted = asked.join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").select("leaf", "query_id", "q").mapInArrow(asking, f"leaf long, chunk int, part int, query_id long, q {kind}")
-    near = kept.groupBy(*group).cogroup(wanted.groupBy(*group)).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    distinct = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    wanted = asked.join(queries, "query_id").select("leaf", "query_id", "q", "bound").mapInArrow(asking, f"leaf long, chunk int, part int, query_id long, q {kind}, bound double")
+    return kept.groupBy(*group).cogroup(wanted.groupBy(*group)).applyInArrow(rerank, "query_id long, vec_id long, score double")
 
 
 def _calibrate(rows: DataFrame, queries: DataFrame, forest: Forest, held: np.ndarray, k: int, recall: float) -> int:
@@ -352,12 +371,21 @@ def _calibrate(rows: DataFrame, queries: DataFrame, forest: Forest, held: np.nda
     near = near.groupBy("query_id", "vec_id").agg(F.min(F.struct("score", "leaves")).alias("best")).select("query_id", "vec_id", "best.*")
     truth = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "leaves").collect()
     along, place = forest.along(vectors), {int(q): i for i, q in enumerate(ids)}
-    reached: dict[int, dict[int, int]] = {}
-    for q, i in place.items():
-        total, reached[q] = 0, {}
-        for leaf in forest.walk(along[:, i]):
-            reached[q][leaf] = total = total + int(held[leaf])
-    needed = sorted(min(reached[r["query_id"]][leaf] for leaf in r["leaves"]) for r in truth)
+    missing: dict[int, list[set[int]]] = {}
+    for r in truth:
+        missing.setdefault(r["query_id"], []).append(set(r["leaves"]))
+    needed = []
+    for q, left in missing.items():  # a walk ends when a leaf of each of the query's neighbours was met
+        total = 0
+        for leaf in forest.walk(along[:, place[q]]):
+            total += int(held[leaf])
+            met = [leaves for leaves in left if leaf in leaves]
+            if met:
+                needed += [total] * len(met)
+                left = [leaves for leaves in left if leaf not in leaves]
+            if not left:
+                break
+    needed.sort()
     return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else 0
 
 
