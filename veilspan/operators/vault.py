@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StringType
 
-from veilspan import session
+from veilspan import session as session_
 from veilspan.functions import expressions as E
 from veilspan.functions import fixed
 
@@ -51,7 +52,7 @@ def seal_entries(entries: DataFrame, master: Column, folder: str) -> tuple[DataF
     to session and token. No key follows from the master key, so a box whose key row is gone is closed for good.
 
     The keys are drawn in the one job that writes both in one row, so a task that is repeated writes a pair that fits."""
-    session.ship_package(entries.sparkSession)
+    session_.ship_package(entries.sparkSession)
     place = _place(F.col("session_id"), F.col("token_id"))
     drawn = entries.withColumn("own", _own_keys.asNondeterministic()(place))
     rows = drawn.select("session_id", "token_id", _encrypted(F.col("value"), F.col("own"), place).alias("box"), _encrypted(F.hex("own"), master, place).alias("wrapped"))
@@ -128,11 +129,31 @@ def rehydrate(texts: DataFrame, vault: DataFrame, key: str, *, session: str = "s
     rebuilt = F.array_join(F.transform(parts, lambda p: F.concat(p["gap"], F.coalesce(p["new"], F.lit("")))), "")
     final = F.when(F.size(hits) == 0, F.col(text)).otherwise(rebuilt)
     if lenient:
-        final = F.aggregate(F.map_entries("values_"), final, lambda t, e: F.when(t.contains(e["key"]), rehydrate_lenient(t, e["key"], e["value"])).otherwise(t))
+        session_.ship_package(texts.sparkSession)
+        final = _reopened(final, F.map_keys("values_"), F.map_values("values_"))
     missing = F.when(F.col(text).isNotNull(), F.filter(ids, lambda i: ~F.array_contains(closed, i) & F.element_at("values_", i).isNull()))
     return joined.select(*texts.columns, final.alias("final_text"), missing.alias("unresolved"), (F.size(missing) > 0).alias("review_required"))
 
 
+_BRACKETED, _ID = re.compile(r"[<\[(]([^<>\[\]()]*)[>\])]"), re.compile(r"(?=([0-9a-f]{10}))")
+
+
+def reopened(text: str, values: dict[str, str]) -> str:
+    """Brackets that hold a known id, whatever stands around it, replaced by its value: one pass over the text."""
+
+    def value(match: re.Match) -> str:
+        known = (values[m.group(1)] for m in _ID.finditer(match.group(1)) if m.group(1) in values)
+        return next(known, match.group(0))
+
+    return _BRACKETED.sub(value, text)
+
+
+@F.arrow_udf(StringType())
+def _reopened(texts: pa.Array, ids: pa.Array, values: pa.Array) -> pa.Array:
+    rows = zip(texts.to_pylist(), ids.to_pylist(), values.to_pylist(), strict=True)
+    return pa.array([t if not t or not i else reopened(t, dict(zip(i, v, strict=True))) for t, i, v in rows], pa.string())
+
+
 def rehydrate_lenient(text: Column, token_id: Column, value: Column) -> Column:
     """A rewritten token, known by its id inside any bracket, replaced by its value."""
     pattern = F.concat(F.lit(r"[<\[(][^<>\[\]()]*"), token_id, F.lit(r"[^<>\[\]()]*[>\])]"))
