@@ -1,9 +1,8 @@
-"""Column expressions: spans with offsets, checksums, keyed hashes, ordered folds."""
+"""Column expressions: checksums, keyed hashes, folded values, tokens."""
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -12,17 +11,13 @@ from pyspark.sql.types import ArrayType, StringType
 
 from veilspan.functions import fixed
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that is computed once, however often `use` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
 
 def digits(column: Column) -> Column:
     return F.regexp_replace(column, r"\D", "")
 
 
 def digit_array(column: Column) -> Column:
-    return F.transform(F.split(column, ""), lambda c: c.cast("int"))
+    return F.transform(F.split(column, ""), lambda c: c.try_cast("int"))
 
 
 def saudi_checksum(number: Column) -> Column:
@@ -36,14 +31,14 @@ def kuwait_checksum(number: Column) -> Column:
     weights = F.array(*[F.lit(w) for w in fixed.KUWAIT_WEIGHTS])
     products = F.zip_with(F.slice(digit_array(number), 1, 11), weights, lambda d, w: d * w)
     expected = 11 - F.aggregate(products, F.lit(0), lambda a, d: a + d) % 11
-    return number.rlike("^[0-9]{12}$") & (expected < 10) & (expected == F.substring(number, 12, 1).cast("int"))
+    return number.rlike("^[0-9]{12}$") & (expected < 10) & (expected == F.substring(number, 12, 1).try_cast("int"))
 
 
 def uae_checksum(number: Column) -> Column:
     """Fifteen digits: Luhn's rule on the first fourteen; null where the shape is another."""
     doubled = F.transform(F.reverse(F.slice(digit_array(number), 1, 14)), lambda d, i: F.when(i % 2 == 0, F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)).otherwise(d))
     total = F.aggregate(doubled, F.lit(0), lambda a, d: a + d)
-    return F.when(number.rlike("^[0-9]{15}$"), (total * 9) % 10 == F.substring(number, 15, 1).cast("int"))
+    return F.when(number.rlike("^[0-9]{15}$"), (total * 9) % 10 == F.substring(number, 15, 1).try_cast("int"))
 
 
 _HEX = "0123456789abcdef"
