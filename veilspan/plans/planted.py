@@ -224,3 +224,79 @@ def stream_dedupe_exact(spark: SparkSession, sf: str) -> DataFrame:
         stream = spark.readStream.schema("event_id long, event_type string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
         stored.ingest(stream, f"{path}/kept", ["event_id"], f"{path}/checkpoint").awaitTermination()
     return stored.stored(spark, f"{path}/kept", "event_id long, event_type string").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("normalize_compatibility", "SELECT c_custkey, c_name || ' ﬁ a' AS clean, len(c_name)::BIGINT + 4 AS kept FROM customer")
+def normalize_compatibility(spark: SparkSession, sf: str) -> DataFrame:
+    """Characters whose compatibility form is one character are folded one for one; a ligature, which is two, stays."""
+    wide = F.concat(F.translate("c_name", "123456789", "①②③④⑤⑥⑦⑧⑨"), F.lit(" ﬁ ª"))
+    rows = table(spark, sf, "customer").select("c_custkey", wide.alias("text"))
+    return rows.select("c_custkey", text.normalize(F.col("text")).alias("clean"), F.size(text.offset_map(F.col("text"))).cast("long").alias("kept"))
+
+
+_CUED = "'passport number AB' || lpad(CAST(c_custkey % 10000000 AS VARCHAR(12)), 7, '2') || ', username is zed_' || c_custkey || ', born March ' || (c_custkey % 28 + 1) || ', 19' || lpad(CAST(c_custkey % 100 AS VARCHAR(9)), 2, '0') || ' or 3rd march 19' || lpad(CAST(c_custkey % 100 AS VARCHAR(9)), 2, '0') || '; code CD1234567'"
+
+
+@query(
+    "detect_cued",
+    "SELECT c_custkey, 'alnum-id-cued' AS format, 'AB' || lpad(CAST(c_custkey % 10000000 AS VARCHAR(12)), 7, '2') AS hit FROM customer UNION ALL SELECT c_custkey, 'cued', 'zed_' || c_custkey FROM customer UNION ALL SELECT c_custkey, 'date-month-first', 'March ' || (c_custkey % 28 + 1) || ', 19' || lpad(CAST(c_custkey % 100 AS VARCHAR(9)), 2, '0') FROM customer UNION ALL SELECT c_custkey, 'date-day-first', '3rd march 19' || lpad(CAST(c_custkey % 100 AS VARCHAR(9)), 2, '0') FROM customer",
+)
+def detect_cued(spark: SparkSession, sf: str) -> DataFrame:
+    """Identity numbers and user names after their cues, dates with month names; a code without a cue is none."""
+    families = detection.named("alnum-id-cued", "cued", "date-month-first", "date-day-first")
+    return detection.detect(_said(spark, sf, _CUED), families, keep=["c_custkey"]).select("c_custkey", "format", F.col("text").alias("hit"))
+
+
+_NINE = "lpad(CAST(c_custkey * 7919 % 1000000000 AS VARCHAR(12)), 9, '0')"
+_GULF = f"CASE c_custkey % 7 WHEN 0 THEN '784-1990-' || substr({_NINE}, 3, 7) || '-5' WHEN 1 THEN '2' || {_NINE} WHEN 2 THEN '1' || {_NINE} WHEN 3 THEN '3' || {_NINE} || '4' WHEN 4 THEN '8811' || substr({_NINE}, 5, 5) WHEN 5 THEN '2' || {_NINE} || '07' ELSE '9' || substr({_NINE}, 3, 7) END"
+
+
+@query(
+    "gulf_id_types",
+    f"SELECT c_custkey, ['uae_emirates_id', 'sa_iqama', 'sa_national_id', 'qa_qid', 'bh_cpr', 'kw_civil_id', 'om_civil_number'][c_custkey % 7 + 1] AS id_type, {_GULF} AS hit FROM customer",
+)
+def gulf_id_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Each of the seven types of identity numbers, told by its shape."""
+    gulf = [f for f in detection.FAMILIES if f.pack == "gulf_ar"]
+    found = detection.detect(_said(spark, sf, f"'no ' || {_GULF} || ' of it'"), gulf, keep=["c_custkey"])
+    return found.select("c_custkey", F.col("format").alias("id_type"), F.col("text").alias("hit"))
+
+
+@query(
+    "sanitized_values",
+    """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'CREDIT_CARD' ELSE '' END AS blocked,
+      'Host <IP_ADDRESS> of <EMAIL>, ' || CASE WHEN c_custkey % 5 = 0 THEN '<CREDIT_CARD>' ELSE 'call <PHONE>' END || '; ok' AS shown, 3::BIGINT AS minted FROM customer""",
+)
+def sanitized_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests with an address, a mail, and a card or a phone number: tokens (shown by their label), and what is refused."""
+    said = "'Host 10.2.' || (c_custkey % 250) || '.4 of c' || c_custkey || '@mail.com, ' || CASE WHEN c_custkey % 5 = 0 THEN '4111 1111 1111 1111' ELSE 'call 415-555-01' || lpad(CAST(c_custkey % 100 AS VARCHAR(9)), 2, '0') END || '; ok'"
+    rows = _said(spark, sf, said).withColumn("session", F.lit("s"))
+    done = guard.sanitize(rows, "c_custkey", fixed.POLICIES["default"], session="session", secret=governance.SECRET)
+    shown = F.regexp_replace("sanitized", r"<([A-Z_]+)_PII_[0-9a-f]{10}>", "<$1>")
+    return done.select("c_custkey", F.array_join("blocked", ",").alias("blocked"), shown.alias("shown"), F.col("minted").cast("long").alias("minted"))
+
+
+@query(
+    "tool_values",
+    """SELECT c_custkey, 'rewritten' AS outcome, 'ask [TOKEN] at [TOKEN] about ' || c_nationkey AS passed FROM customer WHERE c_custkey % 2 = 0
+    UNION ALL SELECT c_custkey, 'refused', NULL FROM customer WHERE c_custkey % 2 = 1""",
+)
+def tool_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Arguments with a mail and an address: a search is rewritten, a command is refused."""
+    rows = _said(spark, sf, "'ask c' || c_custkey || '@mail.com at 10.9.8.' || (c_custkey % 250) || ' about ' || c_nationkey")
+    bash = F.col("c_custkey") % 2 == 1
+    args = rows.select("c_custkey", F.when(bash, "bash").otherwise("web_search").alias("tool"), F.when(bash, "command").otherwise("query").alias("arg"), F.col("text").alias("value"), F.lit("s").alias("session"))
+    rules = spark.createDataFrame(list(fixed.TOOL_RULES), "tool string, arg string, rule string")
+    done = guard.scan_calls(args, "c_custkey", rules, session="session", secret=governance.SECRET)
+    return done.select("c_custkey", "outcome", F.regexp_replace("rewritten", r"\[PII_[0-9a-f]{10}\]", "[TOKEN]").alias("passed"))
+
+
+@query(
+    "file_values",
+    """SELECT c_custkey, 'Of [REDACTED_EMAIL]: [REDACTED_IP_ADDRESS], ' || CASE WHEN c_custkey % 4 = 0 THEN '[REDACTED_CREDIT_CARD]' ELSE 'none' END || ' in ' || c_nationkey AS masked, CASE WHEN c_custkey % 4 = 0 THEN 3 ELSE 2 END::BIGINT AS findings FROM customer""",
+)
+def file_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Units of files with mails, addresses and cards, masked by label."""
+    rows = _said(spark, sf, "'Of c' || c_custkey || '@mail.com: 10.9.' || (c_custkey % 250) || '.1, ' || CASE WHEN c_custkey % 4 = 0 THEN '4111-1111-1111-1111' ELSE 'none' END || ' in ' || c_nationkey")
+    scanned = guard.scan_units(rows, fixed.POLICIES["default"])
+    return scanned.select("c_custkey", "masked", F.size("decisions").cast("long").alias("findings"))
