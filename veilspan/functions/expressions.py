@@ -5,10 +5,11 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from veilspan import session as package
 from veilspan.functions import fixed
 
 
@@ -81,6 +82,7 @@ def _nfkc(values: pa.Array) -> pa.Array:
 
 
 def nfkc(value: Column) -> Column:
+    package.ship_package(SparkSession.active())
     return F.coalesce(_nfkc(F.when(value.rlike(r"[^\x00-\x7F]"), value)), value)
 
 
@@ -91,6 +93,7 @@ def _nfkc_array(values: pa.Array) -> pa.Array:
 
 def nfkc_array(values: Column) -> Column:
     """Each value folded (NFKC); arrays of ASCII alone stay in the JVM."""
+    package.ship_package(SparkSession.active())
     return F.coalesce(_nfkc_array(F.when(F.exists(values, lambda v: v.rlike(r"[^\x00-\x7F]")), values)), values)
 
 

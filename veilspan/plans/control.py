@@ -704,6 +704,15 @@ def parse_chat_formats(spark: SparkSession, sf: str) -> DataFrame:
     return chat.messages(_payloads(spark, sf), "c_custkey")
 
 
+@query("chat_tool_fields", "SELECT c_custkey, 1 AS turn_index, 'tool' AS role, 'call_' || c_custkey AS tool_call_id, CASE WHEN c_nationkey % 2 = 0 THEN 'search' END AS name FROM customer WHERE c_custkey % 2 = 0")
+def chat_tool_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Native messages keep which tool call they answer, and the tool's name; other formats have none."""
+    form = F.when(F.col("c_custkey") % 2 == 0, '"format":"native",').otherwise("")
+    name = F.when(F.col("c_nationkey") % 2 == 0, ',"name":"search"').otherwise("")
+    payload = F.concat(F.lit("{"), form, F.lit('"messages":[{"role":"user","content":"hi"},{"role":"tool","content":"x","tool_call_id":"call_'), F.col("c_custkey").cast("string"), F.lit('"'), name, F.lit("}]}"))
+    return chat.tool_messages(table(spark, sf, "customer").select("c_custkey", payload.alias("payload")), "c_custkey")
+
+
 @query("chat_extra_keys", "SELECT c_custkey, 'x_tag' AS extra FROM customer WHERE c_custkey % 4 = 0")
 def chat_extra_keys(spark: SparkSession, sf: str) -> DataFrame:
     return _payloads(spark, sf).select("c_custkey", F.explode(chat.extra_keys(F.col("payload"))).alias("extra"))

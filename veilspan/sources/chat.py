@@ -46,6 +46,14 @@ def messages(payloads: DataFrame, key: str, payload: str = "payload") -> DataFra
     return rows.select(key, "format", F.posexplode("all").alias("turn_index", "m")).select(key, "format", "turn_index", "m.role", "m.content")
 
 
+def tool_messages(payloads: DataFrame, key: str, payload: str = "payload") -> DataFrame:
+    """key, turn_index, role, tool_call_id, name of native messages that answer a tool call or name their speaker."""
+    raw = F.col(payload)
+    listed = F.from_json(F.get_json_object(raw, "$.messages"), "array<struct<role:string,tool_call_id:string,name:string>>")
+    rows = payloads.where(wire_format(raw) == "native").select(key, F.posexplode(listed).alias("turn_index", "m"))
+    return rows.select(key, "turn_index", "m.role", "m.tool_call_id", "m.name").where("tool_call_id is not null or name is not null")
+
+
 def parts(payloads: DataFrame, key: str, payload: str = "payload") -> DataFrame:
     """key, turn_index (of the payload's own messages), part, type, text, url: the parts of list contents, images as
     their URL, or as a data URL where a source holds base64."""
