@@ -439,13 +439,15 @@ def evidence_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """Costs are rounded as SQL rounds doubles, by their product with a power of ten: `F.round` to places rounds the shortest
+    decimal form, which is another number next to a tie."""
     n = F.col("o_orderkey")
     return table(spark, sf, "orders").select(
         n.cast("string").alias("request_id"), F.when(n % 9 == 0, "blocked").otherwise("completed").alias("event"), (n % 3).cast("int").alias("redacted_count"),
         F.when(n % 5 == 0, F.create_map(F.lit("SECRET"), F.lit(1))).otherwise(F.create_map(F.lit("EMAIL"), F.lit(1))).alias("span_counts"),
         F.when(n % 9 == 0, F.array(F.lit("PROMPT_INJECTION"))).alias("blocked_labels"),
         F.when(n % 4 == 0, F.concat(F.lit("team"), (n % 7).cast("string"))).alias("team_id"), F.when(n % 4 == 1, "key1").alias("key_id"),
-        F.lit("").alias("model_id"), F.when(n % 2 == 0, "simple").alias("difficulty"), F.lit("stub").alias("provider"), F.round(F.col("o_totalprice") / 1e6, 4).alias("cost_usd"),
+        F.lit("").alias("model_id"), F.when(n % 2 == 0, "simple").alias("difficulty"), F.lit("stub").alias("provider"), (F.round(F.col("o_totalprice") / 1e6 * 1e4) / 1e4).alias("cost_usd"),
     )
 
 
