@@ -67,3 +67,12 @@ def test_values_are_folded_composed(spark):
     rows = spark.createDataFrame([("naïve",), ("naïve",), ("ﬁne",), (None,)], "v string")
     assert [r[0] for r in rows.select(E.nfkc(F.col("v"))).collect()] == ["naïve", "naïve", "fine", None]
     assert rows.limit(1).select(E.nfkc_array(F.array("v", F.lit("é"), F.lit(None)))).first()[0] == ["naïve", "é", None]
+
+
+def test_entries_of_one_place_are_one_entry(spark, tmp_path):
+    """A value that is stored again has the box and the key that it had: no box meets another's key."""
+    rows = spark.createDataFrame([("s1", "t1", "a"), ("s1", "t1", "a"), ("s1", "t2", "b"), ("s2", "t1", "a"), ("s1", "t1", "a")], "session_id string, token_id string, value string")
+    master = F.unhex(F.sha2(F.lit("m"), 256))
+    boxes, keys = vault.seal_entries(rows, master, str(tmp_path / "twice"))
+    assert boxes.count() == keys.count() == 3
+    assert sorted(tuple(r) for r in vault.open_entries(boxes, keys, master).collect()) == [("s1", "t1", "a"), ("s1", "t2", "b"), ("s2", "t1", "a")]

@@ -50,11 +50,13 @@ def seal_entries(entries: DataFrame, master: Column, folder: str) -> tuple[DataF
     """Entries (session_id, token_id, value) as two tables in `folder`: boxes (session_id, token_id, box), each value under
     a random key of its own, and keys (session_id, token_id, wrapped), those keys under the master key. Both are bound
     to session and token. No key follows from the master key, so a box whose key row is gone is closed for good.
+    Entries of one session and token are one entry (the least value, should values differ), so each place has one box and one key.
 
     The keys are drawn in the one job that writes both in one row, so a task that is repeated writes a pair that fits."""
     session_.ship_package(entries.sparkSession)
     place = _place(F.col("session_id"), F.col("token_id"))
-    drawn = entries.withColumn("own", _own_keys.asNondeterministic()(place))
+    once = entries.groupBy("session_id", "token_id").agg(F.min("value").alias("value"))
+    drawn = once.withColumn("own", _own_keys.asNondeterministic()(place))
     rows = drawn.select("session_id", "token_id", _encrypted(F.col("value"), F.col("own"), place).alias("box"), _encrypted(F.hex("own"), master, place).alias("wrapped"))
     both = _stored(rows, f"{folder}/sealed")
     return _stored(both.drop("wrapped"), f"{folder}/boxes"), _stored(both.drop("box"), f"{folder}/keys")
