@@ -42,23 +42,17 @@ def uae_checksum(number: Column) -> Column:
     return F.when(number.rlike("^[0-9]{15}$"), (total * 9) % 10 == F.substring(number, 15, 1).try_cast("int"))
 
 
-_HEX = "0123456789abcdef"
-
-
-def _xor_hex(column: Column, byte: int) -> Column:
-    """Hex digits of a byte string XORed with one repeated byte: digits at odd and even places are
-    translated by the byte's two halves."""
-    high = "".join(_HEX[i ^ (byte >> 4)] for i in range(16))
-    low = "".join(_HEX[i ^ (byte & 15)] for i in range(16))
-    pairs = F.regexp_extract_all(column, F.lit("(..)"), F.lit(1))
-    return F.array_join(F.transform(pairs, lambda p: F.concat(F.translate(F.substring(p, 1, 1), _HEX, high), F.translate(F.substring(p, 2, 1), _HEX, low))), "")
+def _padded(key_hex: Column, byte: int) -> Column:
+    """The 64-byte block of a key of up to 32 bytes, XORed with one repeated byte: eight bytes at a time as a number."""
+    own, mask = F.rpad(key_hex, 64, "0"), int.from_bytes(bytes([byte]) * 8)
+    words = [F.conv(F.substring(own, at, 16), 16, -10).cast("long").bitwiseXOR(F.lit(mask)) for at in (1, 17, 33, 49)]
+    return F.unhex(F.concat(*[F.lpad(F.hex(w), 16, "0") for w in words], F.lit(f"{byte:02x}" * 32)))
 
 
 def hmac_sha256(key_hex: Column, message: Column) -> Column:
     """HMAC-SHA256 of a text under a 32-byte key given in hex, as hex."""
-    padded = F.rpad(key_hex, 128, "0")
-    inner = F.sha2(F.concat(F.unhex(_xor_hex(padded, 0x36)), message.cast("binary")), 256)
-    return F.sha2(F.concat(F.unhex(_xor_hex(padded, 0x5C)), F.unhex(inner)), 256)
+    inner = F.sha2(F.concat(_padded(key_hex, 0x36), message.cast("binary")), 256)
+    return F.sha2(F.concat(_padded(key_hex, 0x5C), F.unhex(inner)), 256)
 
 
 def session_key(session: Column, secret: str) -> Column:
@@ -71,14 +65,14 @@ def token_id(session: Column, secret: str, value: Column) -> Column:
     return F.substring(hmac_sha256(session_key(session, secret), nfkc(value)), 1, 10)
 
 
-def _folded(value: str | None) -> str | None:
+def folded(value: str | None) -> str | None:
     """Python's own folding: Arrow's leaves characters decomposed."""
     return value and unicodedata.normalize("NFKC", value)
 
 
 @F.arrow_udf(StringType())
 def _nfkc(values: pa.Array) -> pa.Array:
-    return pa.array([_folded(v) for v in values.to_pylist()], pa.string())
+    return pa.array([folded(v) for v in values.to_pylist()], pa.string())
 
 
 def nfkc(value: Column) -> Column:
@@ -88,7 +82,7 @@ def nfkc(value: Column) -> Column:
 
 @F.arrow_udf(ArrayType(StringType()))
 def _nfkc_array(values: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else [_folded(x) for x in v] for v in values.to_pylist()], pa.list_(pa.string()))
+    return pa.array([None if v is None else [folded(x) for x in v] for v in values.to_pylist()], pa.list_(pa.string()))
 
 
 def nfkc_array(values: Column) -> Column:

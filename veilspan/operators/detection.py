@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from veilspan import session
+from veilspan.functions import expressions as E
 from veilspan.functions import fixed
 from veilspan.functions.text import normal_form
 from veilspan.operators import sweep
@@ -159,7 +160,7 @@ def of_packs(packs: Iterable[str], ner: bool = True) -> tuple[Family, ...]:
     return tuple(f for f in FAMILIES if (f.pack in packs or f.source == "secrets") and (ner or f.source != "ner"))
 
 
-_KINDS = {"start": pa.int32(), "end": pa.int32(), "label": pa.string(), "confidence": pa.float64(), "format": pa.string(), "source": pa.string(), "negated": pa.bool_(), "text": pa.string()}
+_KINDS = {"start": pa.int32(), "end": pa.int32(), "label": pa.string(), "confidence": pa.float64(), "format": pa.string(), "source": pa.string(), "negated": pa.bool_(), "text": pa.string(), "folded": pa.string()}
 _PLACES = {c: i for i, c in enumerate(("start", "end", "label", "confidence", "format", "source", "negated"))}
 
 
@@ -175,7 +176,7 @@ def _found_in(find: Callable[[str], list[tuple]], fields: tuple[str, ...]) -> Ca
             text = text.as_py()
             spans = find(text) if text else []
             for c in fields:
-                columns[c] += [text[s[0] : s[1]] for s in spans] if c == "text" else [s[_PLACES[c]] for s in spans]
+                columns[c] += [text[s[0] : s[1]] for s in spans] if c == "text" else [E.folded(text[s[0] : s[1]]) for s in spans] if c == "folded" else [s[_PLACES[c]] for s in spans]
             ends.append(ends[-1] + len(spans))
         structs = pa.StructArray.from_arrays([pa.array(columns[c], _KINDS[c]) for c in fields], names=list(fields))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
@@ -211,8 +212,9 @@ def locked_spans(sentences: DataFrame, text: str = "text", keep: Iterable[str] =
     return found.select(*keep, *[f"s.{c}" for c in columns])
 
 
-def found_of(name: str, packs: Iterable[str] = ("base_en",), ner: bool = True, protect: str | None = None, families: Iterable[str] | None = None) -> Column:
+def found_of(name: str, packs: Iterable[str] = ("base_en",), ner: bool = True, protect: str | None = None, families: Iterable[str] | None = None, folded: bool = False) -> Column:
     """The whole run on a text column: array of FOUND in order of start, with offsets in the text as it is (`sweep.whole`).
+    With `folded` each has its value's folded form (NFKC) too.
 
     Spans that overlap a match of the pattern `protect` are left out. With `families` only those of these names run."""
     names = None if families is None else set(families)
@@ -222,7 +224,7 @@ def found_of(name: str, packs: Iterable[str] = ("base_en",), ner: bool = True, p
         found = sweep.whole(text, [FAMILIES[i] for i in numbers], normal_form)
         return sweep.free_of(found, (m.span() for m in sweep.compiled(protect).finditer(text))) if protect and found else found
 
-    return _found_in(find, tuple(_KINDS))(F.col(name))
+    return _found_in(find, tuple(c for c in _KINDS if folded or c != "folded"))(F.col(name))
 
 
 def run(units: DataFrame, packs: Iterable[str] = ("base_en",), *, ner: bool = True, text: str = "text", keep: Iterable[str] = ()) -> DataFrame:

@@ -1,7 +1,7 @@
 """What a policy makes of whole texts: sanitized messages, scanned replies, tool calls and files.
 
-Each works in the row of its text: spans are found, decided and replaced as one array, so no text is
-shuffled. What a request or a call or a file has in several rows is gathered as small columns only.
+Each works in the row of its text: spans are found, decided and replaced as one array. What a request or a call has in
+several rows is decided by a window over them, so that no text is scanned twice; of a file small columns are gathered.
 
 A null text has no spans and stays null. Repeated rows are judged alike, once for each row.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
@@ -40,14 +40,14 @@ def _decided(units: DataFrame, rules: Rules, text: str, packs: Iterable[str], ne
 
 def tokenized(units: DataFrame, rules: Rules, *, session: str, secret: str, text: str = "text", packs: Iterable[str] = ("base_en",), ner: bool = True, negation_action: str | None = "PRESERVE", **run) -> DataFrame:
     """The units with `decisions`: as of `decisions_column`, with token_id and token of each. `run` is handed to `detection.found_of`."""
-    decided = _decided(units, rules, text, packs, ner, negation_action, **run)
-    folded = decided.withColumn("folded", E.nfkc_array(F.transform("decisions", lambda d: d["value"]))).withColumn("key_hex", E.session_key(F.col(session), secret))
+    rows = spread(units).withColumn("found", detection.found_of(text, packs, ner, folded=True, **run)).withColumn("key_hex", E.session_key(F.col(session), secret))
 
-    def minted(d: Column, value: Column) -> Column:
-        identity = F.substring(E.hmac_sha256(F.col("key_hex"), value), 1, 10)
+    def minted(d: Column, s: Column) -> Column:
+        identity = F.substring(E.hmac_sha256(F.col("key_hex"), s["folded"]), 1, 10)
         return F.struct(*[d[c].alias(c) for c in ("start", "end", "label", "confidence", "action", "rule_id", "value")], identity.alias("token_id"), E.token(d["label"], identity).alias("token"))
 
-    return folded.withColumn("decisions", F.zip_with("decisions", "folded", minted)).drop("folded", "key_hex")
+    decisions = F.zip_with(decisions_column(F.col("found"), rules, negation_action), "found", minted)
+    return rows.withColumn("decisions", decisions).drop("found", "key_hex")
 
 
 def _labels(decisions: Column, *actions: str) -> Column:
@@ -58,11 +58,15 @@ def _edits(decisions: Column, new) -> Column:
     return F.transform(decisions, lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), new(d).alias("new")))
 
 
+_SANITIZED = ("injected", "decisions", "sanitized", "minted", "blocked", "notice")
+
+
 def sanitize(messages: DataFrame, request: str, rules: Rules, *, session: str, secret: str, text: str = "text", injection: str | None = "FLAG", packs: Iterable[str] = ("base_en",), negation_action: str | None = "PRESERVE") -> DataFrame:
     """Messages with `sanitized` (values to be blocked or replaced as tokens), `injected`, `decisions`, `blocked`
     (sorted labels that refuse the request; PROMPT_INJECTION where `injection` is BLOCK), `minted` and the `notice`
     that goes before a request's messages when any token was minted and nothing is refused.
 
+    Spans are found once a message: what its request decides is a window over its messages, and no join with a second run.
     A message refused for injection is not looked at further. With `injection` None none is looked for."""
     hit = F.lit(False)
     for c in routing.injection(F.col(text)).values():
@@ -74,9 +78,10 @@ def sanitize(messages: DataFrame, request: str, rules: Rules, *, session: str, s
     acted = F.filter("decisions", lambda d: d["action"].isin("REVERSIBLE", "BLOCK"))
     rows = rows.withColumn("sanitized", spans.splice(F.col("looked_at"), _edits(acted, lambda d: d["token"]))).withColumn("minted", F.size(acted)).drop("looked_at")
     own = F.concat(_labels(F.col("decisions"), "BLOCK"), F.when(refused, F.array(F.lit("PROMPT_INJECTION"))).otherwise(F.array().cast("array<string>")))
-    of_request = rows.groupBy(request).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(own)))).alias("blocked"), (F.sum("minted") > 0).alias("any"))
-    notice = F.when(F.col("any") & (F.size("blocked") == 0), F.lit(fixed.TOKEN_NOTICE)).alias("notice")
-    return rows.join(of_request.select(request, "blocked", notice), request)
+    of_request = Window.partitionBy(request)
+    blocked = F.array_sort(F.array_distinct(F.flatten(F.collect_set("own_").over(of_request))))
+    rows = rows.withColumn("own_", own).withColumn("any_", F.sum("minted").over(of_request) > 0).withColumn("blocked", blocked)
+    return rows.withColumn("notice", F.when(F.col("any_") & (F.size("blocked") == 0), F.lit(fixed.TOKEN_NOTICE))).drop("own_", "any_").select(request, *[c for c in messages.columns if c != request], *_SANITIZED)
 
 
 def vault_entries(rows: DataFrame, session: str) -> DataFrame:
@@ -113,12 +118,15 @@ def _context(texts: pa.Array, acted: pa.Array) -> pa.Array:
 def scan_calls(args: DataFrame, call: str, tool_rules: DataFrame, *, session: str, secret: str, tool: str = "tool", arg: str = "arg", value: str = "value") -> DataFrame:
     """Tool calls, one row for each string argument, with `action` (PRESERVE where no rule names tool and
     argument), `hit`, `rewritten` (the argument as passed on; null for a refused call) and the call's `outcome`."""
-    joined = args.join(F.broadcast(tool_rules.select(F.col("tool").alias(tool), F.col("arg").alias(arg), F.col("rule").alias("action"))), [tool, arg], "left").withColumn("action", F.coalesce("action", F.lit("PRESERVE")))
-    rows = tokenized(joined, {}, session=session, secret=secret, text=value).withColumn("hit", F.size("decisions") > 0)
+    named = F.broadcast(tool_rules.select(F.col("tool").alias(tool), F.col("arg").alias(arg), F.col("rule").alias("action")))
+    found = tokenized(args, {}, session=session, secret=secret, text=value).withColumn("hit", F.size("decisions") > 0)
+    # Rules are joined last: the size that Spark takes a join to have is no measure for dealing rows to cores.
+    rows = found.join(named, [tool, arg], "left").withColumn("action", F.coalesce("action", F.lit("PRESERVE")))
     marked = spans.splice(F.col(value), _edits(F.col("decisions"), lambda d: F.concat(F.lit(f"[{fixed.TOOL_TOKEN_PREFIX}"), d["token_id"], F.lit("]"))))
     rows = rows.withColumn("rewritten", F.when(F.col("hit") & (F.col("action") == "REVERSIBLE"), marked).otherwise(F.col(value)))
-    of_call = rows.groupBy(call).agg(F.bool_or(F.col("hit") & (F.col("action") == "BLOCK")).alias("refused"), F.bool_or(F.col("hit") & (F.col("action") == "REVERSIBLE")).alias("changed"))
-    judged = rows.join(of_call, call).withColumn("outcome", F.when(F.col("refused"), "refused").when(F.col("changed"), "rewritten").otherwise("passed"))
+    of_call = Window.partitionBy(call)
+    any_of = lambda action: F.bool_or(F.col("hit") & (F.col("action") == action)).over(of_call)
+    judged = rows.withColumn("refused", any_of("BLOCK")).withColumn("changed", any_of("REVERSIBLE")).withColumn("outcome", F.when(F.col("refused"), "refused").when(F.col("changed"), "rewritten").otherwise("passed"))
     return judged.withColumn("rewritten", F.when(~F.col("refused"), F.col("rewritten"))).drop("refused", "changed")
 
 
