@@ -2,14 +2,15 @@
 
 import hashlib
 import hmac
+import time
 
 import duckdb
 from pyspark.sql import functions as F
 
 from veilspan.functions import expressions as E
 from veilspan.functions import fixed
-from veilspan.operators import guard
-from veilspan.plans import registry
+from veilspan.operators import corpora, guard, stored, sweep
+from veilspan.plans import evaluation, registry
 
 
 def test_costs_next_to_a_tie_are_rounded_as_sql_does(spark, tmp_path):
@@ -40,3 +41,13 @@ def test_keyed_hashes_are_those_of_the_library(spark):
     rows = spark.createDataFrame([(k, f"v{i}é") for i, k in enumerate(keys)], "k string, v string").withColumn("h", E.hmac_sha256(F.col("k"), F.col("v")))
     assert all(r["h"] == hmac.new(bytes.fromhex(r["k"]), r["v"].encode(), hashlib.sha256).hexdigest() for r in rows.collect())
     assert "transform(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sentence_ends_are_looked_for_behind_marks():
+    text = "words of a text that goes on " * 6000 + "e.g. this. And that!! 'So.' End"
+    began = time.process_time()
+    ends = [m.end() for m in sweep.compiled(sweep.BOUNDARY).finditer(text)]
+    plain, began = time.process_time() - began, time.process_time()
+    found = sweep.sentences_in(text)
+    assert time.process_time() - began < plain / 3
+    assert found == list(zip([0, *ends], [*ends, len(text)], strict=True)) and len(found) == 4
