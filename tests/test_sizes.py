@@ -51,3 +51,12 @@ def test_sentence_ends_are_looked_for_behind_marks():
     found = sweep.sentences_in(text)
     assert time.process_time() - began < plain / 3
     assert found == list(zip([0, *ends], [*ends, len(text)], strict=True)) and len(found) == 4
+
+
+def _joins(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vocabularies_are_not_broadcast(spark):
+    found = corpora.tfidf(spark.createDataFrame([(1, "aa bb"), (2, "bb cc")], "k long, text string"), "k")
+    assert "BroadcastHashJoin" not in _joins(found) and found.count() == 6

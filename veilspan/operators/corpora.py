@@ -5,7 +5,7 @@ Nothing of a corpus but counts comes to the driver: draws are hashes of seed and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,10 +39,9 @@ def tfidf(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     counts = texts.select(F.col(key), F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     total = texts.select(key).distinct().agg(F.count(F.lit(1)).alias("texts"))
     frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).withColumn("idf", F.log((1 + F.col("texts")) / (1 + F.col("df"))) + 1).drop("texts")
-    weighted = counts.join(frequency, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    length = weighted.groupBy(F.col(key).alias("of")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    joined = weighted.join(length, F.col(key).eqNullSafe(F.col("of")))
-    return joined.select(key, "term", "tf", "df", (F.col("w") / F.col("length")).alias("weight"))
+    weighted = counts.join(frequency.hint("merge"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return weighted.select(key, "term", "tf", "df", (F.col("w") / length).alias("weight"))
 
 
 def injection_model(labelled: DataFrame, text: str = "text", label: str = "label"):
