@@ -60,3 +60,9 @@ def _joins(df):
 def test_vocabularies_are_not_broadcast(spark):
     found = corpora.tfidf(spark.createDataFrame([(1, "aa bb"), (2, "bb cc")], "k long, text string"), "k")
     assert "BroadcastHashJoin" not in _joins(found) and found.count() == 6
+
+
+def test_stored_keys_are_not_broadcast(spark):
+    rows, held = spark.createDataFrame([(1,), (2,), (None,)], "k long"), spark.createDataFrame([(2,), (None,)], "k long")
+    fresh = stored.unheld(rows, held, ["k"])
+    assert "Broadcast" not in _joins(fresh) and [r["k"] for r in fresh.collect()] == [1]

@@ -34,9 +34,15 @@ def insert_or_ignore(rows: DataFrame, path: str, keys: list[str], batch: int, or
         rows = rows.withColumn("place_", F.row_number().over(w)).where("place_ = 1").drop("place_")
     else:
         rows = rows.dropDuplicates(keys)
-    held = stored(rows.sparkSession, path, _schema(rows)).where(F.col(BATCH) != batch).select(*[F.col(k).alias(f"held_{k}") for k in keys])
-    same = [F.col(k).eqNullSafe(F.col(f"held_{k}")) for k in keys]
-    rows.join(held, same, "left_anti").write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}")
+    held = stored(rows.sparkSession, path, _schema(rows)).where(F.col(BATCH) != batch)
+    unheld(rows, held, keys).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}")
+
+
+def unheld(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys (nulls are equal) no held row has. Held keys grow with the table and are never broadcast, however
+    small their files are."""
+    own = held.select(*[F.col(k).alias(f"held_{k}") for k in keys])
+    return rows.join(own.hint("merge"), [F.col(k).eqNullSafe(F.col(f"held_{k}")) for k in keys], "left_anti")
 
 
 def replace_of(rows: DataFrame, path: str, by: str) -> None:
