@@ -66,3 +66,12 @@ def test_stored_keys_are_not_broadcast(spark):
     rows, held = spark.createDataFrame([(1,), (2,), (None,)], "k long"), spark.createDataFrame([(2,), (None,)], "k long")
     fresh = stored.unheld(rows, held, ["k"])
     assert "Broadcast" not in _joins(fresh) and [r["k"] for r in fresh.collect()] == [1]
+
+
+def test_a_model_is_fitted_on_a_corpus_drawn_once(spark, monkeypatch, tmp_path):
+    spark.range(40).select(F.col("id").alias("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    fitted = []
+    plain = corpora.injection_model
+    monkeypatch.setattr(corpora, "injection_model", lambda labelled: fitted.append(labelled) or plain(labelled))
+    assert evaluation.injection_evaluation(spark, str(tmp_path)).count() == 2
+    assert "sha2" not in fitted[0]._jdf.queryExecution().optimizedPlan().toString()

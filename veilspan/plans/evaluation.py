@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilspan.functions import fixed
 from veilspan.operators import corpora, routing
 from veilspan.plans.detection import quoted
-from veilspan.session import table
+from veilspan.session import scratch, table
 
 QUERIES, SQL = {}, {}
 
@@ -95,8 +95,9 @@ def injection_confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("injection_evaluation")
 def injection_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    """A model learned from one set of templates, judged on another: counts, precision and recall by class."""
-    model = corpora.injection_model(_corpus(spark, sf, LEARN_ATTACKS, LEARN_BENIGN))
+    """A model learned from one set of templates, judged on another: counts, precision and recall by class. The steps of the
+    fit read a corpus that was drawn once."""
+    model = corpora.injection_model(scratch(_corpus(spark, sf, LEARN_ATTACKS, LEARN_BENIGN), "corpus"))
     scored = model.transform(_corpus(spark, sf, JUDGE_ATTACKS, JUDGE_BENIGN, 43))
     named = lambda c: F.when(c == 1, "attack").otherwise("benign")
     return corpora.confusion(scored.select(named(F.col("label")).alias("label"), named(F.col("prediction")).alias("predicted")), "label", "predicted")
