@@ -1,7 +1,9 @@
 """Streams over many files and batches, and what a stream and the batch operator have to agree on."""
 
+import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +126,83 @@ def test_cuts_are_ends_of_sentences():
     text = "Mr. Lee met Dr. Ray at noon. They left! It was 5. Then (ok). Fine"
     assert [text[c:] for c in rehydrate.safe_cuts(text)] == ["They left! It was 5. Then (ok). Fine", "It was 5. Then (ok). Fine"]
     assert set(rehydrate.safe_cuts(text)) <= {e for _, e in sweep.sentences_in(text)}
+
+
+class Store:
+    """A list state that counts what is asked of it."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + 1, list(rows)
+
+    def clear(self):
+        self.put([])
+
+
+def group_rows(texts, size):
+    """Rows of one group as its processor gets them, by batch: the first chunks of all replies, then the others, out of order."""
+    rows = []
+    for n, text in enumerate(texts):
+        pieces = [text[i : i + size] for i in range(0, len(text), size)]
+        first = json.dumps({"token_ids": ["0123456789"], "values_": ["v"]})
+        rows += [{"part": 0, "request_id": str(n), "chunk_no": i, "session_id": "s", "piece": p, "last": i == len(pieces) - 1, "entries": None if i else first} for i, p in enumerate(pieces)]
+    frame = pd.DataFrame(rows)
+    return [part.iloc[::-1] for part in (frame[frame.chunk_no < 9], frame[frame.chunk_no >= 9])]
+
+
+def test_a_group_of_replies_takes_few_calls_and_one_scan_a_batch():
+    scan, store, texts = rehydrate.Scan(fixed.POLICIES["default"], "k", suppress_context=True), Store(), replies(60)
+    scans, edits = [], scan.edits
+    scan.edits = lambda *args: scans.append(args) or edits(*args)
+    processor, got = rehydrate.Scanner(scan), {}
+    processor.init(store)
+    for frame in group_rows(texts, 8):
+        for out in processor.handleInputRows((0,), iter([frame]), None):
+            for r in out.itertuples():
+                got.setdefault(r.request_id, []).append((r.chunk_no, r.released, r.unresolved))
+    assert store.calls <= 4 and store.rows == [] and len(scans) <= 2 * len(texts)
+    for n, text in enumerate(texts):
+        rows = sorted(got[str(n)])
+        wanted, missing = in_chunks(scan, text, 8, {"0123456789": "v"})
+        assert ("".join(r[1] for r in rows), sum(r[2] for r in rows)) == (wanted, missing)
+        assert len(rows) == -(-len(text) // 8)
+
+
+def test_replies_leave_the_state_when_all_their_chunks_have_come():
+    processor, store = rehydrate.Rehydrator(), Store()
+    processor.init(store)
+    row = lambda no, piece, last: {"part": 0, "request_id": "r", "chunk_no": no, "session_id": "", "piece": piece, "last": last, "entries": None if no else '{"token_ids":["0123456789"],"values_":["v"],"output_ids":[]}'}
+    told = []
+    for batch in ([row(0, "a <X_PII_01", False)], [row(2, " <X_PII_0123456789>", True)], [row(1, "23456789> b", False)]):  # the last chunk comes before another
+        told += [r for out in processor.handleInputRows((0,), iter([pd.DataFrame(batch)]), None) for r in zip(out.chunk_no, out.released)]
+        assert bool(store.rows) == (len(told) < 3)
+    assert told[0] == (0, "a ") and told[1][1].endswith(" v")
+
+
+@pytest.mark.parametrize("opened", [True, False])
+def test_replies_over_many_batches_are_those_of_one(spark, opened):
+    scan, texts = rehydrate.Scan(fixed.POLICIES["default"], "k", suppress_context=True), replies(25)
+    made = [(str(n), i, "s", text[i * 8 : i * 8 + 8], i * 8 + 8 >= len(text), [] if i else ["0123456789"], [] if i else ["v"], []) for n, text in enumerate(texts) for i in range(-(-len(text) // 8))]
+    rows = spark.createDataFrame(made, "request_id string, chunk_no int, session_id string, piece string, last boolean, token_ids array<string>, values_ array<string>, output_ids array<string>").drop(*([] if opened else ["output_ids"]))
+    folder = streams._folder(spark)
+    for a, b in ((0, 5), (5, 12), (12, 10**6)):
+        rows.where(F.col("chunk_no").between(a, b - 1)).coalesce(1).write.mode("append").parquet(folder)
+
+    def run(source):
+        found = streams._run(spark, rehydrate.rehydrate_stream(source) if opened else rehydrate.scan_stream(source, scan))
+        return {(r["request_id"], r["chunk_no"]): (r["released"], r["unresolved"]) for r in found.collect()}
+
+    many = run(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    assert many == run(streams._as_stream(spark, rows)) and len(many) == len(made)
+    for n, text in enumerate(texts):
+        whole = "".join(many[k][0] for k in sorted(many) if k[0] == str(n))
+        assert whole == (rehydrate.resolved(text, {"0123456789": "v"})[0] if opened else in_chunks(scan, text, 8, {"0123456789": "v"})[0])

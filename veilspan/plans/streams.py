@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import fixed
 from veilspan.plans import control
-from veilspan.session import shared_folder, table
+from veilspan.session import shared_folder, spread, table
 from veilspan.streaming import limits, rehydrate
 
 QUERIES, SQL = {}, {}
@@ -59,15 +59,24 @@ def stream_rehydrate(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("request_id"), reply.alias("text"), F.array(identity).alias("token_ids"), F.array("c_name").alias("values_"))
     cut = _chunks(rows)
     released = _run(spark, rehydrate.rehydrate_stream(_as_stream(spark, cut)))
-    joined = released.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "released"))).alias("parts"), F.sum("unresolved").alias("unresolved"))
-    return joined.select("request_id", F.array_join(F.transform("parts", lambda p: p["released"]), "").alias("final_text"), "unresolved")
+    return _joined(released).select("request_id", "final_text", "unresolved")
+
+
+def _joined(released: DataFrame) -> DataFrame:
+    """Each request's released text in order of its chunks; only chunks that released some are gathered. `early`: some came
+    before the last chunk."""
+    some = F.col("released") != ""
+    parts = F.array_sort(F.collect_list(F.when(some, F.struct("chunk_no", "released"))))
+    early = F.coalesce(F.min(F.when(some, F.col("chunk_no"))) < F.max("chunk_no"), F.lit(False))
+    rows = released.groupBy("request_id").agg(parts.alias("parts"), F.sum("unresolved").alias("unresolved"), early.alias("early"))
+    return rows.select("request_id", F.array_join(F.transform("parts", lambda p: p["released"]), "").alias("final_text"), "unresolved", "early")
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
     """Chunks of four characters; the vault entries come with the first."""
     pieces = F.regexp_extract_all("text", F.lit("(?s).{1,4}"), F.lit(0))
     closed = F.col("output_ids") if "output_ids" in rows.columns else F.expr("cast(array() as array<string>)")
-    cut = rows.withColumn("output_ids", closed).withColumn("n", F.size(pieces)).select("request_id", "n", "token_ids", "values_", "output_ids", F.posexplode(pieces).alias("chunk_no", "piece"))
+    cut = spread(rows).withColumn("output_ids", closed).withColumn("n", F.size(pieces)).select("request_id", "n", "token_ids", "values_", "output_ids", F.posexplode(pieces).alias("chunk_no", "piece"))
     first = lambda c: F.when(F.col("chunk_no") == 0, F.col(c)).otherwise(F.slice(c, 1, 0)).alias(c)
     return cut.select("request_id", "chunk_no", "piece", (F.col("chunk_no") == F.col("n") - 1).alias("last"), *[first(c) for c in ("token_ids", "values_", "output_ids")])
 
@@ -89,10 +98,8 @@ def stream_output_scan(spark: SparkSession, sf: str) -> DataFrame:
     cut = _chunks(rows).withColumn("session_id", F.lit("s")).drop("output_ids")
     scan = rehydrate.Scan(fixed.POLICIES["finance_strict"], "local-test-secret", suppress_context=True)
     released = _run(spark, rehydrate.scan_stream(_as_stream(spark, cut), scan))
-    joined = released.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "released"))).alias("parts"), F.sum("unresolved").alias("unresolved"))
-    text = F.array_join(F.transform("parts", lambda p: p["released"]), "")
-    early = F.exists(F.slice("parts", 1, F.size("parts") - 1), lambda p: p["released"] != "").cast("long")
-    return joined.select("request_id", F.regexp_replace(text, r"<EMAIL_PII_[0-9a-f]{10}>", "<EMAIL>").alias("final_text"), "unresolved", early.alias("parts"))
+    text = F.regexp_replace("final_text", r"<EMAIL_PII_[0-9a-f]{10}>", "<EMAIL>")
+    return _joined(released).select("request_id", text.alias("final_text"), "unresolved", F.col("early").cast("long").alias("parts"))
 
 
 @query("stream_dedupe", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
