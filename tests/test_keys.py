@@ -28,6 +28,35 @@ def test_signatures_of_the_standard(seed, public, message, signature):
     assert not ed25519.verified(message, signature, ed25519.public_key(b"\1" * 32)) and not ed25519.verified(message, b"", public)
 
 
+def test_signatures_take_few_sums(monkeypatch):
+    seed, sums, add = b"\3" * 32, [], ed25519._add
+    public = ed25519.public_key(seed)
+    assert ed25519.verified(b"0", ed25519.sign(b"0", seed), public)  # tables are made
+    monkeypatch.setattr(ed25519, "_add", lambda a, b: sums.append(1) or add(a, b))
+    assert all(ed25519.verified(m, ed25519.sign(m, seed), public) for m in (b"1", b"2", b"3"))
+    assert len(sums) <= 3 * (64 + 2 * 64 + 1)
+
+
+def test_no_other_encoding_is_a_signature():
+    seed, message = b"\4" * 32, b"m"
+    public, signature = ed25519.public_key(seed), ed25519.sign(message, seed)
+    s = int.from_bytes(signature[32:], "little")
+    assert not ed25519.verified(message, signature[:32] + (s + ed25519.ORDER).to_bytes(32, "little"), public)
+    assert not ed25519.verified(message, signature[:31] + bytes([signature[31] ^ 128]) + signature[32:], public)
+    for point in (b"\0" * 32, b"\xff" * 32, (ed25519.FIELD + 1).to_bytes(32, "little"), (1 | 1 << 255).to_bytes(32, "little")):
+        assert not ed25519.verified(message, point + signature[32:], public) and not ed25519.verified(message, point + b"\0" * 32, public)
+    assert not ed25519.verified(message, signature, b"\2" + b"\0" * 31) and not ed25519.verified(message, signature, b"\xff" * 32)
+
+
+def test_signed_chains_are_verified_in_one_pass(spark):
+    rows = spark.createDataFrame([("a", 0, "x")], "chain string, seq long, body string")
+    signed = spark.createDataFrame([("a", "k", "00")], "chain string, key_id string, signature string")
+    keys = spark.createDataFrame([("k", "00")], "key_id string, public_key string")
+    found = audit.verify_signed(audit.link(rows, "chain", "seq", "body"), signed, keys, "chain", "seq", "body")
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == 1
+    assert [tuple(r) for r in found.collect()] == [("a", 1, False, None, "invalid")]
+
+
 def test_altered_records_are_found_by_their_heads(spark):
     rows = spark.createDataFrame([(c, i, f"{c}{i}") for c in ("a", "b", "c", "d") for i in range(4)] + [(None, 0, "n")], "chain string, seq long, body string")
     log = audit.link(rows, "chain", "seq", "body")

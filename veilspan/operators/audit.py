@@ -51,11 +51,17 @@ def rechain(records: DataFrame, chain: str, order: str, body: str) -> DataFrame:
 
 def verify(records: DataFrame, chain: str, order: str, body: str) -> DataFrame:
     """n, ok and first_bad of each chain, from each row and the hash before it."""
+    return _verified(records, chain, order, body).drop("head")
+
+
+def _verified(records: DataFrame, chain: str, order: str, body: str) -> DataFrame:
+    """What `verify` and `heads` give, in one pass over the records."""
     w = Window.partitionBy(chain).orderBy(order)
     linked = F.col("prev_hash").eqNullSafe(F.lag("hash").over(w))
     right = F.col("hash") == F.sha2(F.concat(F.coalesce("prev_hash", F.lit("")), F.col(body)), 256)
     checked = records.withColumn("good", linked & right)
-    return checked.groupBy(chain).agg(F.count(F.lit(1)).alias("n"), F.bool_and("good").alias("ok"), F.min(F.when(~F.col("good"), F.col(order))).alias("first_bad"))
+    first_bad = F.min(F.when(~F.col("good"), F.col(order)))
+    return checked.groupBy(chain).agg(F.count(F.lit(1)).alias("n"), F.bool_and("good").alias("ok"), first_bad.alias("first_bad"), F.max_by("hash", order).alias("head"))
 
 
 def heads(records: DataFrame, chain: str, order: str) -> DataFrame:
@@ -99,17 +105,16 @@ def verify_signed(records: DataFrame, signed: DataFrame, keys: DataFrame, chain:
         rows = zip(*(x.to_pylist() for x in (chains, counts, hashes, signatures, publics)), strict=True)
         return pa.array([right(*row) for row in rows], pa.bool_())
 
-    now = heads(records, chain, order).withColumnRenamed("n", "n_now")
     held = signed.select(F.col(chain).alias("signed_chain"), "key_id", "signature").withColumn("held", F.lit(True))
+    now = _verified(records, chain, order, body)
     joined = now.join(held, F.col(chain).eqNullSafe(F.col("signed_chain")), "left").join(F.broadcast(keys.select("key_id", "public_key")), "key_id", "left")
     state = (
         F.when(F.col("held").isNull() | F.col("signature").isNull(), "missing")
         .when(F.col("public_key").isNull(), "unknown key")
-        .when(good(F.col(chain).cast("string"), "n_now", "head", "signature", "public_key"), "valid")
+        .when(good(F.col(chain).cast("string"), "n", "head", "signature", "public_key"), "valid")
         .otherwise("invalid")
     )
-    states = joined.select(F.col(chain).alias("of_chain"), state.alias("signature"))
-    checked = verify(records, chain, order, body).join(states, F.col(chain).eqNullSafe(F.col("of_chain"))).drop("of_chain")
+    checked = joined.select(chain, "n", "ok", "first_bad", state.alias("signature"))
     accepted = F.col("signature").isin("valid", *([] if require_signature else ["missing"]))
     return checked.withColumn("ok", F.col("ok") & accepted)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilspan.functions import ed25519, fixed
 from veilspan.operators import audit, policy, ranks, routing, stored
 from veilspan.plans.detection import quoted
-from veilspan.session import shared_folder, table
+from veilspan.session import scratch, shared_folder, table
 from veilspan.sources import chat, files
 
 QUERIES, SQL = {}, {}
@@ -420,8 +420,9 @@ _SEED = hashlib.sha256(b"local-test-signing").digest()
 def audit_signed(spark: SparkSession, sf: str) -> DataFrame:
     """Chains with signed heads. In some a record is altered together with all its hashes (user_id % 5 = 1), cut off (2) or
     the signature is missing (3); others were signed by a key that has been replaced since (4)."""
-    log = _log(spark, sf).where("user_id % 20 < 5")
-    heads = audit.heads(log, "user_id", "event_id").where("user_id % 5 <> 3")
+    rows = table(spark, sf, "events").where("user_id % 20 < 5")
+    log = audit.link(rows.select("user_id", "event_id", audit.canonical(["event_id", "event_type", "user_id"]).alias("body")), "user_id", "event_id", "body")
+    heads = scratch(audit.heads(log, "user_id", "event_id").where("user_id % 5 <> 3"), "heads")
     now, then = heads.where("user_id % 5 <> 4"), heads.where("user_id % 5 = 4")
     old = hashlib.sha256(b"local-test-signing-before").digest()
     signed = audit.sign_heads(now, "user_id", _SEED, "k2").unionByName(audit.sign_heads(then, "user_id", old, "k1"))
