@@ -122,6 +122,69 @@ def test_streams_over_many_batches_equal_the_batch_operators(spark):
     assert {(r["key"], r["id"]): (r["state"], r["allowed"]) for r in guarded} == serial(rows.collect(), routing.Breaker(2, 8.0))
 
 
+class Values:
+    """A store of values and lists, with its timers."""
+
+    def __init__(self):
+        self.kept, self.timers = {}, []
+
+    def getListState(self, name, schema):
+        return self.kept.setdefault(name, Rows())
+
+    getValueState = getListState
+
+    def registerTimer(self, due):
+        self.timers.append(due)
+
+    def deleteTimer(self, due):
+        self.timers.remove(due)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+class Rows:
+    def __init__(self):
+        self.rows, self.value = [], None
+
+    def appendValue(self, row):
+        self.rows.append(row)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def get(self):
+        return iter(self.rows) if self.rows else self.value
+
+    def exists(self):
+        return self.value is not None
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.rows, self.value = [], None
+
+
+def test_waiting_rows_of_a_batch_are_one_value():
+    made = [(i * 1000, float(i), i, None if i % 7 == 0 else i % 3 > 0) for i in range(500)]
+    random.Random(1).shuffle(made)
+    store, guard_, got = Values(), limits.Guard(2, 8.0), []
+    guard_.init(store)
+    for part in (made[:200], made[200:]):
+        list(guard_.handleInputRows(("k",), iter([pd.DataFrame(part, columns=["due_ms", "at", "id", "failed"])]), None))
+    assert len(store.kept["waiting"].rows) == 2 and store.timers == [0]
+    for store.now in (250_500, 10**9):  # the first leaves rows that wait on
+        store.timers.clear()
+        got += [tuple(r)[1:] for out in guard_.handleExpiredTimer(("k",), store, None) for r in out.itertuples(index=False)]
+        assert len(store.kept["waiting"].rows) == len(store.timers) == (store.now < 10**6)
+    breaker, state = routing.Breaker(2, 8.0), routing.Breaker.start()
+    assert got == [(i, *breaker.step(state, at, bool(failed))) for _, at, i, failed in sorted(made)]
+
+
 def test_cuts_are_ends_of_sentences():
     text = "Mr. Lee met Dr. Ray at noon. They left! It was 5. Then (ok). Fine"
     assert [text[c:] for c in rehydrate.safe_cuts(text)] == ["They left! It was 5. Then (ok). Fine", "It was 5. Then (ok). Fine"]

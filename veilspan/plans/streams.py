@@ -111,7 +111,7 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _calls(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").withColumn("ts", F.to_timestamp("ts"))
+    rows = spread(table(spark, sf, "events").select("event_id", "user_id", "value", F.to_timestamp("ts").alias("ts")))
     return rows.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), (F.unix_micros("ts") / 1e6).alias("at"), "ts", (F.col("value") < 60).alias("failed"))
 
 

@@ -2,11 +2,13 @@
 
 The rules are those of the batch operators. A key's rows wait in state until the watermark has passed them, and are then taken
 in order of time and id, however many batches or files they came in; rows later than the watermark's delay are
-dropped, as Spark drops them.
+dropped, as Spark drops them. The rows that a key's batch brings wait as one value: a row of the store for each would cost far
+more than the fold.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,42 +21,44 @@ from veilspan.operators.routing import Breaker, Bucket
 
 
 class _InOrder(StatefulProcessor):
-    """Folds a key's rows in event order: `due_ms` is when the watermark has passed a row. One timer waits for the first."""
+    """Folds a key's rows in event order: `due_ms` is when the watermark has passed a row. One timer waits for the first.
+    Rows wait as JSON lists of FIELDS."""
 
-    STATE, WAITING, FIELDS, OUT = "", "", (), ()
+    STATE, FIELDS, OUT = "", (), ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", self.STATE)
-        self.waiting = handle.getListState("waiting", self.WAITING)
+        self.waiting = handle.getListState("waiting", "rows string")
         self.timer = handle.getValueState("timer", "due long")
 
-    def fold(self, rows: list[tuple]) -> list[tuple]:
+    def fold(self, rows: list[list]) -> list[tuple]:
         raise NotImplementedError
 
     def _wait_for(self, due: int) -> None:
-        if self.timer.exists():
-            if self.timer.get()[0] <= due:
+        if (held := self.timer.get()) is not None:
+            if held[0] <= due:
                 return
-            self.handle.deleteTimer(self.timer.get()[0])
+            self.handle.deleteTimer(held[0])
         self.timer.update((due,))
         self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            own = frame[list(self.FIELDS)].astype(object).where(frame[list(self.FIELDS)].notna(), None)
-            self.waiting.appendList(list(own.itertuples(index=False, name=None)))
+            own = [_plain(frame[c]) for c in self.FIELDS]
+            self.waiting.appendValue((json.dumps(list(zip(*own, strict=True)), default=lambda v: v.item()),))
             self._wait_for(int(frame["due_ms"].min()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, ready, later = timerValues.getCurrentWatermarkInMs(), [], []
-        for row in self.waiting.get():
-            (ready if row[0] <= now else later).append(tuple(row))
+        for (packed,) in self.waiting.get():
+            for row in json.loads(packed):
+                (ready if row[0] <= now else later).append(row)
         self.timer.clear()
         if later:
-            self.waiting.put(later)
-            self._wait_for(min(r[0] for r in later))
+            self.waiting.put([(json.dumps(later),)])
+            self._wait_for(int(min(r[0] for r in later)))
         else:
             self.waiting.clear()
         out = self.fold(sorted(ready, key=lambda r: (r[1], r[2])))
@@ -64,15 +68,21 @@ class _InOrder(StatefulProcessor):
         pass
 
 
+def _plain(column: pd.Series) -> list:
+    """A column's values, nulls as None."""
+    return column.tolist() if not column.hasnans else [None if v is None or v != v else v for v in column.tolist()]
+
+
 class Limiter(_InOrder):
-    STATE, WAITING = "tokens double, last double", "due_ms long, at double, id long"
+    STATE = "tokens double, last double"
     FIELDS, OUT = ("due_ms", "at", "id"), ("id", "allowed", "tokens", "retry_after_ms")
 
     def __init__(self, rate: float, burst: float):
         self.bucket = Bucket(rate, burst)
 
-    def fold(self, rows: list[tuple]) -> list[tuple]:
-        state = dict(zip(("tokens", "last"), self.state.get(), strict=True)) if self.state.exists() else {}
+    def fold(self, rows: list[list]) -> list[tuple]:
+        held = self.state.get()
+        state = {} if held is None else dict(zip(("tokens", "last"), held, strict=True))
         out = [(i, *self.bucket.step(state, at)) for _, at, i in rows]
         if state:
             self.state.update((state["tokens"], state["last"]))
@@ -80,14 +90,15 @@ class Limiter(_InOrder):
 
 
 class Guard(_InOrder):
-    STATE, WAITING = "fails int, opened double", "due_ms long, at double, id long, failed boolean"
+    STATE = "fails int, opened double"
     FIELDS, OUT = ("due_ms", "at", "id", "failed"), ("id", "state", "allowed")
 
     def __init__(self, threshold: int, open_seconds: float):
         self.breaker = Breaker(threshold, open_seconds)
 
-    def fold(self, rows: list[tuple]) -> list[tuple]:
-        state = dict(zip(("fails", "opened"), self.state.get(), strict=True)) if self.state.exists() else Breaker.start()
+    def fold(self, rows: list[list]) -> list[tuple]:
+        held = self.state.get()
+        state = Breaker.start() if held is None else dict(zip(("fails", "opened"), held, strict=True))
         out = [(i, *self.breaker.step(state, at, bool(failed))) for _, at, i, failed in rows]
         self.state.update((state["fails"], state["opened"]))
         return out
