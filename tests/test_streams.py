@@ -133,6 +133,9 @@ class Values:
 
     getValueState = getListState
 
+    def getMapState(self, name, key, value):
+        return self.kept.setdefault(name, Rows())
+
     def registerTimer(self, due):
         self.timers.append(due)
 
@@ -145,7 +148,13 @@ class Values:
 
 class Rows:
     def __init__(self):
-        self.rows, self.value = [], None
+        self.rows, self.value, self.map = [], None, {}
+
+    def getValue(self, key):
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.map[key] = value
 
     def appendValue(self, row):
         self.rows.append(row)
@@ -169,20 +178,24 @@ class Rows:
         self.rows, self.value = [], None
 
 
-def test_waiting_rows_of_a_batch_are_one_value():
-    made = [(i * 1000, float(i), i, None if i % 7 == 0 else i % 3 > 0) for i in range(500)]
+def test_waiting_rows_of_a_group_are_one_value_a_batch():
+    made = [(i * 1000, float(i), i, None if i % 7 == 0 else i % 3 > 0, ("a", "b", None)[i % 5 % 3]) for i in range(500)]
     random.Random(1).shuffle(made)
-    store, guard_, got = Values(), limits.Guard(2, 8.0), []
+    store, guard_, got = Values(), limits.Guard(2, 8.0), {}
     guard_.init(store)
     for part in (made[:200], made[200:]):
-        list(guard_.handleInputRows(("k",), iter([pd.DataFrame(part, columns=["due_ms", "at", "id", "failed"])]), None))
+        list(guard_.handleInputRows((0,), iter([pd.DataFrame(part, columns=["due_ms", "at", "id", "failed", "key"])]), None))
     assert len(store.kept["waiting"].rows) == 2 and store.timers == [0]
     for store.now in (250_500, 10**9):  # the first leaves rows that wait on
         store.timers.clear()
-        got += [tuple(r)[1:] for out in guard_.handleExpiredTimer(("k",), store, None) for r in out.itertuples(index=False)]
+        for out in guard_.handleExpiredTimer((0,), store, None):
+            for key, *row in out.itertuples(index=False):
+                got.setdefault(key, []).append(tuple(row))
         assert len(store.kept["waiting"].rows) == len(store.timers) == (store.now < 10**6)
-    breaker, state = routing.Breaker(2, 8.0), routing.Breaker.start()
-    assert got == [(i, *breaker.step(state, at, bool(failed))) for _, at, i, failed in sorted(made)]
+    assert set(got) == {"a", "b", None}
+    for key, rows in got.items():
+        breaker, state = routing.Breaker(2, 8.0), routing.Breaker.start()
+        assert rows == [(i, *breaker.step(state, at, bool(failed))) for _, at, i, failed, own in sorted(made, key=lambda r: r[0]) if own == key]
 
 
 def test_cuts_are_ends_of_sentences():

@@ -2,8 +2,8 @@
 
 The rules are those of the batch operators. A key's rows wait in state until the watermark has passed them, and are then taken
 in order of time and id, however many batches or files they came in; rows later than the watermark's delay are
-dropped, as Spark drops them. The rows that a key's batch brings wait as one value: a row of the store for each would cost far
-more than the fold.
+dropped, as Spark drops them. Keys are dealt to GROUPS groups by their hash: what a batch brings of a group waits as one value,
+under one timer, since frames, timers and rows of the store for each key would cost far more than the fold.
 """
 
 from __future__ import annotations
@@ -20,19 +20,24 @@ from veilspan import session
 from veilspan.operators.routing import Breaker, Bucket
 
 
+#: Groups of keys; fixed, since the state of a stream hangs on it.
+GROUPS = 1024
+
+
 class _InOrder(StatefulProcessor):
-    """Folds a key's rows in event order: `due_ms` is when the watermark has passed a row. One timer waits for the first.
-    Rows wait as JSON lists of FIELDS."""
+    """Folds each key's rows in event order: `due_ms` is when the watermark has passed a row. One timer waits for a group's first.
+    Rows wait as JSON lists of FIELDS and the key; each key of a group has its own state."""
 
     STATE, FIELDS, OUT = "", (), ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.STATE)
+        self.state = handle.getMapState("state", "key string", self.STATE)
         self.waiting = handle.getListState("waiting", "rows string")
         self.timer = handle.getValueState("timer", "due long")
 
-    def fold(self, rows: list[list]) -> list[tuple]:
+    def fold(self, held: tuple | None, rows: list[list]) -> tuple[list[tuple], tuple]:
+        """What is said of a key's rows and its new state."""
         raise NotImplementedError
 
     def _wait_for(self, due: int) -> None:
@@ -45,24 +50,32 @@ class _InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            own = [_plain(frame[c]) for c in self.FIELDS]
+            own = [_plain(frame[c]) for c in (*self.FIELDS, "key")]
             self.waiting.appendValue((json.dumps(list(zip(*own, strict=True)), default=lambda v: v.item()),))
             self._wait_for(int(frame["due_ms"].min()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, ready, later = timerValues.getCurrentWatermarkInMs(), [], []
+        now, ready, later = timerValues.getCurrentWatermarkInMs(), {}, []
         for (packed,) in self.waiting.get():
             for row in json.loads(packed):
-                (ready if row[0] <= now else later).append(row)
+                if row[0] <= now:
+                    ready.setdefault(row[-1], []).append(row[:-1])
+                else:
+                    later.append(row)
         self.timer.clear()
         if later:
             self.waiting.put([(json.dumps(later),)])
             self._wait_for(int(min(r[0] for r in later)))
         else:
             self.waiting.clear()
-        out = self.fold(sorted(ready, key=lambda r: (r[1], r[2])))
-        yield pd.DataFrame([(key[0], *row) for row in out], columns=["key", *self.OUT])
+        out = []
+        for own, waited in ready.items():
+            place = (json.dumps(own),)
+            said, held = self.fold(self.state.getValue(place), sorted(waited, key=lambda r: (r[1], r[2])))
+            self.state.updateValue(place, held)
+            out += [(own, *row) for row in said]
+        yield pd.DataFrame(out, columns=["key", *self.OUT])
 
     def close(self) -> None:
         pass
@@ -80,13 +93,10 @@ class Limiter(_InOrder):
     def __init__(self, rate: float, burst: float):
         self.bucket = Bucket(rate, burst)
 
-    def fold(self, rows: list[list]) -> list[tuple]:
-        held = self.state.get()
+    def fold(self, held: tuple | None, rows: list[list]) -> tuple[list[tuple], tuple]:
         state = {} if held is None else dict(zip(("tokens", "last"), held, strict=True))
         out = [(i, *self.bucket.step(state, at)) for _, at, i in rows]
-        if state:
-            self.state.update((state["tokens"], state["last"]))
-        return out
+        return out, (state["tokens"], state["last"])
 
 
 class Guard(_InOrder):
@@ -96,12 +106,10 @@ class Guard(_InOrder):
     def __init__(self, threshold: int, open_seconds: float):
         self.breaker = Breaker(threshold, open_seconds)
 
-    def fold(self, rows: list[list]) -> list[tuple]:
-        held = self.state.get()
+    def fold(self, held: tuple | None, rows: list[list]) -> tuple[list[tuple], tuple]:
         state = Breaker.start() if held is None else dict(zip(("fails", "opened"), held, strict=True))
         out = [(i, *self.breaker.step(state, at, bool(failed))) for _, at, i, failed in rows]
-        self.state.update((state["fails"], state["opened"]))
-        return out
+        return out, (state["fails"], state["opened"])
 
 
 class Deadline(StatefulProcessor):
@@ -144,14 +152,19 @@ def _dated(rows: DataFrame, delay: str) -> DataFrame:
     return rows.withColumn("due_ms", F.ceil(F.unix_micros("ts") / 1000)).withWatermark("ts", delay)
 
 
+def _in_groups(rows: DataFrame, delay: str, processor: _InOrder, schema: str) -> DataFrame:
+    dated = _dated(rows, delay).select(F.pmod(F.xxhash64("key"), F.lit(GROUPS)).alias("part"), "key", "ts", *processor.FIELDS)
+    return dated.groupBy("part").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
 def limit_stream(requests: DataFrame, rate: float, burst: float, delay: str = "0 seconds") -> DataFrame:
     """A stream of (key, id, at, ts) to one of (key, id, allowed, tokens, retry_after_ms), once the watermark on ts has passed a request."""
-    return _dated(requests, delay).groupBy("key").transformWithStateInPandas(Limiter(rate, burst), "key string, id long, allowed boolean, tokens double, retry_after_ms long", "Append", "EventTime")
+    return _in_groups(requests, delay, Limiter(rate, burst), "key string, id long, allowed boolean, tokens double, retry_after_ms long")
 
 
 def guard_stream(calls: DataFrame, threshold: int = 5, open_seconds: float = 30.0, delay: str = "0 seconds") -> DataFrame:
     """A stream of (key, id, at, ts, failed) to one of (key, id, state, allowed), once the watermark on ts has passed a call."""
-    return _dated(calls, delay).groupBy("key").transformWithStateInPandas(Guard(threshold, open_seconds), "key string, id long, state string, allowed boolean", "Append", "EventTime")
+    return _in_groups(calls, delay, Guard(threshold, open_seconds), "key string, id long, state string, allowed boolean")
 
 
 def offline_stream(beats: DataFrame, interval: float = 30.0, missed: int = 3, delay: str = "0 seconds") -> DataFrame:
