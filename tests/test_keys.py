@@ -2,12 +2,14 @@
 
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from veilspan.functions import ed25519
 from veilspan.functions import expressions as E
 from veilspan.operators import audit, vault
+from veilspan.plans import registry
 
 # Test vectors of RFC 8032, section 7.1: seed, public key, message, signature.
 VECTORS = [
@@ -105,3 +107,29 @@ def test_entries_of_one_place_are_one_entry(spark, tmp_path):
     boxes, keys = vault.seal_entries(rows, master, str(tmp_path / "twice"))
     assert boxes.count() == keys.count() == 3
     assert sorted(tuple(r) for r in vault.open_entries(boxes, keys, master).collect()) == [("s1", "t1", "a"), ("s1", "t2", "b"), ("s2", "t1", "a")]
+
+
+# The first two names have one token in nation 1 (852d2dd8ce), the next two are one when folded; nation 27 is in no table of nations.
+CUSTOMERS = [("Customer#000043813", 1), ("Customer#000977844", 1), ("Customer#1", 2), ("Ｃustomer#1", 2), ("Customer#1", 2), ("", 4), ("Müller", 27), ("Meier", -3), ("Ann", 3), ("Bob", None), (None, 5), (None, 6), (None, None)]
+
+
+@pytest.mark.parametrize("name", ["vault_crypto_erase"])
+def test_every_customer_has_an_entry_of_its_own(spark, tmp_path, name):
+    rows = [(i, *c) for i, c in enumerate(CUSTOMERS)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(i,) for i in range(25)], "n_nationkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    wanted = duckdb.connect().execute(registry.oracle_sql()[name].replace("FROM customer", f"FROM '{tmp_path}/customer.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(wanted, key=str) and len(got) == len(CUSTOMERS)
+
+
+def test_values_of_one_token_are_parted(spark, tmp_path):
+    """Equal values stay one entry; a place without a session or a token opens too."""
+    made = [("s", "t", "b"), ("s", "t", "a"), ("s", "t", "b"), ("r", "t", "b"), (None, "t", "c"), ("s", None, "d"), (None, None, "e"), (None, None, None)]
+    entries = vault.parted(spark.createDataFrame(made, "session_id string, token_id string, value string"))
+    assert sorted(map(str, entries.collect())) == sorted(str(r) for r in spark.createDataFrame([("s", "t~1", "b"), ("s", "t", "a"), ("s", "t~1", "b"), ("r", "t", "b"), (None, "t", "c"), ("s", None, "d"), (None, "~1", "e"), (None, None, None)], entries.schema).collect())
+    master = F.unhex(F.sha2(F.lit("m"), 256))
+    boxes, keys = vault.seal_entries(entries, master, str(tmp_path / "parted"))
+    assert sorted(r["value"] or "-" for r in vault.open_entries(boxes, keys, master).collect()) == ["-", "a", "b", "b", "c", "d", "e"]
+    left = vault.erase_keys(keys, spark.createDataFrame([(None,)], "session_id string"))
+    assert sorted(r["value"] or "-" for r in vault.open_entries(boxes, left, master).collect()) == ["-", "-", "-", "a", "b", "b", "d"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +39,24 @@ def opened(ciphertext: Column, key: Column, session: Column, token_id: Column) -
     return F.aes_decrypt(ciphertext, key, F.lit("GCM"), F.lit("DEFAULT"), _place(session, token_id)).cast("string")
 
 
+def at_place(left: DataFrame, right: DataFrame, how: str = "inner", on: tuple[str, ...] = ("session_id", "token_id")) -> DataFrame:
+    """The rows of both at one place. A place without a session or a token is a place too: null meets null."""
+    named = right.withColumnsRenamed({c: f"{c}__" for c in on})
+    return left.join(named, reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in on]), how).drop(*(f"{c}__" for c in on))
+
+
+def parted(entries: DataFrame) -> DataFrame:
+    """Entries (session_id, token_id, value and more) with a place for each value. A token is ten hex digits of a folded value's
+    hash, so different values can have the same one: of those in one session all but the least get their number behind it.
+
+    Only values that share a token are joined back, as a rule none; equal values are counted once, however many they are."""
+    place = Window.partitionBy("session_id", "token_id").orderBy("value")
+    values = entries.select("session_id", "token_id", "value").distinct().withColumn("no", F.row_number().over(place) - 1)
+    numbered = at_place(entries, values.where("no > 0"), "left", ("session_id", "token_id", "value"))
+    longer = F.concat(F.coalesce("token_id", F.lit("")), F.lit("~"), F.col("no").cast("string"))
+    return numbered.withColumn("token_id", F.coalesce(longer, "token_id")).select(entries.columns)
+
+
 def _random(count: int) -> list[bytes]:
     return [os.urandom(32) for _ in range(count)]
 
@@ -50,7 +70,8 @@ def seal_entries(entries: DataFrame, master: Column, folder: str) -> tuple[DataF
     """Entries (session_id, token_id, value) as two tables in `folder`: boxes (session_id, token_id, box), each value under
     a random key of its own, and keys (session_id, token_id, wrapped), those keys under the master key. Both are bound
     to session and token. No key follows from the master key, so a box whose key row is gone is closed for good.
-    Entries of one session and token are one entry (the least value, should values differ), so each place has one box and one key.
+    Entries of one session and token are one entry (the least value, should values differ: `parted` gives each its own place), so
+    each place has one box and one key.
 
     The keys are drawn in the one job that writes both in one row, so a task that is repeated writes a pair that fits."""
     session_.ship_package(entries.sparkSession)
@@ -79,7 +100,7 @@ def open_entries(boxes: DataFrame, keys: DataFrame, master: Column) -> DataFrame
     """session_id, token_id, value of every box; null where its key is gone or another master key wrapped it."""
     place = _place(F.col("session_id"), F.col("token_id"))
     own = F.unhex(_decrypted(F.col("wrapped"), master, place))
-    joined = boxes.join(keys, ["session_id", "token_id"], "left").withColumn("own", own)
+    joined = at_place(boxes, keys, "left").withColumn("own", own)
     return joined.select("session_id", "token_id", F.when(F.col("own").isNotNull(), _decrypted(F.col("box"), F.col("own"), place)).alias("value"))
 
 
@@ -92,7 +113,7 @@ def rewrap(keys: DataFrame, old: Column, new: Column) -> DataFrame:
 
 def erase_keys(keys: DataFrame, erased: DataFrame) -> DataFrame:
     """Keys without those of the erased sessions (session_id): their boxes never open again."""
-    return keys.join(erased.select("session_id").distinct(), "session_id", "left_anti")
+    return at_place(keys, erased.select("session_id").distinct(), "left_anti", ("session_id",))
 
 
 def upsert(writes: DataFrame) -> DataFrame:

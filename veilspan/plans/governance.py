@@ -11,7 +11,7 @@ from veilspan.functions import expressions as E
 from veilspan.functions import fixed
 from veilspan.operators import detection, guard, policy, spans, vault
 from veilspan.plans.detection import doubled, quoted
-from veilspan.session import shared_folder, table
+from veilspan.session import shared_folder, spread, table
 
 QUERIES, SQL = {}, {}
 SECRET = "local-test-secret"
@@ -338,7 +338,8 @@ def output_containment(spark: SparkSession, sf: str) -> DataFrame:
 
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
     token = E.token_id(F.col("c_nationkey").cast("string"), SECRET, F.col("c_name"))
-    return table(spark, sf, "customer").select(F.concat(F.lit("s"), "c_nationkey").alias("session_id"), token.alias("token_id"), F.col("c_name").alias("value"), "c_custkey")
+    customer = spread(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"))
+    return vault.parted(customer.select(F.concat(F.lit("s"), "c_nationkey").alias("session_id"), token.alias("token_id"), F.col("c_name").alias("value"), "c_custkey"))
 
 
 def _sealed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -371,11 +372,12 @@ def vault_key_rotation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("vault_crypto_erase", "SELECT c_custkey, CASE WHEN c_nationkey % 3 <> 0 THEN c_name END AS value FROM customer")
 def vault_crypto_erase(spark: SparkSession, sf: str) -> DataFrame:
-    """Every third session's keys are erased: its boxes stay, and no master key opens them."""
+    """Every third session's keys are erased, and those of customers without a nation: their boxes stay, and no master key opens them."""
     names, boxes, keys = _sealed(spark, sf)
-    erased = table(spark, sf, "nation").where("n_nationkey % 3 = 0").select(F.concat(F.lit("s"), "n_nationkey").alias("session_id"))
+    gone = ~F.coalesce(F.col("c_nationkey") % 3 != 0, F.lit(False))
+    erased = table(spark, sf, "customer").where(gone).select(F.concat(F.lit("s"), "c_nationkey").alias("session_id"))
     opened = vault.open_entries(boxes, vault.erase_keys(keys, erased), _key("master"))
-    return names.join(opened, ["session_id", "token_id"]).select("c_custkey", "value")
+    return vault.at_place(names, opened).select("c_custkey", "value")
 
 
 @query(
