@@ -356,9 +356,8 @@ def _key(name: str):
 def vault_entry_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Each entry has a random key of its own, kept in a table of keys under the master key; another master key opens nothing."""
     names, boxes, keys = _sealed(spark, sf)
-    place = ["session_id", "token_id"]
-    opened = vault.open_entries(boxes, keys, _key("master")).join(vault.open_entries(boxes, keys, _key("other")).withColumnRenamed("value", "wrong"), place)
-    return names.join(opened, place).select("c_custkey", "value", F.col("wrong").isNull().alias("bound"))
+    opened = vault.at_place(vault.open_entries(boxes, keys, _key("master")), vault.open_entries(boxes, keys, _key("other")).withColumnRenamed("value", "wrong"))
+    return vault.at_place(names, opened).select("c_custkey", "value", F.col("wrong").isNull().alias("bound"))
 
 
 @query("vault_key_rotation", "SELECT c_custkey, c_name AS value, TRUE AS old_is_void FROM customer")
