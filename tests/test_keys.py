@@ -113,7 +113,7 @@ def test_entries_of_one_place_are_one_entry(spark, tmp_path):
 CUSTOMERS = [("Customer#000043813", 1), ("Customer#000977844", 1), ("Customer#1", 2), ("Ｃustomer#1", 2), ("Customer#1", 2), ("", 4), ("Müller", 27), ("Meier", -3), ("Ann", 3), ("Bob", None), (None, 5), (None, 6), (None, None)]
 
 
-@pytest.mark.parametrize("name", ["vault_crypto_erase", "vault_entry_keys"])
+@pytest.mark.parametrize("name", ["vault_crypto_erase", "vault_entry_keys", "vault_key_rotation"])
 def test_every_customer_has_an_entry_of_its_own(spark, tmp_path, name):
     rows = [(i, *c) for i, c in enumerate(CUSTOMERS)]
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))

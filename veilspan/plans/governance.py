@@ -364,9 +364,9 @@ def vault_entry_keys(spark: SparkSession, sf: str) -> DataFrame:
 def vault_key_rotation(spark: SparkSession, sf: str) -> DataFrame:
     """Keys wrapped anew under another master key: every box opens, without being touched, and the old master key opens none."""
     names, boxes, keys = _sealed(spark, sf)
-    place, turned = ["session_id", "token_id"], vault.rewrap(keys, _key("master"), _key("next"))
-    opened = vault.open_entries(boxes, turned, _key("next")).join(vault.open_entries(boxes, turned, _key("master")).withColumnRenamed("value", "old"), place)
-    return names.join(opened, place).select("c_custkey", "value", F.col("old").isNull().alias("old_is_void"))
+    turned = vault.rewrap(keys, _key("master"), _key("next"))
+    opened = vault.at_place(vault.open_entries(boxes, turned, _key("next")), vault.open_entries(boxes, turned, _key("master")).withColumnRenamed("value", "old"))
+    return vault.at_place(names, opened).select("c_custkey", "value", F.col("old").isNull().alias("old_is_void"))
 
 
 @query("vault_crypto_erase", "SELECT c_custkey, CASE WHEN c_nationkey % 3 <> 0 THEN c_name END AS value FROM customer")
