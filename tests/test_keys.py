@@ -133,3 +133,21 @@ def test_values_of_one_token_are_parted(spark, tmp_path):
     assert sorted(r["value"] or "-" for r in vault.open_entries(boxes, keys, master).collect()) == ["-", "a", "b", "b", "c", "d", "e"]
     left = vault.erase_keys(keys, spark.createDataFrame([(None,)], "session_id string"))
     assert sorted(r["value"] or "-" for r in vault.open_entries(boxes, left, master).collect()) == ["-", "-", "-", "a", "b", "b", "d"]
+
+
+def test_every_chain_is_signed_and_verified(spark, tmp_path):
+    """All users' chains, also those of one record (which is cut off in chain 42), of negative users and of none."""
+    users = [*range(40), *range(0, 40, 3), *range(40), -3, -3, None, None]
+    spark.createDataFrame([(i, u, "view") for i, u in enumerate(users)] + [(1000, 42, "view")], "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    wanted = duckdb.connect().execute(registry.oracle_sql()["audit_signed"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in registry.queries()["audit_signed"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(wanted, key=str) and len(got) == 43 and (42, 0, False, "invalid") in got
+
+
+def test_chains_that_are_gone_are_invalid(spark):
+    log = audit.link(spark.createDataFrame([("a", 0, "x"), ("b", 0, "y")], "chain string, seq long, body string"), "chain", "seq", "body")
+    seed = hashlib.sha256(b"k").digest()
+    signed = audit.sign_heads(audit.heads(log, "chain", "seq"), "chain", seed, "k1")
+    keys = spark.createDataFrame([("k1", ed25519.public_key(seed).hex())], "key_id string, public_key string")
+    got = audit.verify_signed(log.where("chain = 'a'"), signed, keys, "chain", "seq", "body", require_signature=False).collect()
+    assert sorted(tuple(r) for r in got) == [("a", 1, True, None, "valid"), ("b", 0, False, None, "invalid")]

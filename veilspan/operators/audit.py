@@ -90,7 +90,8 @@ def verify_signed(records: DataFrame, signed: DataFrame, keys: DataFrame, chain:
     number of records, or the signature itself is another than was signed. Any but `valid` makes a chain not ok; a missing
     one only if signatures are required.
 
-    A record that was altered together with all hashes after it still links, but its head is not the signed one.
+    A record that was altered together with all hashes after it still links, but its head is not the signed one. A chain that
+    is signed and of which no record is left is `invalid` too, with n = 0.
     `keys` (key_id, public_key in hex) holds the keys of all rotations; signatures name theirs."""
     session.ship_package(records.sparkSession)
 
@@ -107,7 +108,9 @@ def verify_signed(records: DataFrame, signed: DataFrame, keys: DataFrame, chain:
 
     held = signed.select(F.col(chain).alias("signed_chain"), "key_id", "signature").withColumn("held", F.lit(True))
     now = _verified(records, chain, order, body)
-    joined = now.join(held, F.col(chain).eqNullSafe(F.col("signed_chain")), "left").join(F.broadcast(keys.select("key_id", "public_key")), "key_id", "left")
+    both = now.join(held, F.col(chain).eqNullSafe(F.col("signed_chain")), "full").join(F.broadcast(keys.select("key_id", "public_key")), "key_id", "left")
+    lost = F.col("n").isNull()
+    joined = both.withColumns({chain: F.coalesce(chain, "signed_chain"), "n": F.coalesce("n", F.lit(0)), "ok": F.col("ok") & ~lost})
     state = (
         F.when(F.col("held").isNull() | F.col("signature").isNull(), "missing")
         .when(F.col("public_key").isNull(), "unknown key")
